@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from batchloom.llm.minhash import op9_minhash_near_dedup
 from batchloom.llm.token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}

@@ -79,13 +79,13 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(offsets: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
-    """Runs of rows of at most ``limit`` bytes, or of one row."""
+def blocks(offsets: np.ndarray, limit: int = BLOCK, most: int = 1 << 15) -> Iterator[tuple[int, int]]:
+    """Runs of at most ``most`` rows and ``limit`` bytes, or of one row."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
-        yield lo, min(hi, n)
-        lo = min(hi, n)
+        hi = max(lo + 1, min(n, lo + most, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1))
+        yield lo, hi
+        lo = hi
 
 
 def long_text_cuts(data: np.ndarray, gap: np.ndarray = SPACE) -> Iterator[tuple[int, int]]:

@@ -3,10 +3,21 @@
 from __future__ import annotations
 
 from batchloom.llm.minhash import op9_minhash_near_dedup
+from batchloom.llm.mixing import ORACLE as MIX_SQL
+from batchloom.llm.mixing import op7_mix_sources
+from batchloom.llm.secrets import ORACLE as SECRET_SQL
+from batchloom.llm.secrets import op8_secret_scan
+from batchloom.llm.sharding import op3_karmarkar_karp_shards
 from batchloom.llm.token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op3_karmarkar_karp_shards": op3_karmarkar_karp_shards,
+    "op7_mix_sources": op7_mix_sources,
+    "op8_secret_scan": op8_secret_scan,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_mix_sources": MIX_SQL,
+    "op8_secret_scan": SECRET_SQL,
+}

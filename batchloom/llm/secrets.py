@@ -1,0 +1,137 @@
+"""Operator 8: secrets in whole texts, by patterns and by sliding-window Shannon entropy, in SQL expressions only.
+
+Pattern spans (``assign``, ``access``, ``hex``) are the leftmost non-overlapping matches of each kind; positions come from
+the lengths of the pieces between matches, in code points, ends exclusive. The entropy method looks at candidate strings
+(runs of base64 characters), sorts each into a character class (``hex`` or ``base64``) and slides a window of ``WINDOW``
+characters along it. Counts per character and the sum of ``c * log2(c)`` are updated with the one character that enters and
+the one that leaves, so a step costs the same for any window. The span from the first to the last window at or above the
+class's threshold is added, unless an allow-list pattern fits the candidate or a pattern span already holds it.
+
+Edge cases: a null text counts as an empty one and has no spans (hash of the empty string); repeated rows give repeated
+results; texts and candidates of any length are scanned whole; extra columns are ignored; an empty table gives an empty one.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from batchloom.llm.common import free_name, table, text_or_empty
+
+WINDOW = 20
+THRESHOLDS = {"hex": 3.0, "base64": 3.7}
+#: A candidate that one of these fits is no secret: words without a digit, number strings, samples, alphabets.
+ALLOW = ("^[^0-9]*$", "^[0-9_=+/-]*$", "(?i)example|sample|placeholder|dummy|xxxx", "(?i)0123456789|abcdefghij")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+PLACEHOLDER = "[SECRET]"
+
+_ASSIGN = (
+    "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+    r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+)
+#: A run of one class is found whole, so its least length can be part of the pattern; "assign" is filtered afterwards.
+PATTERNS = {"assign": _ASSIGN, "access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}"}
+CANDIDATE = f"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
+_SPAN = "array<struct<start:int,rank:int,stop:int>>"
+
+
+def _quoted(pattern: str) -> str:
+    return "r'" + pattern.replace("'", r"\x27") + "'"
+
+
+def _spans(text: str, pattern: str, rank: int, keep: str = "true") -> str:
+    """SQL for the spans of a pattern's matches; ``keep``: a condition on ``m.g`` (group 2) or ``m.s`` (the match)."""
+    p = _quoted(pattern)
+    group = f"regexp_extract_all({text}, {p}, 2)" if pattern == _ASSIGN else f"regexp_extract_all({text}, {p}, 0)"
+    return f"""CASE WHEN {text} RLIKE {p} THEN transform(filter(aggregate(
+        arrays_zip(slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))), regexp_extract_all({text}, {p}, 0), {group}),
+        named_struct('at', 0, 'out', CAST(array() AS array<struct<start:int,stop:int,s:string,g:string>>)),
+        (a, m) -> named_struct('at', a.at + length(m.`0`) + length(m.`1`), 'out', array_append(a.out, named_struct('start', a.at + length(m.`0`), 'stop', a.at + length(m.`0`) + length(m.`1`), 's', m.`1`, 'g', m.`2`))),
+        a -> a.out), m -> {keep}), m -> named_struct('start', m.start, 'rank', {rank}, 'stop', m.stop)) ELSE CAST(array() AS {_SPAN}) END"""
+
+
+def _entropy_hits(chars: str, threshold: str) -> str:
+    """SQL for ``first, last``: ends (1-based) of the first and last window whose entropy reaches the threshold, or 0."""
+    logs = "array(" + ",".join(f"{c * math.log2(c) if c else 0.0!r}D" for c in range(WINDOW + 2)) + ")"
+    put = lambda n, code, by: f"concat(slice({n}, 1, {code}), array({n}[{code}] + {by}), slice({n}, {code} + 2, 127 - {code}))"
+    leave = f"""transform(array(if(i > {WINDOW}, {chars}[i - {WINDOW} - 1], -1)), o -> if(o < 0, named_struct('n', a.n, 's', a.s),
+        named_struct('n', {put("a.n", "o", "-1")}, 's', a.s - l[a.n[o]] + l[a.n[o] - 1])))[0]"""
+    enter = f"""transform(array({leave}), b -> transform(array({chars}[i - 1]), c ->
+        named_struct('n', {put("b.n", "c", "1")}, 's', b.s - l[b.n[c]] + l[b.n[c] + 1]))[0])[0]"""
+    step = f"""transform(array({enter}), b -> transform(array(i >= {WINDOW} AND {math.log2(WINDOW)!r}D - b.s / {WINDOW} >= {threshold}), hit ->
+        named_struct('n', b.n, 's', b.s, 'first', if(hit AND a.first = 0, i, a.first), 'last', if(hit, i, a.last)))[0])[0]"""
+    return f"""transform(array({logs}), l -> aggregate(sequence(1, size({chars})), named_struct('n', array_repeat(0, 128), 's', 0D, 'first', 0, 'last', 0),
+        (a, i) -> {step}, a -> named_struct('first', a.first, 'last', a.last)))[0]"""
+
+
+def _entropy_spans(text: str, base: str) -> str:
+    allow = " AND ".join(f"NOT m.s RLIKE {_quoted(p)}" for p in ALLOW)
+    found = _spans(text, CANDIDATE, 0, allow).replace("named_struct('start', m.start, 'rank', 0, 'stop', m.stop)", "named_struct('start', m.start, 's', m.s, 'hex', m.s RLIKE '^[0-9a-fA-F]+$')").replace(_SPAN, "array<struct<start:int,s:string,hex:boolean>>")
+    scored = f"""transform({found}, m -> named_struct('start', m.start, 'hex', m.hex, 'hit',
+        transform(array(transform(split(m.s, ''), x -> ascii(x))), codes -> {_entropy_hits("codes", f"if(m.hex, {THRESHOLDS['hex']}D, {THRESHOLDS['base64']}D)")})[0]))"""
+    spans = f"""transform(filter({scored}, m -> m.hit.first > 0), m -> named_struct('start', m.start + m.hit.first - {WINDOW}, 'rank', if(m.hex, 3, 4), 'stop', m.start + m.hit.last))"""
+    return f"filter({spans}, e -> NOT exists({base}, b -> b.start <= e.start AND e.stop <= b.stop))"
+
+
+def _joined(spans: str) -> str:
+    kinds = "array(" + ",".join(f"'{k}'" for k in KINDS) + ")"
+    return f"concat_ws(',', transform({spans}, m -> concat({kinds}[m.rank], ':', m.start, ':', m.stop)))"
+
+
+def find_secrets(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str, str]:
+    """The rows with two columns of sorted spans (pattern spans, and all); returns their names, free in ``docs``."""
+    text, base, every = (free_name(docs, x) for x in ("_whole", "_base", "_every"))
+    found = docs.withColumn(text, text_or_empty(text_col))
+    kinds = [_spans(f"`{text}`", p, i, "length(m.g) >= 6" if k == "assign" else "true") for i, (k, p) in enumerate(PATTERNS.items())]
+    found = found.withColumn(base, F.expr(f"array_sort(concat({', '.join(kinds)}))"))
+    found = found.withColumn(every, F.expr(f"array_sort(concat(`{base}`, {_entropy_spans(f'`{text}`', f'`{base}`')}))"))
+    return found.drop(text), base, every
+
+
+def redacted(text: str, spans: str) -> Column:
+    """The text with each maximal run of overlapping spans replaced by the placeholder."""
+    t = "_redact_t"
+    return F.expr(f"""transform(array(aggregate({spans}, named_struct('at', 0, 'out', ''),
+        (a, m) -> named_struct('at', greatest(a.at, m.stop), 'out', if(m.start < a.at, a.out, concat(a.out, substring({t}, a.at + 1, m.start - a.at), '{PLACEHOLDER}'))))),
+        a -> concat(a.out, substring({t}, a.at + 1)))[0]""".replace(t, text))
+
+
+def redact_secrets(docs: DataFrame) -> DataFrame:
+    """All rows and columns of ``docs``, with secrets in ``text`` replaced (a null text stays null)."""
+    found, base, every = find_secrets(docs)
+    return found.withColumn("text", F.when(F.size(every) > 0, redacted("`text`", f"`{every}`")).otherwise(F.col("text"))).select(*docs.columns)
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, base, every = find_secrets(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    counts = [F.expr(f"CAST(size(filter({base}, m -> m.rank = {i})) AS bigint)").alias(f"n_{k}") for i, k in enumerate(PATTERNS)]
+    return found.select("doc_id", *counts, F.expr(f"sha2({_joined(base)}, 256)").alias("base_sha256"), F.expr(_joined(every)).alias("spans"))
+
+
+def _duck(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _duck_spans(rank: int, pattern: str) -> str:
+    group = 2 if rank == 0 else 0
+    return f"""SELECT r, {rank} AS rank, unnest(range(1, len(regexp_extract_all(t, {_duck(pattern)})) + 1)) AS k, string_split_regex(t, {_duck(pattern)}) AS p,
+      regexp_extract_all(t, {_duck(pattern)}) AS s, regexp_extract_all(t, {_duck(pattern)}, {group}) AS g FROM d"""
+
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_duck_spans(i, p) for i, p in enumerate([*PATTERNS.values(), CANDIDATE]))}),
+l AS (SELECT r, rank, s[k] AS s, g[k] AS g, (list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(s[1:k - 1], lambda x: length(x))), 0))::INT AS start FROM m),
+base AS (SELECT r, rank, start, start + length(s) AS stop FROM l WHERE rank < 3 AND (rank > 0 OR length(g) >= 6)),
+c AS (SELECT r, s, start, regexp_matches(s, '^[0-9a-fA-F]+$') AS hex FROM l WHERE rank = 3 AND {" AND ".join(f"NOT regexp_matches(s, {_duck(p)})" for p in ALLOW)}),
+h AS (SELECT *, list_filter(range({WINDOW}, length(s) + 1), lambda i: list_entropy(string_split(substr(s, i - {WINDOW - 1}, {WINDOW}), '')) >= CASE WHEN hex THEN {THRESHOLDS["hex"]} ELSE {THRESHOLDS["base64"]} END) AS hits FROM c),
+e AS (SELECT r, CASE WHEN hex THEN 3 ELSE 4 END AS rank, start + hits[1] - {WINDOW} AS start, start + hits[-1] AS stop FROM h WHERE len(hits) > 0),
+x AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = e.r AND b.start <= e.start AND e.stop <= b.stop)),
+every AS (SELECT *, (['assign', 'access', 'hex', 'entropy_hex', 'entropy_base64'])[rank + 1] || ':' || start || ':' || stop AS span FROM (SELECT * FROM base UNION ALL SELECT * FROM x)),
+agg AS (SELECT r, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+  string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans FROM every GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN agg USING (r)
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from batchloom.llm.minhash import op9_minhash_near_dedup
 from batchloom.llm.mixing import ORACLE as MIX_SQL
 from batchloom.llm.mixing import op7_mix_sources
+from batchloom.llm.quality import op10_quality_rules
 from batchloom.llm.secrets import ORACLE as SECRET_SQL
 from batchloom.llm.secrets import op8_secret_scan
 from batchloom.llm.sharding import op3_karmarkar_karp_shards
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_mix_sources": op7_mix_sources,
     "op8_secret_scan": op8_secret_scan,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
     "op7_mix_sources": MIX_SQL,

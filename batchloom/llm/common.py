@@ -83,6 +83,45 @@ def map_texts(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Recor
     return df.withColumn(text, text_or_empty(text)).mapInArrow(run, schema)
 
 
+def map_groups(df: DataFrame, keys: list[str], schema: str, work: Callable[[pa.Table, list[tuple[int, int]]], pa.Table]) -> DataFrame:
+    """Run an Arrow function over whole groups, many groups a call: rows are dealt and sorted by ``keys``, and ``work`` gets
+    a table with the limits of the groups in it. For groups of bounded size."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    ship(df.sparkSession)
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def starts_of(rows: pa.Table) -> np.ndarray:
+            new = np.zeros(rows.num_rows, bool)
+            new[:1] = True
+            for k in keys:
+                v = rows.column(k).to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            return np.flatnonzero(new)
+
+        def done(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if rows.num_rows:
+                limits = [*starts.tolist(), rows.num_rows]
+                yield from work(rows, list(zip(limits, limits[1:], strict=False))).cast(arrow).to_batches()
+
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            starts = starts_of(rows)
+            if len(starts) > 1:
+                yield from done(rows.slice(0, starts[-1]), starts[:-1])
+            rest = rows.slice(starts[-1]) if len(starts) else rows
+        if rest is not None:
+            yield from done(rest, starts_of(rest))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Component of every id that an edge names: ``id``, ``component_id`` (smallest id reachable).
 

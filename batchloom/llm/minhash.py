@@ -11,9 +11,9 @@ Links are found in three steps that never emit the pairs of a whole group:
 1. Bands of ``ROWS`` coordinates are bucket keys. A bucket's leader is its smallest id (a partial aggregation joined back).
    Every document is verified against the one leader it shares most buckets with: at most one pair a document.
 2. Verified links are contracted. Buckets whose members are in one component are done.
-3. In the others, members of different components are compared by their stored sketches in blocks of ``BLOCK_ROWS``, and
-   every pair whose estimate lies within reach of the threshold (less than 6 standard deviations below) and whose sizes
-   permit a link is verified on full sets.
+3. In the others, members of different components are compared by their stored sketches in blocks of ``BLOCK_ROWS``.
+   Rows in a pair whose estimate lies within reach of the threshold (less than 6 standard deviations below) and whose
+   sizes permit a link meet again with their full sets, and a task hands out only the links that join components.
 
 At similarity 0.85 a pair shares no band with probability (1 - 0.85 ** 5) ** 40 = 6.5e-11. Step 3 has no cap.
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import connected_components, map_texts, stored, table, text_or_empty
+from batchloom.llm.common import connected_components, map_groups, map_texts, stored, table, text_or_empty
 from batchloom.llm.textkernel import buffers, mix, windows, word_hashes
 
 WIDTH = 5
@@ -109,7 +109,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             keys, firsts = shingle_keys(batch.column("text"))
             elems = elements(keys, batch.num_rows)
             counts = np.diff(firsts)
-            full = counts > 0
             sums = []
             for salt in (0x51ED270B27D4EB4F, 0x2545F4914F6CDD1D):
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(elems ^ np.uint64(salt)))])
@@ -117,7 +116,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             sketch = sketches(elems, firsts)
             bands = band_keys(sketch)
             size = sketch.shape[1]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()), mask=pa.array(~full))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()), mask=pa.array(counts == 0))
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(sketch), [None, pa.py_buffer(np.ascontiguousarray(sketch.astype(np.uint8)))])
             return {"doc_id": batch.column("doc_id"), "n_shingles": counts, "key1": sums[0], "key2": sums[1], "sketch": raw.cast(pa.binary()), "bands": lists}
 
@@ -154,33 +153,112 @@ def full_set(text: pa.Array) -> np.ndarray:
     return shingle_keys(text)[0]
 
 
-def sketch_pairs(members: DataFrame) -> DataFrame:
-    """Pairs in one bucket, of different components, whose sketches come near enough; from blocks of the bucket's members."""
-
-    def compare(key: tuple, group):
-        left, right = (group[group.side != s] for s in (1, 0))
-        if key[1] == key[2]:
-            left = right = group
-        out = []
-        if len(left) and len(right):
-            x, y = (np.frombuffer(b"".join(g.sketch), np.uint8).reshape(len(g), -1) for g in (left, right))
-            n, m, ids, idt, cx, cy = left.n.values, right.n.values, left.id.values, right.id.values, left.comp.values, right.comp.values
-            for i in range(len(left)):
-                near = (cy != cx[i]) & (100 * np.minimum(m, n[i]) >= PERCENT * np.maximum(m, n[i]))
-                if key[1] == key[2]:
-                    near[: i + 1] = False
-                at = np.flatnonzero(near)
-                at = at[(y[at] == x[i]).mean(axis=1) >= REACH] if len(at) else at
-                out += [(min(ids[i], j), max(ids[i], j)) for j in idt[at]]
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """``id, elements``: the sorted fingerprints of each text's set, 8 bytes each."""
 
+    def start():
+        def work(batch: pa.RecordBatch) -> dict:
+            keys, firsts = shingle_keys(batch.column("text"))
+            offsets = pa.py_buffer((firsts * 8).astype(np.int32))
+            data = pa.py_buffer(np.ascontiguousarray(elements(keys, batch.num_rows)))
+            return {"id": batch.column("id"), "elements": pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, offsets, data])}
+
+        return work
+
+    return map_texts(docs.select(F.col("doc_id").alias("id"), "text"), "id bigint, elements binary", start)
+
+
+def _near_pairs(rows: pa.Table, groups: list[tuple[int, int]]):
+    """For each group, the places of pairs of different components that are near by sketch and size, in the bucket of the
+    first band that they share (so that only one bucket looks at a pair)."""
+    sketch = buffers(rows.column("sketch").combine_chunks())[0].reshape(rows.num_rows, -1)
+    bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+    n, comp, side, band = (rows.column(c).to_numpy() for c in ("n", "comp", "side", "band"))
+    lo, hi = rows.column("lo").to_numpy(), rows.column("hi").to_numpy()
+    least = REACH * sketch.shape[1]
+    for s, e in groups:
+        if e - s < 2:
+            continue
+        same = lo[s] == hi[s]
+        left, right = (np.arange(s, e), np.arange(s, e)) if same else (s + np.flatnonzero(side[s:e] == 0), s + np.flatnonzero(side[s:e] == 1))
+        if not len(left) or not len(right):
+            continue
+        step = max(1, (1 << 22) // (len(right) * sketch.shape[1]))
+        found = []
+        for k in range(0, len(left), step):
+            part = left[k : k + step]
+            ok = (comp[part][:, None] != comp[right][None, :]) & (100 * np.minimum(n[part][:, None], n[right][None, :]) >= PERCENT * np.maximum(n[part][:, None], n[right][None, :]))
+            if same:
+                ok &= part[:, None] < right[None, :]
+            if ok.any():
+                agree = (sketch[part][:, None, :] == sketch[right][None, :, :]).sum(axis=2, dtype=np.int16)
+                i, j = np.nonzero(ok & (agree >= least))
+                found.append(np.stack([part[i], right[j], agree[i, j]]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        if pairs.shape[1]:
+            mine = np.empty(pairs.shape[1], bool)
+            for k in range(0, len(mine), 65536):
+                x, y = pairs[0, k : k + 65536], pairs[1, k : k + 65536]
+                first = (bands[x] == bands[y]).argmax(axis=1)
+                mine[k : k + 65536] = bands[x, first] == band[s]
+            pairs = pairs[:, mine]
+        if pairs.shape[1]:
+            yield pairs
+
+
+def flag_near(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
+    """The rows that are in a near pair."""
+    hit = np.zeros(rows.num_rows, bool)
+    for pairs in _near_pairs(rows, groups):
+        hit[pairs[:2].ravel()] = True
+    return rows.filter(pa.array(hit))
+
+
+def confirm_near(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
+    """Links between components, confirmed on full sets; pairs that links of the group already join are passed over."""
+    ids, comp = rows.column("id").to_numpy(), rows.column("comp").to_numpy()
+    data, offsets = buffers(rows.column("elements").combine_chunks().cast(pa.large_binary()))
+    out_a, out_b = [], []
+    for pairs in _near_pairs(rows, groups):
+        root: dict[int, int] = {}
+
+        def find(c: int, root: dict = root) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
+        for x, y in pairs[:2, np.argsort(-pairs[2], kind="stable")].T.tolist():
+            cx, cy = find(int(comp[x])), find(int(comp[y]))
+            if cx == cy:
+                continue
+            a, b = (data[offsets[i] : offsets[i + 1]].view(np.uint64) for i in (x, y))
+            both = np.sort(np.concatenate([a, b]), kind="stable")
+            common = int((both[1:] == both[:-1]).sum())
+            if 100 * common >= PERCENT * (len(both) - common):
+                root[max(cx, cy)] = min(cx, cy)
+                out_a.append(int(ids[x]))
+                out_b.append(int(ids[y]))
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+
+def links_inside(members: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame:
+    """Confirmed links ``a, b`` between components that meet in a bucket, from ``band, id, comp, n``.
+
+    Large buckets are cut into blocks, and pairs of blocks are compared in tasks of their own. Sketches travel first; full
+    sets only for rows that are in a near pair. No pair leaves a task unless it joins two components.
+    """
     size = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("nb"))
     dealt = members.join(size, "band").withColumn("p", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     both = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    keyed = both.select("band", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), F.when(F.col("p") <= F.col("q"), 0).otherwise(1).alias("side"), "id", "n", "comp", "sketch")
-    return keyed.groupBy("band", "lo", "hi").applyInPandas(compare, "a bigint, b bigint").distinct()
+    keyed = both.select("band", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), (F.col("p") > F.col("q")).cast("int").alias("side"), "id", "n", "comp")
+    keyed = keyed.join(prints.select(F.col("doc_id").alias("id"), "sketch", "bands"), "id").select("band", "lo", "hi", "side", "id", "n", "comp", "sketch", "bands")
+    schema = "band bigint, lo int, hi int, side int, id bigint, n bigint, comp bigint, sketch binary, bands array<bigint>"
+    flagged = stored(map_groups(keyed, ["band", "lo", "hi"], schema, flag_near), "near")
+    ids = stored(flagged.select(F.col("id").alias("doc_id")).distinct(), "near-ids")
+    some = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    sets = shingle_sets(some).dropDuplicates(["id"])
+    return map_groups(flagged.join(sets, "id"), ["band", "lo", "hi"], "a bigint, b bigint", confirm_near)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -206,8 +284,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     split = inside.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("band")
     left = inside.join(split, "band", "left_semi")
     left = left.join(keys.withColumnRenamed("doc_id", "id"), "id").groupBy("band", "comp", "n_shingles", "key1", "key2").agg(F.min("id").alias("id"))
-    left = left.join(banded.select(F.col("doc_id").alias("id"), "sketch"), "id").select("band", "id", "comp", F.col("n_shingles").alias("n"), "sketch")
-    more = verify(sketch_pairs(left), texts)
+    more = links_inside(left.select("band", "id", "comp", F.col("n_shingles").alias("n")), banded, texts)
     edges = comps.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more)
     final = connected_components(edges).withColumnRenamed("id", "doc_id")
     out = prints.select("doc_id", "n_shingles").join(final, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

@@ -6,13 +6,15 @@ from batchloom.llm.minhash import op9_minhash_near_dedup
 from batchloom.llm.mixing import ORACLE as MIX_SQL
 from batchloom.llm.mixing import op7_mix_sources
 from batchloom.llm.quality import op10_quality_rules
-from batchloom.llm.secrets import ORACLE as SECRET_SQL
-from batchloom.llm.secrets import op8_secret_scan
+from batchloom.llm.secret_scan import ORACLE as SECRET_SQL
+from batchloom.llm.secret_scan import op8_secret_scan
 from batchloom.llm.sharding import op3_karmarkar_karp_shards
 from batchloom.llm.token_counts import op1_token_counts
+from batchloom.llm.toxicity import op2_toxicity_chain
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_toxicity_chain": op2_toxicity_chain,
     "op3_karmarkar_karp_shards": op3_karmarkar_karp_shards,
     "op7_mix_sources": op7_mix_sources,
     "op8_secret_scan": op8_secret_scan,

@@ -100,19 +100,30 @@ def long_text_cuts(data: np.ndarray, gap: np.ndarray = SPACE) -> Iterator[tuple[
         lo = hi
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = LOWER, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of the words of some texts in order, and each text's first place among them (one more at the end)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = LOWER, gap: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the words of some texts in order, and each text's first place among them (one more at the end).
+
+    ``prefixes``: each word is followed by the fingerprints of its first so many bytes.
+    """
+    if prefixes:
+        every = [_hashes(data, offsets, fold, gap, k) for k in (0, *prefixes)]
+        return np.stack([h ^ mix(np.full(1, k, np.uint64)) for k, (h, _) in zip((0, *prefixes), every, strict=True)], axis=1).ravel(), every[0][1] * len(every)
+    return _hashes(data, offsets, fold, gap, 0)
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray, gap: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """``most``: only so many first bytes of each word count, if not 0."""
     if len(data) <= BLOCK + 1000:
         data = fold[data]
         s, e = word_spans(data, offsets, gap)
-        return span_hashes(data, s, e), np.searchsorted(s, offsets)
+        return span_hashes(data, s, np.minimum(e, s + most) if most else e), np.searchsorted(s, offsets)
     parts, firsts, done = [np.zeros(0, np.uint64)], np.zeros(len(offsets), np.int64), 0
     for row in range(len(offsets) - 1):
         text = data[offsets[row] : offsets[row + 1]]
         for lo, hi in long_text_cuts(text, gap):
             piece = fold[text[lo:hi]]
             s, e = word_spans(piece, np.zeros(0, np.int64), gap)
-            parts.append(span_hashes(piece, s, e))
+            parts.append(span_hashes(piece, s, np.minimum(e, s + most) if most else e))
             done += len(s)
         firsts[row + 1] = done
     return np.concatenate(parts), firsts

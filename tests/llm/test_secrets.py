@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 from batchloom.llm.queries import ORACLES, QUERIES
-from batchloom.llm.secrets import ALLOW, CANDIDATE, KINDS, THRESHOLDS, WINDOW, find_secrets, op8_secret_scan, redact_secrets
+from batchloom.llm.secret_scan import ALLOW, CANDIDATE, KINDS, THRESHOLDS, WINDOW, find_secrets, op8_secret_scan, redact_secrets
 from pyspark.sql import functions as F
 from tests.helpers import same_as_oracle
 

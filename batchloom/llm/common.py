@@ -58,8 +58,8 @@ def text_or_empty(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
-def map_texts(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict]], text: str = "text") -> DataFrame:
-    """Run an Arrow function over whole texts in blocks of about a megabyte of text (or one longer text).
+def map_texts(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict]], text: str = "text", limit: int = 1 << 20) -> DataFrame:
+    """Run an Arrow function over whole texts in blocks of at most ``limit`` bytes of text (or one longer text).
 
     ``start`` runs once in a worker and returns the function from a batch to a dict of arrays, one for each output field.
     A null text arrives as an empty one.
@@ -76,7 +76,7 @@ def map_texts(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Recor
         work = start()
         for batch in batches:
             _, offsets = buffers(batch.column(text))
-            for lo, hi in blocks(offsets):
+            for lo, hi in blocks(offsets, limit):
                 out = work(batch.slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 

@@ -8,6 +8,7 @@ from batchloom.llm.mixing import op7_mix_sources
 from batchloom.llm.quality import op10_quality_rules
 from batchloom.llm.secret_scan import ORACLE as SECRET_SQL
 from batchloom.llm.secret_scan import op8_secret_scan
+from batchloom.llm.segment import op5_sample_pieces
 from batchloom.llm.sharding import op3_karmarkar_karp_shards
 from batchloom.llm.token_counts import op1_token_counts
 from batchloom.llm.toxicity import op2_toxicity_chain
@@ -16,12 +17,14 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity_chain": op2_toxicity_chain,
     "op3_karmarkar_karp_shards": op3_karmarkar_karp_shards,
+    "op5_sample_pieces": op5_sample_pieces,
     "op7_mix_sources": op7_mix_sources,
     "op8_secret_scan": op8_secret_scan,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
+    "op5_sample_pieces": op5_sample_pieces,
     "op7_mix_sources": MIX_SQL,
     "op8_secret_scan": SECRET_SQL,
 }

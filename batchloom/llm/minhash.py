@@ -291,5 +291,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (all columns) that are the smallest id of their group; of repeated rows with one id, one.
+
+    Rows with a null id stay. Only the ids that go are joined to the texts.
+    """
+    found = near_duplicates(docs)
+    gone = stored(found.filter("NOT kept").select("doc_id").distinct(), "gone")
+    again = stored(found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    few = gone.count() <= BROADCAST_IDS
+    rest = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    if again.isEmpty():
+        return rest.select(*docs.columns)
+    others = [c for c in docs.columns if c != "doc_id"]
+    single = rest.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("r")).select("doc_id", "r.*")
+    return rest.join(again, "doc_id", "left_anti").select(*docs.columns).union(single.select(*docs.columns))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import stored, table, text_or_empty
+from batchloom.llm.common import free_name, stored, table, text_or_empty
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
@@ -59,14 +59,20 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = B
     return rows.withColumn("level", F.max("level").over(whole)).select("src", "source_size", F.least("most", F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """``doc_id, size, source_size, target, taken, times`` of every row."""
+def keyed(docs: DataFrame, seed: str, names: dict[str, str]) -> DataFrame:
+    """``docs`` with columns for the source mark, the size in words and the sampling key, under the given names."""
     text = text_or_empty("text")
-    src = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(NO_SOURCE)).alias("src")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), src, word_count(text).alias("size"), F.length(text).alias("n_chars"))
-    key = -F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("n_chars"), F.col("size"))
-    rows = rows.withColumn("key", key).withColumn("range", F.floor(RANGES * (1 - F.exp(-F.col("key")))).cast("int"))
-    rows = stored(rows.drop("n_chars"), "mix-rows")
+    src = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(NO_SOURCE))
+    rows = docs.withColumn(names["src"], src).withColumn(names["size"], word_count(text))
+    key = -F.log(uniform(F.col("doc_id").cast("long"), seed)) / quality_weight(F.length(text), F.col(names["size"]))
+    return rows.withColumn(names["key"], key)
+
+
+def decisions(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """One row a document: ``doc_id, src, size, key, source_size, target, epochs, more`` (one copy beyond the epochs)."""
+    rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), seed, {"src": "src", "size": "size", "key": "key"})
+    rows = rows.select("doc_id", "src", "size", "key", F.floor(RANGES * (1 - F.exp(-F.col("key")))).cast("int").alias("range"))
+    rows = stored(rows, "mix-rows")
     ranges = stored(rows.groupBy("src", "range").agg(F.sum("size").alias("words")), "mix-ranges")
     targets = source_targets(ranges.groupBy("src").agg(F.sum("words").alias("source_size")))
     before = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -76,9 +82,29 @@ def mix_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     out = out.withColumn("epochs", epochs)
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
-    more = (F.col("first") + F.col("upto") - F.col("size") / 2 <= rest) & (rest > 0)
-    out = out.withColumn("times", F.when(F.col("size") > 0, F.col("epochs") + more.cast("long")).otherwise(F.lit(0)).cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+    return out.withColumn("more", (F.col("first") + F.col("upto") - F.col("size") / 2 <= rest) & (rest > 0) & (F.col("size") > 0))
+
+
+def mix_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """``doc_id, size, source_size, target, taken, times`` of every row."""
+    times = F.when(F.col("size") > 0, F.col("epochs") + F.col("more").cast("long")).otherwise(F.lit(0)).cast("long")
+    return decisions(docs, seed).withColumn("times", times).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+
+
+def mixed_copies(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """Every row of ``docs`` (all columns) as often as the mix takes it.
+
+    The documents taken once more are a prefix of their source in key order, so one cut a source carries the decision, and
+    texts are not shuffled.
+    """
+    names = {x: free_name(docs, "_" + x) for x in ("src", "size", "key", "epochs", "cut")}
+    cut = F.max(F.when(F.col("more"), F.struct("key", "doc_id", "size")))
+    cuts = stored(decisions(docs, seed).groupBy("src").agg(F.first("epochs").alias(names["epochs"]), cut.alias(names["cut"])).withColumnRenamed("src", names["src"]), "mix-cuts")
+    rows = keyed(docs, seed, names).join(cuts, names["src"])
+    here = F.struct(F.col(names["key"]).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col(names["size"]).alias("size"))
+    more = F.coalesce(here <= F.col(names["cut"]), F.lit(False)).cast("long")
+    times = F.when(F.col(names["size"]) > 0, F.col(names["epochs"]) + more).otherwise(F.lit(0)).cast("int")
+    return rows.withColumn(names["cut"], F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,56 @@
-"""The corpus pipeline: stages that each apply one operator to all documents that the one before it kept."""
+"""The corpus pipeline: stages that each apply one operator to all documents that the one before it kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. Results
+are written to the shared folder between stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from batchloom.llm.common import stored, table
+from batchloom.llm.minhash import one_of_each_group
+from batchloom.llm.mixing import mixed_copies
+from batchloom.llm.secret_scan import redact_secrets
+from batchloom.llm.segment import segment
+from batchloom.llm.toxicity import train, without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, trained on the labelled ones, does not reject."""
+    return without_toxic(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group of near-duplicates."""
+    return one_of_each_group(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced in their texts; ``n_chars`` follows the text."""
+    clean = redact_secrets(docs)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixed_copies(docs)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled pieces of each document: ``doc_id, n_pieces, ids, lossless``."""
+    return segment(docs)
+
 
-STAGES = []
+STAGES = [
+    ("toxicity", toxicity),
+    ("MinHash near-dedup", near_duplicates),
+    ("secret scans", secrets),
+    ("mixing sources to target weights", mixing),
+    ("SentencePiece encoding and decoding", pieces),
+]
+#: SQL expresses neither the chain nor the sketches; tests/llm/test_pipeline.py holds the rows against brute force.
 ORACLE_SQL = None
 
 

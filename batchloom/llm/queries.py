@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from batchloom.llm.language_id import op4_language_fusion
 from batchloom.llm.minhash import op9_minhash_near_dedup
 from batchloom.llm.mixing import ORACLE as MIX_SQL
 from batchloom.llm.mixing import op7_mix_sources
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity_chain": op2_toxicity_chain,
     "op3_karmarkar_karp_shards": op3_karmarkar_karp_shards,
+    "op4_language_fusion": op4_language_fusion,
     "op5_sample_pieces": op5_sample_pieces,
     "op7_mix_sources": op7_mix_sources,
     "op8_secret_scan": op8_secret_scan,
@@ -24,6 +26,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
+    "op4_language_fusion": op4_language_fusion,
     "op5_sample_pieces": op5_sample_pieces,
     "op7_mix_sources": MIX_SQL,
     "op8_secret_scan": SECRET_SQL,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from batchloom.llm.embedding_dedup import ORACLE as EMBEDDING_SQL
+from batchloom.llm.embedding_dedup import op6_embedding_graph
 from batchloom.llm.language_id import op4_language_fusion
 from batchloom.llm.minhash import op9_minhash_near_dedup
 from batchloom.llm.mixing import ORACLE as MIX_SQL
@@ -20,14 +22,14 @@ QUERIES = {
     "op3_karmarkar_karp_shards": op3_karmarkar_karp_shards,
     "op4_language_fusion": op4_language_fusion,
     "op5_sample_pieces": op5_sample_pieces,
+    "op6_embedding_graph": op6_embedding_graph,
     "op7_mix_sources": op7_mix_sources,
     "op8_secret_scan": op8_secret_scan,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
-    "op4_language_fusion": op4_language_fusion,
-    "op5_sample_pieces": op5_sample_pieces,
+    "op6_embedding_graph": EMBEDDING_SQL,
     "op7_mix_sources": MIX_SQL,
     "op8_secret_scan": SECRET_SQL,
 }

@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -25,3 +26,19 @@ def ship(spark: SparkSession) -> None:
         shutil.move(archive, kept)
     spark.sparkContext.addPyFile(kept)
     _shipped.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where the session has none."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="batchloom-")
+        shared_dir.own = path
+    return path.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: parsed once, small plans above it, safe against lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/audit/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

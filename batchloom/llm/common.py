@@ -46,6 +46,30 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of an Arrow batch between the JVM and Python: texts can be long, and a batch is held on both sides at once.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, so that memory follows a block of texts and not ten thousand of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers stay for later tasks of other operators."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``df`` has it (in either case)."""
     taken = {c.lower() for c in df.columns}
@@ -68,6 +92,7 @@ def map_texts(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Recor
     from pyspark.sql.types import _parse_datatype_string
 
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,6 +104,8 @@ def map_texts(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Recor
             for lo, hi in blocks(offsets, limit):
                 out = work(batch.slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        del work
+        give_back()
 
     return df.withColumn(text, text_or_empty(text)).mapInArrow(run, schema)
 
@@ -90,6 +117,7 @@ def map_groups(df: DataFrame, keys: list[str], schema: str, work: Callable[[pa.T
     from pyspark.sql.types import _parse_datatype_string
 
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchloom.llm.common import map_texts, table
-from batchloom.llm.textkernel import mix, span_hashes
+from batchloom.llm.textkernel import RollingPrints, mix, span_hashes
 from batchloom.llm.token_counts import crosses_spaces, default_model
 
 ALPHA = 0.5
 SEED = 17
 #: Bytes of text in a block: larger blocks repeat more pre-tokens, and take more memory.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 _MARK = 0x2581
 #: Stands for a separator that was in the text; no piece has it.
 _LITERAL = 0x110000
@@ -59,9 +59,12 @@ class Pieces:
         ends = np.cumsum([len(x) for x in names])
         prints = span_hashes(flat, ends - [len(x) for x in names], ends)
         order = np.argsort(prints)
-        self.prints, self.ids, self.logs = prints[order], np.array(ids, np.int32)[order], logs[order]
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[(self.prints >> _SIEVE).astype(np.int64)] = True
+        self.prints, self.ids, self.logs = prints[order], np.array(ids, np.int32)[order], logs[order].astype(np.float32)
+        top = (self.prints >> _SIEVE).astype(np.int64)
+        self.bucket = np.searchsorted(top, np.arange(1 << 20)).astype(np.int32)  # first place with these upper bits
+        self.bucket[np.setdiff1d(np.arange(1 << 20), top)] = -1
+        self.deepest = int(np.unique(top, return_counts=True)[1].max())
+        self.prints = np.append(self.prints, np.zeros(self.deepest, np.uint64))
         self.longest = max(map(len, names))
         self.lone = np.ones(_LITERAL + 1, bool)  # characters of no longer piece
         self.lone[np.unique(np.frombuffer("".join(x for x in names if len(x) > 1).encode("utf-32-le"), np.uint32))] = False
@@ -76,14 +79,17 @@ class Pieces:
         self.firsts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
 
-    def find(self, prints: np.ndarray) -> np.ndarray:
-        """Places in the tables, -1 where no piece fits."""
-        out = np.full(len(prints), -1, np.int64)
-        maybe = np.flatnonzero(self.sieve[(prints >> _SIEVE).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.prints, prints[maybe]), len(self.prints) - 1)
-        hit = self.prints[at] == prints[maybe]
-        out[maybe[hit]] = at[hit]
-        return out
+    def find(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the spans are pieces, and their places in the tables."""
+        first = self.bucket[(prints >> _SIEVE).view(np.int64)]
+        maybe = np.flatnonzero(first >= 0)
+        keys, at = prints[maybe], first[maybe]
+        place = np.full(len(maybe), -1, np.int32)
+        for k in range(self.deepest):
+            hit = self.prints[at + k] == keys
+            place[hit] = at[hit] + k
+        found = place >= 0
+        return maybe[found], place[found]
 
     def joined_bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all pieces one after the other, and where each piece's begin (one more at the end)."""
@@ -108,33 +114,34 @@ def utf8_bytes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def lattices(chars: np.ndarray, ptr: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """For each node of all pre-tokens (one after the other), by length of the last piece: cumulative conditional
     probability and the piece's id (-1: byte pieces). ``ptr``: first characters, one more at the end."""
-    n, widest = len(chars), pieces.longest
+    n, lengths = len(chars), np.diff(ptr)
+    widest = min(pieces.longest, int(lengths.max()))
     logs = np.full((n, widest), -np.inf, np.float32)
     ids = np.full((n, widest), -1, np.int32)
-    local = np.arange(n) - np.repeat(ptr[:-1], np.diff(ptr))
+    local = np.arange(n, dtype=np.int32) - np.repeat(ptr[:-1], lengths).astype(np.int32)
+    prints = RollingPrints(chars)
     for size in range(1, widest + 1):
         end = np.flatnonzero(local >= size - 1)
-        if not len(end):
-            break
-        found = pieces.find(span_hashes(chars, end - size + 1, end + 1))
-        hit = found >= 0
-        logs[end[hit], size - 1] = pieces.logs[found[hit]]
-        ids[end[hit], size - 1] = pieces.ids[found[hit]]
+        at, found = pieces.find(prints.spans(end - (size - 1), size))
+        logs[end[at], size - 1] = pieces.logs[found]
+        ids[end[at], size - 1] = pieces.ids[found]
     bare = ids[:, 0] < 0
     logs[bare, 0] = pieces.byte_log * utf8_bytes(chars[bare])[1]
-    alpha = np.zeros(n, np.float64)
-    order = np.argsort(-np.diff(ptr), kind="stable")
-    first, lengths = ptr[:-1][order], np.diff(ptr)[order]
-    for p in range(int(lengths[0]) if len(lengths) else 0):
+    alpha = np.zeros(n, np.float32)
+    order = np.argsort(-lengths, kind="stable")
+    first, lengths = ptr[:-1][order], lengths[order]
+    for p in range(int(lengths[0])):
         node = first[: np.searchsorted(-lengths, -p, "left")] + p
         k = min(p + 1, widest)
-        total = logs[node, :k].astype(np.float64)
+        total = logs[node, :k]
         for size in range(1, min(p, widest) + 1):
             total[:, size - 1] += alpha[node - size]
         top = total.max(axis=1)
-        weight = np.cumsum(np.exp(total - top[:, None]), axis=1)
+        total -= top[:, None]
+        weight = np.cumsum(np.exp(total, out=total), axis=1, out=total)
         alpha[node] = top + np.log(weight[:, -1])
-        logs[node, :k] = weight / weight[:, -1:]
+        weight /= weight[:, -1:]
+        logs[node, :k] = weight
         logs[node, k - 1 :] = 2.0  # above any uniform number
     return logs, ids
 

@@ -55,6 +55,22 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+class RollingPrints:
+    """Fingerprints of many spans of the same length, as ``span_hashes`` gives them, with the prefix sums taken once."""
+
+    def __init__(self, data: np.ndarray):
+        power, self.inverse = _powers(len(data) + 1)
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=self.total[1:])
+
+    def spans(self, starts: np.ndarray, size: int) -> np.ndarray:
+        h = self.total[starts + size]
+        h -= self.total[starts]
+        h *= self.inverse[starts]
+        h += np.uint64(size)
+        return mix(h)
+
+
 def word_spans(data: np.ndarray, cuts: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs without ``gap`` bytes; ``cuts``: positions that no run crosses."""
     inside = np.empty(len(data) + 1, bool)

@@ -2,7 +2,8 @@
 
 Only vectors with equal labels (and lengths) are compared, by cosine in double precision. Identical vectors are one node
 with a count. Each label's vectors go to the cells of its centroids (k-means over a bounded sample, at most ``SAMPLE`` rows
-in all): to the nearest, and to every other whose cosine is within ``MARGIN`` of it, so cells overlap. Cells are dealt into
+in all): to the nearest, and to others whose cosine is within ``MARGIN`` of it, ``OVERLAP`` in all, so cells
+overlap. Cells are dealt into
 shards of about ``BLOCK`` vectors, and a graph is built on each: candidates by similarity, robust pruning (a neighbour goes
 if a kept one is nearer to it than the node, by the factor ``ALPHA``), edges in both directions. A vector's adjacency lists
 from all its shards are united.
@@ -13,7 +14,7 @@ that shares several cells is counted in the first of them only. Tasks hand out o
 id of the local component), never pairs.
 
 The audit compares the links of a bounded set of queries with brute force over all rows, in blocks. While its recall is
-below ``TARGET``, the margin grows and the beam doubles, at last to all cells and whole shards, which is exhaustive.
+below ``TARGET``, margin, overlap and beam double, and at last take in all cells and whole shards, which is exhaustive.
 
 Edge cases: null, empty or zero vectors, vectors with null or non-finite components, null labels and null ids link with
 nothing (0 links, own component, kept); repeated rows count as vectors of their own with the same results; extra columns
@@ -37,7 +38,7 @@ SAMPLE = 20_000
 #: Vectors that a cell has on average (before overlap), and those of a shard.
 CELL, BLOCK = 256, 128
 LABELS = 1000
-MARGIN = 0.12
+MARGIN, OVERLAP = 0.12, 3
 DEGREE, CANDIDATES, ALPHA, BEAM = 24, 64, 1.2, 24
 AUDIT, TARGET = 512, 0.995
 
@@ -161,8 +162,8 @@ def fit_centroids(nodes: DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
-def to_cells(nodes: DataFrame, centroids: dict[str, np.ndarray], margin: float) -> DataFrame:
-    """``grp, cell, id, m, v, cells``: a row for each cell of a node."""
+def to_cells(nodes: DataFrame, centroids: dict[str, np.ndarray], margin: float, overlap: int) -> DataFrame:
+    """``grp, cell, id, m, v, cells``: a row for each cell of a node, at most ``overlap`` (the nearest within ``margin``)."""
     ship(nodes.sparkSession)
     shared = nodes.sparkSession.sparkContext.broadcast(centroids)
 
@@ -174,8 +175,10 @@ def to_cells(nodes: DataFrame, centroids: dict[str, np.ndarray], margin: float)
                 if (c := shared.value.get(grp)) is not None:
                     at = np.flatnonzero(groups == grp)
                     near = unit_rows(batch.column("v").take(pa.array(at))) @ c.T
-                    for i, ok in zip(at, near >= near.max(axis=1, keepdims=True) - margin, strict=True):
-                        cells[i] = np.flatnonzero(ok).tolist()
+                    best = np.argsort(-near, axis=1, kind="stable")[:, :overlap]
+                    close = np.take_along_axis(near, best, axis=1)
+                    for i, c_, ok in zip(at, best, close >= close[:, :1] - margin, strict=True):
+                        cells[i] = c_[ok].tolist()
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("grp", "id", "m", "v")] + [pa.array(cells, pa.list_(pa.int32()))], ["grp", "id", "m", "v", "cells"])
 
     placed = nodes.select("grp", "id", "m", "v").mapInArrow(run, "grp string, id bigint, m bigint, v array<double>, cells array<int>")
@@ -232,9 +235,9 @@ def searcher(beam: int):
     return work
 
 
-def links(nodes: DataFrame, centroids: dict[str, np.ndarray], margin: float, beam: int) -> DataFrame:
+def links(nodes: DataFrame, centroids: dict[str, np.ndarray], margin: float, overlap: int, beam: int) -> DataFrame:
     """``id, n, root`` of every node with links, one row for each task that found some."""
-    placed = stored(to_cells(nodes, centroids, margin), "cells")
+    placed = stored(to_cells(nodes, centroids, margin, overlap), "cells")
     size = placed.groupBy("grp", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
     dealt = placed.join(size, ["grp", "cell"]).withColumn("p", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     edges = map_groups(dealt.select("grp", "cell", "p", "id", "v"), ["grp", "cell", "p"], "id bigint, to bigint", build)
@@ -278,8 +281,8 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     plain = nodes.drop("embedding")
     centroids = fit_centroids(plain)
     truth = stored(true_links(plain), "truth")
-    for margin, beam in ((MARGIN, BEAM), (2 * MARGIN, 2 * BEAM), (2.1, BLOCK)):
-        found = stored(links(plain, centroids, margin, beam), "links")
+    for margin, overlap, beam in ((MARGIN, OVERLAP, BEAM), (2 * MARGIN, 2 * OVERLAP, 2 * BEAM), (2.1, SAMPLE, BLOCK)):
+        found = stored(links(plain, centroids, margin, overlap, beam), "links")
         share = recall(found, truth)
         if share >= TARGET:
             break

@@ -6,22 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.functions.dates import filled, interval, parse_time, step_key
-from batchloom.schema import RULES
+from batchloom.schema import CHECK, MEASUREMENT, PARAMETER, RULES, SIGNATURE
 
 COLUMNS = ["job_id", "page", "type", "severity", "description", "ocr_text", "operator", "source", "rule_id", "rule", "ord"]
 
 
-def steps_of(pages: DataFrame) -> DataFrame:
-    """One row a step, with its place, its page's date and its parsed start and end."""
-    date = F.col("page_info")["production_date"]
-    rows = pages.select("job_id", "page", date.alias("date"), parse_time(date).alias("fallback"), F.posexplode("steps").alias("pos", "step"))
-    rows = rows.select("job_id", "page", "date", "fallback", filled(F.col("date")).alias("dated"), "pos", "step.*")
+#: Columns of a step that may be missing where steps come from a flat table.
+OPTIONAL = {
+    "operation": "string", "operator": "string", "reviewer": "string", "start_time": "string", "end_time": "string", "date": "string",
+    "parameters": f"array<{PARAMETER}>", "measurements": f"array<{MEASUREMENT}>", "signatures": f"array<{SIGNATURE}>", "checks": f"array<{CHECK}>", "handwritten": "array<string>",
+}
+
+
+def timed(rows: DataFrame) -> DataFrame:
+    """Flat steps (``job_id, page, pos, step_no`` and what they have of the other columns) with their times parsed."""
+    rows = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in OPTIONAL.items() if c not in rows.columns})
+    rows = rows.withColumn("dated", filled(F.col("date"))).withColumn("fallback", parse_time(F.col("date")))
     for name in ("start", "end"):
         rows = rows.withColumn(f"{name}_at", parse_time(F.col(f"{name}_time"), F.col("fallback"), F.col("dated")))
         rows = rows.withColumn(f"{name}_iv", interval(F.col(f"{name}_time"), F.col(f"{name}_at")))
     return rows.withColumn("key", step_key(F.col("step_no"))).withColumn("no", F.coalesce("step_no", F.lit("?")))
 
 
+def steps_of(pages: DataFrame) -> DataFrame:
+    """One row a step of nested pages, with its place, its page's date and its parsed times."""
+    rows = pages.select("job_id", "page", F.col("page_info")["production_date"].alias("date"), F.posexplode("steps").alias("pos", "step"))
+    return timed(rows.select("job_id", "page", "date", "pos", "step.*"))
+
+
 def text(*parts: Column | str) -> Column:
     """Parts joined; null parts count as empty, strings are literal."""
     return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])

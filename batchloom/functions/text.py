@@ -140,7 +140,7 @@ def page_links(c: Column, job: Column) -> Column:
 def locate(excerpt: Column, text: Column) -> Column:
     """``token, place``: the first word of four characters or more of an excerpt that the text holds (place from 0)."""
     words = F.filter(F.split(excerpt, r"[\s|；;，,]+", -1), lambda w: (F.length(w) >= 4) & F.contains(text, w))
-    return F.when(F.size(words) > 0, F.struct(words[0].alias("token"), (F.locate(words[0], text) - 1).alias("place")))
+    return F.when(F.size(words) > 0, F.struct(words[0].alias("token"), (F.call_function("instr", text, words[0]) - 1).alias("place")))
 
 
 def value_source(name: Column, given: Column | None = None) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from batchloom.llm.embedding_dedup import ORACLE as EMBEDDING_SQL
 from batchloom.llm.embedding_dedup import op6_embedding_graph
 from batchloom.llm.language_id import op4_language_fusion
+from batchloom.llm.minhash import ORACLE as MINHASH_SQL
 from batchloom.llm.minhash import op9_minhash_near_dedup
 from batchloom.llm.mixing import ORACLE as MIX_SQL
 from batchloom.llm.mixing import op7_mix_sources
@@ -32,4 +33,5 @@ ORACLES: dict[str, str] = {
     "op6_embedding_graph": EMBEDDING_SQL,
     "op7_mix_sources": MIX_SQL,
     "op8_secret_scan": SECRET_SQL,
+    "op9_minhash_near_dedup": MINHASH_SQL,
 }

@@ -7,6 +7,8 @@ layouts try. Impossible dates give null, never an error.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ TIME_OF_DAY = r"\d{1,2}[:时]\d{2}"
 _WIDE, _NARROW = "０１２３４５６７８９", "0123456789"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it (and that keeps generated code small)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space of any script at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -37,8 +44,8 @@ def _group(c: Column, pattern: str, k: int) -> Column:
 def _moment(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column) -> Column:
     """The moment, or null where a part is out of range (a 60th second would roll over)."""
     zero = lambda c: F.coalesce(c, F.lit(0))
-    made = F.call_function("try_make_timestamp_ntz", year, month, day, zero(hour), zero(minute), zero(second).cast("decimal(8,6)"))
-    return F.when((zero(second) <= 59) & (zero(hour) <= 23) & (zero(minute) <= 59), made)
+    made = lambda s: F.call_function("try_make_timestamp_ntz", year, month, day, zero(hour), zero(minute), s.cast("decimal(8,6)"))
+    return let(zero(second), lambda s: F.when(s <= 59, made(s)))
 
 
 def parse_time(text: Column, fallback: Column | None = None, fallback_given: Column | None = None) -> Column:
@@ -47,19 +54,22 @@ def parse_time(text: Column, fallback: Column | None = None, fallback_given: Col
     none, no = F.lit(None).cast("int"), F.lit(False)
     fallback = F.lit(None).cast("timestamp_ntz") if fallback is None else fallback
     given = no if fallback_given is None else F.coalesce(fallback_given, no)
-    raw = F.translate(strip(text), _WIDE, _NARROW)
-    fits = lambda p: raw.rlike("(?U)" + p)
-    part = lambda p, *ks: [_group(raw, p, k) for k in ks]
-    garbled = _moment(*part(GARBLED, 3, 4, 5), none, none, none)
-    return (
-        F.when(~filled(raw) | raw.isNull(), None)
-        .when(fits(CLOCK), F.when(given, _moment(F.year(fallback), F.month(fallback), F.dayofmonth(fallback), *part(CLOCK, 1, 2, 3))))
-        .when(fits(MONTH_DAY) & given, _moment(F.year(fallback), *part(MONTH_DAY, 1, 2, 3, 4, 5)))
-        .when(fits(GARBLED) & garbled.isNotNull(), garbled)
-        .when(fits(CHINESE), _moment(*part(CHINESE, 1, 2, 3, 4, 5), none))
-        .when(fits(PLAIN), _moment(*part(PLAIN, 1, 2, 3, 4, 5, 6)))
-        .when(fits(YEAR), _moment(_group(raw, YEAR, 1), F.lit(1), F.lit(1), none, none, none))
-    )
+
+    def read(raw: Column) -> Column:
+        fits = lambda p: raw.rlike("(?U)" + p)
+        part = lambda p, *ks: [_group(raw, p, k) for k in ks]
+        garbled = _moment(*part(GARBLED, 3, 4, 5), none, none, none)
+        return (
+            F.when(raw.isNull() | (raw == ""), None)
+            .when(fits(CLOCK), F.when(given, _moment(F.year(fallback), F.month(fallback), F.dayofmonth(fallback), *part(CLOCK, 1, 2, 3))))
+            .when(given & fits(MONTH_DAY), _moment(F.year(fallback), *part(MONTH_DAY, 1, 2, 3, 4, 5)))
+            .when(fits(GARBLED) & garbled.isNotNull(), garbled)
+            .when(fits(CHINESE), _moment(*part(CHINESE, 1, 2, 3, 4, 5), none))
+            .when(fits(PLAIN), _moment(*part(PLAIN, 1, 2, 3, 4, 5, 6)))
+            .when(fits(YEAR), _moment(_group(raw, YEAR, 1), F.lit(1), F.lit(1), none, none, none))
+        )
+
+    return let(F.translate(strip(text), _WIDE, _NARROW), read)
 
 
 def parse_year(text: Column) -> Column:

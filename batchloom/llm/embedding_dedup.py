@@ -291,9 +291,8 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     done = nodes.select("grp", "embedding", "id", "m").join(total, "id", "left").join(comps, "id", "left")
     done = done.select("grp", "embedding", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     linked = rows.join(done, ["grp", "embedding"]).select("vec_id", "n_links", "component_id")
-    usable = linked.select("vec_id", "n_links", "component_id")
     loose = other_rows(vectors).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    every = usable.union(loose)
+    every = linked.union(loose)
     return every.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), F.lit(share).alias("recall"))
 
 

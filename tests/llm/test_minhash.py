@@ -3,6 +3,8 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from batchloom.llm import minhash
 from batchloom.llm.minhash import BANDS, ROWS, elements, near_duplicates, shingle_keys, sketches
 from batchloom.llm.textkernel import BLOCK
 
@@ -49,7 +51,9 @@ def corpus():
     return list(zip(order, rows, strict=True))
 
 
-def test_components_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [8, 512])
+def test_components_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", block)  # small blocks: pairs of blocks of one bucket
     rows = corpus()
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, component_id int")
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect()}

@@ -57,15 +57,20 @@ def parse_time(text: Column, fallback: Column | None = None, fallback_given: Col
 
     def read(raw: Column) -> Column:
         fits = lambda p: raw.rlike("(?U)" + p)
-        part = lambda p, *ks: [_group(raw, p, k) for k in ks]
-        garbled = _moment(*part(GARBLED, 3, 4, 5), none, none, none)
+
+        def parts(pattern: str, body: Callable[..., Column]) -> Column:
+            """``body`` of the numbers in what a pattern matched; numbers that are missing are null."""
+            found = F.split(F.regexp_replace(F.regexp_extract(raw, "(?U)" + pattern, 0), "[^0-9]+", ","), ",")
+            return let(found, lambda a: body(*[F.get(a, F.lit(k)).try_cast("int") for k in range(6)]))
+
+        garbled = _moment(_group(raw, GARBLED, 3), _group(raw, GARBLED, 4), _group(raw, GARBLED, 5), none, none, none)
         return (
             F.when(raw.isNull() | (raw == ""), None)
-            .when(fits(CLOCK), F.when(given, _moment(F.year(fallback), F.month(fallback), F.dayofmonth(fallback), *part(CLOCK, 1, 2, 3))))
-            .when(given & fits(MONTH_DAY), _moment(F.year(fallback), *part(MONTH_DAY, 1, 2, 3, 4, 5)))
+            .when(fits(CLOCK), F.when(given, parts(CLOCK, lambda h, m, s, *_: _moment(F.year(fallback), F.month(fallback), F.dayofmonth(fallback), h, m, s))))
+            .when(given & fits(MONTH_DAY), parts(MONTH_DAY, lambda mo, d, h, m, s, *_: _moment(F.year(fallback), mo, d, h, m, s)))
             .when(fits(GARBLED) & garbled.isNotNull(), garbled)
-            .when(fits(CHINESE), _moment(*part(CHINESE, 1, 2, 3, 4, 5), none))
-            .when(fits(PLAIN), _moment(*part(PLAIN, 1, 2, 3, 4, 5, 6)))
+            .when(fits(CHINESE), parts(CHINESE, lambda y, mo, d, h, m, *_: _moment(y, mo, d, h, m, none)))
+            .when(fits(PLAIN), parts(PLAIN, _moment))
             .when(fits(YEAR), _moment(_group(raw, YEAR, 1), F.lit(1), F.lit(1), none, none, none))
         )
 

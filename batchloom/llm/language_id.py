@@ -141,15 +141,16 @@ def identify(pages: DataFrame, model: TextModel) -> DataFrame:
     evidence = evidence.withColumn("own", F.zip_with("text", markup, lambda a, b: a + b))
     rows = stored(evidence.withColumn("soft", _posterior(F.col("own"))).drop("text"), "lang-evidence")
 
-    every = _sums(rows, [], "all_n", n)
+    every = rows.agg(*[F.sum(F.col("soft")[k]).alias(f"n{k}") for k in range(n)]).first()  # at most LANGUAGES numbers
+    every = F.array(*[F.lit(float(x or 0.0)) for x in every])
     suffixes = _sums(rows.filter("suffix IS NOT NULL AND suffix <> ''"), ["suffix"], "suffix_n", n)
     hosts = _sums(rows.filter("host IS NOT NULL"), ["host"], "host_n", n)
     none = F.array(*[F.lit(0.0)] * n)
-    joined = rows.join(hosts, "host", "left").join(suffixes, "suffix", "left").join(F.broadcast(every))  # one row
+    joined = rows.join(hosts, "host", "left").join(suffixes, "suffix", "left")
     less = lambda counts: F.zip_with(counts, F.col("soft"), lambda a, b: F.greatest(a - b, F.lit(0.0)))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
     smooth = lambda counts, weight, coarse: F.zip_with(counts, coarse, lambda c, p: (c + weight * p) / (total(counts) + weight))
-    joined = joined.withColumn("p0", smooth(less(F.col("all_n")), float(n), F.array(*[F.lit(1.0 / n)] * n)))
+    joined = joined.withColumn("p0", smooth(less(every), float(n), F.array(*[F.lit(1.0 / n)] * n)))
     joined = joined.withColumn("p1", smooth(F.when(F.col("suffix_n").isNull(), none).otherwise(less(F.col("suffix_n"))), SUFFIX_WEIGHT, F.col("p0")))
     joined = joined.withColumn("p2", smooth(F.when(F.col("host_n").isNull(), none).otherwise(less(F.col("host_n"))), HOST_WEIGHT, F.col("p1")))
     joined = joined.withColumn("p", _posterior(F.zip_with("own", "p2", lambda a, b: a + F.log(b))))

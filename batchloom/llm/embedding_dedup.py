@@ -2,19 +2,19 @@
 
 Only vectors with equal labels (and lengths) are compared, by cosine in double precision. Identical vectors are one node
 with a count. Each label's vectors go to the cells of its centroids (k-means over a bounded sample, at most ``SAMPLE`` rows
-in all): to the nearest, and to others whose cosine is within ``MARGIN`` of it, ``OVERLAP`` in all, so cells
-overlap. Cells are dealt into
+in all): to the nearest, and to every other whose cosine is within ``MARGIN`` of it, so cells overlap. Cells are dealt into
 shards of about ``BLOCK`` vectors, and a graph is built on each: candidates by similarity, robust pruning (a neighbour goes
 if a kept one is nearer to it than the node, by the factor ``ALPHA``), edges in both directions. A vector's adjacency lists
 from all its shards are united.
 
 Search runs shard against shard inside a cell. All queries walk in step from the shard's medoid with a beam; then every
 node in range is expanded until no new node in range turns up. What they meet is verified by the double cosine. A pair
-that shares several cells is counted in the first of them only. Tasks hand out one row a vector (number of links, smallest
-id of the local component), never pairs.
+that shares several cells is counted in the first of them only, and is compared there by a product whether or not a walk
+meets it, so nothing is lost to that rule. Tasks hand out one row a vector (number of links, smallest id of the local
+component), never pairs.
 
 The audit compares the links of a bounded set of queries with brute force over all rows, in blocks. While its recall is
-below ``TARGET``, margin, overlap and beam double, and at last take in all cells and whole shards, which is exhaustive.
+below ``TARGET``, margin and beam double, and at last take in all cells and whole shards, which is exhaustive.
 
 Edge cases: null, empty or zero vectors, vectors with null or non-finite components, null labels and null ids link with
 nothing (0 links, own component, kept); repeated rows count as vectors of their own with the same results; extra columns
@@ -38,7 +38,7 @@ SAMPLE = 20_000
 #: Vectors that a cell has on average (before overlap), and those of a shard.
 CELL, BLOCK = 256, 128
 LABELS = 1000
-MARGIN, OVERLAP = 0.12, 3
+MARGIN = 0.12
 DEGREE, CANDIDATES, ALPHA, BEAM = 24, 64, 1.2, 24
 AUDIT, TARGET = 512, 0.995
 
@@ -162,8 +162,8 @@ def fit_centroids(nodes: DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
-def to_cells(nodes: DataFrame, centroids: dict[str, np.ndarray], margin: float, overlap: int) -> DataFrame:
-    """``grp, cell, id, m, v, cells``: a row for each cell of a node, at most ``overlap`` (the nearest within ``margin``)."""
+def to_cells(nodes: DataFrame, centroids: dict[str, np.ndarray], margin: float) -> DataFrame:
+    """``grp, cell, id, m, v, cells``: a row for each cell of a node (the nearest, and all within ``margin`` of it)."""
     ship(nodes.sparkSession)
     shared = nodes.sparkSession.sparkContext.broadcast(centroids)
 
@@ -175,10 +175,8 @@ def to_cells(nodes: DataFrame, centroids: dict[str, np.ndarray], margin: float,
                 if (c := shared.value.get(grp)) is not None:
                     at = np.flatnonzero(groups == grp)
                     near = unit_rows(batch.column("v").take(pa.array(at))) @ c.T
-                    best = np.argsort(-near, axis=1, kind="stable")[:, :overlap]
-                    close = np.take_along_axis(near, best, axis=1)
-                    for i, c_, ok in zip(at, best, close >= close[:, :1] - margin, strict=True):
-                        cells[i] = c_[ok].tolist()
+                    for i, ok in zip(at, near >= near.max(axis=1, keepdims=True) - margin, strict=True):
+                        cells[i] = np.flatnonzero(ok).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("grp", "id", "m", "v")] + [pa.array(cells, pa.list_(pa.int32()))], ["grp", "id", "m", "v", "cells"])
 
     placed = nodes.select("grp", "id", "m", "v").mapInArrow(run, "grp string, id bigint, m bigint, v array<double>, cells array<int>")
@@ -199,6 +197,14 @@ def build(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"id": pa.array(ids[both[0]], pa.int64()), "to": pa.array(ids[both[1]], pa.int64())})
 
 
+def membership(cells: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells that rows are in, ascending, and which row is in which."""
+    names, at = np.unique(cells.flatten().to_numpy(), return_inverse=True)
+    member = np.zeros((len(cells), len(names)), bool)
+    member[np.repeat(np.arange(len(cells)), cells.value_lengths().to_numpy()), at] = True
+    return names, member
+
+
 def searcher(beam: int):
     def work(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
         ids, m, cell, side = (rows.column(c).to_numpy() for c in ("id", "m", "cell", "side"))
@@ -209,20 +215,21 @@ def searcher(beam: int):
             edges = np.zeros((e - s, e - s), bool)
             for k, to in enumerate(near.slice(s, e - s).to_pylist()):
                 edges[k, [at[j] for j in to or () if j in at]] = True
-            own = cells.slice(s, e - s).to_pylist()
+            names, member = membership(cells.slice(s, e - s))
             halves = [np.flatnonzero(side[s:e] == k) for k in (0, 1)]
             pairs = [(halves[0], halves[0])] if not len(halves[1]) else [(halves[0], halves[1]), (halves[1], halves[0])]
             a, b = [], []
             for q, g in pairs:
                 start = np.arange(len(q)) if q is g else np.full(len(q), -1)
-                i, j = search(x[q], x[g], edges[np.ix_(g, g)], start, beam)
-                a.append(q[i])
-                b.append(g[j])
+                again = (member[q].astype(np.float32) @ member[g].T.astype(np.float32) > 1) & (x[q] @ x[g].T >= LEAST)
+                for i, j in (search(x[q], x[g], edges[np.ix_(g, g)], start, beam), np.nonzero(again)):
+                    a.append(q[i])
+                    b.append(g[j])
             a, b = np.concatenate(a), np.concatenate(b)
             code = np.unique(np.concatenate([a * (e - s) + b, b * (e - s) + a]))  # a link found from either end
             a, b = code // (e - s), code % (e - s)
             a, b = a[a != b], b[a != b]
-            mine = np.fromiter((min(set(own[i]) & set(own[j])) == cell[s] for i, j in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a)) if len(own[0]) > 1 or any(len(o) > 1 for o in own) else np.ones(len(a), bool)
+            mine = np.concatenate([np.zeros(0, bool), *((names[(member[a[k : k + 4096]] & member[b[k : k + 4096]]).argmax(axis=1)] == cell[s]) for k in range(0, len(a), 4096))])
             a, b = a[mine], b[mine]
             count = np.bincount(a, m[s:e][b], e - s).astype(np.int64)
             root = components(e - s, a, b, ids[s:e])
@@ -235,9 +242,9 @@ def searcher(beam: int):
     return work
 
 
-def links(nodes: DataFrame, centroids: dict[str, np.ndarray], margin: float, overlap: int, beam: int) -> DataFrame:
+def links(nodes: DataFrame, centroids: dict[str, np.ndarray], margin: float, beam: int) -> DataFrame:
     """``id, n, root`` of every node with links, one row for each task that found some."""
-    placed = stored(to_cells(nodes, centroids, margin, overlap), "cells")
+    placed = stored(to_cells(nodes, centroids, margin), "cells")
     size = placed.groupBy("grp", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
     dealt = placed.join(size, ["grp", "cell"]).withColumn("p", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     edges = map_groups(dealt.select("grp", "cell", "p", "id", "v"), ["grp", "cell", "p"], "id bigint, to bigint", build)
@@ -281,8 +288,8 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     plain = nodes.drop("embedding")
     centroids = fit_centroids(plain)
     truth = stored(true_links(plain), "truth")
-    for margin, overlap, beam in ((MARGIN, OVERLAP, BEAM), (2 * MARGIN, 2 * OVERLAP, 2 * BEAM), (2.1, SAMPLE, BLOCK)):
-        found = stored(links(plain, centroids, margin, overlap, beam), "links")
+    for margin, beam in ((MARGIN, BEAM), (2 * MARGIN, 2 * BEAM), (2.1, BLOCK)):
+        found = stored(links(plain, centroids, margin, beam), "links")
         share = recall(found, truth)
         if share >= TARGET:
             break

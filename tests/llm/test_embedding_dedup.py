@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 from batchloom.llm import embedding_dedup as E
 from batchloom.llm.queries import ORACLES, QUERIES
 from tests.helpers import same_as_oracle
@@ -65,3 +66,19 @@ def test_search_meets_what_is_in_range():
     pairs = set(zip(*(p.tolist() for p in E.search(x, x, edges, np.full(200, -1), 48)), strict=True))
     want = set(zip(*(p.tolist() for p in np.nonzero(x @ x.T >= E.LEAST)), strict=True))
     assert pairs <= want and len(pairs) >= 0.97 * len(want)
+
+
+def test_every_cell_within_the_margin(spark):
+    centroids = {"2:a": np.array([[math.cos(t), math.sin(t)] for t in (-0.2, -0.1, 0.0, 0.1, 0.2)])}
+    nodes = spark.createDataFrame([("2:a", 1, 1, [1.0, 0.0])], "grp string, id long, m long, v array<double>")
+    assert {r.cell for r in E.to_cells(nodes, centroids, E.MARGIN).collect()} == {0, 1, 2, 3, 4}
+
+
+def test_pair_of_several_cells_needs_no_walk(monkeypatch):
+    monkeypatch.setattr(E, "search", lambda *_: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    v = [[1.0, 0.0], [math.cos(0.1), math.sin(0.1)]]
+    found = {}
+    for cell in (3, 5):
+        rows = pa.table({"grp": ["g"] * 2, "cell": pa.array([cell] * 2, pa.int32()), "id": [1, 2], "m": [1, 1], "side": pa.array([0, 0], pa.int32()), "v": v, "near": pa.array([[], []], pa.list_(pa.int64())), "cells": pa.array([[3, 5], [3, 5, 7]], pa.list_(pa.int32()))})
+        found[cell] = E.searcher(E.BEAM)(rows, [(0, 2)]).num_rows
+    assert found == {3: 2, 5: 0}

@@ -13,8 +13,10 @@ that shares several cells is counted in the first of them only, and is compared
 meets it, so nothing is lost to that rule. Tasks hand out one row a vector (number of links, smallest id of the local
 component), never pairs.
 
-The audit compares the links of a bounded set of queries with brute force over all rows, in blocks. While its recall is
-below ``TARGET``, margin and beam double, and at last take in all cells and whole shards, which is exhaustive.
+The audit compares the links of all rows whose id is divisible by 50 with brute force over all rows, in blocks of queries
+against blocks of rows. Recall is the mean over a label's queries of the share of links found, so a hot group weighs no more
+than its queries. While a label's recall is below ``TARGET``, margin and beam double for it, and at last take in all cells
+and whole shards. A label whose queries have no links is not measured: it goes to the last level at once.
 
 Edge cases: null, empty or zero vectors, vectors with null or non-finite components, null labels and null ids link with
 nothing (0 links, own component, kept); repeated rows count as vectors of their own with the same results; extra columns
@@ -40,7 +42,8 @@ CELL, BLOCK = 256, 128
 LABELS = 1000
 MARGIN = 0.12
 DEGREE, CANDIDATES, ALPHA, BEAM = 24, 64, 1.2, 24
-AUDIT, TARGET = 512, 0.995
+AUDIT_ROWS, TARGET = 1024, 0.995
+FOUND = "grp string, id bigint, n bigint, root bigint"
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:
@@ -126,16 +129,17 @@ def components(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndar
 
 
 def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Usable rows (``vec_id, grp, embedding``), and one node for each distinct vector of a label: ``grp, id, m, v``."""
+    """Usable rows (``vec_id, grp, embedding``), and one node for each distinct vector of a label: ``grp, id, m, v`` (``asked``: the
+    audit asks for it, since a row of it has an id divisible by 50)."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.filter("vec_id IS NOT NULL AND label IS NOT NULL AND size(embedding) > 0").filter(~bad)
     rows = rows.withColumn("most", F.array_max(F.transform("embedding", F.abs))).filter("most > 0")
     rows = rows.select("vec_id", F.concat_ws(":", F.size("embedding"), "label").alias("grp"), "embedding", "most")
-    nodes = rows.groupBy("grp", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"), F.first("most").alias("most"))
+    nodes = rows.groupBy("grp", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"), F.first("most").alias("most"), F.max(F.col("vec_id") % 50 == 0).alias("asked"))
     scaled = F.transform("embedding", lambda x: x / F.col("most"))
     nodes = nodes.withColumn("embedding_", scaled).withColumn("norm", F.sqrt(F.aggregate("embedding_", F.lit(0.0), lambda a, x: a + x * x)))
-    return rows.drop("most"), nodes.select("grp", "id", "m", F.transform("embedding_", lambda x: x / F.col("norm")).alias("v"), "embedding")
+    return rows.drop("most"), nodes.select("grp", "id", "m", F.transform("embedding_", lambda x: x / F.col("norm")).alias("v"), "embedding", "asked")
 
 
 def fit_centroids(nodes: DataFrame) -> dict[str, np.ndarray]:
@@ -205,11 +209,16 @@ def membership(cells: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return names, member
 
 
+def found_table(grp: list[str], *columns: list[np.ndarray]) -> pa.Table:
+    whole = {k: pa.array(np.concatenate(v) if v else [], pa.int64()) for k, v in zip(("id", "n", "root"), columns, strict=True)}
+    return pa.table({"grp": pa.array(grp, pa.string()), **whole})
+
+
 def searcher(beam: int):
     def work(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
-        ids, m, cell, side = (rows.column(c).to_numpy() for c in ("id", "m", "cell", "side"))
+        ids, m, cell, side, grp = (rows.column(c).to_numpy() for c in ("id", "m", "cell", "side", "grp"))
         vectors, near, cells = (rows.column(c).combine_chunks() for c in ("v", "near", "cells"))
-        found_id, found_n, found_root = [], [], []
+        found_grp, found_id, found_n, found_root = [], [], [], []
         for s, e in groups:
             x, at = unit_rows(vectors.slice(s, e - s)), {int(i): k for k, i in enumerate(ids[s:e])}
             edges = np.zeros((e - s, e - s), bool)
@@ -234,16 +243,17 @@ def searcher(beam: int):
             count = np.bincount(a, m[s:e][b], e - s).astype(np.int64)
             root = components(e - s, a, b, ids[s:e])
             hit = np.flatnonzero(count)
+            found_grp.extend([grp[s]] * len(hit))
             found_id.append(ids[s:e][hit])
             found_n.append(count[hit])
             found_root.append(root[hit])
-        return pa.table({k: pa.array(np.concatenate(v) if v else [], pa.int64()) for k, v in (("id", found_id), ("n", found_n), ("root", found_root))})
+        return found_table(found_grp, found_id, found_n, found_root)
 
     return work
 
 
 def links(nodes: DataFrame, centroids: dict[str, np.ndarray], margin: float, beam: int) -> DataFrame:
-    """``id, n, root`` of every node with links, one row for each task that found some."""
+    """``grp, id, n, root`` of every node with links, one row for each task that found some."""
     placed = stored(to_cells(nodes, centroids, margin), "cells")
     size = placed.groupBy("grp", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
     dealt = placed.join(size, ["grp", "cell"]).withColumn("p", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
@@ -251,56 +261,76 @@ def links(nodes: DataFrame, centroids: dict[str, np.ndarray], margin: float, bea
     near = stored(edges.groupBy("id").agg(F.collect_set("to").alias("near")), "adjacency")
     both = dealt.join(near, "id", "left").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     keyed = both.select("grp", "cell", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), (F.col("p") > F.col("q")).cast("int").alias("side"), "id", "m", "v", "cells", "near")
-    return map_groups(keyed, ["grp", "cell", "lo", "hi"], "id bigint, n bigint, root bigint", searcher(beam))
+    return map_groups(keyed, ["grp", "cell", "lo", "hi"], FOUND, searcher(beam))
+
+
+def blocks_of(nodes: DataFrame, rows: int, name: str) -> DataFrame:
+    """The nodes with ``p``, their block of about ``rows`` in the label, and ``name``, the number of its blocks."""
+    size = nodes.groupBy("grp").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+    return nodes.join(size, "grp").withColumn("p", F.pmod(F.xxhash64("id"), F.col(name)).cast("int"))
 
 
 def true_links(nodes: DataFrame) -> DataFrame:
-    """``id, true_n`` of at most ``AUDIT`` queries (ids divisible by 50, smallest hashes), by brute force over all rows."""
-    queries = nodes.filter("id % 50 = 0").orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("grp", "id", "v").toPandas()
-    by = {g: (q["id"].to_numpy(), np.stack(q["v"].to_numpy())) for g, q in queries.groupby("grp")}
-    shared = nodes.sparkSession.sparkContext.broadcast(by)
+    """``grp, id, true_n`` of every node that is asked for and has links to other nodes, by brute force over all rows."""
+    asked = blocks_of(nodes.filter("asked").select("grp", "id", "v"), AUDIT_ROWS, "nq")
+    every = blocks_of(nodes.select("grp", "id", "m", "v"), AUDIT_ROWS, "nr")
+    counts = asked.select("grp", "nq").distinct().join(every.select("grp", "nr").distinct(), "grp")
+    queries = asked.drop("nq").join(counts, "grp").select("grp", F.col("p").alias("q"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"), F.lit(0).alias("side"), "id", F.lit(0).cast("long").alias("m"), "v")
+    rows = every.drop("nr").join(counts, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), F.col("p").alias("r"), F.lit(1).alias("side"), "id", "m", "v")
 
-    def run(batches):
-        for batch in batches:
-            groups, ids, m = np.array(batch.column("grp").to_pylist(), object), batch.column("id").to_numpy(), batch.column("m").to_numpy()
-            out_id, out_n = [], []
-            for grp in set(groups) & set(shared.value):
-                at = np.flatnonzero(groups == grp)
-                q, x = shared.value[grp]
-                hit = (x @ unit_rows(batch.column("v").take(pa.array(at))).T >= LEAST) & (q[:, None] != ids[at][None, :])
-                out_id.append(q)
-                out_n.append((hit * m[at]).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (out_id, out_n)], ["id", "n"])
+    def work(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
+        ids, m, side, grp = (rows.column(c).to_numpy() for c in ("id", "m", "side", "grp"))
+        vectors, out_grp, out_id, out_n = rows.column("v").combine_chunks(), [], [], []
+        for s, e in groups:
+            x, q, r = unit_rows(vectors.slice(s, e - s)), np.flatnonzero(side[s:e] == 0), np.flatnonzero(side[s:e] == 1)
+            n = ((x[q] @ x[r].T >= LEAST) & (ids[s:e][q][:, None] != ids[s:e][r][None, :])) @ m[s:e][r]
+            hit = n > 0
+            out_grp.extend([grp[s]] * int(hit.sum()))
+            out_id.append(ids[s:e][q][hit])
+            out_n.append(n[hit])
+        whole = {k: pa.array(np.concatenate(v) if v else [], pa.int64()) for k, v in (("id", out_id), ("n", out_n))}
+        return pa.table({"grp": pa.array(out_grp, pa.string()), **whole})
 
-    return nodes.select("grp", "id", "m", "v").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("true_n"))
+    return map_groups(queries.union(rows), ["grp", "q", "r"], "grp string, id bigint, n bigint", work).groupBy("grp", "id").agg(F.sum("n").alias("true_n"))
 
 
-def recall(found: DataFrame, truth: DataFrame) -> float:
-    sums = truth.join(found.groupBy("id").agg(F.sum("n").alias("n")), "id", "left").agg(F.sum("true_n"), F.sum(F.coalesce("n", F.lit(0)))).first()
-    return 1.0 if not sums[0] else float(sums[1]) / float(sums[0])
+def recalls(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """``grp, recall``: the mean over a label's queries with links of the share found. Labels without such queries are missing."""
+    sums = truth.join(found.groupBy("grp", "id").agg(F.sum("n").alias("n")), ["grp", "id"], "left")
+    return sums.groupBy("grp").agg(F.avg(F.coalesce("n", F.lit(0)) / F.col("true_n")).alias("recall"))
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
-    """``vec_id, n_links, component_id, kept, recall`` of every row (``recall``: as the audit measured it)."""
+    """``vec_id, n_links, component_id, kept, recall`` of every row (``recall``: of its label, as the audit measured it; null
+    where it measured nothing)."""
     ship(vectors.sparkSession)
     rows, nodes = nodes_of(vectors)
     nodes = stored(nodes, "nodes")
     plain = nodes.drop("embedding")
     centroids = fit_centroids(plain)
     truth = stored(true_links(plain), "truth")
-    for margin, beam in ((MARGIN, BEAM), (2 * MARGIN, 2 * BEAM), (2.1, BLOCK)):
-        found = stored(links(plain, centroids, margin, beam), "links")
-        share = recall(found, truth)
-        if share >= TARGET:
+    found, scores = plain.sparkSession.createDataFrame([], FOUND), plain.sparkSession.createDataFrame([], "grp string, recall double")
+    left = stored(truth.select("grp").distinct(), "measured")
+    for margin, beam in ((MARGIN, BEAM), (2 * MARGIN, 2 * BEAM)):
+        if left.isEmpty():
             break
+        some = stored(links(plain.join(left, "grp", "left_semi"), centroids, margin, beam), "links")
+        score = stored(recalls(some, truth.join(left, "grp", "left_semi")), "recalls")
+        good = score.filter(F.col("recall") >= TARGET)
+        found, scores = found.union(some.join(good.select("grp"), "grp", "left_semi")), scores.union(good)
+        left = score.filter(F.col("recall") < TARGET).select("grp")
+    rest = plain.join(scores.select("grp"), "grp", "left_anti")
+    last = stored(links(rest, centroids, 2.1, BLOCK), "links")
+    scores = scores.union(recalls(last, truth.join(scores.select("grp"), "grp", "left_anti")))
+    found = found.union(last)
     comps = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    total = found.groupBy("id").agg(F.sum("n").alias("n"))
-    done = nodes.select("grp", "embedding", "id", "m").join(total, "id", "left").join(comps, "id", "left")
-    done = done.select("grp", "embedding", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    linked = rows.join(done, ["grp", "embedding"]).select("vec_id", "n_links", "component_id")
-    loose = other_rows(vectors).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    total = found.groupBy("grp", "id").agg(F.sum("n").alias("n"))
+    done = nodes.select("grp", "embedding", "id", "m").join(total, ["grp", "id"], "left").join(comps, "id", "left").join(scores, "grp", "left")
+    done = done.select("grp", "embedding", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), "recall")
+    linked = rows.join(done, ["grp", "embedding"]).select("vec_id", "n_links", "component_id", "recall")
+    loose = other_rows(vectors).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(None).cast("double").alias("recall"))
     every = linked.union(loose)
-    return every.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), F.lit(share).alias("recall"))
+    return every.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), "recall")
 
 
 def other_rows(vectors: DataFrame) -> DataFrame:

@@ -82,3 +82,16 @@ def test_pair_of_several_cells_needs_no_walk(monkeypatch):
         rows = pa.table({"grp": ["g"] * 2, "cell": pa.array([cell] * 2, pa.int32()), "id": [1, 2], "m": [1, 1], "side": pa.array([0, 0], pa.int32()), "v": v, "near": pa.array([[], []], pa.list_(pa.int64())), "cells": pa.array([[3, 5], [3, 5, 7]], pa.list_(pa.int32()))})
         found[cell] = E.searcher(E.BEAM)(rows, [(0, 2)]).num_rows
     assert found == {3: 2, 5: 0}
+
+
+def test_audit_asks_for_every_fiftieth_row_and_averages_over_queries(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=16).tolist(), 0) for i in range(50, 40050, 50)]  # 800 queries without links
+    rows += [(100001 + 50 * i, rows[i][1][:15] + [rows[i][1][15] + 0.01], 0) for i in range(800)]  # a link for each
+    rows += [(7, [1.0] * 16, 1), (50, [1.0] * 16, 1), (8, [1.0] * 15 + [1.01], 1)]  # asked for as a copy of 7
+    truth = E.true_links(E.nodes_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))[1]).collect()
+    assert {(r.grp, r.id, r.true_n) for r in truth} == {("16:0", i, 1) for i in range(50, 40050, 50)} | {("16:1", 7, 1)}
+    truth = spark.createDataFrame([("a", i, 3000) for i in range(170)] + [("a", 1000 + i, 3) for i in range(340)], "grp string, id long, true_n long")
+    found = spark.createDataFrame([("a", i, 3000) for i in range(170)], "grp string, id long, n long")
+    assert abs(E.recalls(found, truth).first().recall - 1 / 3) < 1e-9
+    assert E.recalls(found, truth.filter("false")).count() == 0

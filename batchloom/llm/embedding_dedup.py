@@ -7,7 +7,8 @@ shards of about ``BLOCK`` vectors, and a graph is built on each: candidates by s
 if a kept one is nearer to it than the node, by the factor ``ALPHA``), edges in both directions. A vector's adjacency lists
 from all its shards are united.
 
-Search runs shard against shard inside a cell. All queries walk in step from the shard's medoid with a beam; then every
+Search runs shard against shard inside a cell. All queries walk in step from the shard's medoid, and from a node of each
+part of the graph that no edge joins to it, with a beam; then every
 node in range is expanded until no new node in range turns up. What they meet is verified by the double cosine. A pair
 that shares several cells is counted in the first of them only, and is compared there by a product whether or not a walk
 meets it, so nothing is lost to that rule. Tasks hand out one row a vector (number of links, smallest id of the local
@@ -15,8 +16,9 @@ component), never pairs.
 
 The audit compares the links of all rows whose id is divisible by 50 with brute force over all rows, in blocks of queries
 against blocks of rows. Recall is the mean over a label's queries of the share of links found, so a hot group weighs no more
-than its queries. While a label's recall is below ``TARGET``, margin and beam double for it, and at last take in all cells
-and whole shards. A label whose queries have no links is not measured: it goes to the last level at once.
+than its queries. While a label's recall is below ``TARGET``, margin and beam double for it. If that does not do, all vectors of
+the label are compared by products, block against block, without cells or graphs, which is exhaustive. A label whose queries
+have no links is not measured: it is compared so at once.
 
 Edge cases: null, empty or zero vectors, vectors with null or non-finite components, null labels and null ids link with
 nothing (0 links, own component, kept); repeated rows count as vectors of their own with the same results; extra columns
@@ -43,6 +45,8 @@ LABELS = 1000
 MARGIN = 0.12
 DEGREE, CANDIDATES, ALPHA, BEAM = 24, 64, 1.2, 24
 AUDIT_ROWS, TARGET = 1024, 0.995
+#: Rows of a block of the last level.
+LAST_ROWS = 1024
 FOUND = "grp string, id bigint, n bigint, root bigint"
 
 
@@ -92,6 +96,7 @@ def search(queries: np.ndarray, nodes: np.ndarray, edges: np.ndarray, start: np.
 
     first = np.zeros((nq, n), bool)
     first[:, int(np.argmax(nodes @ nodes.mean(axis=0)))] = True
+    first[:, np.unique(components(n, *np.nonzero(edges), np.arange(n)))] = True
     first[np.flatnonzero(start >= 0), start[start >= 0]] = True
     visit(first)
     active = np.arange(nq)
@@ -264,6 +269,36 @@ def links(nodes: DataFrame, centroids: dict[str, np.ndarray], margin: float, bea
     return map_groups(keyed, ["grp", "cell", "lo", "hi"], FOUND, searcher(beam))
 
 
+def every_link(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
+    """Links between two blocks, or inside one (then all rows are on side 0)."""
+    ids, m, side, grp = (rows.column(c).to_numpy() for c in ("id", "m", "side", "grp"))
+    lo, hi, vectors = rows.column("lo").to_numpy(), rows.column("hi").to_numpy(), rows.column("v").combine_chunks()
+    found_grp, found_id, found_n, found_root = [], [], [], []
+    for s, e in groups:
+        x, q, r = unit_rows(vectors.slice(s, e - s)), np.flatnonzero(side[s:e] == 0), np.flatnonzero(side[s:e] == 1)
+        if lo[s] == hi[s]:
+            r = q
+        near = (x[q] @ x[r].T >= LEAST) & (q[:, None] != r[None, :])
+        count = np.zeros(e - s, np.int64)
+        count[q] += near @ m[s:e][r]
+        if lo[s] != hi[s]:
+            count[r] += near.T @ m[s:e][q]
+        i, j = np.nonzero(near)
+        hit = np.flatnonzero(count)
+        found_grp.extend([grp[s]] * len(hit))
+        found_id.append(ids[s:e][hit])
+        found_n.append(count[hit])
+        found_root.append(components(e - s, q[i], r[j], ids[s:e])[hit])
+    return found_table(found_grp, found_id, found_n, found_root)
+
+
+def all_links(nodes: DataFrame) -> DataFrame:
+    """``links`` by comparing all nodes of a label with each other, block against block."""
+    dealt = blocks_of(nodes.select("grp", "id", "m", "v"), LAST_ROWS, "nb").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    keyed = dealt.select("grp", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), (F.col("p") > F.col("q")).cast("int").alias("side"), "id", "m", "v")
+    return map_groups(keyed, ["grp", "lo", "hi"], FOUND, every_link)
+
+
 def blocks_of(nodes: DataFrame, rows: int, name: str) -> DataFrame:
     """The nodes with ``p``, their block of about ``rows`` in the label, and ``name``, the number of its blocks."""
     size = nodes.groupBy("grp").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
@@ -320,7 +355,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
         found, scores = found.union(some.join(good.select("grp"), "grp", "left_semi")), scores.union(good)
         left = score.filter(F.col("recall") < TARGET).select("grp")
     rest = plain.join(scores.select("grp"), "grp", "left_anti")
-    last = stored(links(rest, centroids, 2.1, BLOCK), "links")
+    last = stored(all_links(rest), "links")
     scores = scores.union(recalls(last, truth.join(scores.select("grp"), "grp", "left_anti")))
     found = found.union(last)
     comps = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))

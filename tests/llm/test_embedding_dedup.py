@@ -95,3 +95,29 @@ def test_audit_asks_for_every_fiftieth_row_and_averages_over_queries(spark):
     found = spark.createDataFrame([("a", i, 3000) for i in range(170)], "grp string, id long, n long")
     assert abs(E.recalls(found, truth).first().recall - 1 / 3) < 1e-9
     assert E.recalls(found, truth.filter("false")).count() == 0
+
+
+def two_groups():
+    rng = np.random.default_rng(5)
+    x = np.repeat(np.eye(2, 16), 150, axis=0) + 0.02 * rng.normal(size=(300, 16))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_walks_enter_every_part_of_the_graph():
+    x = two_groups()
+    edges = np.zeros((300, 300), bool)
+    for i, near in enumerate(E.robust_graph(x)):
+        edges[i, near] = edges[near, i] = True
+    assert not edges[:150, 150:].any()
+    a, _ = E.search(x, x, edges, np.full(300, -1), E.BEAM)
+    assert set(a.tolist()) == set(range(300))
+
+
+def test_last_level_is_exhaustive(spark, monkeypatch):
+    monkeypatch.setattr(E, "LAST_ROWS", 64)
+    monkeypatch.setattr(E, "search", None)
+    x = two_groups()
+    df = spark.createDataFrame([(f"{i % 2}", i, i % 3 + 1, v.tolist()) for i, v in enumerate(x)], "grp string, id long, m long, v array<double>")
+    got = {(r.grp, r.id): r.n for r in E.all_links(df).groupBy("grp", "id").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    near = (x @ x.T >= E.LEAST) & (np.arange(300)[:, None] % 2 == np.arange(300) % 2) & ~np.eye(300, dtype=bool)
+    assert got == {(f"{i % 2}", i): int(near[i] @ (np.arange(300) % 3 + 1)) for i in range(300)}

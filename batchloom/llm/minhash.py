@@ -15,7 +15,8 @@ Links are found in three steps that never emit the pairs of a whole group:
    Rows in a pair whose estimate lies within reach of the threshold (less than 6 standard deviations below) and whose
    sizes permit a link meet again with their full sets, and a task hands out only the links that join components.
 
-At similarity 0.85 a pair shares no band with probability (1 - 0.85 ** 5) ** 40 = 6.5e-11. Step 3 has no cap.
+At similarity 0.85 a pair shares no band with probability (1 - 0.85 ** 5) ** 40 = 6.5e-11, at 0.80 with 1.3e-7. Step 3 has
+no cap. The threshold is a parameter, ``PERCENT`` unless given.
 
 Edge cases: a text with fewer than five words has one shingle, its whole word sequence; a null, empty or blank text has no
 shingles and links with nothing; rows with a null id come back with a null component; repeated rows come back repeated;
@@ -25,6 +26,7 @@ extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,8 @@ from batchloom.llm.textkernel import buffers, mix, windows, word_hashes
 WIDTH = 5
 BANDS, ROWS = 40, 5
 PERCENT = 85
-#: Lowest share of agreeing coordinates at which a pair is verified: 5.9 standard deviations below 0.85.
-REACH = 0.70
+#: Standard deviations below the threshold down to which a pair is verified by its share of agreeing coordinates.
+REACH = 5.94
 BLOCK_ROWS = 512
 #: Candidate ids up to this number are broadcast to prune the scan of texts; beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
@@ -168,14 +170,15 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return map_texts(docs.select(F.col("doc_id").alias("id"), "text"), "id bigint, elements binary", start)
 
 
-def _near_pairs(rows: pa.Table, groups: list[tuple[int, int]]):
+def _near_pairs(rows: pa.Table, groups: list[tuple[int, int]], percent: int):
     """For each group, the places of pairs of different components that are near by sketch and size, in the bucket of the
     first band that they share (so that only one bucket looks at a pair)."""
     sketch = buffers(rows.column("sketch").combine_chunks())[0].reshape(rows.num_rows, -1)
     bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
     n, comp, side, band = (rows.column(c).to_numpy() for c in ("n", "comp", "side", "band"))
     lo, hi = rows.column("lo").to_numpy(), rows.column("hi").to_numpy()
-    least = REACH * sketch.shape[1]
+    share = percent / 100
+    least = (share - REACH * (share * (1 - share) / sketch.shape[1]) ** 0.5) * sketch.shape[1]
     for s, e in groups:
         if e - s < 2:
             continue
@@ -187,7 +190,7 @@ def _near_pairs(rows: pa.Table, groups: list[tuple[int, int]]):
         found = []
         for k in range(0, len(left), step):
             part = left[k : k + step]
-            ok = (comp[part][:, None] != comp[right][None, :]) & (100 * np.minimum(n[part][:, None], n[right][None, :]) >= PERCENT * np.maximum(n[part][:, None], n[right][None, :]))
+            ok = (comp[part][:, None] != comp[right][None, :]) & (100 * np.minimum(n[part][:, None], n[right][None, :]) >= percent * np.maximum(n[part][:, None], n[right][None, :]))
             if same:
                 ok &= part[:, None] < right[None, :]
             if ok.any():
@@ -206,20 +209,20 @@ def _near_pairs(rows: pa.Table, groups: list[tuple[int, int]]):
             yield pairs
 
 
-def flag_near(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
+def flag_near(rows: pa.Table, groups: list[tuple[int, int]], percent: int = PERCENT) -> pa.Table:
     """The rows that are in a near pair."""
     hit = np.zeros(rows.num_rows, bool)
-    for pairs in _near_pairs(rows, groups):
+    for pairs in _near_pairs(rows, groups, percent):
         hit[pairs[:2].ravel()] = True
     return rows.filter(pa.array(hit))
 
 
-def confirm_near(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
+def confirm_near(rows: pa.Table, groups: list[tuple[int, int]], percent: int = PERCENT) -> pa.Table:
     """Links between components, confirmed on full sets; pairs that links of the group already join are passed over."""
     ids, comp = rows.column("id").to_numpy(), rows.column("comp").to_numpy()
     data, offsets = buffers(rows.column("elements").combine_chunks().cast(pa.large_binary()))
     out_a, out_b = [], []
-    for pairs in _near_pairs(rows, groups):
+    for pairs in _near_pairs(rows, groups, percent):
         root: dict[int, int] = {}
 
         def find(c: int, root: dict = root) -> int:
@@ -235,14 +238,14 @@ def confirm_near(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
             a, b = (data[offsets[i] : offsets[i + 1]].view(np.uint64) for i in (x, y))
             both = np.sort(np.concatenate([a, b]), kind="stable")
             common = int((both[1:] == both[:-1]).sum())
-            if 100 * common >= PERCENT * (len(both) - common):
+            if 100 * common >= percent * (len(both) - common):
                 root[max(cx, cy)] = min(cx, cy)
                 out_a.append(int(ids[x]))
                 out_b.append(int(ids[y]))
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
-def links_inside(members: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame:
+def links_inside(members: DataFrame, prints: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Confirmed links ``a, b`` between components that meet in a bucket, from ``band, id, comp, n``.
 
     Large buckets are cut into blocks, and pairs of blocks are compared in tasks of their own. Sketches travel first; full
@@ -254,15 +257,15 @@ def links_inside(members: DataFrame, prints: DataFrame, texts: DataFrame) -> Dat
     keyed = both.select("band", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), (F.col("p") > F.col("q")).cast("int").alias("side"), "id", "n", "comp")
     keyed = keyed.join(prints.select(F.col("doc_id").alias("id"), "sketch", "bands"), "id").select("band", "lo", "hi", "side", "id", "n", "comp", "sketch", "bands")
     schema = "band bigint, lo int, hi int, side int, id bigint, n bigint, comp bigint, sketch binary, bands array<bigint>"
-    flagged = stored(map_groups(keyed, ["band", "lo", "hi"], schema, flag_near), "near")
+    flagged = stored(map_groups(keyed, ["band", "lo", "hi"], schema, partial(flag_near, percent=percent)), "near")
     ids = stored(flagged.select(F.col("id").alias("doc_id")).distinct(), "near-ids")
     some = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     sets = shingle_sets(some).dropDuplicates(["id"])
-    return map_groups(flagged.join(sets, "id"), ["band", "lo", "hi"], "a bigint, b bigint", confirm_near)
+    return map_groups(flagged.join(sets, "id"), ["band", "lo", "hi"], "a bigint, b bigint", partial(confirm_near, percent=percent))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (``doc_id``, ``text``)."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (``doc_id``, ``text``), linked from ``percent`` on."""
     prints = stored(fingerprints(docs), "prints")
     banded = prints.filter("doc_id IS NOT NULL AND n_shingles > 0")
     spread = banded.select("doc_id", F.explode("bands").alias("band"))
@@ -274,9 +277,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = banded.select("doc_id", "n_shingles", "key1", "key2")
     ka, kb = (keys.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.struct("n_shingles", "key1", "key2").alias(f"k{x}")) for x in "ab")
     first = stored(first.join(ka, "a").join(kb, "b").select("a", "b", "na", "nb", (F.col("ka") == F.col("kb")).alias("same")), "first")
-    fits = PERCENT * F.greatest("na", "nb") <= 100 * F.least("na", "nb")
+    fits = percent * F.greatest("na", "nb") <= 100 * F.least("na", "nb")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    links = stored(first.filter("same").select("a", "b").union(verify(first.filter(~F.col("same") & fits).select("a", "b"), texts)), "links")
+    links = stored(first.filter("same").select("a", "b").union(verify(first.filter(~F.col("same") & fits).select("a", "b"), texts, percent)), "links")
     comps = connected_components(links)
 
     inside = buckets.select("band", "doc_id").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", F.col("doc_id").alias("id"), F.coalesce("component_id", "doc_id").alias("comp"))
@@ -284,19 +287,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     split = inside.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("band")
     left = inside.join(split, "band", "left_semi")
     left = left.join(keys.withColumnRenamed("doc_id", "id"), "id").groupBy("band", "comp", "n_shingles", "key1", "key2").agg(F.min("id").alias("id"))
-    more = links_inside(left.select("band", "id", "comp", F.col("n_shingles").alias("n")), banded, texts)
+    more = links_inside(left.select("band", "id", "comp", F.col("n_shingles").alias("n")), banded, texts, percent)
     edges = comps.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more)
     final = connected_components(edges).withColumnRenamed("id", "doc_id")
     out = prints.select("doc_id", "n_shingles").join(final, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
+def one_of_each_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` (all columns) that are the smallest id of their group; of repeated rows with one id, one.
 
     Rows with a null id stay. Only the ids that go are joined to the texts.
     """
-    found = near_duplicates(docs)
+    found = near_duplicates(docs, percent)
     gone = stored(found.filter("NOT kept").select("doc_id").distinct(), "gone")
     again = stored(found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
     few = gone.count() <= BROADCAST_IDS

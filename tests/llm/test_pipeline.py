@@ -45,3 +45,19 @@ def test_edges(spark):
     got = sorted(one_of_each_group(df).collect(), key=repr)
     assert [tuple(r) for r in got] == sorted([rows[0], rows[3], rows[4]], key=repr)
     assert mixed_copies(df).columns == df.columns and mixed_copies(df.filter("false")).count() == 0
+
+
+def test_one_of_each_group_from_80_percent(spark):
+    words = [f"w{i}" for i in range(100)]
+    copy = list(words)
+    copy[30] = copy[70] = "x"  # 86 of 106 shingles in common
+    other = list(words)
+    for i in (15, 45, 75):
+        other[i] = "y"  # 81 of 111
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate((words, copy, other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [{tuple(w[k : k + 5]) for k in range(96)} for w in (words, copy, other)]
+    near = {(i, j) for i in range(3) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert near == {(1, 0)}
+    assert {r.doc_id for r in one_of_each_group(df, 80).collect()} == {0, 2}
+    assert one_of_each_group(df).count() == 3

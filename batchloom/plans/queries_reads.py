@@ -165,13 +165,13 @@ def updates(t: Tables) -> DataFrame:
 
 @query("s14_json_report")
 def s14(t: Tables) -> DataFrame:
-    return json_report(jobs(t).filter("id < 150"), findings(t))
+    return json_report(jobs(t), findings(t))
 
 
 @query("s15_markdown_report")
 def s15(t: Tables) -> DataFrame:
     blank = {c: F.lit(None).cast("string") for c in ("ocr_text", "corrected_text", "reviewer_note")}
-    return markdown_report(jobs(t).filter("id < 150"), findings(t).withColumns(blank))
+    return markdown_report(jobs(t), findings(t).withColumns(blank))
 
 
 @query("st5_transitions", """WITH RECURSIVE a AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, CASE event_type WHEN 'view' THEN 'ocr_running' WHEN 'click' THEN 'ocr_done' WHEN 'purchase' THEN 'error' WHEN 'error' THEN 'pending' ELSE 'analyzing' END AS new FROM events),

@@ -11,3 +11,11 @@ def test_equals_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     QUERIES[name](spark, SF).count()
+
+
+@pytest.mark.parametrize("name", ["s14_json_report", "s15_markdown_report"])
+def test_every_job_has_a_report(spark, name):
+    got = QUERIES[name](spark, SF)
+    want = spark.read.parquet(f"{SF}/orders.parquet").selectExpr("CAST(o_orderkey AS bigint) AS job_id")
+    assert got.select("job_id").exceptAll(want).isEmpty() and want.exceptAll(got.select("job_id")).isEmpty()
+    assert got.filter("report IS NULL").isEmpty()

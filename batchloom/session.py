@@ -29,16 +29,19 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where the session has none."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; without it the warehouse, and a folder of this
+    machine only where driver and executors are one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        path = spark.conf.get("spark.sql.warehouse.dir")
     if not path:
         path = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="batchloom-")
         shared_dir.own = path
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: parsed once, small plans above it, safe against lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/audit/{name}-{uuid.uuid4().hex}"
+def stored(df: DataFrame, name: str, part: str = "audit") -> DataFrame:
+    """Write a table to the shared folder and read it back: computed once, small plans above it, safe against lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{part}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

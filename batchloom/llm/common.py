@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,29 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchloom.session import ship
+from batchloom.session import stored as keep
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where the session has none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="batchloom-")
-        shared_dir.own = path
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return keep(df, name, "llm")
 
 
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
@@ -150,23 +135,51 @@ def map_groups(df: DataFrame, keys: list[str], schema: str, work: Callable[[pa.T
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+#: Keys that may count as hot at once: no more can hold over one in so many of the rows each.
+HOT_KEYS = 1000
+#: Rows of a key that one task may always take.
+COLD_ROWS = 256
+
+
+def join_hot(rows: DataFrame, dim: DataFrame, keys: list[str], n: str = "n", total: int | None = None, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``dim`` (one row a key; ``n``: how many of the rows have it, dropped) without a hot task.
+
+    Keys with more than one in ``HOT_KEYS`` of the rows are at most ``HOT_KEYS``, so that part of ``dim`` is broadcast; the
+    other keys are shuffled. With ``how="left"`` rows with a null key pass without a join.
+    """
+    total = (dim.agg(F.sum(n)).first()[0] or 0) if total is None else total
+    hot = F.col(n) > max(COLD_ROWS, total // HOT_KEYS)
+    few, many = dim.filter(hot).drop(n), dim.filter(~hot).drop(n)
+    out = rows.join(F.broadcast(few), keys)
+    rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti")
+    if how == "inner":
+        return out.unionByName(rest.join(many, keys))
+    known = F.lit(True)
+    for k in keys:
+        known &= F.col(k).isNotNull()
+    return out.unionByName(rest.filter(known).join(many, keys, how)).unionByName(rows.filter(~known), allowMissingColumns=True)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Component of every id that an edge names: ``id``, ``component_id`` (smallest id reachable).
 
     Smallest-label propagation with pointer jumping over stored tables, so that neither edges nor labels meet in one
-    process. Self-loops are allowed; an empty edge table gives an empty result.
+    process; the centre of a star and the label of a large component are joined as hot keys. Self-loops are allowed; an
+    empty edge table gives an empty result.
     """
     spark = edges.sparkSession
     both = edges.select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y"))
     both = stored(both.union(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "cc-edges")
-    label = stored(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("l")), "cc-label")
+    label = stored(both.groupBy("x").agg(F.count("*").alias("n"), F.least(F.col("x"), F.min("y")).alias("l")), "cc-label")
+    n_edges, n_ids = both.count(), label.count()
     while True:
-        near = both.join(label.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("l").alias("m"))
-        step = stored(label.join(near, "x").select("x", F.col("l").alias("was"), F.least("l", "m").alias("l")), "cc-step")
+        near = join_hot(both, label.withColumnRenamed("x", "y"), ["y"], total=n_edges).groupBy("x").agg(F.min("l").alias("m"))
+        step = stored(label.join(near, "x").select("x", "n", F.col("l").alias("was"), F.least("l", "m").alias("l")), "cc-step")
         if step.filter("l < was").isEmpty():
             out = step.select(F.col("x").alias("id"), F.col("l").alias("component_id"))
             forget(spark, both, label)
             return out
-        jump = step.select(F.col("x").alias("l"), F.col("l").alias("j"))
-        label, old = stored(step.join(jump, "l").select("x", F.least("l", "j").alias("l")), "cc-label"), label
-        forget(spark, old, step)
+        named = step.groupBy("l").agg(F.count("*").alias("k"))
+        jump = stored(named.join(step.select(F.col("x").alias("l"), F.col("l").alias("j")), "l"), "cc-jump")
+        label, old = stored(join_hot(step, jump, ["l"], "k", n_ids).select("x", "n", F.least("l", "j").alias("l")), "cc-label"), label
+        forget(spark, old, step, jump)

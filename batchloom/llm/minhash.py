@@ -1,67 +1,108 @@
 """Operator 9: near-duplicate documents by fast similarity sketching, banding and exact verification.
 
-A document's set holds fingerprints (64 bits) of its distinct five-word shingles. A sketch has ``BANDS * ROWS``
-coordinates. In round i of the first half, each element is placed in a hashed bin with a hashed value; bins that earlier
-rounds filled keep their value, so small sets take more rounds and large ones one or two. In the second half, round i puts
-every element in bin i, which guarantees that every coordinate fills. Values of earlier rounds rank below later ones, so
-two sets agree in a coordinate with probability equal to their similarity, with Chernoff-style concentration.
-
-Links are found in three steps that never emit the pairs of a whole group:
-
-1. Bands of ``ROWS`` coordinates are bucket keys. A bucket's leader is its smallest id (a partial aggregation joined back).
-   Every document is verified against the one leader it shares most buckets with: at most one pair a document.
+A document's set holds its distinct five-word shingles, told apart by their bytes; sketches work on their fingerprints. A
+sketch has ``BANDS * ROWS`` coordinates. In round i of the first half, each element is placed in a hashed bin with a hashed
+value; bins that earlier rounds filled keep their value, so small sets take more rounds and large ones one or two. In the
+second half, round i puts every element in bin i, which guarantees that every coordinate fills. Values of earlier rounds rank
+below later ones, so two sets agree in a coordinate with probability equal to their similarity, with Chernoff-style
+concentration.
+
+Documents with the same words in the same order (equal SHA-256 of the words joined by single spaces) are one class, which
+takes part once. Links between classes are found in three steps that never emit the pairs of a whole group:
+
+1. Bands of ``ROWS`` coordinates are bucket keys. A bucket's leader is its smallest class (a partial aggregation joined
+   back). Every class is verified against the one leader it shares most buckets with: at most one pair a class. A leader's
+   members are cut into parts, and each part gets the leader's text once.
 2. Verified links are contracted. Buckets whose members are in one component are done.
-3. In the others, members of different components are compared by their stored sketches in blocks of ``BLOCK_ROWS``.
-   Rows in a pair whose estimate lies within reach of the threshold (less than 6 standard deviations below) and whose
-   sizes permit a link meet again with their full sets, and a task hands out only the links that join components.
+3. In the others, members of different components are compared by their stored sketches in blocks; members of the bucket's
+   largest component meet only the others, not each other. Rows in a pair whose estimate lies within reach of the
+   threshold (less than 6 standard deviations below) and whose sizes permit a link meet again with their texts, and a task
+   hands out only the links that join components.
+
+Every link is confirmed on the full sets of both texts by their bytes (``shingle_numbers``).
 
 At similarity 0.85 a pair shares no band with probability (1 - 0.85 ** 5) ** 40 = 6.5e-11, at 0.80 with 1.3e-7. Step 3 has
 no cap. The threshold is a parameter, ``PERCENT`` unless given.
 
 Edge cases: a text with fewer than five words has one shingle, its whole word sequence; a null, empty or blank text has no
 shingles and links with nothing; rows with a null id come back with a null component; repeated rows come back repeated;
-extra columns are ignored; an empty table gives an empty result.
+of an id with several texts each row follows its own text; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import connected_components, map_groups, map_texts, stored, table, text_or_empty
-from batchloom.llm.textkernel import buffers, mix, windows, word_hashes
+from batchloom.llm.common import connected_components, forget, free_name, join_hot, map_groups, map_texts, stored, table, text_or_empty
+from batchloom.llm.textkernel import LOWER, SPACE, blocks, buffers, distinct_spans, mix, same_spans, span_hashes, window_numbers, window_places, windows, word_spans
 
 WIDTH = 5
 BANDS, ROWS = 40, 5
 PERCENT = 85
 #: Standard deviations below the threshold down to which a pair is verified by its share of agreeing coordinates.
 REACH = 5.94
-BLOCK_ROWS = 512
+#: Rows and shingles of a block of a bucket, and shingles of a part of a leader's members.
+BLOCK_ROWS, BLOCK_SHINGLES, PART_SHINGLES = 512, 1_000_000, 200_000
 #: Candidate ids up to this number are broadcast to prune the scan of texts; beyond it the join shuffles.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def shingle_keys(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each text as sorted fingerprints, and each text's first place among them (one more at the end).
+class Shingles:
+    """Shingles of a block of texts: ``keys`` (distinct ones of each text as sorted fingerprints, whose upper bits are the
+    text's row, so that one sort serves all texts), ``firsts`` (each text's first among them, one more at the end) and
+    ``counts`` (how many each text has, by their bytes)."""
+
+    def __init__(self, texts: pa.Array, width: int = WIDTH):
+        data, offsets = buffers(texts)
+        self.data, self.offsets = LOWER[data], offsets
+        self.starts, self.ends = s, e = word_spans(self.data, offsets)
+        self.words = w = np.searchsorted(s, offsets)
+        hashes = span_hashes(self.data, s, e)
+        prints, rows, at = windows(hashes, w, width)
+        counts = np.diff(w)
+        for row in np.flatnonzero((counts > 0) & (counts < width)):  # the whole sequence as one
+            one, _, _ = windows(hashes[w[row] : w[row + 1]], np.array([0, counts[row]]), int(counts[row]))
+            prints, rows, at = np.append(prints, mix(one + np.uint64(counts[row]))), np.append(rows, row), np.append(at, w[row])
+        self.bits = np.uint64(max(1, int(len(texts) - 1).bit_length()))
+        keys = (rows.astype(np.uint64) << (np.uint64(64) - self.bits)) | (prints >> self.bits)
+        order = np.argsort(keys)
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[order[1:]] != keys[order[:-1]]
+        self.keys = keys[order[new]]
+        self.firsts = np.searchsorted((self.keys >> (np.uint64(64) - self.bits)).astype(np.int64), np.arange(len(texts) + 1))
+        self.counts = np.diff(self.firsts)
+        again = np.flatnonzero(~new)
+        a, b, same = at[order[again]], at[order[again - 1]], np.ones(len(again), bool)
+        for k in range(width if len(again) else 0):
+            same &= same_spans(self.data, s[a + k], e[a + k], s[b + k], e[b + k])
+        for row in np.unique(rows[order[again[~same]]]).tolist():  # fingerprints met by chance
+            self.counts[row] = len(np.unique(shingle_numbers(texts.slice(row, 1), width)[0]))
+
+    def elements(self) -> np.ndarray:
+        """The fingerprints without the row in their upper bits, kept to the 48 bits that blocks of any size share."""
+        return (self.keys << self.bits) >> np.uint64(16)
+
+    def digests(self) -> list[bytes]:
+        """SHA-256 of each text's words, joined by single spaces."""
+        data, keep = self.data.copy(), ~SPACE[self.data]
+        gap = self.ends[:-1][np.searchsorted(self.offsets, self.starts[1:], "right") == np.searchsorted(self.offsets, self.starts[:-1], "right")]
+        keep[gap], data[gap] = True, 0x20
+        limits = np.concatenate([[0], np.cumsum(keep)])[self.offsets].tolist()
+        raw = data[keep].tobytes()
+        return [hashlib.sha256(raw[a:b]).digest() for a, b in zip(limits, limits[1:], strict=False)]
 
-    The upper bits of a key are the text's row in the block, so one sort serves all texts.
-    """
-    data, offsets = buffers(texts)
-    words, firsts = word_hashes(data, offsets)
-    prints, rows, _ = windows(words, firsts, width)
-    counts = np.diff(firsts)
-    for row in np.flatnonzero((counts > 0) & (counts < width)):  # the whole sequence as one
-        one, _, _ = windows(words[firsts[row] : firsts[row + 1]], np.array([0, counts[row]]), int(counts[row]))
-        prints, rows = np.append(prints, mix(one + np.uint64(counts[row]))), np.append(rows, row)
-    bits = max(1, int(len(texts) - 1).bit_length())
-    keys = np.unique((rows.astype(np.uint64) << np.uint64(64 - bits)) | (prints >> np.uint64(bits)))
-    return keys, np.searchsorted((keys >> np.uint64(64 - bits)).astype(np.int64), np.arange(len(texts) + 1))
+
+def shingle_keys(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each text as sorted fingerprints, and each text's first place among them (one more at the end)."""
+    found = Shingles(texts, width)
+    return found.keys, found.firsts
 
 
 def elements(keys: np.ndarray, n_texts: int) -> np.ndarray:
@@ -70,6 +111,27 @@ def elements(keys: np.ndarray, n_texts: int) -> np.ndarray:
     return (keys << bits) >> np.uint64(16)
 
 
+def shingle_numbers(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each text as sorted numbers, and each text's first place among them (one more at the end).
+
+    Equal numbers mean equal words, byte for byte; numbers hold for the texts of one call only.
+    """
+    data, offsets = buffers(texts)
+    data = LOWER[data]
+    s, e = word_spans(data, offsets)
+    firsts = np.searchsorted(s, offsets)
+    _, words = distinct_spans(data, s, e)
+    rows, at = window_places(firsts, width)
+    numbers = window_numbers(words, at, width)
+    top, short = int(numbers.max(initial=-1)) + 1, {}
+    for row in np.flatnonzero((np.diff(firsts) > 0) & (np.diff(firsts) < width)).tolist():
+        key = tuple(words[firsts[row] : firsts[row + 1]].tolist())
+        rows, numbers = np.append(rows, row), np.append(numbers, top + short.setdefault(key, len(short)))
+    span = top + len(short) + 1
+    keys = np.unique(rows * span + numbers)
+    return keys % span, np.searchsorted(keys // span, np.arange(len(texts) + 1))
+
+
 def sketches(elems: np.ndarray, firsts: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
     """Fast similarity sketches of all sets that are not empty; a row of ``EMPTY`` for the others."""
     n = len(firsts) - 1
@@ -104,70 +166,75 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, key1, key2`` (fingerprint of the set), ``sketch`` (a byte a coordinate), ``bands``."""
+    """``doc_id, raw, n_shingles, sha, sketch`` (a byte a coordinate), ``bands``; ``raw``: a hash of the text as it is."""
 
     def start():
         def work(batch: pa.RecordBatch) -> dict:
-            keys, firsts = shingle_keys(batch.column("text"))
-            elems = elements(keys, batch.num_rows)
-            counts = np.diff(firsts)
-            sums = []
-            for salt in (0x51ED270B27D4EB4F, 0x2545F4914F6CDD1D):
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(elems ^ np.uint64(salt)))])
-                sums.append((total[firsts[1:]] - total[firsts[:-1]]).view(np.int64))
-            sketch = sketches(elems, firsts)
-            bands = band_keys(sketch)
-            size = sketch.shape[1]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()), mask=pa.array(counts == 0))
+            found = Shingles(batch.column("text"))
+            sketch = sketches(found.elements(), found.firsts)
+            bands, size = band_keys(sketch), sketch.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()), mask=pa.array(found.counts == 0))
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(sketch), [None, pa.py_buffer(np.ascontiguousarray(sketch.astype(np.uint8)))])
-            return {"doc_id": batch.column("doc_id"), "n_shingles": counts, "key1": sums[0], "key2": sums[1], "sketch": raw.cast(pa.binary()), "bands": lists}
+            return {"doc_id": batch.column("doc_id"), "raw": batch.column("raw"), "n_shingles": found.counts, "sha": pa.array(found.digests(), pa.binary()), "sketch": raw.cast(pa.binary()), "bands": lists}
 
         return work
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id bigint, n_shingles bigint, key1 bigint, key2 bigint, sketch binary, bands array<bigint>", start)
+    return map_texts(with_raw(docs), "doc_id bigint, raw bigint, n_shingles bigint, sha binary, sketch binary, bands array<bigint>", start)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those pairs ``a, b`` whose full sets of shingles have ``100 * intersection >= percent * union``."""
+def with_raw(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty("text")).alias("raw"), text_or_empty("text").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, None
-        for batch in batches:
-            a, b, keep = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
-            for i in range(batch.num_rows):
-                if a[i] != last:
-                    last, mine = a[i], full_set(batch.column("text_a").slice(i, 1))
-                other = full_set(batch.column("text_b").slice(i, 1))
-                common = len(np.intersect1d(mine, other, assume_unique=True))
-                keep.append(common > 0 and 100 * common >= percent * (len(mine) + len(other) - common))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()).filter(pa.array(keep, pa.bool_())) for x in (a, b)], ["a", "b"])
 
-    spark = pairs.sparkSession
-    pairs = stored(pairs, "pairs")
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
-    few = ids.count() <= BROADCAST_IDS
-    some = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    ta, tb = (some.select(F.col("doc_id").alias(x), text_or_empty("text").alias(f"text_{x}")) for x in "ab")
-    return pairs.join(tb, "b").join(ta, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
 
 
-def full_set(text: pa.Array) -> np.ndarray:
-    return shingle_keys(text)[0]
+def linked(texts: pa.Array, percent: int) -> np.ndarray:
+    """Which texts after the first have ``100 * intersection >= percent * union`` with it, on full sets."""
+    numbers, firsts = shingle_numbers(texts)
+    sets = [numbers[a:b] for a, b in zip(firsts, firsts[1:], strict=False)]
+    both = np.array([common(sets[0], x) for x in sets[1:]], np.int64)
+    n = np.diff(firsts)
+    return (both > 0) & (100 * both >= percent * (n[0] + n[1:] - both))
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``id, elements``: the sorted fingerprints of each text's set, 8 bytes each."""
+def confirm_first(rows: pa.Table, groups: list[tuple[int, int]], percent: int = PERCENT) -> pa.Table:
+    """Links ``a, b`` of a leader (side 0) with those members of its part that the full sets confirm."""
+    ids, side, text = rows.column("id").to_numpy(), rows.column("side").to_numpy(), rows.column("text").combine_chunks()
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s, e in groups:
+        lead, members = s + np.flatnonzero(side[s:e] == 0)[:1], s + np.flatnonzero(side[s:e] == 1)
+        sizes = text_lengths(text, members)
+        for lo, hi in blocks(np.concatenate([[0], np.cumsum(sizes)])):
+            part = members[lo:hi]
+            good = part[linked(text.take(pa.array(np.concatenate([lead, part]))), percent)]
+            out_a.append(np.full(len(good), ids[lead[0]]))
+            out_b.append(ids[good])
+    return pa.table({"a": pa.array(np.concatenate(out_a)), "b": pa.array(np.concatenate(out_b))})
 
-    def start():
-        def work(batch: pa.RecordBatch) -> dict:
-            keys, firsts = shingle_keys(batch.column("text"))
-            offsets = pa.py_buffer((firsts * 8).astype(np.int32))
-            data = pa.py_buffer(np.ascontiguousarray(elements(keys, batch.num_rows)))
-            return {"id": batch.column("id"), "elements": pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, offsets, data])}
 
-        return work
+def text_lengths(text: pa.Array, places: np.ndarray) -> np.ndarray:
+    return np.diff(buffers(text)[1])[places]
 
-    return map_texts(docs.select(F.col("doc_id").alias("id"), "text"), "id bigint, elements binary", start)
+
+def with_texts(need: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``need`` (a column ``id``: classes) with the ``text`` of each class."""
+    need = stored(need.join(classes.select(F.col("node").alias("id"), F.col("rep").alias("doc_id"), "raw"), "id"), "need")
+    few = need.count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(need) if few else need, ["doc_id", "raw"]).select(*[c for c in need.columns if c not in ("doc_id", "raw")], "text")
+
+
+def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those pairs ``a, b`` (``na, nb``: sizes; a is a leader of any number of b) whose full sets link them."""
+    pairs = stored(pairs, "pairs")
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.sum(F.col("nb") + 1) / PART_SHINGLES).cast("int").alias("parts"))
+    sizes = stored(sizes, "leaders")
+    members = join_hot(pairs, sizes, ["a"]).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), F.col("b").alias("id"))
+    leaders = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("a").alias("id"))
+    rows = with_texts(members.union(leaders), classes, texts)
+    return map_groups(rows, ["a", "part"], "a bigint, b bigint", partial(confirm_first, percent=percent))
 
 
 def _near_pairs(rows: pa.Table, groups: list[tuple[int, int]], percent: int):
@@ -219,11 +286,11 @@ def flag_near(rows: pa.Table, groups: list[tuple[int, int]], percent: int = PERC
 
 def confirm_near(rows: pa.Table, groups: list[tuple[int, int]], percent: int = PERCENT) -> pa.Table:
     """Links between components, confirmed on full sets; pairs that links of the group already join are passed over."""
-    ids, comp = rows.column("id").to_numpy(), rows.column("comp").to_numpy()
-    data, offsets = buffers(rows.column("elements").combine_chunks().cast(pa.large_binary()))
+    ids, comp, text = rows.column("id").to_numpy(), rows.column("comp").to_numpy(), rows.column("text").combine_chunks()
     out_a, out_b = [], []
     for pairs in _near_pairs(rows, groups, percent):
         root: dict[int, int] = {}
+        sets: dict[int, np.ndarray] = {}
 
         def find(c: int, root: dict = root) -> int:
             while (up := root.get(c, c)) != c:
@@ -231,84 +298,114 @@ def confirm_near(rows: pa.Table, groups: list[tuple[int, int]], percent: int = P
                 c = up
             return c
 
+        def prints(i: int, sets: dict = sets) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_keys(text.slice(i, 1))[0]
+            return sets[i]
+
         for x, y in pairs[:2, np.argsort(-pairs[2], kind="stable")].T.tolist():
             cx, cy = find(int(comp[x])), find(int(comp[y]))
             if cx == cy:
                 continue
-            a, b = (data[offsets[i] : offsets[i + 1]].view(np.uint64) for i in (x, y))
-            both = np.sort(np.concatenate([a, b]), kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            if 100 * common >= percent * (len(both) - common):
+            both = common(prints(x), prints(y))  # fingerprints turn most pairs away; what they let through is compared in full
+            if 100 * both >= percent * (len(prints(x)) + len(prints(y)) - both) and linked(text.take(pa.array([x, y])), percent)[0]:
                 root[max(cx, cy)] = min(cx, cy)
                 out_a.append(int(ids[x]))
                 out_b.append(int(ids[y]))
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
-def links_inside(members: DataFrame, prints: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+def links_inside(members: DataFrame, classes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Confirmed links ``a, b`` between components that meet in a bucket, from ``band, id, comp, n``.
 
-    Large buckets are cut into blocks, and pairs of blocks are compared in tasks of their own. Sketches travel first; full
-    sets only for rows that are in a near pair. No pair leaves a task unless it joins two components.
+    A bucket is cut into blocks: those of its largest component, and those of all other members. Pairs of blocks are compared
+    in tasks of their own, except pairs inside the largest component. Sketches travel first; texts only for rows that are in
+    a near pair. No pair leaves a task unless it joins two components.
     """
-    size = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("nb"))
-    dealt = members.join(size, "band").withColumn("p", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    both = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    keyed = both.select("band", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), (F.col("p") > F.col("q")).cast("int").alias("side"), "id", "n", "comp")
-    keyed = keyed.join(prints.select(F.col("doc_id").alias("id"), "sketch", "bands"), "id").select("band", "lo", "hi", "side", "id", "n", "comp", "sketch", "bands")
+    parts = members.groupBy("band", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    blocks_for = lambda c, n: F.greatest(F.ceil(c / BLOCK_ROWS), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    size = parts.groupBy("band").agg(F.max(F.struct("c", "comp", "n")).alias("m"), F.sum("c").alias("every"), F.sum("n").alias("n"))
+    size = stored(size.select("band", "every", F.col("m.comp").alias("main"), blocks_for(F.col("every") - F.col("m.c"), F.col("n") - F.col("m.n")).alias("rest_blocks"), blocks_for(F.col("m.c"), F.col("m.n")).alias("main_blocks")), "bucket-sizes")
+    dealt = join_hot(members, size, ["band"], "every").withColumn("is_main", F.col("comp") == F.col("main"))
+    dealt = dealt.join(classes.select(F.col("node").alias("id"), "sketch", "bands"), "id")
+    of = F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("rest_blocks"))
+    p = F.pmod(F.xxhash64("id"), of).cast("int") + F.when(F.col("is_main"), F.col("rest_blocks")).otherwise(0)
+    last = F.col("rest_blocks") - 1 + F.when(F.col("is_main"), 0).otherwise(F.col("main_blocks"))
+    both = dealt.withColumn("p", p).withColumn("q", F.explode(F.sequence(F.lit(0), last)))
+    keyed = both.select("band", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), (F.col("p") > F.col("q")).cast("int").alias("side"), "id", "n", "comp", "sketch", "bands")
     schema = "band bigint, lo int, hi int, side int, id bigint, n bigint, comp bigint, sketch binary, bands array<bigint>"
-    flagged = stored(map_groups(keyed, ["band", "lo", "hi"], schema, partial(flag_near, percent=percent)), "near")
-    ids = stored(flagged.select(F.col("id").alias("doc_id")).distinct(), "near-ids")
-    some = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    sets = shingle_sets(some).dropDuplicates(["id"])
-    return map_groups(flagged.join(sets, "id"), ["band", "lo", "hi"], "a bigint, b bigint", partial(confirm_near, percent=percent))
+    flagged = map_groups(keyed, ["band", "lo", "hi"], schema, partial(flag_near, percent=percent))
+    return map_groups(with_texts(flagged, classes, texts), ["band", "lo", "hi"], "a bigint, b bigint", partial(confirm_near, percent=percent))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (``doc_id``, ``text``), linked from ``percent`` on."""
+def near_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Rows (``doc_id, raw, n_shingles, sha``) and classes (``sha, rep, raw, n, component_id, stays``): ``rep``: smallest id, with
+    the hash of its text; ``stays``: the class is the first of its component."""
+    spark = docs.sparkSession
     prints = stored(fingerprints(docs), "prints")
-    banded = prints.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    spread = banded.select("doc_id", F.explode("bands").alias("band"))
-    leaders = spread.groupBy("band").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    buckets = stored(spread.join(leaders, "band"), "buckets")
-
-    votes = buckets.filter("lead < doc_id").groupBy("doc_id", "lead").count()
-    first = votes.groupBy("doc_id").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("a")).select("a", F.col("doc_id").alias("b"))
-    keys = banded.select("doc_id", "n_shingles", "key1", "key2")
-    ka, kb = (keys.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.struct("n_shingles", "key1", "key2").alias(f"k{x}")) for x in "ab")
-    first = stored(first.join(ka, "a").join(kb, "b").select("a", "b", "na", "nb", (F.col("ka") == F.col("kb")).alias("same")), "first")
-    fits = percent * F.greatest("na", "nb") <= 100 * F.least("na", "nb")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    links = stored(first.filter("same").select("a", "b").union(verify(first.filter(~F.col("same") & fits).select("a", "b"), texts, percent)), "links")
-    comps = connected_components(links)
-
-    inside = buckets.select("band", "doc_id").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", F.col("doc_id").alias("id"), F.coalesce("component_id", "doc_id").alias("comp"))
+    some = prints.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("sha").agg(
+        F.min(F.struct("doc_id", "raw")).alias("r"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")
+    )
+    classes = stored(some.select(F.monotonically_increasing_id().alias("node"), "sha", F.col("r.doc_id").alias("rep"), F.col("r.raw").alias("raw"), "n", "n_shingles", "sketch", "bands"), "classes")
+    texts = with_raw(docs)
+    spread = stored(classes.select("node", "n_shingles", F.explode("bands").alias("band")), "spread")
+    leaders = stored(spread.groupBy("band").agg(F.min("node").alias("lead"), F.min_by("n_shingles", "node").alias("lead_n"), F.count("*").alias("n")).filter("n > 1"), "leading")
+    buckets = stored(join_hot(spread, leaders, ["band"]), "buckets")
+
+    votes = buckets.filter("lead < node").groupBy("node", "lead").agg(F.count("*").alias("c"), F.first("n_shingles").alias("nb"), F.first("lead_n").alias("na"))
+    first = votes.groupBy("node").agg(F.max(F.struct("c", (-F.col("lead")).alias("m"), "na", "nb")).alias("v"))
+    first = first.select((-F.col("v.m")).alias("a"), F.col("node").alias("b"), F.col("v.na").alias("na"), F.col("v.nb").alias("nb"))
+    fits = first.filter(percent * F.greatest("na", "nb") <= 100 * F.least("na", "nb"))
+    comps = connected_components(stored(verify(fits, classes, texts, percent), "links"))
+
+    inside = buckets.select("band", F.col("node").alias("id"), F.col("n_shingles").alias("n")).join(comps, "id", "left").select("band", "id", "n", F.coalesce("component_id", "id").alias("comp"))
     inside = stored(inside, "inside")
-    split = inside.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("band")
-    left = inside.join(split, "band", "left_semi")
-    left = left.join(keys.withColumnRenamed("doc_id", "id"), "id").groupBy("band", "comp", "n_shingles", "key1", "key2").agg(F.min("id").alias("id"))
-    more = links_inside(left.select("band", "id", "comp", F.col("n_shingles").alias("n")), banded, texts, percent)
+    split = inside.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("every")).filter("c0 < c1").select("band", "every")
+    left = stored(join_hot(inside, stored(split, "split"), ["band"], "every"), "left")
+    more = links_inside(left, classes, texts, percent)
     edges = comps.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more)
-    final = connected_components(edges).withColumnRenamed("id", "doc_id")
-    out = prints.select("doc_id", "n_shingles").join(final, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    final = connected_components(edges).select(F.col("id").alias("node"), F.col("component_id").alias("root"))
+    named = stored(classes.select("node", "sha", "rep", "raw", "n").join(final, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    roots = stored(named.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("r"), F.count("*").alias("k")), "roots")
+    out = join_hot(named, roots, ["root"], "k").select("sha", "rep", "raw", "n", F.col("r.rep").alias("component_id"), (F.col("r.node") == F.col("node")).alias("stays"))
+    out = stored(out, "components")
+    forget(spark, spread, leaders, buckets, inside, left, named, roots)
+    return prints.select("doc_id", "raw", "n_shingles", "sha"), out
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (``doc_id``, ``text``), linked from ``percent`` on."""
+    rows, classes = near_classes(docs, percent)
+    full = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    out = join_hot(rows.filter(full), classes.select("sha", "n", "component_id"), ["sha"]).select("doc_id", "n_shingles", "component_id")
+    out = out.union(rows.filter(~full).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def one_of_each_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` (all columns) that are the smallest id of their group; of repeated rows with one id, one.
+    """The rows of ``docs`` (all columns), one of each group: the row with the smallest id, and of rows that repeat its id and
+    text, one. Rows without shingles stay, as do rows with a null id; of such rows that repeat id and text, too, one stays if
+    the id is not null.
 
-    Rows with a null id stay. Only the ids that go are joined to the texts.
+    Only ids and hashes of the rows that go are joined to the texts.
     """
-    found = near_duplicates(docs, percent)
-    gone = stored(found.filter("NOT kept").select("doc_id").distinct(), "gone")
-    again = stored(found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    rows, classes = near_classes(docs, percent)
+    full = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    stays = join_hot(rows.filter(full), classes.select("sha", "n", F.col("rep").alias("r_id"), F.col("raw").alias("r_raw"), "stays"), ["sha"])
+    here = F.col("stays") & (F.col("doc_id") == F.col("r_id")) & (F.col("raw") == F.col("r_raw"))
+    gone = stored(stays.filter(~here).select("doc_id", "raw").distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
-    rest = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    again = stored(rows.filter("doc_id IS NOT NULL").groupBy("doc_id", "raw").count().filter("count > 1").select("doc_id", "raw"), "again")
+    key, raw, nth = (free_name(docs, x) for x in ("_key", "_raw", "_nth"))
+    keyed = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(raw, F.xxhash64(text_or_empty("text")))
+    named = lambda df: df.select(F.col("doc_id").alias(key), F.col("raw").alias(raw))
+    rest = keyed.join(F.broadcast(named(gone)) if few else named(gone), [key, raw], "left_anti")
     if again.isEmpty():
         return rest.select(*docs.columns)
-    others = [c for c in docs.columns if c != "doc_id"]
-    single = rest.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("r")).select("doc_id", "r.*")
-    return rest.join(again, "doc_id", "left_anti").select(*docs.columns).union(single.select(*docs.columns))
+    plain = [f.name for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    order = Window.partitionBy(key, raw).orderBy(F.xxhash64(*plain))
+    single = rest.join(named(again), [key, raw], "left_semi").withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1)
+    return rest.join(named(again), [key, raw], "left_anti").select(*docs.columns).union(single.select(*docs.columns))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,17 @@ A text's lattice has a node after every character and an edge for every piece of
 character that no piece covers has an edge of its byte pieces. The model file has merge ranks instead of probabilities, so
 pieces get the probabilities of a Zipf law over their ranks, raised to ``ALPHA`` (below 1: flatter). Forward filtering
 gives each node the total weight of the paths that reach it; backward sampling walks from the end, choosing each last piece
-with its exact conditional probability. Uniform numbers are hashed from the row's key, the place in the text and the step:
-the same row gets the same pieces wherever and whenever it is processed.
+with its exact conditional probability. Uniform numbers are hashed from the row's key and the place in the text: the same
+row gets the same pieces wherever and whenever it is processed.
 
 No piece spans a space after another character, nor a character that occurs in no longer piece, so the lattice falls apart
 into pre-tokens there. Forward filtering runs once for each distinct pre-token of a block, all in step by numpy; sampling
-runs for every occurrence, all in step as well.
+runs for every occurrence, all in step as well. Pre-tokens longer than ``LONG`` characters are cut into segments of ``STEPS``
+nodes: the weights at a segment's end are a linear function of those before it, so all segments find that function in step,
+a short chain of small matrix products gives the weights at every limit, and the segments are filtered in step again, from
+the last stretch of ``STRETCH`` characters to the first, while sampling walks back through them. The result is exact; time
+follows the length, and memory a stretch. Texts longer than ``BLOCK`` characters are walked in parts that end before a
+pre-token.
 
 Decoding joins the pieces' bytes and takes off the space that encoding put before the text: white space, control
 characters and the piece separator itself (U+2581, encoded by its bytes) come back as they were.
@@ -21,19 +26,23 @@ ignored.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchloom.llm.common import map_texts, table
-from batchloom.llm.textkernel import RollingPrints, mix, span_hashes
+from batchloom.llm.textkernel import distinct_spans, mix
 from batchloom.llm.token_counts import crosses_spaces, default_model
 
 ALPHA = 0.5
 SEED = 17
 #: Bytes of text in a block: larger blocks repeat more pre-tokens, and take more memory.
 BLOCK = 1 << 20
+#: Characters of a pre-token that is filtered in segments, nodes of a segment, and characters of a stretch of segments.
+LONG, STEPS, STRETCH = 512, 256, 1 << 16
 _MARK = 0x2581
 #: Stands for a separator that was in the text; no piece has it.
 _LITERAL = 0x110000
@@ -42,6 +51,12 @@ _BYTE_LOG = -15.0
 _SIEVE = np.uint64(44)
 
 
+def longer(prints: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Fingerprints of spans with one character more."""
+    h = (prints ^ (chars + np.uint64(1))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
 class Pieces:
     """The vocabulary as lookup tables."""
 
@@ -55,9 +70,12 @@ class Pieces:
             raise ValueError("the vocabulary has pieces with a space after another character")
         ranks = np.arange(len(ids)) + _ZIPF_SHIFT
         logs = alpha * (-np.log(ranks) - np.log((1 / ranks).sum()))
-        flat = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32)
-        ends = np.cumsum([len(x) for x in names])
-        prints = span_hashes(flat, ends - [len(x) for x in names], ends)
+        prints = np.zeros(len(names), np.uint64)
+        for size in range(max(map(len, names))):
+            some = [i for i, x in enumerate(names) if len(x) > size]
+            prints[some] = longer(prints[some], np.array([ord(names[i][size]) for i in some], np.uint32))
+        if len(np.unique(prints)) < len(prints):
+            raise ValueError("two pieces have one fingerprint")
         order = np.argsort(prints)
         self.prints, self.ids, self.logs = prints[order], np.array(ids, np.int32)[order], logs[order].astype(np.float32)
         top = (self.prints >> _SIEVE).astype(np.int64)
@@ -111,23 +129,35 @@ def utf8_bytes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def lattices(chars: np.ndarray, ptr: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """For each node of all pre-tokens (one after the other), by length of the last piece: cumulative conditional
-    probability and the piece's id (-1: byte pieces). ``ptr``: first characters, one more at the end."""
-    n, lengths = len(chars), np.diff(ptr)
-    widest = min(pieces.longest, int(lengths.max()))
+def matches(chars: np.ndarray, place: np.ndarray, widest: int, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """For each character, by length of a piece that ends there: the piece's log weight (-inf: none) and id (-1: byte pieces,
+    or none). ``place``: the character's number in its pre-token."""
+    n = len(chars)
     logs = np.full((n, widest), -np.inf, np.float32)
     ids = np.full((n, widest), -1, np.int32)
-    local = np.arange(n, dtype=np.int32) - np.repeat(ptr[:-1], lengths).astype(np.int32)
-    prints = RollingPrints(chars)
+    start, prints = np.arange(n), np.zeros(n, np.uint64)
     for size in range(1, widest + 1):
-        end = np.flatnonzero(local >= size - 1)
-        at, found = pieces.find(prints.spans(end - (size - 1), size))
-        logs[end[at], size - 1] = pieces.logs[found]
-        ids[end[at], size - 1] = pieces.ids[found]
+        if size > 1:
+            end = start + size - 1
+            stay = end < n
+            stay[stay] = place[end[stay]] == place[start[stay]] + size - 1
+            start, prints = start[stay], prints[stay]
+        prints = longer(prints, chars[start + size - 1])
+        at, found = pieces.find(prints)
+        logs[start[at] + size - 1, size - 1] = pieces.logs[found]
+        ids[start[at] + size - 1, size - 1] = pieces.ids[found]
     bare = ids[:, 0] < 0
     logs[bare, 0] = pieces.byte_log * utf8_bytes(chars[bare])[1]
-    alpha = np.zeros(n, np.float32)
+    return logs, ids
+
+
+def lattices(chars: np.ndarray, ptr: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """For each node of all pre-tokens (one after the other), by length of the last piece: cumulative conditional
+    probability and the piece's id (-1: byte pieces). ``ptr``: first characters, one more at the end."""
+    n, lengths = len(chars), np.diff(ptr)
+    widest = min(pieces.longest, int(lengths.max()))
+    logs, ids = matches(chars, np.arange(n) - np.repeat(ptr[:-1], lengths), widest, pieces)
+    alpha = np.zeros(n)
     order = np.argsort(-lengths, kind="stable")
     first, lengths = ptr[:-1][order], lengths[order]
     for p in range(int(lengths[0])):
@@ -146,45 +176,138 @@ def lattices(chars: np.ndarray, ptr: np.ndarray, pieces: Pieces) -> tuple[np.nda
     return logs, ids
 
 
-def encode(texts: list[str], keys: np.ndarray, pieces: Pieces, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts' sampled pieces, and each text's first place among them (one more at the end)."""
-    sizes = np.array([len(x) + 1 if x else 0 for x in texts], np.int64)
-    chars = np.frombuffer("".join([f" {x}" if x else "" for x in texts]).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
-    chars[chars == _MARK] = _LITERAL
-    chars[chars == 0x20] = _MARK
-    text_first = np.concatenate([[0], np.cumsum(sizes)])
-    if not len(chars):
-        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-    begin = pieces.lone[chars]
-    begin[1:] |= pieces.lone[chars[:-1]] | ((chars[1:] == _MARK) & (chars[:-1] != _MARK))
-    begin[text_first[:-1][sizes > 0]] = True
-    starts = np.flatnonzero(begin)
-    ends = np.append(starts[1:], len(chars))
-    _, one, which = np.unique(span_hashes(chars, starts, ends), return_index=True, return_inverse=True)
+def stretch_weights(chars: np.ndarray, lo: int, hi: int, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ids of the pieces that end at characters ``lo`` to ``hi`` of one pre-token, in rows of ``STEPS`` characters
+    (the last one filled up with nodes that only lead on)."""
+    back = max(0, lo - pieces.longest + 1)
+    logs, ids = matches(chars[back:hi], np.arange(back, hi), pieces.longest, pieces)
+    weight, ids = np.exp(logs[lo - back :].astype(float)), ids[lo - back :]
+    more = -(hi - lo) % STEPS
+    weight = np.concatenate([weight, np.zeros((more, pieces.longest))])
+    weight[hi - lo :, 0] = 1.0
+    return weight.reshape(-1, STEPS, pieces.longest), ids
+
+
+def limits_of(chars: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """The weights of the last ``longest`` nodes before each segment of one pre-token, each up to a factor of its own."""
+    w, state, out = pieces.longest, np.zeros(pieces.longest), []
+    state[0] = 1.0
+    for lo in range(0, len(chars), STRETCH):
+        weight, _ = stretch_weights(chars, lo, min(lo + STRETCH, len(chars)), pieces)
+        past = np.broadcast_to(np.eye(w), (len(weight), w, w)).copy()  # segment, node back, weight before the segment
+        for k in range(STEPS):
+            new = (weight[:, k, None, :] @ past)[:, 0]
+            past = np.concatenate([new[:, None], past[:, :-1]], axis=1)
+            past /= past.max(axis=(1, 2), keepdims=True)
+        for step in past:
+            out.append(state)
+            state = step @ state
+            state = state / state.max()
+    return np.array(out)
+
+
+def sample_long(chars: np.ndarray, draws: np.ndarray, pieces: Pieces) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sampled pieces of one long pre-token for each of its occurrences: ids (-1: byte pieces) and last characters, in order."""
+    state, node = limits_of(chars, pieces), [len(chars) - 1] * len(draws)
+    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in draws]
+    for lo in range((len(chars) - 1) // STRETCH * STRETCH, -1, -STRETCH):
+        hi = min(lo + STRETCH, len(chars))
+        weight, ids = stretch_weights(chars, lo, hi, pieces)
+        past = state[lo // STEPS : lo // STEPS + len(weight)]
+        chance = np.empty_like(weight)
+        for k in range(STEPS):
+            chance[:, k] = np.cumsum(weight[:, k] * past, axis=1)
+            new = chance[:, k, -1:].copy()
+            chance[:, k] /= new
+            past = np.concatenate([new, past[:, :-1]], axis=1)
+            past = past / past.max(axis=1, keepdims=True)
+        chance = chance.reshape(-1, pieces.longest)[: hi - lo]
+        chance[:, -1] = 2.0
+        for i, draw in enumerate(draws):
+            u = uniform(draw, np.arange(lo, hi))
+            size = (chance <= u[:, None]).sum(axis=1)
+            jumps, at, path = size.tolist(), node[i], []
+            while at >= lo:
+                path.append(at)
+                at -= jumps[at - lo] + 1
+            node[i] = at
+            path = np.array(path[::-1], np.int64)
+            found[i].append((ids[path - lo, size[path - lo]], chars[path]))
+    return [(np.concatenate([x for x, _ in part[::-1]]), np.concatenate([c for _, c in part[::-1]])) for part in found]
+
+
+def uniform(draw: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """A number in [0, 1) for a node of a pre-token's occurrence."""
+    return (mix(draw + node.astype(np.uint64)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+
+
+def sample_short(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray, draws: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sampled pieces of pre-tokens: ids (-1: byte pieces) and last characters, all in order, and the number of each."""
+    one, which = distinct_spans(chars.view(np.uint8), 4 * starts, 4 * ends)
     lengths = (ends - starts)[one]
     ptr = np.concatenate([[0], np.cumsum(lengths)])
     own = chars[np.repeat(starts[one] - ptr[:-1], lengths) + np.arange(ptr[-1])]
     chance, ids = lattices(own, ptr, pieces)
-
-    row = np.searchsorted(text_first, starts, "right") - 1
-    draw = mix(mix(keys[row] ^ np.uint64(seed)) + (starts - text_first[row]).astype(np.uint64))
     alive, node, floor = np.arange(len(starts)), ptr[which + 1] - 1, ptr[which]
-    taken, nodes, step, count = [], [], 0, np.zeros(len(starts), np.int64)
+    taken, count = [], np.zeros(len(starts), np.int64)
     while len(alive):
-        u = (mix(draw[alive] + np.uint64(step)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+        u = uniform(draws[alive], node - floor[alive])
         size = (chance[node] <= u[:, None]).sum(axis=1)
         taken.append((alive, ids[node, size], own[node]))
         count[alive] += 1
         node = node - size - 1
         stay = node >= floor[alive]
         alive, node = alive[stay], node[stay]
-        step += 1
     first = np.concatenate([[0], np.cumsum(count)])
     out, codes = np.empty(first[-1], np.int32), np.empty(first[-1], np.uint32)
     for k, (at, piece, code) in enumerate(taken):  # the last pieces were drawn first
         out[first[at + 1] - 1 - k] = piece
         codes[first[at + 1] - 1 - k] = code
-    limits = first[np.searchsorted(starts, text_first)]
+    return out, codes, count
+
+
+def sample(chars: np.ndarray, starts: np.ndarray, draws: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``sample_short`` of all pre-tokens, the long ones filtered in segments."""
+    ends = np.append(starts[1:], len(chars))
+    long = np.flatnonzero(ends - starts > LONG)
+    if not len(long):
+        return sample_short(chars, starts, ends, draws, pieces)
+    short = np.flatnonzero(ends - starts <= LONG)
+    count = np.zeros(len(starts), np.int64)
+    parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    one, which = distinct_spans(chars.view(np.uint8), 4 * starts[long], 4 * ends[long])
+    for k, i in enumerate(long[one].tolist()):
+        same = long[which == k]
+        for j, found in zip(same.tolist(), sample_long(chars[starts[i] : ends[i]], draws[same], pieces), strict=True):
+            parts[j], count[j] = found, len(found[0])
+    out, codes, few = sample_short(chars, starts[short], ends[short], draws[short], pieces) if len(short) else (np.zeros(0, np.int32), np.zeros(0, np.uint32), count[short])
+    count[short] = few
+    first = np.concatenate([[0], np.cumsum(count)])
+    every, last = np.empty(first[-1], np.int32), np.empty(first[-1], np.uint32)
+    at = np.repeat(first[short] - (np.cumsum(few) - few), few) + np.arange(len(out))
+    every[at], last[at] = out, codes
+    for j, (ids, code) in parts.items():
+        every[first[j] : first[j + 1]], last[first[j] : first[j + 1]] = ids, code
+    return every, last, count
+
+
+def encode_part(texts: list[str], keys: np.ndarray, base: int, pieces: Pieces, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """``encode`` of texts that each begin with a space; ``base``: the place of that space in a longer text."""
+    sizes = np.array([len(x) for x in texts], np.int64)
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    chars[chars == _MARK] = _LITERAL
+    chars[chars == 0x20] = _MARK
+    text_first = np.concatenate([[0], np.cumsum(sizes)])
+    if not len(chars):
+        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+    begin = pieces.lone[chars]
+    begin[1:] |= pieces.lone[chars[:-1]] | ((chars[1:] == _MARK) & (chars[:-1] != _MARK))
+    begin[text_first[:-1][sizes > 0]] = True
+    starts = np.flatnonzero(begin)
+    row = np.searchsorted(text_first, starts, "right") - 1
+    draws = mix(mix(keys[row] ^ np.uint64(seed)) + (starts - text_first[row] + base).astype(np.uint64))
+    out, codes, count = sample(chars, starts, draws, pieces)
+    limits = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(starts, text_first)]
     bare = np.flatnonzero(out < 0)
     if len(bare):
         raw, n = utf8_bytes(codes[bare])
@@ -199,6 +322,21 @@ def encode(texts: list[str], keys: np.ndarray, pieces: Pieces, seed: int = SEED)
     return out, limits
 
 
+def encode(texts: list[str], keys: np.ndarray, pieces: Pieces, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts' sampled pieces, and each text's first place among them (one more at the end)."""
+    if len(texts) > 1 or not texts or len(texts[0]) <= BLOCK:
+        return encode_part([f" {x}" if x else "" for x in texts], keys, 0, pieces, seed)
+    text, parts, lo = texts[0], [], 0
+    edge = re.compile("[^ ] ")
+    while lo < len(text):
+        found = edge.search(text, lo + BLOCK) if lo + BLOCK < len(text) else None
+        hi = found.end() - 1 if found else len(text)
+        parts.append(encode_part([text[lo:hi] if lo else " " + text[:hi]], keys, lo + 1 if lo else 0, pieces, seed)[0])
+        lo = hi
+    ids = np.concatenate(parts)
+    return ids, np.array([0, len(ids)])
+
+
 def decode(ids: np.ndarray, limits: np.ndarray, pieces: Pieces) -> list[bytes]:
     """The texts that the pieces stand for, as UTF-8."""
     data, at = pieces.joined_bytes(ids)

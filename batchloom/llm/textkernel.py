@@ -1,8 +1,11 @@
 """Words of whole texts as 64-bit fingerprints, computed over Arrow buffers by numpy.
 
-A batch of texts is one byte buffer. Word limits come from a byte table, and a word's fingerprint from prefix sums of a
-polynomial in an odd base modulo 2**64, so no Python object exists for a word. Buffers are walked in blocks of about
-``BLOCK`` bytes: memory follows the block and one text's number of words, never the batch.
+A batch of texts is one byte buffer. Word limits come from a byte table. A span's fingerprint reads its bytes eight at a
+time: each such word is mixed with its place by a bijection that is not linear, the results are added and mixed with the
+span's length. So no Python object exists for a word, and texts of two letters with a regular pattern collide no sooner than
+others. Fingerprints only propose that spans are equal: ``distinct_spans`` and ``same_spans`` compare the bytes.
+
+Spans are read ``AT_ONCE`` bytes at a time, so memory follows a text's number of words and nothing stays behind.
 """
 
 from __future__ import annotations
@@ -13,9 +16,8 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_tables: dict[str, np.ndarray] = {}
+#: Bytes of spans that are mixed in one step.
+AT_ONCE = 1 << 21
 
 #: White space of the contracts: U+0020 and U+0009 to U+000D.
 SPACE = np.zeros(256, bool)
@@ -24,6 +26,9 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NO_LETTER = np.array([b < 0x80 and not chr(b).isalpha() for b in range(256)])
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 SAME = np.arange(256, dtype=np.uint8)
+#: Masks of the first 0 to 8 bytes of a word.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -36,39 +41,87 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse; the table grows to the longest buffer seen, a block in the usual case."""
-    if len(_tables.get("base", ())) < n:
-        size = max(BLOCK + 2048, 1 << (n - 1).bit_length())
-        for name, x in (("base", _BASE), ("inverse", _INVERSE)):
-            column = np.full(size, x)
-            column[0] = 1
-            _tables[name] = np.cumprod(column)
-    return _tables["base"], _tables["inverse"]
+def _unaligned(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on (zeros after the end)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Fingerprints of byte spans of ``data`` (ends exclusive, spans not empty)."""
-    power, inverse = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def _words_of(at: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of spans in words of eight, each word's place in its span, and each span's first word (one more at the end)."""
+    counts = (ends - starts + 7) >> 3
+    firsts = np.concatenate([[0], np.cumsum(counts)])
+    place = np.arange(firsts[-1]) - np.repeat(firsts[:-1], counts)
+    where = np.repeat(starts, counts) + 8 * place
+    words = at[where]
+    words &= _MASKS[np.minimum(np.repeat(ends, counts) - where, 8)]
+    return words, place, firsts
 
 
-class RollingPrints:
-    """Fingerprints of many spans of the same length, as ``span_hashes`` gives them, with the prefix sums taken once."""
+def _chunks(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of spans of about ``AT_ONCE`` bytes, or of one span."""
+    total, lo = np.cumsum(ends - starts), 0
+    while lo < len(starts):
+        done = int(total[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(total, done + AT_ONCE, "right")))
+        yield lo, hi
+        lo = hi
 
-    def __init__(self, data: np.ndarray):
-        power, self.inverse = _powers(len(data) + 1)
-        self.total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=self.total[1:])
 
-    def spans(self, starts: np.ndarray, size: int) -> np.ndarray:
-        h = self.total[starts + size]
-        h -= self.total[starts]
-        h *= self.inverse[starts]
-        h += np.uint64(size)
-        return mix(h)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Fingerprints of byte spans of ``data`` (ends exclusive, spans not empty)."""
+    at, out = _unaligned(data), np.empty(len(starts), np.uint64)
+    for lo, hi in _chunks(starts, ends):
+        s, e = starts[lo:hi], ends[lo:hi]
+        total = mix((at[s] & _MASKS[np.minimum(e - s, 8)]) + mix(np.ones(1, np.uint64)))
+        long = np.flatnonzero(e - s > 8)
+        if len(long):
+            words, place, firsts = _words_of(at, s[long] + 8, e[long])
+            total[long] += np.add.reduceat(mix(words + mix((place + 1).astype(np.uint64) * _STEP + np.uint64(1))), firsts[:-1])
+        out[lo:hi] = mix(total + (e - s).astype(np.uint64) * _STEP)
+    return out
+
+
+def same_spans(data: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Which spans ``a`` have the bytes of their spans ``b`` (not empty)."""
+    out = a_ends - a_starts == b_ends - b_starts
+    maybe, at = np.flatnonzero(out), _unaligned(data)
+    a_starts, a_ends, b_starts, b_ends = a_starts[maybe], a_ends[maybe], b_starts[maybe], b_ends[maybe]
+    for lo, hi in _chunks(a_starts, a_ends):
+        a, _, firsts = _words_of(at, a_starts[lo:hi], a_ends[lo:hi])
+        b, _, _ = _words_of(at, b_starts[lo:hi], b_ends[lo:hi])
+        out[maybe[lo:hi]] = np.logical_and.reduceat(a == b, firsts[:-1])
+    return out
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct key, and each key's number among the distinct ones."""
+    order = np.argsort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prints: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct span, and each span's number among them. Equal numbers mean equal bytes."""
+    one, number = grouped(span_hashes(data, starts, ends) if prints is None else prints)
+    like = one[number]
+    other = np.flatnonzero(like != np.arange(len(like)))
+    odd = other[~same_spans(data, starts[other], ends[other], starts[like[other]], ends[like[other]])]
+    if len(odd):  # fingerprints met by chance: these spans are told apart by their bytes
+        found: dict[bytes, int] = {}
+        more = []
+        for i in odd.tolist():
+            key = data[starts[i] : ends[i]].tobytes()
+            if key not in found:
+                found[key] = len(one) + len(more)
+                more.append(i)
+            number[i] = found[key]
+        one = np.append(one, more)
+    return one, number
 
 
 def word_spans(data: np.ndarray, cuts: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
@@ -104,45 +157,25 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK, most: int = 1 << 15) -> Iter
         lo = hi
 
 
-def long_text_cuts(data: np.ndarray, gap: np.ndarray = SPACE) -> Iterator[tuple[int, int]]:
-    """Pieces of one text of about ``BLOCK`` bytes that end after a ``gap`` byte (or where there is none, at the end)."""
-    lo = 0
-    while lo < len(data):
-        hi = lo + BLOCK
-        while hi < len(data) and not gap[data[hi - 1]]:
-            more = np.flatnonzero(gap[data[hi : hi + BLOCK]])
-            hi = hi + int(more[0]) + 1 if len(more) else hi + BLOCK
-        yield lo, min(hi, len(data))
-        lo = hi
-
-
 def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = LOWER, gap: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of the words of some texts in order, and each text's first place among them (one more at the end).
 
     ``prefixes``: each word is followed by the fingerprints of its first so many bytes.
     """
-    if prefixes:
-        every = [_hashes(data, offsets, fold, gap, k) for k in (0, *prefixes)]
-        return np.stack([h ^ mix(np.full(1, k, np.uint64)) for k, (h, _) in zip((0, *prefixes), every, strict=True)], axis=1).ravel(), every[0][1] * len(every)
-    return _hashes(data, offsets, fold, gap, 0)
-
-
-def _hashes(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray, gap: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """``most``: only so many first bytes of each word count, if not 0."""
-    if len(data) <= BLOCK + 1000:
-        data = fold[data]
-        s, e = word_spans(data, offsets, gap)
-        return span_hashes(data, s, np.minimum(e, s + most) if most else e), np.searchsorted(s, offsets)
-    parts, firsts, done = [np.zeros(0, np.uint64)], np.zeros(len(offsets), np.int64), 0
-    for row in range(len(offsets) - 1):
-        text = data[offsets[row] : offsets[row + 1]]
-        for lo, hi in long_text_cuts(text, gap):
-            piece = fold[text[lo:hi]]
-            s, e = word_spans(piece, np.zeros(0, np.int64), gap)
-            parts.append(span_hashes(piece, s, np.minimum(e, s + most) if most else e))
-            done += len(s)
-        firsts[row + 1] = done
-    return np.concatenate(parts), firsts
+    data = fold[data]
+    s, e = word_spans(data, offsets, gap)
+    firsts = np.searchsorted(s, offsets)
+    if not prefixes:
+        return span_hashes(data, s, e), firsts
+    every = [span_hashes(data, s, np.minimum(e, s + k) if k else e) ^ mix(np.full(1, k, np.uint64)) for k in (0, *prefixes)]
+    return np.stack(every, axis=1).ravel(), firsts * len(every)
+
+
+def window_places(firsts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For all windows of ``width`` words inside one text: their text's row, and the place of their first word."""
+    counts = np.maximum(np.diff(firsts) - width + 1, 0)
+    rows = np.repeat(np.arange(len(counts)), counts)
+    return rows, np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(firsts[:-1], counts)
 
 
 def windows(words: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,11 +183,22 @@ def windows(words: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.ndarr
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    counts = np.maximum(np.diff(firsts) - width + 1, 0)
-    rows = np.repeat(np.arange(len(counts)), counts)
-    at = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(firsts[:-1], counts)
+    rows, at = window_places(firsts, width)
     h = np.zeros(n, np.uint64)
     for k in range(width):
         h = (h ^ words[k : n + k]) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
     return mix(h)[at], rows, at
+
+
+def window_numbers(numbers: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A number for each window (``at``: first words); equal numbers mean equal words, whatever the fingerprints."""
+    if not len(at):
+        return np.zeros(0, np.int64)
+    prints, _, _ = windows(mix(numbers.astype(np.uint64)), np.array([0, len(numbers)]), width)
+    one, group = grouped(prints[at])
+    like = at[one][group]
+    for k in range(width):
+        if (numbers[at + k] != numbers[like + k]).any():  # met by chance: compare the words
+            return np.unique(np.stack([numbers[at + k] for k in range(width)], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+    return group

@@ -4,9 +4,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
-from batchloom.llm import minhash
-from batchloom.llm.minhash import BANDS, ROWS, elements, near_duplicates, shingle_keys, sketches
+from batchloom.llm import minhash, textkernel
+from batchloom.llm.minhash import BANDS, ROWS, elements, near_duplicates, one_of_each_group, shingle_keys, shingle_numbers, sketches
 from batchloom.llm.textkernel import BLOCK
+from tests.llm.test_token_counts import regular
 
 
 def shingles(text):
@@ -86,3 +87,55 @@ def test_blocks_do_not_change_shingles():
     assert np.diff(firsts).tolist() == [len(shingles(text)), 2]
     alone, _ = shingle_keys(pa.array(["a b c d e f"]))
     assert set(elements(keys, 2)[firsts[1] :].tolist()) == set(elements(alone, 1).tolist())
+
+
+def test_regular_words_are_told_apart(spark):
+    rows, i = [], 0
+    for n in (1024, 2048, 4096, 8192):
+        for a, b in ("ab", "th"):
+            x, y = regular(n, a, b)
+            for text in (x, y, f"{x} {y}", f"{y} {x}", f"{x} {x} {x} {x} {x} {y}", f"{x} {x} {x} {x} {x} {x}"):
+                rows.append((i, text))
+                i += 1
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_links_do_not_rest_on_fingerprints(monkeypatch):
+    monkeypatch.setattr(minhash, "span_hashes", lambda data, s, e: np.ones(len(s), np.uint64))
+    monkeypatch.setattr(textkernel, "span_hashes", lambda data, s, e: np.ones(len(s), np.uint64))
+    texts = pa.array(["a b c d e f g", "a b c d e f h", "x y z", "x y z", "q r s", "", "p q r s t u v"])
+    found = minhash.Shingles(texts)
+    assert found.counts.tolist() == [len(shingles(t)) for t in texts.to_pylist()]
+    numbers, firsts = shingle_numbers(texts)
+    sets = [set(numbers[a:b].tolist()) for a, b in zip(firsts, firsts[1:])]
+    want = [shingles(t) for t in texts.to_pylist()]
+    assert [[len(x & y) for x in sets] for y in sets] == [[len(x & y) for x in want] for y in want]
+
+
+@pytest.mark.parametrize("copies", ["exact", "near"])
+def test_one_group_of_half_the_rows(spark, monkeypatch, copies):
+    monkeypatch.setattr(minhash, "PART_SHINGLES", 2000)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(500)]
+    base = [rng.choice(vocab) for _ in range(90)]
+    rows = []
+    for i in range(300):
+        words = list(base) if i % 2 else [rng.choice(vocab) for _ in range(60)]
+        if i % 2 and copies == "near":
+            for _ in range(rng.randrange(1, 3)):
+                words[rng.randrange(90)] = rng.choice(vocab)
+        rows.append((1000 - i, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    assert got == brute(rows)
+
+
+def test_an_id_with_several_texts(spark):
+    a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve thirteen", "one two  three four five six seven")
+    rows = [(3, a, {"k": "v"}), (3, b, {"k": "w"}), (4, c, None), (3, a, {"k": "v"}), (None, a, None), (5, None, None), (6, " ", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,string>")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(df.filter("doc_id IS NOT NULL")).collect())
+    assert got == [(3, 3, True)] * 3 + [(4, 3, False), (5, 5, True), (6, 6, True)]
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in one_of_each_group(df).collect()))
+    assert kept == sorted([(3, a), (3, b), (0, a), (5, ""), (6, " ")])

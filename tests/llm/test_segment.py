@@ -1,13 +1,17 @@
 import math
+import random
+import string
+import time
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import sentencepiece
+from batchloom.llm import segment as module
 from batchloom.llm.segment import Pieces, decode, decode_rows, encode, segment
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tests.llm.test_token_counts import ODD, PATH
+from tests.llm.test_token_counts import ODD, PATH, regular
 
 with open(PATH, "rb") as f:
     PIECES = Pieces(f.read())
@@ -53,3 +57,45 @@ def test_rows_do_not_depend_on_partitions(spark):
     assert all(back[i] == (t or "") for i, t, _ in rows)
     assert decode_rows(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")).first().text == ""
     assert segment(df.filter("false")).count() == 0
+
+
+def words(n, letters, seed=1):
+    rng = random.Random(seed)
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+def test_segments_of_long_runs_do_not_change_samples(monkeypatch):
+    runs = [words(n, letters) for n in (513, 700, 5000) for letters in (string.ascii_letters + string.digits, "ab", "é漢字a")]
+    texts = [*runs, f"{runs[1]} x {runs[1]} y {runs[2]}"]
+    keys = np.arange(len(texts), dtype=np.uint64)
+    monkeypatch.setattr(module, "LONG", 10**9)
+    whole = encode(texts, keys, PIECES)
+    monkeypatch.setattr(module, "LONG", 64)
+    for stretch in (256, 1024, 1 << 16):
+        monkeypatch.setattr(module, "STRETCH", stretch)
+        ids, limits = encode(texts, keys, PIECES)
+        assert (limits == whole[1]).all() and (ids == whole[0]).all()
+
+
+def test_long_texts_are_walked_in_parts(monkeypatch):
+    text = " ".join(words(1 + i % 9, "etaoin", i) for i in range(5000))
+    whole = encode([text], np.array([5], np.uint64), PIECES)[0]
+    monkeypatch.setattr(module, "BLOCK", 1000)
+    ids, limits = encode([text], np.array([5], np.uint64), PIECES)
+    assert (ids == whole).all() and decode(ids, limits, PIECES) == [text.encode()]
+
+
+def test_time_follows_the_length_of_a_run():
+    for letters in (string.ascii_lowercase, "a"):
+        text = words(1 << 19, letters)
+        begin = time.monotonic()
+        ids, limits = encode([text], np.zeros(1, np.uint64), PIECES)
+        assert time.monotonic() - begin < 30 and decode(ids, limits, PIECES) == [text.encode()]
+
+
+def test_regular_words_come_back():
+    for n in (1024, 8192):
+        for a, b in ("ab", "th"):
+            texts = [" ".join(regular(n, a, b)), regular(n, a, b)[1]]
+            ids, limits = encode(texts, np.arange(2, dtype=np.uint64), PIECES)
+            assert decode(ids, limits, PIECES) == [t.encode() for t in texts]

@@ -1,49 +1,56 @@
-"""Operator 6: near-duplicate vectors by robust-pruned flat graphs over overlapping cluster shards.
-
-Only vectors with equal labels (and lengths) are compared, by cosine in double precision. Identical vectors are one node
-with a count. Each label's vectors go to the cells of its centroids (k-means over a bounded sample, at most ``SAMPLE`` rows
-in all): to the nearest, and to every other whose cosine is within ``MARGIN`` of it, so cells overlap. Cells are dealt into
-shards of about ``BLOCK`` vectors, and a graph is built on each: candidates by similarity, robust pruning (a neighbour goes
-if a kept one is nearer to it than the node, by the factor ``ALPHA``), edges in both directions. A vector's adjacency lists
-from all its shards are united.
-
-Search runs shard against shard inside a cell. All queries walk in step from the shard's medoid, and from a node of each
-part of the graph that no edge joins to it, with a beam; then every
-node in range is expanded until no new node in range turns up. What they meet is verified by the double cosine. A pair
-that shares several cells is counted in the first of them only, and is compared there by a product whether or not a walk
-meets it, so nothing is lost to that rule. Tasks hand out one row a vector (number of links, smallest id of the local
-component), never pairs.
+"""Operator 6: near-duplicate vectors by a robust-pruned flat graph over overlapping cluster shards.
+
+Only vectors with equal labels (and lengths) are compared, by cosine in double precision. Identical vectors of a label are
+one node with a count.
+
+Build: a label's nodes are split by k-means, level by level, into build shards of about ``BUILD`` nodes, each node going to the
+two nearest, so shards overlap. Centroids of a part come from a sample of it whose size follows their number; they are
+fitted in the part's own task and meet its nodes in a shuffle, so nothing grows on the driver or in a broadcast. A shard's
+graph links a node to robust-pruned near ones (a neighbour goes if a kept one is nearer to it than the node, by the factor
+``ALPHA``), in both directions. The adjacency lists of a node from all its shards are united into one flat graph a label.
+
+Search: a label of up to ``SHARD`` nodes is one search cell; larger ones are split in the same way into cells, where a node is
+at home in the nearest and a guest in all others within ``MARGIN`` of it, with its united list. Every node of a cell is a
+query: it walks greedily from the cell's medoid with a beam, then expands every node in range, with some slack, until no new
+one turns up. A query is itself a node, so its walk can be checked: where it did not arrive at its own node, that node is
+entered by hand. Nodes in range are verified by the double cosine and counted in their home cell only. A guest in range
+whose home the query is not in sends the query there, with the guest as a further start, until no query moves: so a search
+follows edges into any cell. Tasks hand out one row a query (number of links, smallest id of the local component), never
+pairs. At ``SHARD`` nodes a walk meets under a tenth of them.
 
 The audit compares the links of all rows whose id is divisible by 50 with brute force over all rows, in blocks of queries
 against blocks of rows. Recall is the mean over a label's queries of the share of links found, so a hot group weighs no more
-than its queries. While a label's recall is below ``TARGET``, margin and beam double for it. If that does not do, all vectors of
-the label are compared by products, block against block, without cells or graphs, which is exhaustive. A label whose queries
-have no links is not measured: it is compared so at once.
+than its queries. While a label's recall is below ``TARGET``, margin, beam and slack double for it. If that does not do, all
+vectors of the label are compared by products, block against block, which is exhaustive. A label whose queries have no links is
+not measured: it is compared so at once; so is one with a part that k-means cannot split.
 
 Edge cases: null, empty or zero vectors, vectors with null or non-finite components, null labels and null ids link with
-nothing (0 links, own component, kept); repeated rows count as vectors of their own with the same results; extra columns
-are ignored; an empty table gives an empty result. No group of copies or label is collected in one task.
+nothing (0 links, own component, kept); repeated rows count as vectors of their own with the same results, and rows that
+share an id but not their vector or label each have their own; extra columns are ignored; an empty table gives an empty
+result. No group of copies or label is collected in one task.
 """
 
 from __future__ import annotations
 
-import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import connected_components, map_groups, stored, table
+from batchloom.llm.common import connected_components, join_hot, map_groups, stored, table
 from batchloom.session import ship
 
 LEAST = 0.93
-SAMPLE = 20_000
-#: Vectors that a cell has on average (before overlap), and those of a shard.
-CELL, BLOCK = 256, 128
-LABELS = 1000
+#: Nodes of a build shard (before overlap) and most nodes of a search cell.
+BUILD, SHARD = 256, 8192
+#: Parts that one level of k-means makes at most, sampled nodes a centroid, levels.
+FAN, PER_CENTROID, LEVELS = 64, 16, 5
+#: Nodes that meet a part's centroids in one task, and queries of a cell in one task.
+SLICE, QUERIES = 4096, 2048
 MARGIN = 0.12
-DEGREE, CANDIDATES, ALPHA, BEAM = 24, 64, 1.2, 24
+DEGREE, CANDIDATES, ALPHA, BEAM, SLACK = 24, 64, 1.2, 24, 0.05
 AUDIT_ROWS, TARGET = 1024, 0.995
 #: Rows of a block of the last level.
 LAST_ROWS = 1024
@@ -80,47 +87,6 @@ def robust_graph(x: np.ndarray) -> list[np.ndarray]:
     return [order[i][kept[i]] for i in range(n)]
 
 
-def search(queries: np.ndarray, nodes: np.ndarray, edges: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) in range: greedy walks from the medoid with a beam, then expansion of everything in range.
-
-    ``edges``: adjacency of the nodes as a matrix; ``start``: a node more where each query's walk begins (-1: none).
-    """
-    nq, n = len(queries), len(nodes)
-    seen, open_ = np.zeros((nq, n), bool), np.zeros((nq, n), bool)
-    value = np.full((nq, n), -2.0)
-
-    def visit(new: np.ndarray) -> None:
-        q, v = np.nonzero(new)
-        value[q, v] = np.einsum("ij,ij->i", queries[q], nodes[v])
-        seen[q, v] = open_[q, v] = True
-
-    first = np.zeros((nq, n), bool)
-    first[:, int(np.argmax(nodes @ nodes.mean(axis=0)))] = True
-    first[:, np.unique(components(n, *np.nonzero(edges), np.arange(n)))] = True
-    first[np.flatnonzero(start >= 0), start[start >= 0]] = True
-    visit(first)
-    active = np.arange(nq)
-    width = min(beam, n)
-    while len(active):
-        ready = np.where(open_[active], value[active], -3.0)
-        best = ready.argmax(axis=1)
-        bar = -np.partition(-value[active], width - 1, axis=1)[:, width - 1]
-        go = (ready[np.arange(len(active)), best] > -3.0) & (ready[np.arange(len(active)), best] >= bar)
-        active, best = active[go], best[go]
-        open_[active, best] = False
-        new = np.zeros((nq, n), bool)
-        new[active] = edges[best] & ~seen[active]
-        visit(new)
-    done = np.zeros((nq, n), bool)
-    while (front := (value >= LEAST) & ~done).any():
-        done |= front
-        some = np.flatnonzero(front.any(axis=1))
-        new = np.zeros((nq, n), bool)
-        new[some] = (front[some].astype(np.float32) @ edges.astype(np.float32) > 0) & ~seen[some]
-        visit(new)
-    return np.nonzero(value >= LEAST)
-
-
 def components(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Smallest id of each row's component over undirected pairs."""
     label = ids.copy()
@@ -134,62 +100,90 @@ def components(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndar
 
 
 def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Usable rows (``vec_id, grp, embedding``), and one node for each distinct vector of a label: ``grp, id, m, v`` (``asked``: the
-    audit asks for it, since a row of it has an id divisible by 50)."""
+    """Usable rows (``vec_id, grp, embedding``), and one node for each distinct vector of a label: ``grp, rep, m, v`` (``rep``: the
+    smallest id; ``asked``: the audit asks for it, since a row of it has an id divisible by 50)."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.filter("vec_id IS NOT NULL AND label IS NOT NULL AND size(embedding) > 0").filter(~bad)
     rows = rows.withColumn("most", F.array_max(F.transform("embedding", F.abs))).filter("most > 0")
     rows = rows.select("vec_id", F.concat_ws(":", F.size("embedding"), "label").alias("grp"), "embedding", "most")
-    nodes = rows.groupBy("grp", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"), F.first("most").alias("most"), F.max(F.col("vec_id") % 50 == 0).alias("asked"))
+    nodes = rows.groupBy("grp", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("most").alias("most"), F.max(F.col("vec_id") % 50 == 0).alias("asked"))
     scaled = F.transform("embedding", lambda x: x / F.col("most"))
     nodes = nodes.withColumn("embedding_", scaled).withColumn("norm", F.sqrt(F.aggregate("embedding_", F.lit(0.0), lambda a, x: a + x * x)))
-    return rows.drop("most"), nodes.select("grp", "id", "m", F.transform("embedding_", lambda x: x / F.col("norm")).alias("v"), "embedding", "asked")
-
-
-def fit_centroids(nodes: DataFrame) -> dict[str, np.ndarray]:
-    """Centroids of the largest labels, by k-means over a bounded sample."""
-    counts = nodes.groupBy("grp").count().filter(F.col("count") > CELL).orderBy(F.desc("count"), "grp").limit(LABELS)
-    cells = {r.grp: (r["count"], math.ceil(r["count"] / CELL)) for r in counts.collect()}
-    if not cells:
-        return {}
-    shrink = min(1.0, SAMPLE / 8 / sum(k for _, k in cells.values()))
-    take = [(g, min(1.0, 8 * max(1, int(k * shrink)) / n)) for g, (n, k) in cells.items()]
-    part = nodes.sparkSession.createDataFrame(take, "grp string, part double")
-    chance = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = nodes.join(F.broadcast(part), "grp").filter(chance < F.col("part")).orderBy("grp", F.xxhash64("id"), "id").limit(2 * SAMPLE).select("grp", "v").toPandas()
-    out = {}
-    for grp, some in sample.groupby("grp"):
-        x = np.stack(some["v"].to_numpy())
-        c = x[: max(1, int(cells[grp][1] * shrink))].copy()
+    return rows.drop("most"), nodes.select("grp", "rep", "m", F.transform("embedding_", lambda x: x / F.col("norm")).alias("v"), "embedding", "asked")
+
+
+def kmeans(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
+    """Centroids of each part from its sample; ``k``: how many."""
+    grp, cell, k = (rows.column(c).to_pylist() for c in ("grp", "cell", "k"))
+    vectors, out = rows.column("v").combine_chunks(), {"grp": [], "cell": [], "c": []}
+    for s, e in groups:
+        x = unit_rows(vectors.slice(s, e - s))
+        c = x[np.linspace(0, len(x) - 1, min(k[s], len(x))).astype(int)].copy()
         for _ in range(5):
             near = (x @ c.T).argmax(axis=1)
-            for k in np.unique(near):
-                total = x[near == k].sum(axis=0)
-                c[k] = total / max(np.linalg.norm(total), 1e-12)
-        out[grp] = c
-    return out
-
-
-def to_cells(nodes: DataFrame, centroids: dict[str, np.ndarray], margin: float) -> DataFrame:
-    """``grp, cell, id, m, v, cells``: a row for each cell of a node (the nearest, and all within ``margin`` of it)."""
-    ship(nodes.sparkSession)
-    shared = nodes.sparkSession.sparkContext.broadcast(centroids)
-
-    def run(batches):
-        for batch in batches:
-            cells: list[list[int]] = [[0]] * batch.num_rows
-            groups = np.array(batch.column("grp").to_pylist(), object)
-            for grp in set(groups):
-                if (c := shared.value.get(grp)) is not None:
-                    at = np.flatnonzero(groups == grp)
-                    near = unit_rows(batch.column("v").take(pa.array(at))) @ c.T
-                    for i, ok in zip(at, near >= near.max(axis=1, keepdims=True) - margin, strict=True):
-                        cells[i] = np.flatnonzero(ok).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("grp", "id", "m", "v")] + [pa.array(cells, pa.list_(pa.int32()))], ["grp", "id", "m", "v", "cells"])
-
-    placed = nodes.select("grp", "id", "m", "v").mapInArrow(run, "grp string, id bigint, m bigint, v array<double>, cells array<int>")
-    return placed.withColumn("cell", F.explode("cells"))
+            total = np.zeros_like(c)
+            np.add.at(total, near, x)
+            size = np.linalg.norm(total, axis=1, keepdims=True)
+            c = np.where(size > 1e-9, total / np.maximum(size, 1e-9), c)
+        out["grp"] += [grp[s]] * len(c)
+        out["cell"] += [cell[s]] * len(c)
+        out["c"] += c.tolist()
+    return pa.table({"grp": pa.array(out["grp"], pa.string()), "cell": pa.array(out["cell"], pa.string()), "c": pa.array(out["c"], pa.list_(pa.float64()))})
+
+
+def assign(rows: pa.Table, groups: list[tuple[int, int]], margin: float | None) -> pa.Table:
+    """Nodes (side 1) to the centroids (side 0) of their part: the two nearest, or all within a margin of the nearest."""
+    side, ids, home = (rows.column(c).to_numpy() for c in ("side", "id", "home"))
+    grp, cell = rows.column("grp").to_pylist(), rows.column("cell").to_pylist()
+    vectors = rows.column("v").combine_chunks()
+    out: dict[str, list] = {"grp": [], "cell": [], "home": [], "at": []}
+    for s, e in groups:
+        x = unit_rows(vectors.slice(s, e - s))
+        c, q = x[side[s:e] == 0], np.flatnonzero(side[s:e] == 1)
+        if not len(q):
+            continue
+        near = x[q] @ c.T
+        best = near.argmax(axis=1)
+        if margin is None:
+            bar = np.partition(near, -2, axis=1)[:, -2] if near.shape[1] > 1 else near[:, 0]
+            i, j = np.nonzero(near >= bar[:, None])
+        else:
+            i, j = np.nonzero(near >= near.max(axis=1, keepdims=True) - margin)
+        out["grp"] += [grp[s]] * len(i)
+        out["cell"] += [f"{cell[s]}/{k}" for k in j.tolist()]
+        out["home"].append(home[s:e][q][i] & (j == best[i]))
+        out["at"].append(q[i] + s)
+    at = np.concatenate(out["at"]) if out["at"] else np.zeros(0, np.int64)
+    flags = np.concatenate(out["home"]) if out["home"] else np.zeros(0, bool)
+    return pa.table({"grp": pa.array(out["grp"], pa.string()), "cell": pa.array(out["cell"], pa.string()), "home": pa.array(flags.astype(bool)), "id": pa.array(ids[at], pa.int64()), "v": vectors.take(pa.array(at))})
+
+
+def parts(nodes: DataFrame, size: int, margin: float | None) -> DataFrame:
+    """``grp, cell, home, id, v``: nodes in overlapping parts of about ``size``, split by k-means level by level."""
+    todo = nodes.select("grp", F.lit("").alias("cell"), F.lit(True).alias("home"), "id", "v")
+    done = None
+    for level in range(LEVELS):
+        counts = stored(todo.groupBy("grp", "cell").agg(F.count("*").alias("n")), "part-sizes")
+        most = size if level == 0 else 4 * size
+        ready = join_hot(todo, counts.withColumn("big", F.col("n") > most), ["grp", "cell"])
+        fine = ready.filter("NOT big").select("grp", "cell", "home", "id", "v")
+        done = fine if done is None else done.unionByName(fine)
+        big = counts.filter(F.col("n") > most)
+        if big.isEmpty():
+            return done
+        big = big.withColumn("k", F.least(F.lit(FAN), F.ceil(F.col("n") / size)).cast("int")).withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int"))
+        split = stored(join_hot(todo, big, ["grp", "cell"]), "parts")
+        # a part's number of rows is at least the sample's, so the chance is that of its count
+        chance = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) / float(1 << 30)
+        sizes = big.select("grp", "cell", "n", (PER_CENTROID * F.col("k") / F.col("n")).alias("part"))
+        sample = join_hot(split, sizes, ["grp", "cell"]).filter(chance < F.col("part")).select("grp", "cell", "k", "v")
+        cents = stored(map_groups(sample, ["grp", "cell"], "grp string, cell string, c array<double>", kmeans), "centroids")
+        one = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+        queries = split.select("grp", "cell", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("side"), "home", "id", "v")
+        centre = cents.join(big.select("grp", "cell", "slices"), ["grp", "cell"]).select("grp", "cell", one.alias("slice"), F.lit(0).alias("side"), F.lit(True).alias("home"), F.lit(0).cast("long").alias("id"), F.col("c").alias("v"))
+        todo = stored(map_groups(queries.union(centre), ["grp", "cell", "slice"], "grp string, cell string, home boolean, id bigint, v array<double>", partial(assign, margin=margin)), "assigned")
+    return done.unionByName(todo)
 
 
 def build(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
@@ -206,67 +200,190 @@ def build(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"id": pa.array(ids[both[0]], pa.int64()), "to": pa.array(ids[both[1]], pa.int64())})
 
 
-def membership(cells: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """The cells that rows are in, ascending, and which row is in which."""
-    names, at = np.unique(cells.flatten().to_numpy(), return_inverse=True)
-    member = np.zeros((len(cells), len(names)), bool)
-    member[np.repeat(np.arange(len(cells)), cells.value_lengths().to_numpy()), at] = True
-    return names, member
-
+def graph(nodes: DataFrame) -> DataFrame:
+    """``id, near``: the united adjacency list of every node with neighbours."""
+    shards = stored(parts(nodes, BUILD, None), "shards")
+    counts = shards.groupBy("grp", "cell").agg(F.count("*").alias("n"), F.ceil(F.count("*") / (4 * BUILD)).cast("int").alias("nb"))
+    dealt = join_hot(shards, stored(counts, "shard-sizes"), ["grp", "cell"])
+    # a shard that k-means could not split is dealt twice, so that its pieces overlap
+    twice = dealt.withColumn("deal", F.explode(F.when(F.col("nb") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    keyed = twice.select("grp", "cell", "deal", F.pmod(F.xxhash64("id", "deal"), F.col("nb")).cast("int").alias("p"), "id", "v")
+    edges = map_groups(keyed, ["grp", "cell", "deal", "p"], "id bigint, to bigint", build)
+    return stored(edges.groupBy("id").agg(F.collect_set("to").alias("near")), "adjacency")
 
-def found_table(grp: list[str], *columns: list[np.ndarray]) -> pa.Table:
-    whole = {k: pa.array(np.concatenate(v) if v else [], pa.int64()) for k, v in zip(("id", "n", "root"), columns, strict=True)}
-    return pa.table({"grp": pa.array(grp, pa.string()), **whole})
 
+def walk(queries: np.ndarray, own: np.ndarray, entries: list[np.ndarray], nodes: np.ndarray, near: np.ndarray, beam: int, slack: float) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Pairs (query, node) in range: greedy walks from the medoid with a beam, then expansion of everything in range.
 
-def searcher(beam: int):
+    ``own``: each query's place among the nodes (-1: none); ``entries``: further starts; ``near``: adjacency, -1 for none.
+    Also the number of nodes met, and of queries whose walk did not meet their own node.
+    """
+    nq, n, degree = len(queries), len(nodes), near.shape[1]
+    seen = np.zeros((nq, n), bool)
+    flat = seen.reshape(-1)
+    found_q, found_v, met = [], [], 0
+
+    def visit(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+        nonlocal met
+        flat[q * n + v] = True
+        met += len(q)
+        score = np.empty(len(q))
+        for lo in range(0, len(q), 1 << 16):
+            part = slice(lo, lo + (1 << 16))
+            score[part] = np.einsum("ij,ij->i", queries[q[part]], nodes[v[part]])
+        hit = score >= LEAST - slack
+        found_q.append(q[hit])
+        found_v.append(v[hit])
+        return score
+
+    every = np.arange(nq)
+    medoid = int(np.argmax(nodes @ nodes.mean(axis=0)))
+    ids, score, open_ = np.full((nq, beam), -1), np.full((nq, beam), -2.0), np.zeros((nq, beam), bool)
+    ids[:, 0], score[:, 0], open_[:, 0] = medoid, visit(every, np.full(nq, medoid)), True
+    for q, some in enumerate(entries):
+        some = some[some != medoid]
+        if len(some):
+            value = visit(np.full(len(some), q), some)
+            k = min(len(some), beam - 1)
+            top = np.argsort(-value)[:k]
+            ids[q, 1 : k + 1], score[q, 1 : k + 1], open_[q, 1 : k + 1] = some[top], value[top], True
+    active = every
+    while len(active):
+        ready = np.where(open_[active], score[active], -3.0)
+        best = ready.argmax(axis=1)
+        go = ready[np.arange(len(active)), best] > -3.0
+        active, best = active[go], best[go]
+        if not len(active):
+            break
+        open_[active, best] = False
+        to = near[ids[active, best]]
+        new = (to >= 0) & ~seen[active[:, None], to]
+        i, j = np.nonzero(new)
+        value = np.full(to.shape, -2.0)
+        value[i, j] = visit(active[i], to[i, j])
+        all_score = np.concatenate([score[active], value], axis=1)
+        top = np.argpartition(-all_score, beam - 1, axis=1)[:, :beam]
+        rows = np.arange(len(active))[:, None]
+        ids[active] = np.concatenate([ids[active], to], axis=1)[rows, top]
+        score[active] = all_score[rows, top]
+        open_[active] = np.concatenate([open_[active], new], axis=1)[rows, top]
+    lost = np.flatnonzero((own >= 0) & ~seen[every, np.maximum(own, 0)])
+    visit(lost, own[lost])
+    front_q, front_v = np.concatenate(found_q), np.concatenate(found_v)
+    while len(front_q):
+        found_q, found_v = found_q[:], found_v[:]
+        fresh = len(found_q)
+        step = max(1, (1 << 20) // degree)
+        for lo in range(0, len(front_q), step):
+            to = near[front_v[lo : lo + step]]
+            q = np.repeat(front_q[lo : lo + step], degree)
+            code = (q * n + to.ravel())[to.ravel() >= 0]
+            code = np.unique(code[~flat[code]])
+            visit(code // n, code % n)
+        front_q = np.concatenate([np.zeros(0, np.int64), *found_q[fresh:]])
+        front_v = np.concatenate([np.zeros(0, np.int64), *found_v[fresh:]])
+    q, v = np.concatenate(found_q), np.concatenate(found_v)
+    sure = np.concatenate([np.zeros(0, bool), *(np.einsum("ij,ij->i", queries[q[k : k + 65536]], nodes[v[k : k + 65536]]) >= LEAST for k in range(0, len(q), 65536))])
+    return q[sure], v[sure], met, len(lost)
+
+
+def searcher(beam: int, slack: float):
     def work(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
-        ids, m, cell, side, grp = (rows.column(c).to_numpy() for c in ("id", "m", "cell", "side", "grp"))
-        vectors, near, cells = (rows.column(c).combine_chunks() for c in ("v", "near", "cells"))
-        found_grp, found_id, found_n, found_root = [], [], [], []
+        ids, m, home, query, kind = (rows.column(c).to_numpy() for c in ("id", "m", "home", "query", "kind"))
+        grp, home_cell, cells, starts = (rows.column(c).to_pylist() for c in ("grp", "home_cell", "cells", "entries"))
+        vectors, lists = rows.column("v").combine_chunks(), rows.column("near").combine_chunks()
+        out: dict[str, list] = {"grp": [], "id": [], "n": [], "root": [], "go": []}
         for s, e in groups:
-            x, at = unit_rows(vectors.slice(s, e - s)), {int(i): k for k, i in enumerate(ids[s:e])}
-            edges = np.zeros((e - s, e - s), bool)
-            for k, to in enumerate(near.slice(s, e - s).to_pylist()):
-                edges[k, [at[j] for j in to or () if j in at]] = True
-            names, member = membership(cells.slice(s, e - s))
-            halves = [np.flatnonzero(side[s:e] == k) for k in (0, 1)]
-            pairs = [(halves[0], halves[0])] if not len(halves[1]) else [(halves[0], halves[1]), (halves[1], halves[0])]
-            a, b = [], []
-            for q, g in pairs:
-                start = np.arange(len(q)) if q is g else np.full(len(q), -1)
-                again = (member[q].astype(np.float32) @ member[g].T.astype(np.float32) > 1) & (x[q] @ x[g].T >= LEAST)
-                for i, j in (search(x[q], x[g], edges[np.ix_(g, g)], start, beam), np.nonzero(again)):
-                    a.append(q[i])
-                    b.append(g[j])
-            a, b = np.concatenate(a), np.concatenate(b)
-            code = np.unique(np.concatenate([a * (e - s) + b, b * (e - s) + a]))  # a link found from either end
-            a, b = code // (e - s), code % (e - s)
-            a, b = a[a != b], b[a != b]
-            mine = np.concatenate([np.zeros(0, bool), *((names[(member[a[k : k + 4096]] & member[b[k : k + 4096]]).argmax(axis=1)] == cell[s]) for k in range(0, len(a), 4096))])
-            a, b = a[mine], b[mine]
-            count = np.bincount(a, m[s:e][b], e - s).astype(np.int64)
-            root = components(e - s, a, b, ids[s:e])
-            hit = np.flatnonzero(count)
-            found_grp.extend([grp[s]] * len(hit))
-            found_id.append(ids[s:e][hit])
-            found_n.append(count[hit])
-            found_root.append(root[hit])
-        return found_table(found_grp, found_id, found_n, found_root)
+            local = s + np.flatnonzero(kind[s:e] == 0)
+            if not len(local):
+                continue
+            x, known = unit_rows(vectors.take(pa.array(local))), ids[local]
+            order = np.argsort(known)
+            place = lambda some: order[np.minimum(np.searchsorted(known[order], some), len(order) - 1)]  # noqa: B023, E731
+            near_lists = lists.take(pa.array(local))
+            owner = np.repeat(np.arange(len(local)), np.nan_to_num(near_lists.value_lengths().to_numpy(zero_copy_only=False)).astype(int))
+            targets = near_lists.flatten().to_numpy()
+            at = place(targets)
+            here = known[at] == targets
+            owner, at = owner[here], at[here]
+            count = np.bincount(owner, minlength=len(local))
+            near = np.full((len(local), max(1, int(count.max(initial=0)))), -1)
+            near[owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)] = at
+            asks = s + np.flatnonzero(query[s:e])
+            at_home, homes = home[local], np.array([home_cell[i] for i in local], object)
+            step = max(16, min(512, (1 << 24) // len(local)))
+            names = np.concatenate([known, ids[asks]])  # the nodes, and the queries once more: a visiting one is no node here
+            total, away, ties = np.zeros(len(names), np.int64), {}, [np.zeros((2, 0), np.int64)]
+            for lo in range(0, len(asks), step):
+                q = asks[lo : lo + step]
+                own = np.where((known[place(ids[q])] == ids[q]) & (kind[q] == 0), place(ids[q]), -1)
+                entries = []
+                for i in q:
+                    some = np.array(starts[i] or [], np.int64)
+                    hit = place(some)
+                    entries.append(hit[known[hit] == some] if len(some) else some)
+                a, b, _, _ = walk(unit_rows(vectors.take(pa.array(q))), own, entries, x, near, beam, slack)
+                other = ids[q][a] != known[b]
+                a, b = a[other], b[other]
+                me = np.where(own >= 0, own, len(local) + lo + np.arange(len(q)))
+                total[me] += np.bincount(a[at_home[b]], m[local][b[at_home[b]]], len(q)).astype(np.int64)
+                for i, v in zip(a[~at_home[b]].tolist(), b[~at_home[b]].tolist(), strict=True):
+                    if homes[v] not in cells[q[i]]:
+                        away.setdefault(int(me[i]), {}).setdefault(homes[v], int(known[v]))
+                label = components(len(names), me[a], b, np.arange(len(names)))
+                moved = np.flatnonzero(label != np.arange(len(names)))
+                ties.append(np.stack([moved, label[moved]]))
+            label = components(len(names), *np.concatenate(ties, axis=1), names)
+            linked = np.zeros(len(names), bool)
+            linked[np.concatenate(ties, axis=1).ravel()] = True
+            linked[list(away)] = True
+            for i in np.flatnonzero(linked | (total > 0)).tolist():
+                out["grp"].append(grp[s])
+                out["id"].append(int(names[i]))
+                out["n"].append(int(total[i]))
+                out["root"].append(int(label[i]))
+                out["go"].append([{"cell": c, "entry": v} for c, v in away.get(i, {}).items()])
+        types = (("grp", pa.string()), ("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64()), ("go", pa.list_(pa.struct([("cell", pa.string()), ("entry", pa.int64())]))))
+        return pa.table({k: pa.array(out[k], t) for k, t in types})
 
     return work
 
 
-def links(nodes: DataFrame, centroids: dict[str, np.ndarray], margin: float, beam: int) -> DataFrame:
-    """``grp, id, n, root`` of every node with links, one row for each task that found some."""
-    placed = stored(to_cells(nodes, centroids, margin), "cells")
-    size = placed.groupBy("grp", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    dealt = placed.join(size, ["grp", "cell"]).withColumn("p", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    edges = map_groups(dealt.select("grp", "cell", "p", "id", "v"), ["grp", "cell", "p"], "id bigint, to bigint", build)
-    near = stored(edges.groupBy("id").agg(F.collect_set("to").alias("near")), "adjacency")
-    both = dealt.join(near, "id", "left").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    keyed = both.select("grp", "cell", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), (F.col("p") > F.col("q")).cast("int").alias("side"), "id", "m", "v", "cells", "near")
-    return map_groups(keyed, ["grp", "cell", "lo", "hi"], FOUND, searcher(beam))
+def links(nodes: DataFrame, near: DataFrame, margin: float, beam: int, slack: float) -> tuple[DataFrame, DataFrame]:
+    """``grp, id, n, root`` of every node with links, one row for each cell that found some, and the labels with a cell that is
+    too large to search."""
+    placed = stored(parts(nodes, SHARD, margin), "cells")
+    sizes = stored(placed.groupBy("grp", "cell").agg(F.count("*").alias("n"), F.ceil(F.count("*") / QUERIES).cast("int").alias("slices")), "cell-sizes")
+    whole = sizes.filter(F.col("n") > 4 * SHARD).select("grp").distinct()
+    of = placed.groupBy("id").agg(F.collect_set("cell").alias("cells"), F.max(F.when(F.col("home"), F.col("cell"))).alias("home_cell"))
+    rows = placed.join(of, "id").join(near, "id", "left").join(nodes.select("id", "m"), "id").join(whole, "grp", "left_anti")
+    rows = stored(join_hot(rows, sizes, ["grp", "cell"]), "cell-rows")
+    own = F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")
+    none = F.lit(None).cast("array<bigint>")
+    copies = rows.withColumn("own", own).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    columns = ["grp", "cell", "slice", "kind", "query", "home", "id", "m", "v", "near", "cells", "home_cell", "entries"]
+    local = copies.select("grp", "cell", "slice", F.lit(0).alias("kind"), (F.col("slice") == F.col("own")).alias("query"), "home", "id", "m", "v", "near", "cells", "home_cell", none.alias("entries"))
+    schema = FOUND + ", go array<struct<cell:string,entry:bigint>>"
+    found = stored(map_groups(local.select(*columns), ["grp", "cell", "slice"], schema, searcher(beam, slack)), "found")
+    every, last = found, found
+    been = placed.select("grp", "cell", "id")
+    while True:
+        moves = last.select("grp", "id", F.explode("go").alias("g")).groupBy("grp", F.col("g.cell").alias("cell"), "id").agg(F.collect_set("g.entry").alias("entries"))
+        moves = stored(moves.join(been, ["grp", "cell", "id"], "left_anti"), "moves")
+        if moves.isEmpty():
+            return every.select("grp", "id", "n", "root"), whole
+        been = stored(been.union(moves.select("grp", "cell", "id")), "been")
+        now = stored(been.groupBy("id").agg(F.collect_set("cell").alias("cells")), "been-cells")
+        guests = moves.join(nodes.select("id", "v"), "id").join(now, "id").join(sizes.select("grp", "cell", "slices"), ["grp", "cell"])
+        visits = guests.select("grp", "cell", own.alias("slice"), F.lit(1).alias("kind"), F.lit(True).alias("query"), F.lit(False).alias("home"), "id", F.lit(0).cast("long").alias("m"), "v", none.alias("near"), "cells", F.lit(None).cast("string").alias("home_cell"), "entries")
+        hosts = local.withColumn("query", F.lit(False)).join(visits.select("grp", "cell", "slice").distinct(), ["grp", "cell", "slice"], "left_semi")
+        last = stored(map_groups(hosts.select(*columns).union(visits.select(*columns)), ["grp", "cell", "slice"], schema, searcher(beam, slack)), "found")
+        every = every.union(last)
+
+
+def found_table(grp: list[str], *columns: list[np.ndarray]) -> pa.Table:
+    whole = {k: pa.array(np.concatenate(v) if v else [], pa.int64()) for k, v in zip(("id", "n", "root"), columns, strict=True)}
+    return pa.table({"grp": pa.array(grp, pa.string()), **whole})
 
 
 def every_link(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
@@ -340,29 +457,35 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     where it measured nothing)."""
     ship(vectors.sparkSession)
     rows, nodes = nodes_of(vectors)
-    nodes = stored(nodes, "nodes")
-    plain = nodes.drop("embedding")
-    centroids = fit_centroids(plain)
+    nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    plain = nodes.drop("embedding", "rep")
     truth = stored(true_links(plain), "truth")
     found, scores = plain.sparkSession.createDataFrame([], FOUND), plain.sparkSession.createDataFrame([], "grp string, recall double")
     left = stored(truth.select("grp").distinct(), "measured")
-    for margin, beam in ((MARGIN, BEAM), (2 * MARGIN, 2 * BEAM)):
+    near = None
+    for wide in (1, 2):
         if left.isEmpty():
             break
-        some = stored(links(plain.join(left, "grp", "left_semi"), centroids, margin, beam), "links")
-        score = stored(recalls(some, truth.join(left, "grp", "left_semi")), "recalls")
+        some = plain.join(left, "grp", "left_semi")
+        near = graph(some) if near is None else near
+        got, whole = links(some, near, wide * MARGIN, wide * BEAM, wide * SLACK)
+        got = stored(got, "links")
+        score = stored(recalls(got, truth.join(left, "grp", "left_semi")).join(whole, "grp", "left_anti"), "recalls")
         good = score.filter(F.col("recall") >= TARGET)
-        found, scores = found.union(some.join(good.select("grp"), "grp", "left_semi")), scores.union(good)
+        found, scores = found.union(got.join(good.select("grp"), "grp", "left_semi")), scores.union(good)
         left = score.filter(F.col("recall") < TARGET).select("grp")
     rest = plain.join(scores.select("grp"), "grp", "left_anti")
     last = stored(all_links(rest), "links")
     scores = scores.union(recalls(last, truth.join(scores.select("grp"), "grp", "left_anti")))
-    found = found.union(last)
+    found = stored(found.union(last), "every-link")
     comps = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    total = found.groupBy("grp", "id").agg(F.sum("n").alias("n"))
-    done = nodes.select("grp", "embedding", "id", "m").join(total, ["grp", "id"], "left").join(comps, "id", "left").join(scores, "grp", "left")
-    done = done.select("grp", "embedding", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), "recall")
-    linked = rows.join(done, ["grp", "embedding"]).select("vec_id", "n_links", "component_id", "recall")
+    total = found.groupBy("id").agg(F.sum("n").alias("n"))
+    named = nodes.select("grp", "embedding", "id", "rep", "m").join(total, "id", "left").join(comps.withColumnRenamed("component_id", "root"), "id", "left")
+    named = stored(named.withColumn("root", F.coalesce("root", "id")), "named")
+    roots = stored(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("k")), "roots")
+    done = join_hot(named, roots, ["root"], "k").join(scores, "grp", "left")
+    done = stored(done.select("grp", "embedding", "m", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id", "recall"), "classes")
+    linked = join_hot(rows, done, ["grp", "embedding"], "m").select("vec_id", "n_links", "component_id", "recall")
     loose = other_rows(vectors).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(None).cast("double").alias("recall"))
     every = linked.union(loose)
     return every.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), "recall")

@@ -54,34 +54,94 @@ def test_edges(spark):
     assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got) == [(0, 0, 0, True), (5, 1, 5, True), (5, 1, 5, True)]
 
 
+def adjacency(x):
+    """The graph on rows in both directions, as a matrix filled up with -1."""
+    to = [set() for _ in x]
+    for i, near in enumerate(E.robust_graph(x)):
+        assert len(near) <= E.DEGREE
+        for j in near.tolist():
+            to[i].add(j)
+            to[j].add(i)
+    near = np.full((len(x), max(map(len, to))), -1)
+    for i, some in enumerate(to):
+        near[i, : len(some)] = sorted(some)
+    return near
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def test_search_meets_what_is_in_range():
     rng = np.random.default_rng(9)
     x = rng.normal(size=(200, 8))
     x[100:] = x[:100] + 0.08 * rng.normal(size=(100, 8))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    edges = np.zeros((200, 200), bool)
-    for i, near in enumerate(E.robust_graph(x)):
-        assert len(near) <= E.DEGREE
-        edges[i, near] = edges[near, i] = True
-    pairs = set(zip(*(p.tolist() for p in E.search(x, x, edges, np.full(200, -1), 48)), strict=True))
+    x = unit(x)
+    q, v, _, _ = E.walk(x, np.full(200, -1), [np.zeros(0, np.int64)] * 200, x, adjacency(x), 48, E.SLACK)
+    pairs = set(zip(q.tolist(), v.tolist(), strict=True))
     want = set(zip(*(p.tolist() for p in np.nonzero(x @ x.T >= E.LEAST)), strict=True))
     assert pairs <= want and len(pairs) >= 0.97 * len(want)
 
 
-def test_every_cell_within_the_margin(spark):
-    centroids = {"2:a": np.array([[math.cos(t), math.sin(t)] for t in (-0.2, -0.1, 0.0, 0.1, 0.2)])}
-    nodes = spark.createDataFrame([("2:a", 1, 1, [1.0, 0.0])], "grp string, id long, m long, v array<double>")
-    assert {r.cell for r in E.to_cells(nodes, centroids, E.MARGIN).collect()} == {0, 1, 2, 3, 4}
+def test_a_walk_meets_a_small_part_of_a_cell():
+    rng = np.random.default_rng(2)
+    n = E.SHARD
+    x = rng.normal(size=(n, 64))
+    x[: n // 8] = x[n // 8 : n // 4] + 0.1 * rng.normal(size=(n // 8, 64))
+    x = unit(x)
+    at = rng.permutation(n)
+    x = x[at]
+    near = np.concatenate([np.argpartition(-(x[k : k + 512] @ x.T), 17, axis=1)[:, :18] for k in range(0, n, 512)])
+    asks = rng.choice(n, 256, replace=False)
+    q, v, met, lost = E.walk(x[asks], asks, [np.zeros(0, np.int64)] * 256, x, near, E.BEAM, E.SLACK)
+    assert met < 0.1 * 256 * n and lost < 256
+    want = np.nonzero(x[asks] @ x.T >= E.LEAST)
+    assert set(zip(q.tolist(), v.tolist(), strict=True)) == set(zip(*(p.tolist() for p in want), strict=True))
+
+
+def test_every_cell_within_the_margin():
+    c = [[math.cos(t), math.sin(t)] for t in (-0.2, -0.1, 0.0, 0.1, 0.2, 1.5)]
+    rows = pa.table({"grp": ["g"] * 7, "cell": [""] * 7, "side": [0] * 6 + [1], "home": [True] * 7, "id": pa.array([0] * 6 + [9], pa.int64()), "v": [*c, [1.0, 0.0]]})
+    got = E.assign(rows, [(0, 7)], E.MARGIN).to_pylist()
+    assert {r["cell"] for r in got} == {f"/{k}" for k in range(5)} and [r["cell"] for r in got if r["home"]] == ["/2"]
+    assert {r["cell"] for r in E.assign(rows, [(0, 7)], None).to_pylist()} <= {"/1", "/2", "/3"}
+
+
+def test_labels_of_several_cells_equal_brute_force(spark, monkeypatch):
+    for name, value in {"SHARD": 60, "BUILD": 24, "FAN": 8, "QUERIES": 16, "MARGIN": 0.05, "SLICE": 50}.items():
+        monkeypatch.setattr(E, name, value)
+    rows = [r for r in vectors() if not 1150 <= r[0] < 2000 and r[0] < 3005]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.near_vectors(df).collect()}
+    assert got == brute([(i, [float(np.float32(x)) for x in v], c) for i, v, c in rows])
+
+
+def test_searches_follow_edges_into_other_cells():
+    v = [[1.0, 0.0], [math.cos(0.15), math.sin(0.15)]]
+
+    def rows(cell, kind, query, home, cells, entries):
+        types = {"id": pa.int64(), "m": pa.int64(), "kind": pa.int32(), "near": pa.list_(pa.int64()), "cells": pa.list_(pa.string()), "entries": pa.list_(pa.int64())}
+        data = {"grp": ["g"] * 2, "cell": [cell] * 2, "kind": kind, "query": query, "home": home, "id": [1, 2], "m": [1, 3], "v": v, "near": [[2], [1]], "cells": cells, "home_cell": ["A", "B"], "entries": entries}
+        return pa.table({k: pa.array(x, types.get(k)) for k, x in data.items()})
 
+    work = E.searcher(E.BEAM, E.SLACK)
+    a = work(rows("A", [0, 0], [True, True], [True, False], [["A"], ["A", "B"]], [None, None]), [(0, 2)]).to_pylist()
+    assert [(r["id"], r["n"], r["root"], r["go"]) for r in a] == [(1, 0, 1, [{"cell": "B", "entry": 2}]), (2, 1, 1, [])]
+    b = work(rows("B", [1, 0], [True, False], [False, True], [["A", "B"], ["A", "B"]], [[2], None]), [(0, 2)]).to_pylist()
+    assert sorted((r["id"], r["n"], r["root"], len(r["go"])) for r in b) == [(1, 3, 1, 0), (2, 0, 1, 0)]
 
-def test_pair_of_several_cells_needs_no_walk(monkeypatch):
-    monkeypatch.setattr(E, "search", lambda *_: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-    v = [[1.0, 0.0], [math.cos(0.1), math.sin(0.1)]]
-    found = {}
-    for cell in (3, 5):
-        rows = pa.table({"grp": ["g"] * 2, "cell": pa.array([cell] * 2, pa.int32()), "id": [1, 2], "m": [1, 1], "side": pa.array([0, 0], pa.int32()), "v": v, "near": pa.array([[], []], pa.list_(pa.int64())), "cells": pa.array([[3, 5], [3, 5, 7]], pa.list_(pa.int32()))})
-        found[cell] = E.searcher(E.BEAM)(rows, [(0, 2)]).num_rows
-    assert found == {3: 2, 5: 0}
+
+def test_an_id_with_several_vectors_and_labels(spark):
+    rows = [(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (6, [1.0, 0.01], 1), (7, [0.01, 1.0], 1), (5, [1.0, 0.0], 2)]
+    got = sorted((tuple(r) for r in E.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).drop("recall").collect()))
+    assert got == [(5, 0, 5, True), (5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False)]
+
+
+def test_one_vector_of_half_the_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 2 else rng.normal(size=3).tolist(), 1) for i in range(1200)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == brute(rows)
 
 
 def test_audit_asks_for_every_fiftieth_row_and_averages_over_queries(spark):
@@ -89,7 +149,7 @@ def test_audit_asks_for_every_fiftieth_row_and_averages_over_queries(spark):
     rows = [(i, rng.normal(size=16).tolist(), 0) for i in range(50, 40050, 50)]  # 800 queries without links
     rows += [(100001 + 50 * i, rows[i][1][:15] + [rows[i][1][15] + 0.01], 0) for i in range(800)]  # a link for each
     rows += [(7, [1.0] * 16, 1), (50, [1.0] * 16, 1), (8, [1.0] * 15 + [1.01], 1)]  # asked for as a copy of 7
-    truth = E.true_links(E.nodes_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))[1]).collect()
+    truth = E.true_links(E.nodes_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))[1].withColumnRenamed("rep", "id")).collect()
     assert {(r.grp, r.id, r.true_n) for r in truth} == {("16:0", i, 1) for i in range(50, 40050, 50)} | {("16:1", 7, 1)}
     truth = spark.createDataFrame([("a", i, 3000) for i in range(170)] + [("a", 1000 + i, 3) for i in range(340)], "grp string, id long, true_n long")
     found = spark.createDataFrame([("a", i, 3000) for i in range(170)], "grp string, id long, n long")
@@ -105,17 +165,15 @@ def two_groups():
 
 def test_walks_enter_every_part_of_the_graph():
     x = two_groups()
-    edges = np.zeros((300, 300), bool)
-    for i, near in enumerate(E.robust_graph(x)):
-        edges[i, near] = edges[near, i] = True
-    assert not edges[:150, 150:].any()
-    a, _ = E.search(x, x, edges, np.full(300, -1), E.BEAM)
-    assert set(a.tolist()) == set(range(300))
+    near = adjacency(x)
+    assert (near[:150] < 150).all()
+    a, b, _, lost = E.walk(x, np.arange(300), [np.zeros(0, np.int64)] * 300, x, near, E.BEAM, E.SLACK)
+    assert set(a.tolist()) == set(range(300)) and lost >= 150 and len(a) == 2 * 150 * 150
 
 
 def test_last_level_is_exhaustive(spark, monkeypatch):
     monkeypatch.setattr(E, "LAST_ROWS", 64)
-    monkeypatch.setattr(E, "search", None)
+    monkeypatch.setattr(E, "walk", None)
     x = two_groups()
     df = spark.createDataFrame([(f"{i % 2}", i, i % 3 + 1, v.tolist()) for i, v in enumerate(x)], "grp string, id long, m long, v array<double>")
     got = {(r.grp, r.id): r.n for r in E.all_links(df).groupBy("grp", "id").sum("n").withColumnRenamed("sum(n)", "n").collect()}

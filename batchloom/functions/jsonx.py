@@ -76,6 +76,12 @@ def parse_json(c: Column) -> Column:
     return F.when(c.isNull(), None).when(sound, text).otherwise(F.pandas_udf(_recovered_all, T.StringType())(F.when(~sound, text)))
 
 
+def first_object(c: Column) -> Column:
+    """A result that is a list as its first item, if that is an object; other results as they are."""
+    head = F.get_json_object(c, "$[0]")
+    return F.when(F.ltrim(c).startswith("["), F.when(head.startswith("{"), head)).otherwise(c)
+
+
 def parsed_ok(c: Column) -> Column:
     return c.isNotNull() & c.startswith("{") & F.coalesce(F.get_json_object(c, "$._parse_error") != "true", F.lit(True))
 

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from batchloom.functions.dates import strip
+from batchloom.functions.dates import let, strip
 from batchloom.schema import UNREADABLE
 
 HTML_LIMIT, MARKER_ROOM = 12_000, 128
@@ -39,46 +35,65 @@ def clean_ocr(c: Column) -> Column:
     return strip(_chain(F.array_join(lines, "\n"), (r"\n{3,}", "\n\n")))
 
 
-def _fit(html: str, original: int) -> str:
-    """One cleaned page cut to the limit: whole tables first, other text in what room is left, with a note of the cut."""
-    note = f"\n[HTML 已截断：原文 {original} 字符，超过上限 {HTML_LIMIT}"
-    parts = [(m.lastgroup, m[0]) for m in re.finditer(r"(?P<table><table[\s>].*?</table>)|(?P<text>.+?(?=<table[\s>].*?</table>)|.+\Z)", html, re.S)]
-    tables = [p for kind, p in parts if kind == "table"]
-    room, total = HTML_LIMIT - MARKER_ROOM, sum(map(len, tables))
-    left, used, kept, skipped, cut = max(0, room - total), 0, [], 0, False
-    for kind, part in parts:
-        if kind == "table":
-            if total <= room or used + len(part) <= room:
-                kept.append(part)
-                used += len(part)
-            else:
-                skipped += 1
-        elif left <= 0:
-            cut = True
-        else:
-            kept.append(part if len(part) <= left else part[:left].rstrip())
-            cut |= len(part) > left
-            left -= min(left, len(part))
-    if tables and kept:
-        return "".join(kept) + note + (f"，跳过 {skipped} 个表格" if skipped else "") + ("，部分正文被裁剪" if cut else "") + "，本页信息可能不完整]"
-    head, least = html[:HTML_LIMIT], HTML_LIMIT * 0.6
-    end = head.rfind("</table>")
-    row = max(head.rfind("<tr"), head.rfind("<td"))
-    head = head[: end + 8] if end > least else head[:row] if row > least else head
-    if len(re.findall(r"<table[\s>]", head)) > head.count("</table>"):
-        head += "</table>"
-    return head + note + "，本页信息可能不完整]"
-
-
-def _fit_all(texts: pd.Series, lengths: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None or pd.isna(n) else _fit(t, int(n)) for t, n in zip(texts, lengths, strict=True)])
+_TABLE = r"(?s)<table[\s>].*?</table>"
+
+
+def _sum(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
+
+
+def _within_limit(html: Column, original: Column) -> Column:
+    """Markup over the limit cut to it, with a note of what went.
+
+    Tables come first: all of them if they fit, else each that fits into what the kept ones before it leave. Other text gets
+    the room that all tables leave, in order. Markup from which nothing can be kept so is cut at a table's or row's limit.
+    """
+    room = HTML_LIMIT - MARKER_ROOM
+    size = lambda texts: F.transform(texts, lambda x: F.length(x))
+    parts = F.struct(F.regexp_extract_all(html, F.lit(_TABLE), F.lit(0)).alias("tables"), F.split(html, _TABLE, -1).alias("texts"))
+
+    def measured(x: Column) -> Column:
+        total = _sum(size(x["tables"]))
+        greedy = F.aggregate(
+            size(x["tables"]), F.struct(F.lit(0).alias("used"), F.array().cast("array<boolean>").alias("keep")),
+            lambda a, n: F.struct((a["used"] + F.when(a["used"] + n <= room, n).otherwise(0)).alias("used"), F.array_append(a["keep"], a["used"] + n <= room).alias("keep")), lambda a: a["keep"],
+        )
+        keep = F.when(total <= room, F.transform(x["tables"], lambda t: F.lit(True))).otherwise(greedy)
+        return F.struct(x["tables"].alias("tables"), x["texts"].alias("texts"), keep.alias("keep"), F.greatest(F.lit(room) - total, F.lit(0)).alias("left"))
+
+    def assembled(x: Column) -> Column:
+        before = lambda i: _sum(size(F.slice(x["texts"], F.lit(1), i)))
+        share = lambda t, i: F.greatest(x["left"] - before(i), F.lit(0))
+        text = F.transform(x["texts"], lambda t, i: F.when(F.length(t) <= share(t, i), t).otherwise(F.regexp_replace(F.substring(t, F.lit(1), share(t, i)), r"(?U)\s+$", "")))
+        kept = F.zip_with(x["tables"], x["keep"], lambda t, k: F.when(k, t).otherwise(""))
+        whole = F.array_join(F.zip_with(text, kept, lambda a, t: F.concat(F.coalesce(a, F.lit("")), F.coalesce(t, F.lit("")))), "")
+        skipped = F.size(F.filter(x["keep"], lambda k: ~k))
+        cut = _sum(size(x["texts"])) > x["left"]
+        some = (F.size(x["tables"]) > 0) & (F.exists(x["keep"], lambda k: k) | ((x["left"] > 0) & (_sum(size(x["texts"])) > 0)))
+        lost = F.concat(F.when(skipped > 0, F.concat(F.lit("，跳过 "), skipped.cast("string"), F.lit(" 个表格"))).otherwise(""), F.when(cut, "，部分正文被裁剪").otherwise(""))
+        return F.when(some, F.concat(whole, note, lost)).otherwise(F.concat(let(F.substring(html, 1, HTML_LIMIT), _clean_end), note))
+
+    note = F.concat(F.lit("\n[HTML 已截断：原文 "), original.cast("string"), F.lit(f" 字符，超过上限 {HTML_LIMIT}"))
+    return F.concat(let(let(parts, measured), assembled), F.lit("，本页信息可能不完整]"))
+
+
+def _clean_end(head: Column) -> Column:
+    """The head of a page up to its last whole table or row begun, if that lies in its last two fifths; an open table closed."""
+    least = int(HTML_LIMIT * 0.6)
+    after_table = F.length(F.regexp_extract(head, "(?s)^(.*)</table>", 1))
+    before_row = F.length(F.regexp_extract(head, "(?s)^(.*)<t[rd]", 1))
+    cut = F.when(after_table > least, F.substring(head, F.lit(1), after_table + 8)).when(before_row > least, F.substring(head, F.lit(1), before_row)).otherwise(head)
+    return let(cut, lambda x: F.when(F.regexp_count(x, F.lit(r"<table[\s>]")) > F.regexp_count(x, F.lit("</table>")), F.concat(x, F.lit("</table>"))).otherwise(x))
+
+
+def collapsed_html(c: Column) -> Column:
+    """Markup with attributes shortened and white space collapsed."""
+    return _chain(c, *_ATTRIBUTES, (r"(?U)\s+", " "))
 
 
 def clean_html(c: Column) -> Column:
-    """A page's markup for a model: attributes shortened, white space collapsed, longer pages cut by ``_fit``."""
-    s = _chain(c, *_ATTRIBUTES, (r"(?U)\s+", " "))
-    long = F.length(s) > HTML_LIMIT
-    return F.when(long, F.pandas_udf(_fit_all, T.StringType())(F.when(long, s), F.when(long, F.length(c)))).otherwise(s)
+    """A page's markup for a model: collapsed, longer pages cut to the limit."""
+    return let(collapsed_html(c), lambda s: F.when(F.length(s) > HTML_LIMIT, _within_limit(s, F.length(c))).otherwise(s))
 
 
 def plain_text(c: Column) -> Column:
@@ -187,45 +202,43 @@ def empty_page(html: Column) -> Column:
     return (F.length(html) < 100) | (F.length(F.regexp_replace(html, "<[^>]+>", "")) < 100)
 
 
-def _tokens(text: str) -> list[str]:
-    """Names of fields and columns whose value the recogniser could not read, in order of appearance."""
-    found: list[str] = []
-
-    def add(raw: str) -> None:
-        name = re.sub(r"<[^>]+>", "", raw).strip().strip("*`").replace(" ", "")
-        good = lambda n: 2 <= len(n) <= 40 and not re.fullmatch(r"[\d./\-:年月日\s]+", n) and UNREADABLE not in n
-        if good(name):
-            found.extend(p for p in name.split("/") if good(p) and p not in found)
-
-    for label in re.findall(r"([一-鿿A-Za-z0-9()（）/·._%+\-]{2,40})[：:]?\s*\[?" + UNREADABLE, text):
-        add(label)
-    for table in re.findall(r"<table\b.*?</table>", text, re.S):
-        rows = re.findall(r"<tr\b.*?</tr>", table, re.S)
-        if not rows or re.search(r"<t[dh]\b[^>]*(?:col|row)span", table):
-            continue
-        cells = [[body for _, body in re.findall(r"<(t[dh])\b[^>]*>(.*?)</\1>", row, re.S)] for row in rows]
-        data = [c for row in cells[1:] for c in row]  # columns count on through all data cells
-        for k, cell in enumerate(data[: len(cells[0])]):
-            if UNREADABLE in cell:
-                add(cells[0][k])
-    block: list[list[str]] = []
-    for line in [*text.splitlines(), ""]:
-        if line.strip().startswith("|"):
-            block.append([c.strip() for c in line.strip().strip("|").split("|")])
-            continue
-        for row in block[1:]:
-            for k, cell in enumerate(row):
-                if UNREADABLE in cell and k < len(block[0]):
-                    add(block[0][k])
-        block = []
-    return found
-
-
-def _tokens_all(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [] if t is None else _tokens(t))
+# Fixed patterns: a label before the mark, and names that are only numbers or dates.
+LABEL = r"([\u4e00-\u9fffA-Za-z0-9()（）/·._%+\-]{2,40})[：:]?\s*\[?" + UNREADABLE
+NUMBERS_ONLY = r"^[\d./\-:年月日\s]+$"
+
+
+def _marked(cells: Column, names: Column) -> Column:
+    """The names at the places of marked cells."""
+    return F.filter(F.zip_with(names, F.slice(cells, F.lit(1), F.size(names)), lambda n, x: F.when(F.contains(x, F.lit(UNREADABLE)), n)), lambda n: n.isNotNull())
+
+
+def _table_names(table: Column) -> Column:
+    """Marked columns of a table in markup. Places count on through all data cells, so only the first data row lines up."""
+    cells = lambda row: F.regexp_extract_all(row, F.lit(r"(?s)<(t[dh])\b[^>]*>(.*?)</\1>"), F.lit(2))
+    rows = F.regexp_extract_all(table, F.lit(r"(?s)<tr\b.*?</tr>"), F.lit(0))
+    return let(rows, lambda r: F.when(F.size(r) > 0, _marked(F.flatten(F.transform(F.slice(r, F.lit(2), F.size(r)), cells)), cells(r[0]))))
+
+
+def _bar_names(block: Column) -> Column:
+    """Marked columns of a run of lines between bars."""
+    cells = lambda row: F.transform(F.split(F.regexp_replace(strip(row), r"^\|+|\|+$", ""), r"\|", -1), strip)
+    rows = F.filter(F.split(block, "\n", -1), lambda x: strip(x) != "")
+    return let(F.transform(rows, cells), lambda r: F.flatten(F.transform(F.slice(r, F.lit(2), F.size(r)), lambda row: _marked(row, r[0]))))
 
 
 def unreadable_names(c: Column) -> Column:
-    """Field and column names with unreadable values; only pages with the mark carry text to Python."""
-    marked = F.contains(c, F.lit(UNREADABLE))
-    return F.when(marked, F.pandas_udf(_tokens_all, T.ArrayType(T.StringType()))(F.when(marked, c))).otherwise(F.array().cast("array<string>"))
+    """Names of fields and columns whose value the recogniser could not read, in order of appearance."""
+    lines = F.regexp_replace(c, r"\r\n?", "\n")
+    spans = r"<t[dh]\b[^>]*(?:col|row)span"
+    tables = F.filter(F.regexp_extract_all(lines, F.lit(r"(?s)<table\b.*?</table>"), F.lit(0)), lambda t: ~t.rlike(spans))
+    bars = F.regexp_extract_all(lines, F.lit(r"(?m)((?:^[ \t]*\|[^\n]*(?:\n|\z))+)"), F.lit(1))
+    none = F.array().cast("array<string>")
+    every = F.concat(
+        F.regexp_extract_all(lines, F.lit(LABEL), F.lit(1)),
+        F.flatten(F.transform(tables, lambda t: F.coalesce(_table_names(t), none))),
+        F.flatten(F.transform(bars, lambda b: F.coalesce(_bar_names(b), none))),
+    )
+    bare = F.transform(every, lambda n: F.replace(F.regexp_replace(strip(F.regexp_replace(n, "<[^>]+>", "")), r"^[*`]+|[*`]+$", ""), F.lit(" "), F.lit("")))
+    good = lambda names: F.filter(names, lambda n: F.length(n).between(2, 40) & ~n.rlike(NUMBERS_ONLY) & ~F.contains(n, F.lit(UNREADABLE)))
+    found = F.array_distinct(good(F.flatten(F.transform(good(bare), lambda n: F.split(n, "/", -1)))))
+    return F.when(F.contains(c, F.lit(UNREADABLE)), found).otherwise(none)

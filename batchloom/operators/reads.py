@@ -44,7 +44,7 @@ def page_counts(findings: DataFrame, keys: tuple = ("job_id", "page")) -> DataFr
 
 def job_counts(jobs: DataFrame, pages: DataFrame, findings: DataFrame) -> DataFrame:
     """Progress of every job from one aggregation a table."""
-    done = pages.groupBy("job_id").agg(F.count_if(F.col("raw_html").isNotNull()).alias("pages_read"), F.count_if(F.col("structured_json").isNotNull()).alias("pages_analyzed"))
+    done = pages.groupBy("job_id").agg(F.count_if(F.col("raw_html").isNotNull()).alias("pages_read"), F.count_if(F.col("structured_json").isNotNull() & F.coalesce(F.get_json_object("structured_json", "$._parse_error") != "true", F.lit(True))).alias("pages_analyzed"))
     found = findings.groupBy("job_id").agg(F.count("*").alias("findings"), F.count_if(F.col("status") == "pending").alias("pending"))
     rows = jobs.join(done, jobs.id == done.job_id, "left").drop("job_id").join(found, jobs.id == found.job_id, "left").drop("job_id")
     return rows.na.fill(0, ["pages_read", "pages_analyzed", "findings", "pending"])

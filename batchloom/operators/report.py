@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.functions.text import SEVERITY_LABELS, STATUS_LABELS, escape_markdown
@@ -17,9 +17,14 @@ def _label(c, labels: dict):
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in labels.items() for x in p]), c), c)
 
 
+def report_order() -> list[Column]:
+    """The report's order of a job's findings: severities without a rank come first."""
+    return [F.col("page"), F.asc_nulls_first(severity_rank(F.col("severity"), None)), source_rank(F.col("source")), F.col("id")]
+
+
 def report_rows(findings: DataFrame) -> DataFrame:
-    """Findings in the report's order: severities without a rank come first."""
-    return findings.orderBy("page", F.asc_nulls_first(severity_rank(F.col("severity"), None)), source_rank(F.col("source")), "id")
+    """Findings in the report's order."""
+    return findings.orderBy(*report_order())
 
 
 def json_report(jobs: DataFrame, findings: DataFrame) -> DataFrame:

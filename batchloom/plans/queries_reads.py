@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchloom.operators import reads
-from batchloom.operators.report import json_report, markdown_report, report_rows
+from batchloom.operators.report import json_report, markdown_report, report_order
 from batchloom.plans.base import Tables, query
 from batchloom.streaming.lifecycle import latest, recovered, replay
 
@@ -128,15 +128,13 @@ def j14(t: Tables) -> DataFrame:
 
 @query("o1_review_order", f"SELECT id, row_number() OVER (PARTITION BY job_id ORDER BY page, {_SEV}, {_SRC}, id) AS place FROM {D_FINDINGS}")
 def o1(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     order = Window.partitionBy("job_id").orderBy("page", reads.severity_rank(F.col("severity")), reads.source_rank(F.col("source")), "id")
     return findings(t).select("id", F.row_number().over(order).cast("bigint").alias("place"))
 
 
-@query("o3_report_order", f"SELECT id FROM {D_FINDINGS} WHERE job_id = 11 ORDER BY page, CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 WHEN 'info' THEN 2 END NULLS FIRST, {_SRC}, id LIMIT 30")
+@query("o3_report_order", f"SELECT id, row_number() OVER (PARTITION BY job_id ORDER BY page, CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 WHEN 'info' THEN 2 END NULLS FIRST, {_SRC}, id) AS place FROM {D_FINDINGS}")
 def o3(t: Tables) -> DataFrame:
-    return report_rows(findings(t).filter("job_id = 11")).select("id").limit(30)
+    return findings(t).select("id", F.row_number().over(Window.partitionBy("job_id").orderBy(*report_order())).cast("bigint").alias("place"))
 
 
 @query("o5_newest_jobs", f"SELECT id, created_at FROM {D_JOBS} WHERE status <> 'archived' ORDER BY created_at DESC, id LIMIT 25 OFFSET 50")
@@ -163,12 +161,25 @@ def updates(t: Tables) -> DataFrame:
     return reads.apply_updates(rows, change, F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'")).select("id", "status", "corrected_text", "reviewed_at")
 
 
-@query("s14_json_report")
+_FOUND_ONE = """'{"id":' || id || ',"page":' || page || ',"type":"' || type || '","severity":"' || severity || '","description":"' || description || '",' || CASE WHEN source IS NULL THEN '' ELSE '"source":"' || source || '",' END || '"status":"' || status || '"}'"""
+_REPORT_ORDER = f"page, CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 WHEN 'info' THEN 2 END NULLS FIRST, {_SRC}, id"
+
+
+@query("s14_json_report", f"""WITH f AS (SELECT job_id, count(*) AS n, string_agg({_FOUND_ONE}, ',' ORDER BY {_REPORT_ORDER}) AS l FROM {D_FINDINGS} GROUP BY job_id)
+SELECT j.id AS job_id, '{{"job":{{"id":' || j.id || ',"filename":"' || filename || '","status":"' || status || '"}},"total":' || coalesce(n, 0) || ',"findings":[' || coalesce(l, '') || ']}}' AS report FROM {D_JOBS} j LEFT JOIN f ON f.job_id = j.id""")
 def s14(t: Tables) -> DataFrame:
     return json_report(jobs(t), findings(t))
 
 
-@query("s15_markdown_report")
+_STATE = "CASE status WHEN 'pending' THEN '⏳ 待复核' WHEN 'confirmed' THEN '✅ 已确认' WHEN 'rejected' THEN '❌ 已拒绝' END"
+
+
+@query("s15_markdown_report", f"""WITH g AS (SELECT job_id, severity, count(*) AS n, string_agg('- **第' || page || '页** | `' || type || '` ' || {_STATE} || chr(10) || '  - ' || description || chr(10), chr(10) ORDER BY page, {_SRC}, id) AS l FROM {D_FINDINGS} WHERE severity <> 'odd' GROUP BY job_id, severity),
+b AS (SELECT job_id, string_agg('### ' || CASE severity WHEN 'critical' THEN '🔴 严重' WHEN 'warning' THEN '🟡 警告' ELSE '🔵 提示' END || ' (' || n || ')' || chr(10) || chr(10) || l, chr(10) ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END) AS body FROM g GROUP BY job_id),
+c AS (SELECT job_id, count(*) AS total, count(*) FILTER (WHERE status = 'pending') AS p FROM {D_FINDINGS} GROUP BY job_id)
+SELECT j.id AS job_id, '# GMP 批生产记录合规检查报告' || chr(10) || chr(10) || '- **文件名**: ' || filename || chr(10) || '- **总页数**: ' || total_pages || chr(10) || '- **Job ID**: ' || j.id || chr(10) || '- **总 Findings**: ' || coalesce(total, 0) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Findings 列表' || chr(10) || chr(10)
+  || coalesce(body, '未发现问题。' || chr(10)) || chr(10) || '---' || chr(10) || chr(10) || '## 汇总' || chr(10) || chr(10) || CASE WHEN coalesce(total, 0) = 0 THEN '✅ 未发现问题，无需人工复核。' WHEN p > 0 THEN '⚠️ **' || p || ' 条 Finding 需人工复核**，请在复核界面确认/拒绝/修正后重新导出。' ELSE '✅ 所有 Findings 已处理完毕。' END AS report
+FROM {D_JOBS} j LEFT JOIN c ON c.job_id = j.id LEFT JOIN b ON b.job_id = j.id""")
 def s15(t: Tables) -> DataFrame:
     blank = {c: F.lit(None).cast("string") for c in ("ocr_text", "corrected_text", "reviewer_note")}
     return markdown_report(jobs(t), findings(t).withColumns(blank))

@@ -67,15 +67,14 @@ def t2(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.md5(text.clean_ocr(F.col("html")).cast("binary")).alias("h"))
 
 
-@query("t3_clean_html_short", rf"SELECT page_id, md5(s) AS h FROM (SELECT page_id, regexp_replace(html, '{_RE_WS}+', ' ', 'g') AS s FROM pages) WHERE length(s) <= 12000")
+@query("t3_collapsed_html", rf"SELECT page_id, md5(regexp_replace(html, '{_RE_WS}+', ' ', 'g')) AS h FROM pages")
 def t3(t: Tables) -> DataFrame:
-    rows = t.pages.select("page_id", F.length(F.regexp_replace("html", r"(?U)\s+", " ")).alias("n"), F.md5(text.clean_html(F.col("html")).cast("binary")).alias("h"))
-    return rows.filter("n <= 12000").select("page_id", "h")
+    return t.pages.select("page_id", F.md5(text.collapsed_html(F.col("html")).cast("binary")).alias("h"))
 
 
-@query("t4_clean_html_long")
+@query("t4_clean_html")
 def t4(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", text.clean_html(F.col("html")).alias("html")).select("page_id", F.length("html").alias("n"), F.contains("html", F.lit("HTML 已截断")).alias("cut"))
+    return t.pages.select("page_id", text.clean_html(F.col("html")).alias("html")).select("page_id", F.length("html").alias("n"), F.contains("html", F.lit("HTML 已截断")).alias("cut"), F.md5(F.col("html").cast("binary")).alias("h"))
 
 
 @query("t5_plain_text", rf"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '{_RE_WS}+', ' ', 'g'), '^ | $', '', 'g')) AS h FROM pages")
@@ -83,7 +82,19 @@ def t5(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.md5(text.plain_text(F.col("html")).cast("binary")).alias("h"))
 
 
-@query("t6_readable_text")
+def _d_chain(column: str, *steps: tuple[str, str, str]) -> str:
+    for pattern, by, flags in steps:
+        column = f"regexp_replace({column}, '{pattern}', '{by}', '{flags}')"
+    return column
+
+
+_D_READABLE = _d_chain(
+    r"replace(replace(html, '\n', chr(10)), '\t', chr(9))", (r"<br\s*/?>", "\n", "gi"), ("<img[^>]*>", "[图]", "gi"), ("</tr>", "\n", "gi"), ("</t[dh]>", " | ", "gi"), ("</p>", "\n", "gi"), ("<div[^>]*>", "\n", "gi"), ("<[^>]+>", "", "g"),
+    ("&nbsp;", " ", "gi"), ("&amp;", "&", "gi"), ("&lt;", "<", "gi"), ("&gt;", ">", "gi"), ("&quot;", '"', "gi"), (r"[ \t]+", " ", "g"), (r" *\| *", " | ", "g"), (r"[ \t]+\n", "\n", "g"), (r"\n{3,}", "\n\n", "g"),
+)
+
+
+@query("t6_readable_text", rf"SELECT page_id, regexp_replace({_D_READABLE}, '^[\s\x{{A0}}\x{{3000}}]+|[\s\x{{A0}}\x{{3000}}]+$', '', 'g') AS text FROM pages")
 def t6(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.readable_text(F.col("html")).alias("text"))
 
@@ -103,9 +114,9 @@ def t13(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(text.mask_secrets(F.col("text")).cast("binary")).alias("h"))
 
 
-@query("t14_escape_markdown", "SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(html[1:400], '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '!', '&#33;'), '[', '&#91;'), ']', '&#93;'), '(', '&#40;'), ')', '&#41;') AS s FROM pages")
+@query("t14_escape_markdown", "SELECT page_id, md5(replace(replace(replace(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '!', '&#33;'), '[', '&#91;'), ']', '&#93;'), '(', '&#40;'), ')', '&#41;')) AS h FROM pages")
 def t14(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", text.escape_markdown(F.substring("html", 1, 400)).alias("s"))
+    return t.pages.select("page_id", F.md5(text.escape_markdown(F.col("html")).cast("binary")).alias("h"))
 
 
 @query("t15_page_links", "SELECT o_orderkey, '见<a href=\"/jobs/j1/review?page=' || o_custkey || '\" class=\"page-link\">第' || o_custkey || '页</a> &lt;b&gt;' AS s FROM orders")
@@ -153,9 +164,12 @@ def n10(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", text.mask_key(F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise(F.col("c_name"))).alias("k"))
 
 
-@query("p12_empty_and_sparse_pages", "SELECT page_id, length(h) < 100 OR length(regexp_replace(h, '<[^>]+>', '', 'g')) < 100 AS empty, length(h) < 80 AS sparse FROM (SELECT page_id, html[1:(page_id % 300)::INT] AS h FROM pages)")
+_D_STUB = "CASE page_id % 4 WHEN 0 THEN html WHEN 1 THEN '<table><tr><td>' || page_id || '</td></tr></table>' WHEN 2 THEN repeat('<p></p>', 30) ELSE 'page ' || page_id END"
+
+
+@query("p12_empty_and_sparse_pages", f"""SELECT page_id, length(h) < 100 OR length(regexp_replace(h, '<[^>]+>', '', 'g')) < 100 AS empty, CASE WHEN contains(h, '<table') THEN length(h) < 200 AND len(string_split(h, '<tr')) - 1 < 3 ELSE length(h) < 80 END AS sparse FROM (SELECT page_id, {_D_STUB} AS h FROM pages)""")
 def p12(t: Tables) -> DataFrame:
-    h = F.expr("substring(html, 1, CAST(page_id % 300 AS int))")
+    h = F.expr(_D_STUB.replace("|| page_id", "|| CAST(page_id AS string)"))
     return t.pages.select("page_id", text.empty_page(h).alias("empty"), text.sparse_page(h).alias("sparse"))
 
 
@@ -214,10 +228,14 @@ def s6(t: Tables) -> DataFrame:
     return recognised.markdown_pages(files).select("job_id", "page", F.length("text").alias("n"))
 
 
-@query("s7_incomplete", "SELECT conv_id, CASE WHEN trim(text) = '' THEN false ELSE turn % 3 = 0 END AS bad FROM conversations WHERE text NOT LIKE '%|%'")
+_D_BARS = "len(list_filter(string_split(text, chr(10)), lambda x: starts_with(ltrim(x, ' '), '|')))"
+
+
+@query("s7_incomplete", f"""SELECT conv_id, turn, CASE WHEN trim(text, ' ') = '' THEN false ELSE (turn % 2 = 0 AND {_D_BARS} >= 2) OR (turn % 3 = 0 AND {_D_BARS} = 0) END AS bad FROM (SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN '| a | b |' || chr(10) || ' | - | - |' || chr(10) || text ELSE text END AS text FROM conversations)""")
 def s7(t: Tables) -> DataFrame:
-    rows = t.conversations.filter("text NOT LIKE '%|%'")
-    return rows.select("conv_id", recognised.incomplete(F.col("text"), F.lit(1), F.lit(0), (F.col("turn") % 3).cast("int")).alias("bad"))
+    said = F.when(F.col("turn") % 5 == 0, F.concat(F.lit("| a | b |\n | - | - |\n"), F.col("text"))).otherwise(F.col("text"))
+    one = F.size(recognised.markdown_parts(said)) - 1  # as many pages as the document has
+    return t.conversations.select("conv_id", "turn", recognised.incomplete(said, one, (F.col("turn") % 2).cast("int"), (F.col("turn") % 3).cast("int")).alias("bad"))
 
 
 @query("s8_result_lines", "SELECT conv_id AS job_id, count(*) FILTER (WHERE turn % 4 <> 3)::BIGINT + 4 * count(*) FILTER (WHERE turn % 4 = 3)::BIGINT AS pages FROM conversations GROUP BY conv_id")

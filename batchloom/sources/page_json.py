@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.functions.jsonx import parsed_ok
+from batchloom.functions.jsonx import first_object, parsed_ok
 from batchloom.functions.text import names_match, value_source
 from batchloom.schema import EVENT_TYPES, UNREADABLE
 
@@ -31,9 +31,10 @@ _YEARS = """coalesce(transform_values(from_json(get_json_object(j, '$.event_year
 
 
 def typed_pages(rows: DataFrame) -> DataFrame:
-    """Pages for the rules from ``job_id, page, structured_json``; unreadable results are left out. A value's source is,
+    """Pages for the rules from ``job_id, page, structured_json``; unreadable results are
+    left out, and a list stands for its first object. A value's source is,
     in this order: handwritten where its name or the value itself carries the recogniser's mark, as given, by its name."""
-    rows = rows.filter(parsed_ok(F.col("structured_json"))).withColumn("j", F.col("structured_json"))
+    rows = rows.withColumn("j", first_object(F.col("structured_json"))).filter(parsed_ok(F.col("j")))
     info = F.when(F.get_json_object("j", "$.page_info").startswith("{"), F.from_json(F.get_json_object("j", "$.page_info"), "title string, file_code string, version string, batch_no string, production_date string"))
     names = F.coalesce(F.from_json(F.get_json_object("j", "$._ocr_low_conf_cols"), "array<string>"), F.array().cast("array<string>"))
     rows = rows.select(

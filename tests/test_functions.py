@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import re
 
 import pytest
 from batchloom.functions import batch, dates, jsonx, numbers, text
@@ -88,3 +90,53 @@ def test_json(spark):
     cases = {'```json\n{"a": 1}\n```': '{"a": 1}', 'x {"a": 2} y': '{"a": 2}', '{"a": {"b": [1, 2': '{"a": {"b": [1, 2]}, "_truncated_recovered": true}', '{"a": 1, "t": "cut he': '{"a": 1, "t": null, "_truncated_recovered": true}', '{"a": 1, "b":': '{"a": 1, "b": null, "_truncated_recovered": true}', "no": '{"_parse_error": true, "_raw": "no"}'}
     for said, want in cases.items():
         assert one(spark, said, jsonx.parse_json) == want, said
+
+
+def cut_page(html, original):
+    """The page limit by hand: a list of parts, tables chosen before text."""
+    limit, parts, at = 12_000, [], 0
+    for m in re.finditer(r"<table[\s>].*?</table>", html, re.S):
+        parts += [(False, html[at : m.start()]), (True, m[0])]
+        at = m.end()
+    parts.append((False, html[at:]))
+    room = limit - 128
+    total = sum(len(p) for table, p in parts if table)
+    chosen, used = set(), 0
+    for k, (table, p) in enumerate(parts):
+        if table and (total <= room or used + len(p) <= room):
+            chosen.add(k)
+            used += len(p)
+    text, left = [], max(0, room - total)
+    said = ""
+    for k, (table, p) in enumerate(parts):
+        if table:
+            said += p if k in chosen else ""
+        else:
+            said += p if len(p) <= left else p[:left].rstrip()
+            text.append(len(p) > left)
+            left -= min(left, len(p))
+    n = sum(table for table, _ in parts) - len(chosen)
+    assert chosen
+    return said + f"\n[HTML 已截断：原文 {original} 字符，超过上限 12000" + (f"，跳过 {n} 个表格" if n else "") + ("，部分正文被裁剪" if any(text) else "") + "，本页信息可能不完整]"
+
+
+def test_long_pages_equal_brute_force(spark):
+    rng, pages = random.Random(6), []
+    for _ in range(60):
+        parts = ["<table><tr><td>first</td></tr></table>"]
+        for _ in range(rng.randrange(2, 7)):
+            parts.append(rng.choice(["x" * rng.randrange(6000), f"<table b=1><tr><td>{'c' * rng.randrange(7000)}</td></tr></table>", "<p>text</p>"]))
+        pages.append("".join(parts) + "y" * 3000)
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, s string").select("i", text.clean_html(F.col("s")).alias("r")).collect()
+    for r in rows:
+        assert r.r == (cut_page(pages[r.i], len(pages[r.i])) if len(pages[r.i]) > 12_000 else pages[r.i])
+
+
+@pytest.mark.parametrize(("said", "want"), [("10^3", "1000"), ("10**2cfu", "100cfu"), ("5×10³", "5000"), ("1.5×1000", "1500"), ("1.25*10", "12.5"), ("2×3", "2×3"), ("2e3", "2000"), ("1.5E-3", "0.0015"), ("2e-5", "0.00002"), ("0.3×1", "0.3"), ("7e30", "7" + "0" * 30), ("10^999", "10^999"), ("x", "x"), (None, None)])
+def test_powers(spark, said, want):
+    assert one(spark, said, numbers.spread_powers) == want
+
+
+@pytest.mark.parametrize(("said", "want"), [('[{"a": 1}, 2]', '{"a":1}'), ("[1]", None), ("[]", None), ('{"b": 2}', '{"b": 2}'), ("5", "5"), (None, None)])
+def test_list_results(spark, said, want):
+    assert one(spark, said, jsonx.first_object) == want

@@ -10,13 +10,16 @@ suffix's, so its text is not counted twice.
 
 Edge cases: a page without letters, markup or address gets the prior that is left; declared languages unknown to the model
 and null, empty or malformed addresses count as missing; a null id is kept; repeated rows come back repeated; without any
-training language the language is null and the probability 0; extra columns are ignored; an empty table gives an empty
-result. A host may hold any share of the pages: counts are pre-aggregated and no group meets in one task.
+training language the language is null and the probability 0; an id with contradicting languages does not train; extra
+columns are ignored; an empty table gives an empty result. A host may hold any share of the pages: counts are pre-aggregated
+and come back to its pages as a hot key, and pages without a host or suffix take no part in that join. Entities stand for
+their characters.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +27,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import map_texts, stored, table
+from batchloom.llm.common import join_hot, map_texts, stored, table
 from batchloom.llm.textkernel import NO_LETTER, buffers
 
 SAMPLE = 20_000
 BUCKETS = 1 << 14
-#: Languages of the model: the most frequent of the sample.
-LANGUAGES = 64
 EVIDENCE = 60.0
 TRUST = 0.9
 #: Pseudo-counts that the coarser level lends to the finer one.
 SUFFIX_WEIGHT, HOST_WEIGHT = 20.0, 5.0
 
-MARKUP = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>|&#?[a-z0-9]+;"
+MARKUP = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>"
 DECLARED = r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 _GAP = np.where(NO_LETTER, 0x20, np.arange(256)).astype(np.uint8)
@@ -78,9 +79,10 @@ class TextModel:
 
 def train_text(docs: DataFrame) -> TextModel:
     known = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("lang").alias("lang"))
-    sample = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(SAMPLE).dropDuplicates(["doc_id"]), "lang-sample")
+    single = known.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.max("lang").alias("most")).filter("lang = most").drop("most")
+    sample = stored(single.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "lang-sample")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    languages = sorted(r.lang for r in sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    languages = sorted(r.lang for r in sample.select("lang").distinct().collect())  # no more than the sample's rows
 
     def start():
         def work(batch: pa.RecordBatch) -> dict:
@@ -91,7 +93,7 @@ def train_text(docs: DataFrame) -> TextModel:
 
         return work
 
-    counts = map_texts(texts.filter(F.col("lang").isin(languages)), "lang string, bucket bigint, n bigint", start).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = map_texts(texts, "lang string, bucket bigint, n bigint", start).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     logs = np.full((BUCKETS, len(languages)), 0.5)
     at = np.searchsorted(languages, counts["lang"].to_numpy().astype(str)) if languages else np.zeros(0, int)
     logs[counts["bucket"].to_numpy(np.int64), at] += counts["n"].to_numpy(float)
@@ -103,8 +105,8 @@ def page_evidence(pages: DataFrame, model: TextModel) -> DataFrame:
 
     def start():
         def work(batch: pa.RecordBatch) -> dict:
-            html = pc.replace_substring_regex(batch.column("html"), MARKUP, " ")
-            scores = model.scores(html)
+            plain = pc.replace_substring_regex(batch.column("html"), MARKUP, " ")
+            scores = model.scores(pa.array([unescape(x) if "&" in x else x for x in plain.to_pylist()], pa.string()))
             width = scores.shape[1]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(scores) + 1, dtype=np.int32) * width), pa.array(scores.ravel(), pa.float64()))
             return {**{c: batch.column(c) for c in ("page_id", "host", "suffix", "declared")}, "text": lists}
@@ -126,7 +128,7 @@ def _posterior(logs: Column) -> Column:
 
 
 def _sums(rows: DataFrame, keys: list[str], name: str, n: int) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.array(*[F.sum(F.col("soft")[k]) for k in range(n)]).alias(name))
+    return stored(rows.groupBy(*keys).agg(F.array(*[F.sum(F.col("soft")[k]) for k in range(n)]).alias(name), F.count("*").alias("n")), name)
 
 
 def identify(pages: DataFrame, model: TextModel) -> DataFrame:
@@ -141,12 +143,12 @@ def identify(pages: DataFrame, model: TextModel) -> DataFrame:
     evidence = evidence.withColumn("own", F.zip_with("text", markup, lambda a, b: a + b))
     rows = stored(evidence.withColumn("soft", _posterior(F.col("own"))).drop("text"), "lang-evidence")
 
-    every = rows.agg(*[F.sum(F.col("soft")[k]).alias(f"n{k}") for k in range(n)]).first()  # at most LANGUAGES numbers
+    every = rows.agg(*[F.sum(F.col("soft")[k]).alias(f"n{k}") for k in range(n)]).first()  # a number for each language
     every = F.array(*[F.lit(float(x or 0.0)) for x in every])
     suffixes = _sums(rows.filter("suffix IS NOT NULL AND suffix <> ''"), ["suffix"], "suffix_n", n)
     hosts = _sums(rows.filter("host IS NOT NULL"), ["host"], "host_n", n)
     none = F.array(*[F.lit(0.0)] * n)
-    joined = rows.join(hosts, "host", "left").join(suffixes, "suffix", "left")
+    joined = join_hot(stored(join_hot(rows, hosts, ["host"], how="left"), "lang-hosts"), suffixes, ["suffix"], how="left")
     less = lambda counts: F.zip_with(counts, F.col("soft"), lambda a, b: F.greatest(a - b, F.lit(0.0)))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
     smooth = lambda counts, weight, coarse: F.zip_with(counts, coarse, lambda c, p: (c + weight * p) / (total(counts) + weight))

@@ -5,7 +5,8 @@ a weighted sample without replacement. A source's target is met by complete epoc
 rest comes from the documents in key order while the middle of a document lies within the budget, so a source misses its
 target by at most half of one document.
 
-Prefix sums do not sort a source in one task: keys are cut into ranges of about equal expected size, ranges are summed and
+Prefix sums do not sort a source in one task: keys are cut into as many ranges of about equal expected size as the number of
+rows asks for, ranges are summed and
 prefix-summed on that small table, and rows are ordered only inside a range. Targets come from water-filling: with
 capacities of twice a source's size, the level is the only one at which the targets add up to the budget, and resharing the
 excess until no source is above its capacity ends there.
@@ -17,6 +18,8 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,17 +31,18 @@ CAP = 2
 SEED = "mix-1"
 #: Marks rows without a source; the others have "s" before their name.
 NO_SOURCE = "n"
-#: Ranges of keys in each source.
-RANGES = 1024
+#: Rows of a range of keys at most, about, whatever the source's size.
+RANGE_ROWS = 20_000
 
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def quality_weight(n_chars: Column, size: Column) -> Column:
-    """1 for prose-like word lengths (about six characters a word with its space), less the further away."""
-    return F.when(size > 0, 1 / (1 + F.abs(n_chars / size - 6.0) / 6.0)).otherwise(F.lit(1.0))
+def quality_weight(n_chars: Column, n_symbols: Column, size: Column) -> Column:
+    """From two statistics of the quality rules: 1 for prose-like word lengths (about six characters a word with its space)
+    without symbols, less for other lengths and the more symbols there are a word."""
+    return F.when(size > 0, 1 / ((1 + F.abs(n_chars / size - 6.0) / 6.0) * (1 + 10.0 * n_symbols / size))).otherwise(F.lit(1.0))
 
 
 def uniform(doc_id: Column, seed: str) -> Column:
@@ -64,15 +68,16 @@ def keyed(docs: DataFrame, seed: str, names: dict[str, str]) -> DataFrame:
     text = text_or_empty("text")
     src = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(NO_SOURCE))
     rows = docs.withColumn(names["src"], src).withColumn(names["size"], word_count(text))
-    key = -F.log(uniform(F.col("doc_id").cast("long"), seed)) / quality_weight(F.length(text), F.col(names["size"]))
+    key = -F.log(uniform(F.col("doc_id").cast("long"), seed)) / quality_weight(F.length(text), F.regexp_count(text, F.lit(r"[#*$%&|<>]")), F.col(names["size"]))
     return rows.withColumn(names["key"], key)
 
 
 def decisions(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """One row a document: ``doc_id, src, size, key, source_size, target, epochs, more`` (one copy beyond the epochs)."""
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), seed, {"src": "src", "size": "size", "key": "key"})
-    rows = rows.select("doc_id", "src", "size", "key", F.floor(RANGES * (1 - F.exp(-F.col("key")))).cast("int").alias("range"))
-    rows = stored(rows, "mix-rows")
+    rows = stored(rows.select("doc_id", "src", "size", "key"), "mix-rows")
+    n = max(1, math.ceil(rows.count() / RANGE_ROWS))
+    rows = rows.withColumn("range", F.floor(n * (1 - F.exp(-F.col("key")))).cast("int"))
     ranges = stored(rows.groupBy("src", "range").agg(F.sum("size").alias("words")), "mix-ranges")
     targets = source_targets(ranges.groupBy("src").agg(F.sum("words").alias("source_size")))
     before = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -114,10 +119,11 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPACE_WORD = r"[^\x20\x09-\x0D]+"
 ORACLE = rf"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_SPACE_WORD}'))::BIGINT AS size, length(coalesce(text, '')) AS n_chars FROM documents),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_SPACE_WORD}'))::BIGINT AS size, length(coalesce(text, '')) AS n_chars,
+    len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS n_symbols FROM documents),
 k AS (
   SELECT *, -ln((('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / {float(1 << 52)})
-    / CASE WHEN size > 0 THEN 1 / (1 + abs(n_chars::DOUBLE / size - 6.0) / 6.0) ELSE 1.0 END AS key FROM d),
+    / CASE WHEN size > 0 THEN 1 / ((1 + abs(n_chars::DOUBLE / size - 6.0) / 6.0) * (1 + 10.0::DOUBLE * n_symbols / size)) ELSE 1.0 END AS key FROM d),
 s AS (SELECT source, sum(size)::DOUBLE AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, {CAP} * source_size AS most FROM s),
 c AS (SELECT *, coalesce(sum(most) OVER b, 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS free, sum(source_size) OVER () AS everything FROM w

@@ -4,10 +4,13 @@ Differencing keeps partial partitions, each a vector of shard totals. It repeate
 adds them in opposite order (largest with smallest) and puts the sum back, until one is left. Groups are dealt to blocks by
 the hash of their text and differenced there; a block's result is again a partial partition, and blocks are combined by the
 same rule, ``FAN`` at a time, level by level. Blocks hold about ``BLOCK_GROUPS`` groups whatever the input's size, so no
-task and not the driver meets more than a bounded number of groups; spreads shrink on every level.
+task and not the driver meets more than a bounded number of groups. Above ``BLOCK_GROUPS`` groups the result is not that of
+one differencing of all of them; a sum of two partial partitions in opposite order spreads no more than the wider of the
+two, so the bytes of the shards differ at most by the widest spread of a block, which is at most its largest group.
 
-A copy group of any size is one row of (rows, bytes) after a partial aggregation. Slots come from counts per shard and
-bucket: a prefix sum over buckets plus a row number inside the bucket, so no shard is sorted in one task.
+A copy group of any size is one row of (rows, bytes) after a partial aggregation, and its shard comes back to its rows as a
+hot key. Slots come from counts per shard and bucket: a prefix sum over buckets plus a row number inside the bucket, so no
+shard is sorted in one task. Buckets are dealt by the hash of a whole row; a bucket that equal rows fill is cut further.
 
 Edge cases: a null text counts as an empty one (crc 0, 16 bytes) and shares its group; a null id gets a shard like any
 other row; repeated rows are copies of one group; a group larger than a shard's share stays whole; an empty table gives an
@@ -24,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import stored, table, text_or_empty
+from batchloom.llm.common import forget, join_hot, stored, table, text_or_empty
 from batchloom.session import ship
 
 SHARDS = 40
@@ -75,7 +78,7 @@ def group_blocks(shards: int):
         frame = frame.sort_values(["bytes", "gid"], ascending=[False, True])
         vectors = np.zeros((len(frame), shards), np.int64)
         vectors[:, 0] = frame["bytes"].to_numpy()
-        return pd.DataFrame({"block": frame["block"], "gid": frame["gid"], "part": difference(vectors)[:, 0], "bytes": frame["bytes"]})
+        return pd.DataFrame({"block": frame["block"], "gid": frame["gid"], "n": frame["n"], "part": difference(vectors)[:, 0], "bytes": frame["bytes"]})
 
     return solve
 
@@ -92,11 +95,11 @@ def level_blocks(shards: int):
 
 
 def karmarkar_karp(groups: DataFrame, shards: int) -> DataFrame:
-    """``gid, shard`` for a table of groups ``gid, bytes``."""
+    """``gid, n, shard`` for a table of groups ``gid, n, bytes``."""
     ship(groups.sparkSession)
     n_blocks = max(1, math.ceil(groups.count() / BLOCK_GROUPS))
     dealt = groups.withColumn("block", F.pmod(F.xxhash64("gid"), F.lit(n_blocks)))
-    parts = stored(dealt.groupBy("block").applyInPandas(group_blocks(shards), "block long, gid binary, part int, bytes long"), "kk-groups")
+    parts = stored(dealt.groupBy("block").applyInPandas(group_blocks(shards), "block long, gid binary, n long, part int, bytes long"), "kk-groups")
     sums = parts.groupBy("block", "part").agg(F.sum("bytes").alias("bytes"))
     where = None  # block, part -> place on the last level
     while True:
@@ -111,28 +114,33 @@ def karmarkar_karp(groups: DataFrame, shards: int) -> DataFrame:
             break
         n_blocks = math.ceil(n_blocks / FAN)
         sums = solved.groupBy(F.col("up").alias("block"), F.col("place").alias("part")).agg(F.sum("bytes").alias("bytes"))
-    return parts.join(where, ["block", "part"]).select("gid", F.col("place").alias("shard"))
+    return parts.join(where, ["block", "part"]).select("gid", "n", F.col("place").alias("shard"))
 
 
-def with_slots(rows: DataFrame, by: str = "doc_id") -> DataFrame:
-    """``slot``: a gapless number from 0 inside each ``shard``, in the order of hash buckets and then of ``by``."""
+def with_slots(rows: DataFrame) -> DataFrame:
+    """``slot``: a gapless number from 0 inside each ``shard``, in the order of hash buckets and then of the row."""
+    whole = ["doc_id", "text_crc32", "size"]
     buckets = max(1, math.ceil(rows.count() / SLOT_ROWS))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int"))
-    counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("shard", "bucket").orderBy(by, "text_crc32", "size")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*whole), F.lit(buckets)).cast("int"))
+    filled = stored(rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"), F.ceil(F.count("*") / SLOT_ROWS).alias("subs")), "slot-buckets")
+    rows = join_hot(rows, filled, ["shard", "bucket"])
+    rows = stored(rows.withColumn("sub", F.when(F.col("subs") > 4, F.pmod(F.xxhash64("rid"), F.col("subs"))).otherwise(0).cast("int")).drop("subs"), "slot-rows")
+    counts = rows.groupBy("shard", "bucket", "sub").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("bucket", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "bucket", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy("shard", "bucket", "sub").orderBy(*whole)
     numbered = rows.withColumn("nth", F.row_number().over(inside) - 1)
-    return numbered.join(starts, ["shard", "bucket"]).withColumn("slot", F.col("first") + F.col("nth"))
+    return numbered.join(starts, ["shard", "bucket", "sub"]).withColumn("slot", F.col("first") + F.col("nth"))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every row."""
     text = text_or_empty("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("gid"))
-    rows = stored(rows, "shard-rows")
-    groups = rows.groupBy("gid").agg(F.sum("size").alias("bytes"))
-    placed = stored(rows.join(karmarkar_karp(groups, shards), "gid").drop("gid"), "shard-placed")
+    rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()), "shard-rows")
+    groups = stored(rows.groupBy("gid").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "shard-groups")
+    placed = stored(join_hot(rows, stored(karmarkar_karp(groups, shards), "shard-of"), ["gid"]).drop("gid"), "shard-placed")
+    forget(docs.sparkSession, rows, groups)
     return with_slots(placed).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

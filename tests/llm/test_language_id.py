@@ -43,3 +43,47 @@ def test_fusion_of_evidence(spark):
     assert identify(spark.createDataFrame([], "page_id long, url string, html string"), tiny()).count() == 0
     none = train_text(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert none.languages == [] and identify(spark.createDataFrame(rows, "page_id long, url string, html string"), none).filter("lang IS NULL").count() == len(rows)
+
+
+def posterior_by_hand(page, scores, pages, languages):
+    """The fused posterior of one page from all pages' own evidence."""
+    def own(i):
+        declared = pages[i][3]
+        return [s + (0.0 if declared not in languages else np.log(0.9 if x == declared else 0.1 / (len(languages) - 1))) for s, x in zip(scores[i], languages, strict=True)]
+
+    def normal(logs):
+        w = np.exp(np.array(logs) - max(logs))
+        return w / w.sum()
+
+    soft = [normal(own(i)) for i in range(len(pages))]
+    n = len(languages)
+    others = lambda k: sum((soft[j] for j in range(len(pages)) if j != page and (k is None or pages[j][k] == pages[page][k])), np.zeros(n))
+    p0 = (others(None) + np.ones(n)) / (others(None).sum() + n)
+    host, suffix = pages[page][1], pages[page][2]
+    p1 = (others(2) + 20 * p0) / (others(2).sum() + 20) if suffix else p0
+    p2 = (others(1) + 5 * p1) / (others(1).sum() + 5) if host else p1
+    return normal([a + np.log(b) for a, b in zip(own(page), p2, strict=True)])
+
+
+def test_posterior_equals_brute_force(spark):
+    model = tiny()
+    words = ["the and of", "der die und", "with that", "nicht das", "12", ""]
+    rows = []
+    for i in range(300):
+        host = ("", "hot.de", "b.com", f"h{i}.fr")[min(i % 5, 3)]
+        declared = ("", " lang='de'", " lang=en", " lang=fr")[i % 4]
+        rows.append((i, f"https://{host}/{i}" if host else None, f"<html{declared}><p>{words[i % 6]} {words[(i // 7) % 6]}</p>"))
+    got = {r.page_id: r for r in identify(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
+    pages = [(i, r[1] and r[1].split("/")[2], r[1] and r[1].split("/")[2].split(".")[-1], {0: None, 1: "de", 2: "en", 3: "fr"}[i % 4]) for i, r in enumerate(rows)]
+    scores = model.scores(pa.array([f"  {words[i % 6]} {words[(i // 7) % 6]} " for i in range(300)]))
+    for i in range(0, 300, 7):
+        want = posterior_by_hand(i, scores, pages, model.languages)
+        assert abs(got[i].probability - want.max()) < 1e-6 and (abs(want[0] - want[1]) < 1e-9 or got[i].lang == model.languages[int(want.argmax())])
+
+
+def test_entities_and_many_languages(spark):
+    docs = spark.createDataFrame([(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 30, f"l{i}") for i in range(100)], "doc_id long, text string, lang string")
+    assert len(train_text(docs).languages) == 100
+    pages = spark.createDataFrame([(1, None, "<p>caf&eacute; &#233;t&#xe9;</p>"), (2, None, "<p>café été</p>")], "page_id long, url string, html string")
+    a, b = identify(pages, tiny()).orderBy("page_id").collect()
+    assert a.probability == b.probability

@@ -36,3 +36,34 @@ def test_levels_keep_groups_and_slots(spark, monkeypatch):
     again = shard_documents(spark.createDataFrame(rows[::-1], "doc_id long, text string"), 6).toPandas()
     assert sorted(zip(got["text_crc32"], got["shard"], strict=True)) == sorted(zip(again["text_crc32"], again["shard"], strict=True))
     assert shard_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def tree_of_pairs(sizes, k):
+    """Karmarkar-Karp by hand: partial partitions as sorted lists of (total, members), the two widest joined in turn."""
+    parts = [[(s, [i])] + [(0, [])] * (k - 1) for i, s in enumerate(sizes)]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[-1][0] - p[0][0])
+        a, b = parts.pop(0), parts.pop(0)
+        both = [(x + y, m + o) for (x, m), (y, o) in zip(a, b[::-1], strict=True)]
+        parts.append(sorted(both, key=lambda p: -p[0]))
+    return sorted(t for t, _ in parts[0])
+
+
+def test_totals_equal_differencing_by_hand():
+    rng = np.random.default_rng(5)
+    for k in (2, 3, 5):
+        sizes = sorted({int(x) for x in rng.integers(1, 10**9, 40)}, reverse=True)  # no ties, which may be broken either way
+        vectors = np.zeros((len(sizes), k), np.int64)
+        vectors[:, 0] = sizes
+        totals = np.bincount(difference(vectors)[:, 0], sizes, k)
+        assert sorted(totals.astype(int)) == tree_of_pairs(sizes, k)
+
+
+def test_equal_rows_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 10)
+    rows = [(None, "same", 1, 2)] * 200 + [(1, "same", 3, 4)] * 150 + [(i, f"t{i}", 5, 6) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard int, slot int").selectExpr("*", "'x' AS gid", "7 AS n", "8 AS bucket", "9 AS size")
+    got = shard_documents(df, 4).toPandas()
+    assert len(got) == 400 and (got.groupby("text_crc32")["shard"].nunique() == 1).all()
+    for _, part in got.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))

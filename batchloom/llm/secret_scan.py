@@ -2,10 +2,14 @@
 
 Pattern spans (``assign``, ``access``, ``hex``) are the leftmost non-overlapping matches of each kind; positions come from
 the lengths of the pieces between matches, in code points, ends exclusive. The entropy method looks at candidate strings
-(runs of base64 characters), sorts each into a character class (``hex`` or ``base64``) and slides a window of ``WINDOW``
-characters along it. Counts per character and the sum of ``c * log2(c)`` are updated with the one character that enters and
-the one that leaves, so a step costs the same for any window. The span from the first to the last window at or above the
-class's threshold is added, unless an allow-list pattern fits the candidate or a pattern span already holds it.
+(runs of base64 characters), sorts each into a character class (``hex``, ``lower`` or ``upper`` letters with digits, or
+``base64``) and slides a window of ``WINDOW`` characters along it. The sum of ``c * log2(c)`` over the window's characters is
+updated from how often the one that enters and the one that leaves stand in the window, so a step costs the same whatever the
+candidate's length. The span from the first to the last window at or above the class's threshold is added, unless an
+allow-list pattern fits that span or a pattern span already holds it.
+
+Prefix sums and maxima over a text's matches are taken in blocks of about the square root of their number, so a text of a
+hundred thousand matches does not cost their square.
 
 Edge cases: a null text counts as an empty one and has no spans (hash of the empty string); repeated rows give repeated
 results; texts and candidates of any length are scanned whole; extra columns are ignored; an empty table gives an empty one.
@@ -21,10 +25,13 @@ from pyspark.sql import functions as F
 from batchloom.llm.common import free_name, table, text_or_empty
 
 WINDOW = 20
-THRESHOLDS = {"hex": 3.0, "base64": 3.7}
-#: A candidate that one of these fits is no secret: words without a digit, number strings, samples, alphabets.
-ALLOW = ("^[^0-9]*$", "^[0-9_=+/-]*$", "(?i)example|sample|placeholder|dummy|xxxx", "(?i)0123456789|abcdefghij")
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+#: Classes of candidates in the order they are tried, with their pattern and the least entropy of a window.
+CLASSES = {"hex": ("^[0-9a-fA-F]+$", 3.0), "lower": ("^[0-9a-z]+$", 3.6), "upper": ("^[0-9A-Z]+$", 3.6), "base64": ("", 3.7)}
+#: A span of high entropy that one of these fits is no secret: words, number strings, samples, alphabets.
+ALLOW = (
+    "^[_=+/-]*([A-Z]?[a-z]{2,}[_=+/-]*)+$", "^[A-Z_=+/-]*$", "^[0-9_=+/-]*$", "(?i)(^|[_=+/-])(example|sample|placeholder|dummy|xxxx+)([_=+/-]|$)", "(?i)0123456789|abcdefghij",
+)
+KINDS = ("assign", "access", "hex", *(f"entropy_{c}" for c in CLASSES))
 PLACEHOLDER = "[SECRET]"
 
 _ASSIGN = (
@@ -34,45 +41,66 @@ _ASSIGN = (
 #: A run of one class is found whole, so its least length can be part of the pattern; "assign" is filtered afterwards.
 PATTERNS = {"assign": _ASSIGN, "access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}"}
 CANDIDATE = f"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
-_SPAN = "array<struct<start:int,rank:int,stop:int>>"
+#: Characters of a stretch that parts of a text are read from.
+STRETCH = 16384
 
 
 def _quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
-def _spans(text: str, pattern: str, rank: int, keep: str = "true") -> str:
-    """SQL for the spans of a pattern's matches; ``keep``: a condition on ``m.g`` (group 2) or ``m.s`` (the match)."""
+def _let(name: str, value: str, body: str) -> str:
+    """SQL that computes a value once for a body that names it often."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _prefix(values: str, start: str, put: str) -> str:
+    """SQL for the running fold (``put`` of ``a`` and ``x``, associative) of an array of integers, a value for each place."""
+    fold = lambda part: f"aggregate({part}, {start}, (a, x) -> {put})"
+    before = _let("sums", f"transform(sequence(0, (size(v) - 1) div w), b -> {fold('slice(v, b * w + 1, w)')})", f"transform(sequence(0, size(sums) - 1), b -> {fold('slice(sums, 1, b)')})")
+    each = _let("before", before, f"transform(v, (y, i) -> aggregate(slice(v, i - i % w + 1, i % w + 1), before[i div w], (a, x) -> {put}))")
+    return _let("v", values, f"if(size(v) = 0, CAST(array() AS array<int>), {_let('w', 'greatest(8, CAST(ceil(sqrt(size(v))) AS int))', each)})")
+
+
+def _matches(text: str, pattern: str) -> str:
+    """SQL for ``start, stop, s`` (the match) and ``g`` (group 2, or the match) of all matches of a pattern."""
     p = _quoted(pattern)
-    group = f"regexp_extract_all({text}, {p}, 2)" if pattern == _ASSIGN else f"regexp_extract_all({text}, {p}, 0)"
-    return f"""CASE WHEN {text} RLIKE {p} THEN transform(filter(aggregate(
-        arrays_zip(slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))), regexp_extract_all({text}, {p}, 0), {group}),
-        named_struct('at', 0, 'out', CAST(array() AS array<struct<start:int,stop:int,s:string,g:string>>)),
-        (a, m) -> named_struct('at', a.at + length(m.`0`) + length(m.`1`), 'out', array_append(a.out, named_struct('start', a.at + length(m.`0`), 'stop', a.at + length(m.`0`) + length(m.`1`), 's', m.`1`, 'g', m.`2`))),
-        a -> a.out), m -> {keep}), m -> named_struct('start', m.start, 'rank', {rank}, 'stop', m.stop)) ELSE CAST(array() AS {_SPAN}) END"""
+    group = f"regexp_extract_all({text}, {p}, 2)" if pattern == _ASSIGN else "found"
+    stops = _prefix(f"zip_with(slice(split({text}, {p}, -1), 1, size(found)), found, (x, y) -> length(x) + length(y))", "0", "a + x")
+    rows = _let("gs", group, _let("ends", stops, "transform(found, (x, i) -> named_struct('start', ends[i] - length(x), 'stop', ends[i], 's', x, 'g', gs[i]))"))
+    return f"CASE WHEN {text} RLIKE {p} THEN {_let('found', f'regexp_extract_all({text}, {p}, 0)', rows)} ELSE CAST(array() AS array<struct<start:int,stop:int,s:string,g:string>>) END"
+
+
+def _spans(text: str, pattern: str, rank: int, keep: str = "true") -> str:
+    """SQL for the spans of a pattern's matches; ``keep``: a condition on ``m.g``."""
+    return f"transform(filter({_matches(text, pattern)}, m -> {keep}), m -> named_struct('start', m.start, 'rank', {rank}, 'stop', m.stop))"
 
 
 def _entropy_hits(chars: str, threshold: str) -> str:
     """SQL for ``first, last``: ends (1-based) of the first and last window whose entropy reaches the threshold, or 0."""
     logs = "array(" + ",".join(f"{c * math.log2(c) if c else 0.0!r}D" for c in range(WINDOW + 2)) + ")"
-    put = lambda n, code, by: f"concat(slice({n}, 1, {code}), array({n}[{code}] + {by}), slice({n}, {code} + 2, 127 - {code}))"
-    leave = f"""transform(array(if(i > {WINDOW}, {chars}[i - {WINDOW} - 1], -1)), o -> if(o < 0, named_struct('n', a.n, 's', a.s),
-        named_struct('n', {put("a.n", "o", "-1")}, 's', a.s - l[a.n[o]] + l[a.n[o] - 1])))[0]"""
-    enter = f"""transform(array({leave}), b -> transform(array({chars}[i - 1]), c ->
-        named_struct('n', {put("b.n", "c", "1")}, 's', b.s - l[b.n[c]] + l[b.n[c] + 1]))[0])[0]"""
-    step = f"""transform(array({enter}), b -> transform(array(i >= {WINDOW} AND {math.log2(WINDOW)!r}D - b.s / {WINDOW} >= {threshold}), hit ->
-        named_struct('n', b.n, 's', b.s, 'first', if(hit AND a.first = 0, i, a.first), 'last', if(hit, i, a.last)))[0])[0]"""
-    return f"""transform(array({logs}), l -> aggregate(sequence(1, size({chars})), named_struct('n', array_repeat(0, 128), 's', 0D, 'first', 0, 'last', 0),
-        (a, i) -> {step}, a -> named_struct('first', a.first, 'last', a.last)))[0]"""
+    often = lambda c, first, n: f"size(filter(slice({chars}, {first}, {n}), y -> y = {c}))"
+    # the window before the step is i - WINDOW .. i - 1; first the character at i - WINDOW leaves, then the one at i enters
+    left = f"if(i > {WINDOW}, {_let('o', often(f'{chars}[i - {WINDOW + 1}]', f'i - {WINDOW}', WINDOW), 'a.s - l[o] + l[o - 1]')}, a.s)"
+    entered = _let("c", often(f"{chars}[i - 1]", f"greatest(1, i - {WINDOW - 1})", f"least(i, {WINDOW}) - 1"), f"{left} - l[c] + l[c + 1]")
+    step = _let("s", entered, _let("hit", f"i >= {WINDOW} AND {math.log2(WINDOW)!r}D - s / {WINDOW} >= {threshold}", "named_struct('s', s, 'first', if(hit AND a.first = 0, i, a.first), 'last', if(hit, i, a.last))"))
+    return _let("l", logs, f"aggregate(sequence(1, size({chars})), named_struct('s', 0D, 'first', 0, 'last', 0), (a, i) -> {step}, a -> named_struct('first', a.first, 'last', a.last))")
 
 
 def _entropy_spans(text: str, base: str) -> str:
-    allow = " AND ".join(f"NOT m.s RLIKE {_quoted(p)}" for p in ALLOW)
-    found = _spans(text, CANDIDATE, 0, allow).replace("named_struct('start', m.start, 'rank', 0, 'stop', m.stop)", "named_struct('start', m.start, 's', m.s, 'hex', m.s RLIKE '^[0-9a-fA-F]+$')").replace(_SPAN, "array<struct<start:int,s:string,hex:boolean>>")
-    scored = f"""transform({found}, m -> named_struct('start', m.start, 'hex', m.hex, 'hit',
-        transform(array(transform(split(m.s, ''), x -> ascii(x))), codes -> {_entropy_hits("codes", f"if(m.hex, {THRESHOLDS['hex']}D, {THRESHOLDS['base64']}D)")})[0]))"""
-    spans = f"""transform(filter({scored}, m -> m.hit.first > 0), m -> named_struct('start', m.start + m.hit.first - {WINDOW}, 'rank', if(m.hex, 3, 4), 'stop', m.start + m.hit.last))"""
-    return f"filter({spans}, e -> NOT exists({base}, b -> b.start <= e.start AND e.stop <= b.stop))"
+    kind = "CASE " + " ".join(f"WHEN m.s RLIKE '{p}' THEN {k}" if p else f"ELSE {k}" for k, (p, _) in enumerate(CLASSES.values())) + " END"
+    least = "array(" + ",".join(f"{t}D" for _, t in CLASSES.values()) + ")"
+    hits = _let("codes", "transform(split(m.s, ''), x -> ascii(x))", _entropy_hits("codes", f"{least}[m.k]"))
+    found = f"transform({_matches(text, CANDIDATE)}, m -> named_struct('start', m.start, 's', m.s, 'k', {kind}))"
+    scored = f"transform({found}, m -> named_struct('start', m.start, 's', m.s, 'k', m.k, 'hit', {hits}))"
+    part = f"substring(m.s, m.hit.first - {WINDOW - 1}, m.hit.last - m.hit.first + {WINDOW})"
+    allow = " AND ".join(f"NOT {part} RLIKE {_quoted(p)}" for p in ALLOW)
+    spans = f"transform(filter({scored}, m -> m.hit.first > 0 AND {allow}), m -> named_struct('start', m.start + m.hit.first - {WINDOW}, 'rank', m.k + 3, 'stop', m.start + m.hit.last))"
+    # a span is held by a pattern span if the furthest end of those that begin no later lies no earlier than its own
+    both = f"array_sort(concat({base}, es))"
+    reach = _prefix("transform(bs, x -> if(x.rank < 3, x.stop, -1))", "-1", "greatest(a, x)")
+    kept = _let("bs", both, _let("r", reach, "transform(filter(transform(bs, (x, i) -> named_struct('m', x, 'r', r[i])), y -> y.m.rank >= 3 AND y.r < y.m.stop), y -> y.m)"))
+    return _let("es", spans, f"if(size(es) = 0, es, {kept})")
 
 
 def _joined(spans: str) -> str:
@@ -92,10 +120,13 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, st
 
 def redacted(text: str, spans: str) -> Column:
     """The text with each maximal run of overlapping spans replaced by the placeholder."""
-    t = "_redact_t"
-    return F.expr(f"""transform(array(aggregate({spans}, named_struct('at', 0, 'out', ''),
-        (a, m) -> named_struct('at', greatest(a.at, m.stop), 'out', if(m.start < a.at, a.out, concat(a.out, substring({t}, a.at + 1, m.start - a.at), '{PLACEHOLDER}'))))),
-        a -> concat(a.out, substring({t}, a.at + 1)))[0]""".replace(t, text))
+    # the run before place i ends at r[i - 1]; parts are read from stretches of the text, so that no part counts from its start
+    part = lambda a, b: f"if({a} div {STRETCH} = ({b} - 1) div {STRETCH}, substring(ts[{a} div {STRETCH}], {a} % {STRETCH} + 1, {b} - {a}), substring({text}, {a} + 1, {b} - {a}))"
+    begins = "filter(sequence(0, size(ms) - 1), i -> i = 0 OR ms[i].start >= r[i - 1])"
+    before = f"transform({begins}, i -> {_let('p', 'if(i = 0, 0, r[i - 1])', part('p', 'ms[i].start'))})"
+    body = f"concat(array_join({before}, '{PLACEHOLDER}'), '{PLACEHOLDER}', substring({text}, r[size(ms) - 1] + 1))"
+    stretches = f"transform(sequence(0, length({text}) div {STRETCH}), k -> substring({text}, k * {STRETCH} + 1, {STRETCH}))"
+    return F.expr(_let("ms", spans, _let("r", _prefix("transform(ms, x -> x.stop)", "0", "greatest(a, x)"), _let("ts", stretches, body))))
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
@@ -125,11 +156,12 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FRO
 m AS ({" UNION ALL ".join(_duck_spans(i, p) for i, p in enumerate([*PATTERNS.values(), CANDIDATE]))}),
 l AS (SELECT r, rank, s[k] AS s, g[k] AS g, (list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(s[1:k - 1], lambda x: length(x))), 0))::INT AS start FROM m),
 base AS (SELECT r, rank, start, start + length(s) AS stop FROM l WHERE rank < 3 AND (rank > 0 OR length(g) >= 6)),
-c AS (SELECT r, s, start, regexp_matches(s, '^[0-9a-fA-F]+$') AS hex FROM l WHERE rank = 3 AND {" AND ".join(f"NOT regexp_matches(s, {_duck(p)})" for p in ALLOW)}),
-h AS (SELECT *, list_filter(range({WINDOW}, length(s) + 1), lambda i: list_entropy(string_split(substr(s, i - {WINDOW - 1}, {WINDOW}), '')) >= CASE WHEN hex THEN {THRESHOLDS["hex"]} ELSE {THRESHOLDS["base64"]} END) AS hits FROM c),
-e AS (SELECT r, CASE WHEN hex THEN 3 ELSE 4 END AS rank, start + hits[1] - {WINDOW} AS start, start + hits[-1] AS stop FROM h WHERE len(hits) > 0),
+c AS (SELECT r, s, start, CASE {" ".join(f"WHEN regexp_matches(s, '{p}') THEN {k}" if p else f"ELSE {k}" for k, (p, _) in enumerate(CLASSES.values()))} END AS k FROM l WHERE rank = 3),
+h AS (SELECT *, list_filter(range({WINDOW}, length(s) + 1), lambda i: list_entropy(string_split(substr(s, i - {WINDOW - 1}, {WINDOW}), '')) >= ({[t for _, t in CLASSES.values()]})[k + 1]) AS hits FROM c),
+p AS (SELECT r, k, start, hits, substr(s, hits[1] - {WINDOW - 1}, hits[-1] - hits[1] + {WINDOW}) AS part FROM h WHERE len(hits) > 0),
+e AS (SELECT r, k + 3 AS rank, start + hits[1] - {WINDOW} AS start, start + hits[-1] AS stop FROM p WHERE {" AND ".join(f"NOT regexp_matches(part, {_duck(p)})" for p in ALLOW)}),
 x AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = e.r AND b.start <= e.start AND e.stop <= b.stop)),
-every AS (SELECT *, (['assign', 'access', 'hex', 'entropy_hex', 'entropy_base64'])[rank + 1] || ':' || start || ':' || stop AS span FROM (SELECT * FROM base UNION ALL SELECT * FROM x)),
+every AS (SELECT *, ({list(KINDS)})[rank + 1] || ':' || start || ':' || stop AS span FROM (SELECT * FROM base UNION ALL SELECT * FROM x)),
 agg AS (SELECT r, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
   string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans FROM every GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,

@@ -1,10 +1,11 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter
 
 from batchloom.llm.queries import ORACLES, QUERIES
-from batchloom.llm.secret_scan import ALLOW, CANDIDATE, KINDS, THRESHOLDS, WINDOW, find_secrets, op8_secret_scan, redact_secrets
+from batchloom.llm.secret_scan import ALLOW, CANDIDATE, CLASSES, KINDS, WINDOW, find_secrets, op8_secret_scan, redact_secrets
 from pyspark.sql import functions as F
 from tests.helpers import same_as_oracle
 
@@ -20,6 +21,8 @@ TEXTS = [
     "A9F3C27B5D81E604A9F3C27B5D81 thisisaverylongwordwithoutdigits 12345678901234567890123",
     "aaaaaaaaaaaaaaaaaaaaaaaa1 " + "x" * 60 + "q7Zk2Lw9Xb4Vn8Tr5Yp1Mc6Hd3Gf0Js",
     "word " * 500 + "token:q7Zk2Lw9Xb4Vn8Tr5Yp1Mc6Hd3Gf0Js",
+    "sample_dsn=Zx9QwT7kLm3VbN5pRs8YcD2f example/path/Hq4Zt8Wm1Kc6Xv3Bn9Lp5Jd7 QwErTyUiOpAsDfGhJkLzXcVbNm an_example_of_words_between_bars",
+    "zk4qp9wm2xt7bv5nc8rd3hj6lf1gs0ay ZK4QP9WM2XT7BV5NC8RD3HJ6LF1GS0AY SomeLongCamelCaseNameOfAClass THIS_IS_ALL_UPPER_CASE_TEXT",
 ]
 
 
@@ -30,16 +33,14 @@ def brute(text):
     base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
     more = []
     for m in re.finditer(CANDIDATE, text):
-        if any(re.search(p, m[0]) for p in ALLOW):
-            continue
-        kind = "hex" if re.fullmatch("[0-9a-fA-F]+", m[0]) else "base64"
+        k = next(k for k, (p, _) in enumerate(CLASSES.values()) if re.search(p, m[0]))
         hits = []
         for i in range(len(m[0]) - WINDOW + 1):
             counts = Counter(m[0][i : i + WINDOW])
-            if -sum(c / WINDOW * math.log2(c / WINDOW) for c in counts.values()) >= THRESHOLDS[kind]:
+            if -sum(c / WINDOW * math.log2(c / WINDOW) for c in counts.values()) >= list(CLASSES.values())[k][1]:
                 hits.append(i)
-        if hits:
-            span = (m.start() + hits[0], 3 if kind == "hex" else 4, m.start() + hits[-1] + WINDOW)
+        if hits and not any(re.search(p, m[0][hits[0] : hits[-1] + WINDOW]) for p in ALLOW):
+            span = (m.start() + hits[0], 3 + k, m.start() + hits[-1] + WINDOW)
             if not any(a <= span[0] and span[2] <= b for a, _, b in base):
                 more.append(span)
     join = lambda x: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(x))
@@ -66,3 +67,32 @@ def test_redaction_keeps_rows_and_columns(spark):
 def test_plan_has_no_python(spark):
     plan = find_secrets(spark.createDataFrame([(1, "a")], "doc_id long, text string"))[0].filter(F.lit(True))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def many(n):
+    return " ".join(f"token=abc{i}Z{i * 7919 % 1000} q7Zk2Lw9Xb4Vn8Tr5Yp{i}" for i in range(n))
+
+
+def test_many_matches_equal_brute_force(spark, tmp_path):
+    texts = [many(n) for n in (1, 7, 8, 9, 63, 64, 65, 700)] + ["é" * 20_000 + many(300) + "ü" * 20_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: tuple(r[c] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")) for r in op8_secret_scan(spark, str(tmp_path)).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+    clean = {r.doc_id: r.text for r in redact_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        want, at = "", 0
+        spans = sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in brute(t)[4].split(",")))
+        for a, b in spans:
+            want += t[at:a] + "[SECRET]" if a >= at else ""
+            at = max(at, b)
+        assert clean[i] == want + t[at:]
+
+
+def test_time_follows_the_matches(spark):
+    took = []
+    for n in (4000, 16_000):
+        df = spark.createDataFrame([(1, many(n))], "doc_id long, text string")
+        begin = time.monotonic()
+        assert redact_secrets(df).selectExpr("length(text) AS n").first().n > 0
+        took.append(time.monotonic() - begin)
+    assert took[1] < 60 and took[1] < 9 * took[0]

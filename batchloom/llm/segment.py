@@ -349,16 +349,35 @@ def _shared(docs: DataFrame, model_path: str | None):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def segment(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """``doc_id, n_pieces, ids, lossless`` of every row; ``lossless``: decoding gave back the text, byte for byte."""
+def copy_keys(keys: np.ndarray, same: np.ndarray, before: int) -> tuple[np.ndarray, int]:
+    """Keys of rows, changed for the second and later copies of a row that lie next to each other; ``same``: the row repeats
+    the one before it; ``before``: number of the row before the first. Also the last row's number."""
+    at = np.arange(len(keys))
+    first = np.maximum.accumulate(np.where(same, -1, at))
+    number = np.where(first < 0, before + 1 + at, at - first)
+    return np.where(number > 0, mix(keys + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), keys), int(number[-1]) if len(number) else before
+
+
+def segment(docs: DataFrame, model_path: str | None = None, copies: bool = False) -> DataFrame:
+    """``doc_id, n_pieces, ids, lossless`` of every row; ``lossless``: decoding gave back the text, byte for byte.
+
+    ``copies``: rows that repeat the row before them in id and text, as epochs of a mix do, are sampled anew by their number
+    (a copy that begins another split of the table counts as a first one). Without it repeated rows get the same pieces.
+    """
     model = _shared(docs, model_path)
 
     def start():
-        pieces = Pieces(model.value)
+        pieces, last, before = Pieces(model.value), None, 0
 
         def work(batch: pa.RecordBatch) -> dict:
+            nonlocal last, before
             texts = batch.column("text").to_pylist()
-            ids, limits = encode(texts, batch.column("key").to_numpy().view(np.uint64), pieces)
+            keys = batch.column("key").to_numpy().view(np.uint64)
+            if copies:
+                rows = list(zip(batch.column("doc_id").to_pylist(), texts, strict=True))
+                keys, before = copy_keys(keys, np.array([x == y for x, y in zip([last, *rows[:-1]], rows, strict=True)], bool), before)
+                last = rows[-1]
+            ids, limits = encode(texts, keys, pieces)
             back = decode(ids, limits, pieces)
             lists = pa.ListArray.from_arrays(pa.array(limits.astype(np.int32)), pa.array(ids))
             return {"doc_id": batch.column("doc_id"), "n_pieces": np.diff(limits), "ids": lists, "lossless": np.array([a == b.encode() for a, b in zip(back, texts, strict=True)], bool)}

@@ -15,7 +15,7 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = {i: shingles(t) for i, t in rows if i is not None}
     root = {i: i for i in sets}
 
@@ -27,7 +27,7 @@ def brute(rows):
     ids = sorted(sets)
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}

@@ -20,7 +20,7 @@ def test_stages_against_brute_force(spark):
     left = {r.doc_id: r.text for r in kept.collect()}
     assert all(i in left for i in rows if labels.get(i) == 0) and all(left[i] == rows[i].text for i in left)
     single = corpus_pipeline.near_duplicates(spark, kept, SF)
-    want = {i for i, (_, c, k) in groups(list(left.items())).items() if k}
+    want = {i for i, (_, c, k) in groups(list(left.items()), 80).items() if k}
     assert single.columns == COLUMNS and {r.doc_id for r in single.collect()} == want
     clean = corpus_pipeline.secrets(spark, single, SF)
     assert clean.columns == COLUMNS
@@ -61,3 +61,15 @@ def test_one_of_each_group_from_80_percent(spark):
     assert near == {(1, 0)}
     assert {r.doc_id for r in one_of_each_group(df, 80).collect()} == {0, 2}
     assert one_of_each_group(df).count() == 3
+
+
+def test_stages_on_empty_and_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = [(1, None, None, None, None), (1, "", "en", "s", 0), (None, "a b", "en", None, 3), (2, "x" * 40_000 + " token=abcdef12", "de", "t", 40_015), (2, "x y", "de", "t", 3), (2, "x y", "de", "t", 3)]
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in ([], odd):
+        docs = spark.createDataFrame(rows, schema)
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, str(tmp_path))
+        got = docs.collect()
+        assert all(r.lossless for r in got) and (len(got) > 0) == bool(rows)

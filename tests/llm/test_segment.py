@@ -99,3 +99,13 @@ def test_regular_words_come_back():
             texts = [" ".join(regular(n, a, b)), regular(n, a, b)[1]]
             ids, limits = encode(texts, np.arange(2, dtype=np.uint64), PIECES)
             assert decode(ids, limits, PIECES) == [t.encode() for t in texts]
+
+
+def test_copies_next_to_each_other_are_sampled_anew(spark):
+    text = "reproducible sampled segmentations of one document " * 3
+    rows = [(1, text)] * 3 + [(2, text), (None, text), (None, text), (1, text), (3, None), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    plain, got = ([r.ids for r in segment(df, copies=c).collect()] for c in (False, True))
+    assert plain[0] == plain[1] == got[0] == got[6] and got[3] == plain[3]
+    assert len({tuple(x) for x in got[:3]}) == 3 and got[4] != got[5] and got[7] == got[8] == []
+    assert got == [r.ids for r in segment(df, copies=True).collect()] and all(r.lossless for r in segment(df, copies=True).collect())

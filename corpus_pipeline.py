@@ -17,30 +17,51 @@ from batchloom.llm.segment import segment
 from batchloom.llm.toxicity import train, without_toxic
 
 
+#: Similarity from which two documents are near duplicates, in percent.
+NEAR = 80
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain, trained on the labelled ones, does not reject."""
+    """Documents that the classifier chain, trained on the labelled ones, does not reject.
+
+    Null and empty texts have no words and stay; rows that repeat an id are judged each by its own text; an empty table, or
+    labels of one kind only, reject nothing.
+    """
     return without_toxic(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near-duplicates."""
-    return one_of_each_group(docs)
+    """One document, the one with the smallest id, of each group linked by five-word shingles from ``NEAR`` percent on.
+
+    Null, empty and blank texts link with nothing and stay, as do rows with a null id; of rows that repeat id and text one
+    stays, and rows that share an id but not their text are judged each by its own; an empty table stays empty.
+    """
+    return one_of_each_group(docs, NEAR)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced in their texts; ``n_chars`` follows the text."""
+    """All documents, with secrets replaced in their texts; ``n_chars`` follows the text.
+
+    A null text stays null with its ``n_chars``; repeated rows stay repeated; an empty table stays empty.
+    """
     clean = redact_secrets(docs)
     return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, its copies next to each other.
+
+    Texts without words are not taken; a null source is a source; repeated rows count each; an empty table stays empty.
+    """
     return mixed_copies(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled pieces of each document: ``doc_id, n_pieces, ids, lossless``."""
-    return segment(docs)
+    """Sampled pieces of each document, of copies by their number: ``doc_id, n_pieces, ids, lossless``.
+
+    Null and empty texts have no pieces; an empty table gives an empty result.
+    """
+    return segment(docs, copies=True)
 
 
 STAGES = [

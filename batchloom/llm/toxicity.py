@@ -1,19 +1,22 @@
 """Operator 2: toxicity by a chain of linear classifiers over categories.
 
-Categories are predicted in a fixed order. The model of a category sees word features and the probabilities of the earlier
-categories. In training those probabilities are out-of-fold: ``FOLDS`` models, each fitted without one fold of rows, so
-that a later model meets probabilities of the quality it will meet in use. Each category's threshold comes from its
-out-of-fold probabilities: the geometric mean of one half and the one that at most ``FALSE_RATE`` of the clean rows exceed
-(0.1 at least), or just above the latter where it is over one half.
-
-Features are words (runs of letters, lower case) and word beginnings (which join inflected forms) whose presence goes with the label: document frequencies by label are
-grouped aggregates over the labelled sample, and the ``FEATURES`` words with the highest likelihood ratio are kept. The
-sample is bounded: at most ``SAMPLE`` labelled rows, those with the smallest hash of their id. Scoring reads every whole
-text once, without a shuffle: words become fingerprints, and those of selected words are looked up.
+Categories are predicted in a fixed order: poor quality, toxic and poor, toxic (the verdict). The model of a category sees
+word features and the probabilities of the earlier categories. In training those probabilities are out-of-fold: ``FOLDS``
+models, each fitted without one fold of rows on words selected without that fold, so that a later model meets probabilities of
+the quality it will meet in use. Each category's threshold comes from its out-of-fold probabilities: the geometric mean of one
+half and the one that at most ``FALSE_RATE`` of the clean rows exceed (0.1 at least), or just above the latter where it is
+over one half.
+
+Features are words (runs of letters, lower case) and word beginnings (which join inflected forms) whose presence goes with
+the verdict: document frequencies by label and fold are one grouped aggregate over the labelled sample, and the ``FEATURES``
+words with the highest likelihood ratio are kept, for each fold's model from the other folds' counts. The sample is bounded:
+at most ``SAMPLE`` labelled rows, those with the smallest hash of their id. Scoring reads every whole text once, without a
+shuffle: words become fingerprints, and those of selected words are looked up.
 
 Edge cases: a null or empty text gets the probabilities of a text without selected words; labels that are null or not 0 or
-1 are not used; without rows of both kinds a category's probability is its rate (0 for no rows) and nothing is rejected;
-repeated rows give repeated results; extra columns are ignored; an empty table gives an empty result.
+1 and ids with contradicting labels are not used, and of an id with several texts the first in order is; without rows of
+both kinds a category's probability is its rate (0 for no rows) and nothing is rejected; repeated rows give repeated results;
+extra columns are ignored; an empty table gives an empty result. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ FOLDS = 5
 #: Bytes of the word beginnings.
 PREFIXES = (4, 5)
 #: Categories in chain order, as SQL conditions on a row of labels; the last one is the verdict.
-CATEGORIES = (("toxic_poor", "toxic = 1 AND quality = 0"), ("toxic_prose", "toxic = 1 AND quality = 1"), ("toxic", "toxic = 1"))
+CATEGORIES = (("poor", "quality = 0"), ("toxic_poor", "toxic = 1 AND quality = 0"), ("toxic", "toxic = 1"))
 #: Most labelled clean rows that the verdict's threshold may reject.
 FALSE_RATE = 0.001
 PENALTY = 0.03
@@ -143,28 +146,39 @@ class Chain:
         return out
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, words: np.ndarray, names: Sequence[str], folds: np.ndarray) -> Chain:
-    """Models in chain order on dense features ``x``, with out-of-fold probabilities of earlier categories."""
+def fit_chain(x: np.ndarray, labels: np.ndarray, words: np.ndarray, names: Sequence[str], folds: np.ndarray, selected: np.ndarray | None = None) -> Chain:
+    """Models in chain order on dense features ``x``, with out-of-fold probabilities of earlier categories.
+
+    ``selected``: which columns each fold's model may use (a row a fold) and, in the last row, those of the final models.
+    """
+    n_folds = int(folds.max(initial=0)) + 1
+    selected = np.ones((n_folds + 1, x.shape[1]), bool) if selected is None else selected
     out_of_fold = np.zeros((len(x), 0))
     models, thresholds = [], []
     for k in range(len(names)):
-        z, y = np.hstack([x, out_of_fold]), labels[:, k].astype(float)
+        y = labels[:, k].astype(float)
         p = np.zeros(len(x))
         for f in np.unique(folds):
-            p[folds == f] = fit_linear(z[folds != f], y[folds != f], x.shape[1])(z[folds == f])
-        models.append(fit_linear(z, y, x.shape[1]))
+            z = np.hstack([x[:, selected[f]], out_of_fold])
+            p[folds == f] = fit_linear(z[folds != f], y[folds != f], int(selected[f].sum()))(z[folds == f])
+        models.append(fit_linear(np.hstack([x[:, selected[-1]], out_of_fold]), y, int(selected[-1].sum())))
         clean = np.sort(p[y == 0])
         floor = clean[len(clean) - 1 - int(FALSE_RATE * len(clean))] if len(clean) else 1.0
         thresholds.append(float(np.nextafter(floor, 2.0) if floor >= 0.5 else max(0.1, np.sqrt(floor * 0.5))))
         out_of_fold = np.hstack([out_of_fold, p[:, None]])
-    return Chain(words, list(names), models, thresholds)
+    return Chain(words[selected[-1]], list(names), models, thresholds)
+
+
+def fold_of(doc_ids: np.ndarray) -> np.ndarray:
+    return (doc_ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % FOLDS
 
 
 def sample_rows(labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
     """At most ``rows`` labelled ids with a column for each category (1, 0), small enough to broadcast."""
-    known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
-    one = known.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.coalesce(F.expr(c), F.lit(False)).cast("int").alias(f"y{k}") for k, (_, c) in enumerate(CATEGORIES)])
-    return one.orderBy(F.xxhash64("doc_id"), *one.columns).limit(rows).dropDuplicates(["doc_id"])
+    known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    one = known.agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("t1"), F.min("quality").alias("quality"), F.max("quality").alias("q1")).filter("toxic = t1 AND quality <=> q1")
+    ys = [F.coalesce(F.expr(c), F.lit(False)).cast("int").alias(f"y{k}") for k, (_, c) in enumerate(CATEGORIES)]
+    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", *ys)
 
 
 def one_of_each_copy(texts: DataFrame) -> DataFrame:
@@ -192,15 +206,16 @@ def one_of_each_copy(texts: DataFrame) -> DataFrame:
     return stored(texts.join(F.broadcast(keys.select("doc_id")), "doc_id", "left_semi"), "tox-distinct")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Chain:
-    """The chain fitted on the labelled sample; words and texts stay on the executors, selected features come back."""
-    ys = [f"y{k}" for k in range(len(CATEGORIES))]
-    sample = stored(sample_rows(labels), "tox-sample")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    texts = one_of_each_copy(stored(texts, "tox-texts"))
-    last = ys[-1]
+def _likelihood_ratio(n: int, n1: int, has, has1):
+    """SQL gain of knowing that a word is present (``has`` of ``n`` texts, ``has1`` of the ``n1`` toxic ones)."""
+    term = lambda seen, of, all_: F.when(seen > 0, seen * F.log(seen * n / (of * all_))).otherwise(0.0)
+    return term(has1, has, n1) + term(has - has1, has, n - n1) + term(n1 - has1, n - has, n1) + term(n - n1 - has + has1, n - has, n - n1)
+
+
+def word_counts(texts: DataFrame, last: str) -> DataFrame:
+    """``word`` and, for each fold, in how many texts (``n0`` ...) and toxic texts (``t0`` ...) of the sample it stands."""
 
-    def counts_start():
+    def start():
         def work(batch: pa.RecordBatch) -> dict:
             hashes, firsts = text_words(batch.column("text"))
             rows = np.repeat(np.arange(batch.num_rows), np.diff(firsts))
@@ -208,26 +223,57 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
             h, r = hashes[order], rows[order]
             once = np.ones(len(h), bool)
             once[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-            h, y = h[once], batch.column(last).to_numpy()[r[once]]
-            word, start = np.unique(h, return_index=True)
-            n = np.diff(np.append(start, len(h)))
-            n1 = np.add.reduceat(y, start, dtype=np.int64) if len(start) else n
-            return {"word": word.view(np.int64), "n": n, "n1": n1}
+            h, r = h[once], r[once]
+            word, at = np.unique(h, return_inverse=True)
+            fold, y = fold_of(batch.column("doc_id").to_numpy())[r], batch.column(last).to_numpy()[r]
+            out = {"word": word.view(np.int64)}
+            for f in range(FOLDS):
+                out[f"n{f}"] = np.bincount(at[fold == f], minlength=len(word))
+                out[f"t{f}"] = np.bincount(at[(fold == f) & (y == 1)], minlength=len(word))
+            return out
 
         return work
 
+    fields = [f"{c}{f}" for f in range(FOLDS) for c in "nt"]
+    counts = map_texts(texts.select("doc_id", "text", last), "word bigint, " + ", ".join(f"{c} bigint" for c in fields), start)
+    return counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in fields])
+
+
+def select_words(words: DataFrame, sizes: dict[int, tuple[int, int]]) -> list[np.ndarray]:
+    """Selected words (sorted fingerprints) for each fold's model, from the other folds, and for the final models."""
+    out = []
+    for left in [*range(FOLDS), None]:
+        use = [f for f in range(FOLDS) if f != left]
+        n, n1 = (sum(sizes.get(f, (0, 0))[k] for f in use) for k in (0, 1))
+        if not 0 < n1 < n:
+            out.append(np.zeros(0, np.uint64))
+            continue
+        has, has1 = (sum((F.col(f"{c}{f}") for f in use), F.lit(0)) for c in "nt")
+        rows = words.select("word", has.alias("n"), has1.alias("t")).filter(f"n >= {LEAST_TEXTS} AND t >= {LEAST_SHARE} * (n + 2)")
+        gain = _likelihood_ratio(n, n1, F.col("n"), F.col("t"))
+        best = rows.select("word", gain.alias("g")).filter(F.col("g") >= LEAST_GAIN).orderBy(F.desc("g"), "word").limit(FEATURES)
+        out.append(np.sort(np.array([r.word for r in best.collect()], np.int64).view(np.uint64)))
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Chain:
+    """The chain fitted on the labelled sample; words and texts stay on the executors, selected features come back."""
+    ys = [f"y{k}" for k in range(len(CATEGORIES))]
+    sample = stored(sample_rows(labels), "tox-sample")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    texts = one_of_each_copy(stored(texts.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.max(y).alias(y) for y in ys]), "tox-texts"))
+    last = ys[-1]
     total = texts.agg(F.count("*"), F.sum(last)).first()
     n, n1 = total[0], total[1] or 0
     if not n1 or n1 == n:
         rate = 40.0 if n and n1 == n else -40.0
         return Chain(np.zeros(0, np.uint64), [c for c, _ in CATEGORIES], [Linear(np.zeros(k), rate) for k in range(len(CATEGORIES))], [2.0] * len(CATEGORIES))
-    words = map_texts(texts.select("text", last), "word bigint, n bigint, n1 bigint", counts_start).groupBy("word").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).filter(f"n >= {LEAST_TEXTS}")
-    term = lambda obs, of, all_: F.when(obs > 0, obs * F.log(obs * n / (of * all_))).otherwise(0.0)
-    a, b = F.col("n1"), F.col("n") - F.col("n1")
-    ratio = term(a, F.col("n"), n1) + term(b, F.col("n"), n - n1) + term(n1 - a, n - F.col("n"), n1) + term(n - n1 - b, n - F.col("n"), n - n1)
-    best = words.filter(a >= LEAST_SHARE * (F.col("n") + 2)).select("word", ratio.alias("g")).filter(F.col("g") >= LEAST_GAIN).orderBy(F.desc("g"), "word").limit(FEATURES)
-    chosen = np.sort(np.array([r.word for r in best.collect()], np.int64).view(np.uint64))
-    blank = Chain(chosen, [], [], [])
+    ids = texts.select("doc_id", last).toPandas()  # at most SAMPLE rows of two numbers
+    fold = fold_of(ids["doc_id"].to_numpy(np.int64))
+    sizes = {f: (int((fold == f).sum()), int(ids[last].to_numpy()[fold == f].sum())) for f in range(FOLDS)}
+    chosen = select_words(stored(word_counts(texts, last).filter(" + ".join(f"n{f}" for f in range(FOLDS)) + f" >= {LEAST_TEXTS}"), "tox-words"), sizes)
+    every = np.unique(np.concatenate(chosen))
+    blank = Chain(every, [], [], [])
 
     def design_start():
         def work(batch: pa.RecordBatch) -> dict:
@@ -238,12 +284,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
         return work
 
     rows = map_texts(texts, "doc_id bigint, " + ", ".join(f"{y} int" for y in ys) + ", cols array<int>", design_start).orderBy("doc_id").toPandas()
-    x = np.zeros((len(rows), len(chosen)), np.float32)
+    x = np.zeros((len(rows), len(every)), np.float32)
     for i, cols in enumerate(rows["cols"]):
         x[i, np.asarray(cols, np.int64)] = 1
-    use = np.flatnonzero(x.sum(axis=0) >= LEAST_TEXTS)
-    folds = (rows["doc_id"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % FOLDS
-    return fit_chain(x[:, use], rows[ys].to_numpy(), chosen[use], [c for c, _ in CATEGORIES], folds)
+    selected = np.stack([np.isin(every, some) for some in chosen])
+    return fit_chain(x, rows[ys].to_numpy(), every, [c for c, _ in CATEGORIES], fold_of(rows["doc_id"].to_numpy(np.int64)), selected)
 
 
 def classify(docs: DataFrame, chain: Chain) -> DataFrame:

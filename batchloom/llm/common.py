@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +21,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and survives the loss of any executor."""
-    return keep(df, name, "llm")
+    out = keep(df, name, "llm")
+    if (made := _made.get()) is not None:
+        made.append(out)
+    return out
+
+
+#: Tables stored inside the innermost ``scratch``.
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables stored inside are deleted at its end, but for those stored through the function it gives."""
+    made: list[DataFrame] = []
+    before = _made.set(made)
+    kept: list[DataFrame] = []
+
+    def result(df: DataFrame, name: str) -> DataFrame:
+        kept.append(keep(df, name, "llm"))
+        return kept[-1]
+
+    try:
+        yield result
+    finally:
+        _made.reset(before)
+        for df in made:
+            forget(df.sparkSession, df)
+        if (outer := _made.get()) is not None:
+            outer += kept
 
 
 def forget(spark: SparkSession, *tables: DataFrame) -> None:

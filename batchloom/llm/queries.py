@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from batchloom.llm.embedding_dedup import ORACLE as EMBEDDING_SQL
 from batchloom.llm.embedding_dedup import op6_embedding_graph
+from batchloom.llm.filter_audit import ORACLE as AUDIT_SQL
+from batchloom.llm.filter_audit import op11_filter_interactions
 from batchloom.llm.language_id import op4_language_fusion
 from batchloom.llm.minhash import ORACLE as MINHASH_SQL
 from batchloom.llm.minhash import op9_minhash_near_dedup
@@ -28,10 +30,12 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_filter_interactions": op11_filter_interactions,
 }
 ORACLES: dict[str, str] = {
     "op6_embedding_graph": EMBEDDING_SQL,
     "op7_mix_sources": MIX_SQL,
     "op8_secret_scan": SECRET_SQL,
     "op9_minhash_near_dedup": MINHASH_SQL,
+    "op11_filter_interactions": AUDIT_SQL,
 }

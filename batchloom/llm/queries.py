@@ -18,6 +18,8 @@ from batchloom.llm.segment import op5_sample_pieces
 from batchloom.llm.sharding import op3_karmarkar_karp_shards
 from batchloom.llm.token_counts import op1_token_counts
 from batchloom.llm.toxicity import op2_toxicity_chain
+from batchloom.llm.web_archive import ORACLE as ARCHIVE_SQL
+from batchloom.llm.web_archive import op12_arc_to_warc
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
@@ -31,6 +33,7 @@ QUERIES = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_filter_interactions": op11_filter_interactions,
+    "op12_arc_to_warc": op12_arc_to_warc,
 }
 ORACLES: dict[str, str] = {
     "op6_embedding_graph": EMBEDDING_SQL,
@@ -38,4 +41,5 @@ ORACLES: dict[str, str] = {
     "op8_secret_scan": SECRET_SQL,
     "op9_minhash_near_dedup": MINHASH_SQL,
     "op11_filter_interactions": AUDIT_SQL,
+    "op12_arc_to_warc": ARCHIVE_SQL,
 }

@@ -16,6 +16,7 @@ from batchloom.llm.secret_scan import ORACLE as SECRET_SQL
 from batchloom.llm.secret_scan import op8_secret_scan
 from batchloom.llm.segment import op5_sample_pieces
 from batchloom.llm.sharding import op3_karmarkar_karp_shards
+from batchloom.llm.token_alignment import op13_align_tokens
 from batchloom.llm.token_counts import op1_token_counts
 from batchloom.llm.toxicity import op2_toxicity_chain
 from batchloom.llm.web_archive import ORACLE as ARCHIVE_SQL
@@ -34,6 +35,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_filter_interactions": op11_filter_interactions,
     "op12_arc_to_warc": op12_arc_to_warc,
+    "op13_align_tokens": op13_align_tokens,
 }
 ORACLES: dict[str, str] = {
     "op6_embedding_graph": EMBEDDING_SQL,

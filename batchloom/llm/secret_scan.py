@@ -1,12 +1,13 @@
 """Operator 8: secrets in whole texts, by patterns and by sliding-window Shannon entropy, in SQL expressions only.
 
 Pattern spans (``assign``, ``access``, ``hex``) are the leftmost non-overlapping matches of each kind; positions come from
-the lengths of the pieces between matches, in code points, ends exclusive. The entropy method looks at candidate strings
-(runs of base64 characters), sorts each into a character class (``hex``, ``lower`` or ``upper`` letters with digits, or
-``base64``) and slides a window of ``WINDOW`` characters along it. The sum of ``c * log2(c)`` over the window's characters is
-updated from how often the one that enters and the one that leaves stand in the window, so a step costs the same whatever the
-candidate's length. The span from the first to the last window at or above the class's threshold is added, unless an
-allow-list pattern fits that span or a pattern span already holds it.
+the lengths of the pieces between matches, in code points, ends exclusive. The entropy method looks at candidate strings:
+runs of base64 characters, cut where a sample word stands between delimiters or an alphabet begins, so that such a word hides
+nothing beside it. Each is sorted into a character class (``hex``, ``lower`` or ``upper`` letters with digits, or ``base64``)
+and a window of ``WINDOW`` characters slides along it. A fold carries how often each character stands in the window and the
+sum of ``c * log2(c)`` of these counts; a step changes the counts of the character that leaves and of the one that enters, so
+it costs the same whatever the candidate's length. The span from the first to the last window at or above the class's
+threshold is added, unless an allow-list pattern fits that span or a pattern span already holds it.
 
 Prefix sums and maxima over a text's matches are taken in blocks of about the square root of their number, so a text of a
 hundred thousand matches does not cost their square.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +30,10 @@ from batchloom.llm.common import free_name, table, text_or_empty
 WINDOW = 20
 #: Classes of candidates in the order they are tried, with their pattern and the least entropy of a window.
 CLASSES = {"hex": ("^[0-9a-fA-F]+$", 3.0), "lower": ("^[0-9a-z]+$", 3.6), "upper": ("^[0-9A-Z]+$", 3.6), "base64": ("", 3.7)}
-#: A span of high entropy that one of these fits is no secret: words, number strings, samples, alphabets.
-ALLOW = (
-    "^[_=+/-]*+([A-Z]?+[a-z]{2,}+[_=+/-]*+)++$", "^[A-Z_=+/-]*$", "^[0-9_=+/-]*$", "(?i)(^|[_=+/-])(example|sample|placeholder|dummy|xxxx+)([_=+/-]|$)", "(?i)0123456789|abcdefghij",
-)
+#: A span of high entropy that one of these fits as a whole is no secret: words, letters of one case, number strings.
+ALLOW = ("^[_=+/-]*+([A-Z]?+[a-z]{2,}+[_=+/-]*+)++$", "^[A-Z_=+/-]*$", "^[0-9_=+/-]*$")
+#: Where candidates are cut: sample words between delimiters (a candidate gets one on either side first), and alphabets.
+SAMPLE = "(?i)[_=+/-]((example|sample|placeholder|dummy|xxxx+)[_=+/-])+|0123456789|abcdefghij"
 KINDS = ("assign", "access", "hex", *(f"entropy_{c}" for c in CLASSES))
 PLACEHOLDER = "[SECRET]"
 
@@ -42,6 +44,8 @@ _ASSIGN = (
 #: A run of one class is found whole, so its least length can be part of the pattern; "assign" is filtered afterwards.
 PATTERNS = {"assign": _ASSIGN, "access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}"}
 CANDIDATE = f"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
+#: The characters of candidates.
+SYMBOLS = string.ascii_letters + string.digits + "+/_=-"
 #: Characters of a stretch that parts of a text are read from.
 STRETCH = 16384
 
@@ -77,22 +81,40 @@ def _spans(text: str, pattern: str, rank: int, keep: str = "true") -> str:
     return f"transform(filter({_matches(text, pattern)}, m -> {keep}), m -> named_struct('start', m.start, 'rank', {rank}, 'stop', m.stop))"
 
 
-def _entropy_hits(chars: str, threshold: str) -> str:
-    """SQL for ``first, last``: ends (1-based) of the first and last window whose entropy reaches the threshold, or 0."""
+def _entropy_hits(codes: str, threshold: str) -> str:
+    """SQL for ``first, last``: ends (1-based) of the first and last window whose entropy reaches the threshold, or 0.
+
+    ``codes``: each character's place in ``SYMBOLS``, from 1 on."""
     logs = "array(" + ",".join(f"{c * math.log2(c) if c else 0.0!r}D" for c in range(WINDOW + 2)) + ")"
-    often = lambda c, first, n: f"size(filter(slice({chars}, {first}, {n}), y -> y = {c}))"
-    # the window before the step is i - WINDOW .. i - 1; first the character at i - WINDOW leaves, then the one at i enters
-    left = f"if(i > {WINDOW}, {_let('o', often(f'{chars}[i - {WINDOW + 1}]', f'i - {WINDOW}', WINDOW), 'a.s - l[o] + l[o - 1]')}, a.s)"
-    entered = _let("c", often(f"{chars}[i - 1]", f"greatest(1, i - {WINDOW - 1})", f"least(i, {WINDOW}) - 1"), f"{left} - l[c] + l[c + 1]")
-    step = _let("s", entered, _let("hit", f"i >= {WINDOW} AND {math.log2(WINDOW)!r}D - s / {WINDOW} >= {threshold}", "named_struct('s', s, 'first', if(hit AND a.first = 0, i, a.first), 'last', if(hit, i, a.last))"))
-    return _let("l", logs, f"aggregate(sequence(1, size({chars})), named_struct('s', 0D, 'first', 0, 'last', 0), (a, i) -> {step}, a -> named_struct('first', a.first, 'last', a.last))")
+    # at step i the character at i - WINDOW leaves (0: none does yet), then the one at i enters
+    without = "if(o = 0, a.s, a.s - l[a.n[o - 1]] + l[a.n[o - 1] - 1])"
+    more = f"if(o = c, a.s, {_let('k', 'a.n[c - 1]', f'{without} - l[k] + l[k + 1]')})"
+    counts = "if(o = c, a.n, transform(a.n, (x, j) -> x + int(j + 1 = c) - int(j + 1 = o)))"
+    hit = f"i >= {WINDOW} AND {math.log2(WINDOW)!r}D - s / {WINDOW} >= {threshold}"
+    step = _let("s", more, _let("hit", hit, f"named_struct('s', s, 'n', {counts}, 'first', if(hit AND a.first = 0, i, a.first), 'last', if(hit, i, a.last))"))
+    step = _let("o", f"if(i > {WINDOW}, {codes}[i - {WINDOW + 1}], 0)", _let("c", f"{codes}[i - 1]", step))
+    start = f"named_struct('s', 0D, 'n', array_repeat(0, {len(SYMBOLS)}), 'first', 0, 'last', 0)"
+    return _let("l", logs, f"aggregate(sequence(1, size({codes})), {start}, (a, i) -> {step}, a -> named_struct('first', a.first, 'last', a.last))")
+
+
+def _candidates(text: str) -> str:
+    """SQL for ``start, s`` of the candidates: matches of ``CANDIDATE`` cut at ``SAMPLE``, and what is left long enough."""
+    p = _quoted(SAMPLE)
+    # parts of "/" + s + "/" between the samples; ends[i] is where part i ends there, one more than in s
+    ends = _prefix("zip_with(ps, xs, (x, y) -> length(x) + coalesce(length(y), 0))", "0", "a + x")
+    part = "named_struct('start', greatest(b - 1, 0), 'stop', least(b - 1 + length(x), length(m.s)))"
+    cut = _let("es", ends, f"transform(ps, (x, i) -> {_let('b', 'if(i = 0, 0, es[i - 1])', part)})")
+    cut = _let("w", "concat('/', m.s, '/')", _let("xs", f"regexp_extract_all(w, {p}, 0)", _let("ps", f"split(w, {p}, -1)", cut)))
+    pieces = f"filter(transform({cut}, y -> named_struct('start', m.start + y.start, 's', substring(m.s, y.start + 1, y.stop - y.start))), y -> length(y.s) >= {WINDOW})"
+    whole = "array(named_struct('start', m.start, 's', m.s))"
+    return f"flatten(transform({_matches(text, CANDIDATE)}, m -> if(concat('/', m.s, '/') RLIKE {p}, {pieces}, {whole})))"
 
 
 def _entropy_spans(text: str, base: str) -> str:
     kind = "CASE " + " ".join(f"WHEN m.s RLIKE '{p}' THEN {k}" if p else f"ELSE {k}" for k, (p, _) in enumerate(CLASSES.values())) + " END"
     least = "array(" + ",".join(f"{t}D" for _, t in CLASSES.values()) + ")"
-    hits = _let("codes", "transform(split(m.s, ''), x -> ascii(x))", _entropy_hits("codes", f"{least}[m.k]"))
-    found = f"transform({_matches(text, CANDIDATE)}, m -> named_struct('start', m.start, 's', m.s, 'k', {kind}))"
+    hits = _let("codes", f"transform(split(m.s, ''), x -> instr('{SYMBOLS}', x))", _entropy_hits("codes", f"{least}[m.k]"))
+    found = f"transform({_candidates(text)}, m -> named_struct('start', m.start, 's', m.s, 'k', {kind}))"
     scored = f"transform({found}, m -> named_struct('start', m.start, 's', m.s, 'k', m.k, 'hit', {hits}))"
     part = f"substring(m.s, m.hit.first - {WINDOW - 1}, m.hit.last - m.hit.first + {WINDOW})"
     allow = " AND ".join(f"NOT {part} RLIKE {_quoted(p)}" for p in ALLOW)
@@ -158,7 +180,11 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FRO
 m AS ({" UNION ALL ".join(_duck_spans(i, p) for i, p in enumerate([*PATTERNS.values(), CANDIDATE]))}),
 l AS (SELECT r, rank, s[k] AS s, g[k] AS g, (list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(s[1:k - 1], lambda x: length(x))), 0))::INT AS start FROM m),
 base AS (SELECT r, rank, start, start + length(s) AS stop FROM l WHERE rank < 3 AND (rank > 0 OR length(g) >= 6)),
-c AS (SELECT r, s, start, CASE {" ".join(f"WHEN regexp_matches(s, '{p}') THEN {k}" if p else f"ELSE {k}" for k, (p, _) in enumerate(CLASSES.values()))} END AS k FROM l WHERE rank = 3),
+w AS (SELECT r, s, start, string_split_regex('/' || s || '/', {_duck(SAMPLE)}) AS ps, regexp_extract_all('/' || s || '/', {_duck(SAMPLE)}) AS xs FROM l WHERE rank = 3),
+y AS (SELECT r, s, start, ps, unnest(range(1, len(ps) + 1)) AS k, xs FROM w),
+z AS (SELECT r, s, start, ps[k] AS x, (coalesce(list_sum(list_transform(ps[1:k - 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(xs[1:k - 1], lambda x: length(x))), 0))::INT AS b FROM y),
+v AS (SELECT r, start + greatest(b - 1, 0) AS start, substr(s, greatest(b - 1, 0) + 1, least(b - 1 + length(x), length(s)) - greatest(b - 1, 0)) AS s FROM z),
+c AS (SELECT r, s, start, CASE {" ".join(f"WHEN regexp_matches(s, '{p}') THEN {k}" if p else f"ELSE {k}" for k, (p, _) in enumerate(CLASSES.values()))} END AS k FROM v WHERE length(s) >= {WINDOW}),
 h AS (SELECT *, list_filter(range({WINDOW}, length(s) + 1), lambda i: list_entropy(string_split(substr(s, i - {WINDOW - 1}, {WINDOW}), '')) >= ({[t for _, t in CLASSES.values()]})[k + 1]) AS hits FROM c),
 p AS (SELECT r, k, start, hits, substr(s, hits[1] - {WINDOW - 1}, hits[-1] - hits[1] + {WINDOW}) AS part FROM h WHERE len(hits) > 0),
 e AS (SELECT r, k + 3 AS rank, start + hits[1] - {WINDOW} AS start, start + hits[-1] AS stop FROM p WHERE {" AND ".join(f"NOT regexp_matches(part, {_duck(p)})" for p in ALLOW)}),

@@ -5,7 +5,7 @@ import time
 from collections import Counter
 
 from batchloom.llm.queries import ORACLES, QUERIES
-from batchloom.llm.secret_scan import ALLOW, CANDIDATE, CLASSES, KINDS, WINDOW, find_secrets, op8_secret_scan, redact_secrets
+from batchloom.llm.secret_scan import ALLOW, CANDIDATE, CLASSES, KINDS, SAMPLE, WINDOW, find_secrets, op8_secret_scan, redact_secrets
 from pyspark.sql import functions as F
 from tests.helpers import same_as_oracle
 
@@ -22,25 +22,37 @@ TEXTS = [
     "aaaaaaaaaaaaaaaaaaaaaaaa1 " + "x" * 60 + "q7Zk2Lw9Xb4Vn8Tr5Yp1Mc6Hd3Gf0Js",
     "word " * 500 + "token:q7Zk2Lw9Xb4Vn8Tr5Yp1Mc6Hd3Gf0Js",
     "sample_dsn=Zx9QwT7kLm3VbN5pRs8YcD2f example/path/Hq4Zt8Wm1Kc6Xv3Bn9Lp5Jd7 QwErTyUiOpAsDfGhJkLzXcVbNm an_example_of_words_between_bars",
+    "example/Zx9Qw3LmT7bVr2Kp8Nd4Hs6 Zx9Qw3LmT7bVr2Kp8Nd4Hs6/sample/v1 placeholder/Zx9Qw3LmT7bVr2Kp8Nd4Hs6tY sample_Zx9Qw3LmT7bVr2Kp8Nd4Hs6tY",
+    "Zx9Qw3LmT7bVr2Kp8Nd4Hs6-0123456789 abcdefghijklmnopqrstuvwxyz0123456789+/ABCDEFGHIJKLMNOPQRSTUVWXYZ Example_SAMPLE-dummy/Zx9Qw3LmT7bVr2Kp8Nd4Hs6 xxxx/sample/xxxxxxxxxxxxxxxxxxxx",
+    "Zx9Qw3LmT7bVr2Kp8Nd4Hs6/example/Hq4Zt8Wm1Kc6Xv3Bn9Lp5Jd7/dummy /sampler/Zx9Qw3LmT7bVr2Kp8Nd4Hs6",
     "zk4qp9wm2xt7bv5nc8rd3hj6lf1gs0ay ZK4QP9WM2XT7BV5NC8RD3HJ6LF1GS0AY SomeLongCamelCaseNameOfAClass THIS_IS_ALL_UPPER_CASE_TEXT",
 ]
 
 
+def uncut(start, s):
+    """The stretches of a candidate without characters of sample words or alphabets, or of the delimiters beside the words."""
+    gone = [False] * (len(s) + 2)
+    for m in re.finditer(SAMPLE, f"/{s}/"):
+        gone[m.start() : m.end()] = [True] * (m.end() - m.start())
+    for m in re.finditer("0+", "".join("01"[g] for g in gone[1:-1])):
+        yield start + m.start(), s[m.start() : m.end()]
+
+
 def brute(text):
     text = text or ""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
     more = []
-    for m in re.finditer(CANDIDATE, text):
-        k = next(k for k, (p, _) in enumerate(CLASSES.values()) if re.search(p, m[0]))
+    for start, s in (c for m in re.finditer(CANDIDATE, text) for c in uncut(m.start(), m[0])):
+        k = next(k for k, (p, _) in enumerate(CLASSES.values()) if re.search(p, s))
         hits = []
-        for i in range(len(m[0]) - WINDOW + 1):
-            counts = Counter(m[0][i : i + WINDOW])
+        for i in range(len(s) - WINDOW + 1):
+            counts = Counter(s[i : i + WINDOW])
             if -sum(c / WINDOW * math.log2(c / WINDOW) for c in counts.values()) >= list(CLASSES.values())[k][1]:
                 hits.append(i)
-        if hits and not any(re.search(p, m[0][hits[0] : hits[-1] + WINDOW]) for p in ALLOW):
-            span = (m.start() + hits[0], 3 + k, m.start() + hits[-1] + WINDOW)
+        if hits and not any(re.search(p, s[hits[0] : hits[-1] + WINDOW]) for p in ALLOW):
+            span = (start + hits[0], 3 + k, start + hits[-1] + WINDOW)
             if not any(a <= span[0] and span[2] <= b for a, _, b in base):
                 more.append(span)
     join = lambda x: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(x))
@@ -57,6 +69,14 @@ def test_spans_equal_brute_force(spark, tmp_path):
     same_as_oracle(spark, QUERIES["op8_secret_scan"], ORACLES["op8_secret_scan"], "/root/testdata/sf0.001")
 
 
+def test_a_sample_word_hides_nothing_beside_it():
+    key = "Zx9Qw3LmT7bVr2Kp8Nd4Hs6tY"
+    for text, at in ((f"example/{key}", 8), (f"{key}/sample/v1", 0), (f"placeholder/{key}", 12), (f"sample_{key}", 7), (f"{key}-0123456789", 0)):
+        spans = [x.split(":") for x in brute(text)[4].split(",")]
+        assert any(int(a) <= at + 2 and int(b) >= at + len(key) - 2 for _, a, b in spans), text
+    assert brute("example-sample-placeholder")[4] == brute("abcdefghijklmnopqrstuvwxyz0123456789")[4] == ""
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     rows = [(1, "a token=abcdef1234 b", "s", 1), (2, None, None, 2), (3, "clean", "s", 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, _base string, _every int")

@@ -5,25 +5,26 @@ a weighted sample without replacement. A source's target is met by complete epoc
 rest comes from the documents in key order while the middle of a document lies within the budget, so a source misses its
 target by at most half of one document.
 
-Prefix sums do not sort a source in one task: keys are cut into as many ranges of about equal expected size as the number of
-rows asks for, ranges are summed and
-prefix-summed on that small table, and rows are ordered only inside a range. Targets come from water-filling: with
-capacities of twice a source's size, the level is the only one at which the targets add up to the budget, and resharing the
-excess until no source is above its capacity ends there.
+Prefix sums do not sort a source in one task. A source of more than ``RANGE_ROWS`` rows has its keys cut at approximate
+quantiles of its own keys, into as many ranges as its rows ask for (at most ``MOST_RANGES``), so that ranges hold about as
+many rows each whatever the weights; the limits, at most one for ``RANGE_ROWS`` rows, are found by a binary search in the
+source's array. Ranges are summed and prefix-summed on that small table, and rows are ordered only inside a range. Rows that
+repeat id, key and size are one row with a count until then. Targets come from water-filling: with capacities of twice a
+source's size, the level is the only one at which the targets add up to the budget, and resharing the excess until no source
+is above its capacity ends there.
 
 Edge cases: a null text has size 0 and is taken 0 times; a source without words has target 0; a null source is a source of
-its own, last in order; repeated rows count each (ties in the key are broken by id and size); an empty table gives an empty
-result; extra columns are ignored.
+its own, last in order; repeated rows count each (ties in the key are broken by id and size; ``mixed_copies`` takes all rows
+that repeat the last one taken, or none of them twice); texts of any length are counted whole, and the last document taken
+may be one; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import free_name, stored, table, text_or_empty
+from batchloom.llm.common import free_name, join_hot, scratch, stored, table, text_or_empty
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
@@ -31,8 +32,8 @@ CAP = 2
 SEED = "mix-1"
 #: Marks rows without a source; the others have "s" before their name.
 NO_SOURCE = "n"
-#: Rows of a range of keys at most, about, whatever the source's size.
-RANGE_ROWS = 20_000
+#: Rows of a range of keys, about, and most ranges of a source; entries of a quantile summary for each range.
+RANGE_ROWS, MOST_RANGES, ENTRIES = 20_000, 2000, 10
 
 
 def word_count(text: Column) -> Column:
@@ -72,40 +73,64 @@ def keyed(docs: DataFrame, seed: str, names: dict[str, str]) -> DataFrame:
     return rows.withColumn(names["key"], key)
 
 
+def key_limits(rows: DataFrame) -> DataFrame:
+    """``src, limits, n`` of every source: the keys that its ranges end with (none: one range), and how many rows it has."""
+    of = [k / MOST_RANGES for k in range(1, MOST_RANGES)]
+    sources = stored(rows.groupBy("src").agg(F.count("*").alias("n")), "mix-sources")
+    large = sources.filter(F.col("n") > RANGE_ROWS)
+    wide = join_hot(rows, large, ["src"]).groupBy("src").agg(F.percentile_approx("key", of, ENTRIES * MOST_RANGES).alias("keys"))
+    ranges = F.least(F.lit(MOST_RANGES), F.ceil(F.col("n") / RANGE_ROWS))
+    some = F.transform(F.sequence(F.lit(1), ranges - 1), lambda k: F.element_at("keys", F.greatest(F.lit(1), F.floor(k * MOST_RANGES / ranges)).cast("int")))
+    limits = large.join(wide, "src").select("src", F.array_distinct(some).alias("limits"))
+    return sources.join(limits, "src", "left").select("src", F.coalesce("limits", F.array().cast("array<double>")).alias("limits"), "n")
+
+
+def place_in(limits: str, key: str) -> Column:
+    """How many of the ascending limits lie below the key, by halving steps."""
+    steps = ", ".join(str(1 << k) for k in reversed(range(MOST_RANGES.bit_length())))
+    return F.expr(f"aggregate(array({steps}), 0, (at, step) -> if(at + step <= size({limits}) AND {limits}[at + step - 1] < {key}, at + step, at))")
+
+
 def decisions(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """One row a document: ``doc_id, src, size, key, source_size, target, epochs, more`` (one copy beyond the epochs)."""
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), seed, {"src": "src", "size": "size", "key": "key"})
-    rows = stored(rows.select("doc_id", "src", "size", "key"), "mix-rows")
-    n = max(1, math.ceil(rows.count() / RANGE_ROWS))
-    rows = rows.withColumn("range", F.floor(n * (1 - F.exp(-F.col("key")))).cast("int"))
-    ranges = stored(rows.groupBy("src", "range").agg(F.sum("size").alias("words")), "mix-ranges")
+    rows = stored(rows.groupBy("src", "key", "doc_id", "size").agg(F.count("*").alias("copies")), "mix-rows")
+    limits = stored(key_limits(rows), "mix-limits")
+    rows = stored(join_hot(rows, limits, ["src"]).withColumn("range", place_in("limits", "key")).drop("limits"), "mix-ranged")
+    ranges = stored(rows.groupBy("src", "range").agg(F.sum(F.col("size") * F.col("copies")).alias("words"), F.count("*").alias("n")), "mix-ranges")
     targets = source_targets(ranges.groupBy("src").agg(F.sum("words").alias("source_size")))
     before = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    dim = ranges.select("src", "range", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("first")).join(targets, "src")
-    inside = Window.partitionBy("src", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.withColumn("upto", F.sum("size").over(inside)).join(dim, ["src", "range"])
+    dim = stored(ranges.select("src", "range", "n", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("first")).join(targets, "src"), "mix-starts")
+    inside = Window.partitionBy("src", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    out = join_hot(rows.withColumn("lower", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0))), dim, ["src", "range"])
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     out = out.withColumn("epochs", epochs)
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
-    return out.withColumn("more", (F.col("first") + F.col("upto") - F.col("size") / 2 <= rest) & (rest > 0) & (F.col("size") > 0))
+    upto = F.col("first") + F.col("lower") + F.col("copy") * F.col("size")
+    return out.withColumn("more", (upto - F.col("size") / 2 <= rest) & (rest > 0) & (F.col("size") > 0)).drop("copies", "copy", "first", "lower", "range")
 
 
 def mix_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """``doc_id, size, source_size, target, taken, times`` of every row."""
     times = F.when(F.col("size") > 0, F.col("epochs") + F.col("more").cast("long")).otherwise(F.lit(0)).cast("long")
-    return decisions(docs, seed).withColumn("times", times).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+    with scratch() as result:
+        every = decisions(docs, seed).withColumn("times", times)
+        return result(every.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times"), "mixed")
 
 
 def mixed_copies(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """Every row of ``docs`` (all columns) as often as the mix takes it.
 
     The documents taken once more are a prefix of their source in key order, so one cut a source carries the decision, and
-    texts are not shuffled.
+    texts of sources with many rows are not shuffled.
     """
-    names = {x: free_name(docs, "_" + x) for x in ("src", "size", "key", "epochs", "cut")}
+    names = {x: free_name(docs, "_" + x) for x in ("src", "size", "key", "epochs", "cut", "n")}
     cut = F.max(F.when(F.col("more"), F.struct("key", "doc_id", "size")))
-    cuts = stored(decisions(docs, seed).groupBy("src").agg(F.first("epochs").alias(names["epochs"]), cut.alias(names["cut"])).withColumnRenamed("src", names["src"]), "mix-cuts")
-    rows = keyed(docs, seed, names).join(cuts, names["src"])
+    with scratch() as result:
+        cuts = decisions(docs, seed).groupBy("src").agg(F.first("epochs").alias(names["epochs"]), cut.alias(names["cut"]), F.count("*").alias(names["n"]))
+        cuts = result(cuts.withColumnRenamed("src", names["src"]), "mix-cuts")
+    rows = join_hot(keyed(docs, seed, names), cuts, [names["src"]], names["n"])
     here = F.struct(F.col(names["key"]).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col(names["size"]).alias("size"))
     more = F.coalesce(here <= F.col(names["cut"]), F.lit(False)).cast("long")
     times = F.when(F.col(names["size"]) > 0, F.col(names["epochs"]) + more).otherwise(F.lit(0)).cast("int")

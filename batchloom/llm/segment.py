@@ -349,43 +349,53 @@ def _shared(docs: DataFrame, model_path: str | None):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def copy_keys(keys: np.ndarray, same: np.ndarray, before: int) -> tuple[np.ndarray, int]:
-    """Keys of rows, changed for the second and later copies of a row that lie next to each other; ``same``: the row repeats
-    the one before it; ``before``: number of the row before the first. Also the last row's number."""
-    at = np.arange(len(keys))
-    first = np.maximum.accumulate(np.where(same, -1, at))
-    number = np.where(first < 0, before + 1 + at, at - first)
-    return np.where(number > 0, mix(keys + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), keys), int(number[-1]) if len(number) else before
+#: Copies of a row that one row stands for until they are sampled.
+COPIES = 64
+
+
+def numbered_copies(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, copy``: rows that repeat id and text are numbered from 0, whatever partitions they come from.
+
+    They are counted first (texts by their SHA-256), so a row that repeats without end is one row a task in the shuffle; what
+    has more than ``COPIES`` copies is dealt anew in runs of that length.
+    """
+    text = F.col("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.sha2(text, 256), F.lit("")).alias("sha"))
+    counted = rows.groupBy("doc_id", "sha").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    runs = counted.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))))
+    few, many = runs.filter(F.col("n") <= COPIES), runs.filter(F.col("n") > COPIES).repartition("doc_id", "sha", "lo")
+    last = F.least(F.col("n"), F.col("lo") + COPIES) - 1
+    return few.unionByName(many).select("doc_id", "text", F.explode(F.sequence(F.col("lo"), last)).alias("copy"))
 
 
 def segment(docs: DataFrame, model_path: str | None = None, copies: bool = False) -> DataFrame:
     """``doc_id, n_pieces, ids, lossless`` of every row; ``lossless``: decoding gave back the text, byte for byte.
 
-    ``copies``: rows that repeat the row before them in id and text, as epochs of a mix do, are sampled anew by their number
-    (a copy that begins another split of the table counts as a first one). Without it repeated rows get the same pieces.
+    ``copies``: rows that repeat id and text, as epochs of a mix do, are sampled anew by their number, and ``copy`` (from 0)
+    is a further column. Without it repeated rows get the same pieces. Either way the result follows from the rows alone.
     """
     model = _shared(docs, model_path)
+    names = ["doc_id", "copy"] if copies else ["doc_id"]
 
     def start():
-        pieces, last, before = Pieces(model.value), None, 0
+        pieces = Pieces(model.value)
 
         def work(batch: pa.RecordBatch) -> dict:
-            nonlocal last, before
             texts = batch.column("text").to_pylist()
-            keys = batch.column("key").to_numpy().view(np.uint64)
-            if copies:
-                rows = list(zip(batch.column("doc_id").to_pylist(), texts, strict=True))
-                keys, before = copy_keys(keys, np.array([x == y for x, y in zip([last, *rows[:-1]], rows, strict=True)], bool), before)
-                last = rows[-1]
-            ids, limits = encode(texts, keys, pieces)
+            ids, limits = encode(texts, batch.column("key").to_numpy().view(np.uint64), pieces)
             back = decode(ids, limits, pieces)
             lists = pa.ListArray.from_arrays(pa.array(limits.astype(np.int32)), pa.array(ids))
-            return {"doc_id": batch.column("doc_id"), "n_pieces": np.diff(limits), "ids": lists, "lossless": np.array([a == b.encode() for a, b in zip(back, texts, strict=True)], bool)}
+            lossless = np.array([a == b.encode() for a, b in zip(back, texts, strict=True)], bool)
+            return {k: batch.column(k) for k in names} | {"n_pieces": np.diff(limits), "ids": lists, "lossless": lossless}
 
         return work
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long")).alias("key"), "text")
-    return map_texts(rows, "doc_id bigint, n_pieces bigint, ids array<int>, lossless boolean", start, limit=BLOCK)
+    own = F.xxhash64(F.col("doc_id").cast("long"))
+    if copies:
+        docs = numbered_copies(docs)
+        own = F.when(F.col("copy") == 0, own).otherwise(F.xxhash64(F.col("doc_id").cast("long"), "copy"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *names[1:], own.alias("key"), "text")
+    return map_texts(rows, "".join(f"{k} bigint, " for k in names) + "n_pieces bigint, ids array<int>, lossless boolean", start, limit=BLOCK)
 
 
 def decode_rows(rows: DataFrame, model_path: str | None = None) -> DataFrame:

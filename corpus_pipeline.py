@@ -24,8 +24,8 @@ NEAR = 80
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, trained on the labelled ones, does not reject.
 
-    Null and empty texts have no words and stay; rows that repeat an id are judged each by its own text; an empty table, or
-    labels of one kind only, reject nothing.
+    Null and empty texts have no words and stay; long texts are judged by all their words; rows that repeat an id are judged
+    each by its own text; an empty table, or labels of one kind only, reject nothing; further columns pass, whatever their names.
     """
     return without_toxic(docs, train(docs, table(spark, sf_dir, "labels")))
 
@@ -42,24 +42,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced in their texts; ``n_chars`` follows the text.
 
-    A null text stays null with its ``n_chars``; repeated rows stay repeated; an empty table stays empty.
+    A null text stays null with its ``n_chars``; texts of any length are scanned whole; repeated rows stay repeated; an empty
+    table stays empty; further columns pass, whatever their names.
     """
     clean = redact_secrets(docs)
     return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, its copies next to each other.
+    """Each document as often as the mix takes it.
 
-    Texts without words are not taken; a null source is a source; repeated rows count each; an empty table stays empty.
+    Texts without words are not taken; a null source is a source; texts of any length count whole, so a very long one may be
+    all that a source misses its target by; ties in the key are broken by id and size, and rows that repeat the last one taken
+    are taken with it; an empty table stays empty; further columns pass, whatever their names.
     """
     return mixed_copies(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled pieces of each document, of copies by their number: ``doc_id, n_pieces, ids, lossless``.
+    """Sampled pieces of each document, of copies by their number: ``doc_id, copy, n_pieces, ids, lossless``.
 
-    Null and empty texts have no pieces; an empty table gives an empty result.
+    Null and empty texts have no pieces; texts of any length are encoded whole; rows that repeat id and text are its copies,
+    numbered from 0 wherever they lie; an empty table gives an empty result; further columns are ignored.
     """
     return segment(docs, copies=True)
 

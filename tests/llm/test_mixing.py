@@ -1,4 +1,5 @@
-from batchloom.llm.mixing import mix_documents, source_targets
+from batchloom.llm import mixing
+from batchloom.llm.mixing import decisions, key_limits, keyed, mix_documents, mixed_copies, place_in, source_targets
 from batchloom.llm.queries import ORACLES, QUERIES
 from tests.helpers import same_as_oracle
 
@@ -40,3 +41,41 @@ def test_mix_laws(spark):
         assert part.loc[part["size"] > 0, "times"].max() - part.loc[part["size"] > 0, "times"].min() <= 1
     assert mix_documents(df.filter("false")).count() == 0
     same_as_oracle(spark, QUERIES["op7_mix_sources"], ORACLES["op7_mix_sources"])
+
+
+def mixed_rows(spark, n=3000):
+    """A source of prose, one of code-like texts (weights about 0.1), one of both, and rows that repeat without end."""
+    prose, code = "several ordinary words of prose ", "x=#$&|y; {[<>]} "
+    rows = [(i, prose * (1 + i % 3) if i % 3 else code * (1 + i % 5), ("prose", "code", "both")[1 if i % 3 == 0 else 2 * (i % 2)]) for i in range(n)]
+    rows += [(n + 7, prose, "both")] * (n // 3) + [(n + 8, "w " * 70_000, "code")]
+    return spark.createDataFrame([(*r, 1, 2.0) for r in rows], "doc_id long, text string, source string, range int, n double")
+
+
+def test_ranges_hold_about_as_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 50)
+    docs = mixed_rows(spark)
+    rows = keyed(docs.select("doc_id", "text", "source"), "s", {"src": "src", "size": "size", "key": "key"}).dropDuplicates(["doc_id"])
+    placed = rows.join(key_limits(rows), "src").withColumn("at", place_in("limits", "key")).toPandas()
+    assert placed.groupby("src")["at"].max().min() >= 5
+    for _, part in placed.groupby("src"):
+        sizes = part.groupby("at").size()
+        assert sizes.max() <= 4 * sizes.mean()
+        edges = part.groupby("at")["key"].agg(["min", "max"]).sort_index()
+        assert (edges["max"].to_numpy()[:-1] < edges["min"].to_numpy()[1:]).all()
+        limits = sorted(part["limits"].iloc[0])
+        assert all(at == sum(x < key for x in limits) for at, key in zip(part["at"], part["key"], strict=True))
+
+
+def test_ranges_and_partitions_change_nothing(spark, monkeypatch):
+    docs = mixed_rows(spark, 900)
+    want = sorted(tuple(r) for r in mix_documents(docs).collect())
+    copies = sorted((r.doc_id, r["count"]) for r in mixed_copies(docs).groupBy("doc_id").count().collect())
+    assert len(want) == docs.count()
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 20)
+    for parts in (1, 4, 7):
+        dealt = docs.repartition(parts)
+        assert sorted(tuple(r) for r in mix_documents(dealt).collect()) == want
+        assert sorted((r.doc_id, r["count"]) for r in mixed_copies(dealt).groupBy("doc_id").count().collect()) == copies
+    firm = {i: t for i, *_, t in want if i != 907}
+    assert {i: n for i, n in copies if i != 907} == {i: t for i, t in firm.items() if t}
+    assert decisions(docs.filter("false")).count() == 0

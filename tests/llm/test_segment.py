@@ -101,11 +101,18 @@ def test_regular_words_come_back():
             assert decode(ids, limits, PIECES) == [t.encode() for t in texts]
 
 
-def test_copies_next_to_each_other_are_sampled_anew(spark):
+def test_copies_are_sampled_anew_wherever_they_lie(spark, monkeypatch):
     text = "reproducible sampled segmentations of one document " * 3
-    rows = [(1, text)] * 3 + [(2, text), (None, text), (None, text), (1, text), (3, None), (3, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    plain, got = ([r.ids for r in segment(df, copies=c).collect()] for c in (False, True))
-    assert plain[0] == plain[1] == got[0] == got[6] and got[3] == plain[3]
-    assert len({tuple(x) for x in got[:3]}) == 3 and got[4] != got[5] and got[7] == got[8] == []
-    assert got == [r.ids for r in segment(df, copies=True).collect()] and all(r.lossless for r in segment(df, copies=True).collect())
+    rows = [(1, text)] * 4 + [(2, text), (None, text), (None, text), (1, text + "."), (3, None), (3, None), (3, "")] + [(4, text)] * 9
+    df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, copy int")
+    plain = {(r.doc_id, tuple(r.ids)) for r in segment(df).collect()}
+    want = sorted((tuple(r) for r in segment(df.repartition(1), copies=True).collect()), key=repr)
+    assert len(want) == len(rows) and all(r[-1] for r in want)
+    monkeypatch.setattr(module, "COPIES", 2)
+    for parts in (1, 4, 7):
+        assert sorted((tuple(r) for r in segment(df.repartition(parts), copies=True).collect()), key=repr) == want
+    for i, n in ((1, 5), (4, 9), (None, 2)):
+        some = [r for r in want if r[0] == i]
+        assert len({tuple(r[3]) for r in some}) == n and sorted(r[1] for r in some) == sorted([*range(n)] if i != 1 else [0, 0, 1, 2, 3])
+    assert {(i, tuple(ids)) for i, k, _, ids, _ in want if k == 0} == plain
+    assert segment(df.filter("false"), copies=True).count() == 0

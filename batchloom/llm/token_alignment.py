@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from batchloom.llm.token_counts import crosses_spaces, default_model, leaves_tex
 #: Bytes of a block, and of a stretch of a longer text.
 BLOCK = 1 << 21
 #: Distinct parts whose tokens a task remembers, and their bytes.
-TABLE, TABLE_BYTES = 300_000, 1 << 25
+TABLE, TABLE_BYTES = 800_000, 1 << 25
 PAIR_SHIFT = 32
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
@@ -98,20 +99,46 @@ class Alignment:
         self.link_ends, self.link_a, self.link_b = stretch, rank_a(stretch), rank_b(stretch)
 
 
-class Decimals:
-    """Numbers from 0 on as decimal text with a comma after each, to be gathered many at a time."""
+class Entries:
+    """Byte strings by number, to be gathered many at a time."""
 
-    def __init__(self, n: int):
-        texts = [b"%d," % k for k in range(n)]
-        self.lengths = np.array([len(x) for x in texts])
-        self.firsts = np.cumsum(self.lengths) - self.lengths
+    def __init__(self, texts: list[bytes]):
+        self.sizes = np.array([len(x) for x in texts], np.int64)
+        self.firsts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
 
     def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All texts in a row, and where each begins (one more at the end)."""
-        lengths = self.lengths[numbers]
-        limits = np.concatenate([[0], np.cumsum(lengths)])
-        return self.bytes[np.repeat(self.firsts[numbers] - limits[:-1], lengths) + np.arange(limits[-1])], limits
+        """All strings in a row, and where each begins (one more at the end)."""
+        sizes = self.sizes[numbers]
+        limits = np.concatenate([[0], np.cumsum(sizes)])
+        return self.bytes[np.repeat(self.firsts[numbers] - limits[:-1], sizes) + np.arange(limits[-1])], limits
+
+
+class Lists:
+    """Lists of integers by number, one after the other in an array that grows."""
+
+    def __init__(self):
+        self.flat, self.used, self.counts, self.firsts, self.n = np.zeros(1 << 16, np.int32), 0, np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def extend(self, lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Add lists; returns their integers in a row, and how many each has."""
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum()))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(counts) > len(self.counts):
+            self.counts, self.firsts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.counts, self.firsts))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.counts[self.n : self.n + len(counts)] = counts
+        self.firsts[self.n : self.n + len(counts)] = self.used + np.cumsum(counts) - counts
+        self.used, self.n = self.used + len(flat), self.n + len(counts)
+        return flat, counts
+
+    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The integers of lists one after the other, and how many each list has."""
+        counts = self.counts[numbers]
+        before = np.cumsum(counts) - counts
+        return self.flat[np.repeat(self.firsts[numbers] - before, counts) + np.arange(counts.sum())], counts
 
 
 def part_limits(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
@@ -148,31 +175,33 @@ class Tokenizers:
         self.whole = crosses_spaces(names) or not leaves_texts(self.b) or kind.get("normalizer") is not None or split.get("type") != "ByteLevel" or not split.get("use_regex", True) or split.get("add_prefix_space", False)
         level = byte_level_bytes()
         size = self.a.get_vocab_size()
-        self.a_bytes = [bytes(level[c] for c in x) if (x := self.a.id_to_token(i)) and all(c in level for c in x) else (x or "").encode() for i in range(size)]
-        self.b_bytes = [piece_bytes(x, self.b.is_byte(i)) for i, x in enumerate(names)]
-        self.a_size, self.b_size = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
+        a_bytes = [bytes(level[c] for c in x) if (x := self.a.id_to_token(i)) and all(c in level for c in x) else (x or "").encode() for i in range(size)]
+        b_bytes = [piece_bytes(x, self.b.is_byte(i)) for i, x in enumerate(names)]
+        self.entries = (Entries(a_bytes), Entries(b_bytes))
         self.space = self.b.piece_to_id("▁")
-        self.decimals = Decimals(max(size, len(names)))
+        self.decimals = Entries([b"%d," % k for k in range(max(size, len(names)))])
         self.known: dict[bytes, int] = {}
         self.forget()
 
     def forget(self) -> None:
         """Begin the table of encoded parts anew."""
         self.known.clear()
-        self.good, self.ids, self.held = [], ([], []), 0
+        self.good, self.ids, self.held = np.zeros(0, bool), (Lists(), Lists()), 0
 
     def encode(self, parts: list[bytes]) -> None:
         """Add parts, each with its space in front, to the table."""
         texts = [x.decode() for x in parts]
         a_ids = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         b_ids = self.b.encode([x[1:] for x in texts], num_threads=1)
-        for part, a, b in zip(parts, a_ids, b_ids, strict=True):
-            b = b if len(part) > 1 else [self.space]  # the library gives nothing for an empty text
-            self.known[part] = len(self.good)
-            self.good.append(b"".join([self.a_bytes[i] for i in a]) == part and b"".join([self.b_bytes[i] for i in b]) == part)
-            for k, x in enumerate((a, b)):
-                self.ids[k].append(np.array(x, np.int32))
-            self.held += len(part)
+        b_ids = [b or [self.space] for b in b_ids]  # the library gives nothing for an empty text
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        good = np.ones(len(parts), bool)
+        for entries, lists, ids in zip(self.entries, self.ids, (a_ids, b_ids), strict=True):
+            flat, counts = lists.extend(ids)
+            good &= same_bytes(entries, flat, counts, parts, sizes)
+        self.known.update(zip(parts, range(len(self.good), len(self.good) + len(parts)), strict=True))
+        self.good = np.concatenate([self.good, good])
+        self.held += int(sizes.sum())
 
     def parts_of(self, data: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First bytes of all parts, each part's number among the distinct ones, and the table's places of these; and which
@@ -187,17 +216,8 @@ class Tokenizers:
         new = [k for k in keys if k not in self.known]
         for lo in range(0, len(new), 4096):
             self.encode(new[lo : lo + 4096])
-        at = np.array([self.known[k] for k in keys], np.int64)
-        return starts, which, at, np.array([self.good[k] for k in at.tolist()], bool)
-
-    def tokens(self, which: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of tokenizer ``k`` for parts one after the other, and how many each part has."""
-        some = [self.ids[k][i] for i in at.tolist()]
-        counts = np.array([len(x) for x in some], np.int64)
-        flat, first = np.concatenate(some), np.cumsum(counts) - counts
-        each = counts[which]
-        limits = np.cumsum(each) - each
-        return flat[np.repeat(first[which] - limits, each) + np.arange(each.sum())], each
+        at = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        return starts, which, at, self.good[at]
 
     def align(self, data: np.ndarray, texts: np.ndarray) -> dict[str, np.ndarray]:
         """Per text of a run of bytes (``texts``: first bytes, each a space): counts, whether it is good, the bytes of its
@@ -213,9 +233,9 @@ class Tokenizers:
         out |= {k: np.zeros(len(texts), np.int64) for k in ("n_a", "n_b", "n_groups", "n_links")}
         if not len(which):
             return out
-        (a, in_a), (b, in_b) = (self.tokens(which, at, k) for k in (0, 1))
+        (a, in_a), (b, in_b) = (lists.joined(at[which]) for lists in self.ids)
         n = int(sizes.sum())
-        found = Alignment(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), n)
+        found = Alignment(np.cumsum(self.entries[0].sizes[a]), np.cumsum(self.entries[1].sizes[b]), n)
         # the good texts' bytes lie one after the other here; a text's last byte is a shared cut
         length = np.bincount(owner, sizes, len(texts)).astype(np.int64)
         limits = np.concatenate([[0], np.cumsum(length)])
@@ -236,6 +256,17 @@ class Tokenizers:
         return out | {"bytes": text, "limits": ends}
 
 
+def same_bytes(entries: Entries, ids: np.ndarray, counts: np.ndarray, parts: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Which parts their tokens give back, byte for byte."""
+    total = np.concatenate([[0], np.cumsum(entries.sizes[ids])])
+    ends = np.cumsum(counts)
+    good = total[ends] - total[ends - counts] == sizes
+    data, _ = entries.joined(ids[np.repeat(good, counts)])
+    odd = np.flatnonzero(data != np.frombuffer(b"".join([x for x, g in zip(parts, good.tolist(), strict=True) if g]), np.uint8))
+    good[np.flatnonzero(good)[np.searchsorted(np.cumsum(sizes[good]), odd, "right")]] = False
+    return good
+
+
 def group_order(group_a: np.ndarray, group_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The places of all tokens (B's after A's) in the order groups are written, and the places in that order of each group's
     last A and last B token."""

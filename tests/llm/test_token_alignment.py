@@ -159,5 +159,5 @@ def test_parts_join_to_whole_texts(text):
     data = np.frombuffer((" " + text).encode(), np.uint8)
     _, which, at, good = both.parts_of(data, np.zeros(1, np.int64))
     assert good.all()
-    assert both.tokens(which, at, 0)[0].tolist() == a.encode(" " + text, add_special_tokens=False).ids
-    assert both.tokens(which, at, 1)[0].tolist() == b.encode(text)
+    assert both.ids[0].joined(at[which])[0].tolist() == a.encode(" " + text, add_special_tokens=False).ids
+    assert both.ids[1].joined(at[which])[0].tolist() == b.encode(text)

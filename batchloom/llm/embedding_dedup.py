@@ -19,10 +19,11 @@ follows edges into any cell. Tasks hand out one row a query (number of links, sm
 pairs. At ``SHARD`` nodes a walk meets under a tenth of them.
 
 The audit compares the links of all rows whose id is divisible by 50 with brute force over all rows, in blocks of queries
-against blocks of rows. Recall is the mean over a label's queries of the share of links found, so a hot group weighs no more
-than its queries. While a label's recall is below ``TARGET``, margin, beam and slack double for it. If that does not do, all
-vectors of the label are compared by products, block against block, which is exhaustive. A label whose queries have no links is
-not measured: it is compared so at once; so is one with a part that k-means cannot split.
+against blocks of rows. In a label whose queries have no links, about ``MORE`` further nodes are asked for. Recall is the mean
+over a label's queries of the share of links found, so a hot group weighs no more than its queries. While a label misses an
+audited link, margin, beam and slack double for it, twice. A label that was measured and still misses one, or that has a part
+that k-means cannot split, is compared by products, block against block, which is exhaustive. A label in which no query of
+either audit has a link keeps what the graph found.
 
 Edge cases: null, empty or zero vectors, vectors with null or non-finite components, null labels and null ids link with
 nothing (0 links, own component, kept); repeated rows count as vectors of their own with the same results, and rows that
@@ -32,14 +33,14 @@ result. No group of copies or label is collected in one task.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import connected_components, join_hot, map_groups, stored, table
+from batchloom.llm.common import connected_components, join_hot, map_groups, scratch, stored, table
 from batchloom.session import ship
 
 LEAST = 0.93
@@ -51,9 +52,11 @@ FAN, PER_CENTROID, LEVELS = 64, 16, 5
 SLICE, QUERIES = 4096, 2048
 MARGIN = 0.12
 DEGREE, CANDIDATES, ALPHA, BEAM, SLACK = 24, 64, 1.2, 24, 0.05
-AUDIT_ROWS, TARGET = 1024, 0.995
+AUDIT_ROWS, MORE, WIDTHS = 1024, 512, (1, 2, 4)
 #: Rows of a block of the last level.
 LAST_ROWS = 1024
+#: Labels whose names may be broadcast.
+MOST_LABELS = 100_000
 FOUND = "grp string, id bigint, n bigint, root bigint"
 
 
@@ -418,17 +421,24 @@ def all_links(nodes: DataFrame) -> DataFrame:
 
 def blocks_of(nodes: DataFrame, rows: int, name: str) -> DataFrame:
     """The nodes with ``p``, their block of about ``rows`` in the label, and ``name``, the number of its blocks."""
-    size = nodes.groupBy("grp").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
-    return nodes.join(size, "grp").withColumn("p", F.pmod(F.xxhash64("id"), F.col(name)).cast("int"))
+    size = nodes.groupBy("grp").agg(F.ceil(F.count("*") / rows).cast("int").alias(name), F.count("*").alias("n"))
+    return join_hot(nodes, stored(size, "label-blocks"), ["grp"]).withColumn("p", F.pmod(F.xxhash64("id"), F.col(name)).cast("int"))
+
+
+def of_labels(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """The nodes of some labels (``grp``, and ``n``, how many nodes each has)."""
+    return join_hot(nodes, labels.select("grp", "n"), ["grp"])
 
 
 def true_links(nodes: DataFrame) -> DataFrame:
     """``grp, id, true_n`` of every node that is asked for and has links to other nodes, by brute force over all rows."""
-    asked = blocks_of(nodes.filter("asked").select("grp", "id", "v"), AUDIT_ROWS, "nq")
-    every = blocks_of(nodes.select("grp", "id", "m", "v"), AUDIT_ROWS, "nr")
-    counts = asked.select("grp", "nq").distinct().join(every.select("grp", "nr").distinct(), "grp")
-    queries = asked.drop("nq").join(counts, "grp").select("grp", F.col("p").alias("q"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"), F.lit(0).alias("side"), "id", F.lit(0).cast("long").alias("m"), "v")
-    rows = every.drop("nr").join(counts, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), F.col("p").alias("r"), F.lit(1).alias("side"), "id", "m", "v")
+    blocks = lambda n: F.ceil(n / AUDIT_ROWS).cast("int")
+    counts = nodes.groupBy("grp").agg(F.count("*").alias("n"), blocks(F.count("*")).alias("nr"), blocks(F.count_if("asked")).alias("nq"))
+    counts = stored(counts.filter("nq > 0"), "audit-sizes")
+    place = lambda name: F.pmod(F.xxhash64("id"), F.col(name)).cast("int")
+    every = join_hot(nodes.select("grp", "id", "m", "v", "asked"), counts, ["grp"])
+    queries = every.filter("asked").select("grp", place("nq").alias("q"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"), F.lit(0).alias("side"), "id", F.lit(0).cast("long").alias("m"), "v")
+    rows = every.select("grp", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), place("nr").alias("r"), F.lit(1).alias("side"), "id", "m", "v")
 
     def work(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
         ids, m, side, grp = (rows.column(c).to_numpy() for c in ("id", "m", "side", "grp"))
@@ -452,38 +462,57 @@ def recalls(found: DataFrame, truth: DataFrame) -> DataFrame:
     return sums.groupBy("grp").agg(F.avg(F.coalesce("n", F.lit(0)) / F.col("true_n")).alias("recall"))
 
 
+def audited(plain: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``true_links`` of the rows that the audit asks for, and of further nodes of labels where those have none."""
+    truth = stored(true_links(plain), "truth")
+    quiet = sizes.filter("n > 1").join(truth.select("grp").distinct(), "grp", "left_anti")
+    chosen = F.pmod(F.xxhash64("id", F.lit("audit")), F.col("size")) < MORE
+    some = join_hot(plain, stored(quiet.withColumn("size", F.col("n")), "quiet"), ["grp"]).withColumn("asked", chosen).drop("size")
+    return stored(truth.union(true_links(some)), "truth")
+
+
 def near_vectors(vectors: DataFrame) -> DataFrame:
     """``vec_id, n_links, component_id, kept, recall`` of every row (``recall``: of its label, as the audit measured it; null
     where it measured nothing)."""
     ship(vectors.sparkSession)
+    with scratch() as result:
+        return result(_near_vectors(vectors), "near-vectors")
+
+
+def _near_vectors(vectors: DataFrame) -> DataFrame:
     rows, nodes = nodes_of(vectors)
     nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     plain = nodes.drop("embedding", "rep")
-    truth = stored(true_links(plain), "truth")
-    found, scores = plain.sparkSession.createDataFrame([], FOUND), plain.sparkSession.createDataFrame([], "grp string, recall double")
-    left = stored(truth.select("grp").distinct(), "measured")
-    near = None
-    for wide in (1, 2):
+    sizes = stored(plain.groupBy("grp").agg(F.count("*").alias("n")), "label-sizes")
+    truth = audited(plain, sizes)
+    left, rest, near = stored(sizes.filter("n > 1"), "to-search"), sizes.filter("false"), None
+    parts_found, scores = [], []
+    for wide in WIDTHS:
         if left.isEmpty():
             break
-        some = plain.join(left, "grp", "left_semi")
+        some = of_labels(plain, left)
         near = graph(some) if near is None else near
         got, whole = links(some, near, wide * MARGIN, wide * BEAM, wide * SLACK)
         got = stored(got, "links")
-        score = stored(recalls(got, truth.join(left, "grp", "left_semi")).join(whole, "grp", "left_anti"), "recalls")
-        good = score.filter(F.col("recall") >= TARGET)
-        found, scores = found.union(got.join(good.select("grp"), "grp", "left_semi")), scores.union(good)
-        left = score.filter(F.col("recall") < TARGET).select("grp")
-    rest = plain.join(scores.select("grp"), "grp", "left_anti")
-    last = stored(all_links(rest), "links")
-    scores = scores.union(recalls(last, truth.join(scores.select("grp"), "grp", "left_anti")))
-    found = stored(found.union(last), "every-link")
+        whole = stored(whole, "not-split")
+        score = recalls(got, truth.join(left.select("grp"), "grp", "left_semi"))
+        score = stored(left.join(score, "grp", "left").join(whole, "grp", "left_anti"), "recalls")
+        good = score.filter("recall IS NULL OR recall >= 1")
+        parts_found.append(got.join(F.broadcast(good.select("grp")) if good.count() <= MOST_LABELS else good.select("grp"), "grp", "left_semi"))
+        scores.append(good.select("grp", "recall"))
+        rest = rest.union(left.join(whole, "grp", "left_semi"))
+        left = stored(score.filter("recall < 1").select("grp", "n"), "to-widen")
+    last = stored(all_links(of_labels(plain, stored(rest.union(left), "to-compare"))), "links")
+    scores.append(recalls(last, truth))
+    found = stored(reduce(DataFrame.union, [last, *parts_found]), "every-link")
+    measured = reduce(DataFrame.union, scores).groupBy("grp").agg(F.max("recall").alias("recall"))
+    scores = stored(sizes.join(measured, "grp", "left"), "scores")
     comps = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     total = found.groupBy("id").agg(F.sum("n").alias("n"))
     named = nodes.select("grp", "embedding", "id", "rep", "m").join(total, "id", "left").join(comps.withColumnRenamed("component_id", "root"), "id", "left")
     named = stored(named.withColumn("root", F.coalesce("root", "id")), "named")
     roots = stored(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("k")), "roots")
-    done = join_hot(named, roots, ["root"], "k").join(scores, "grp", "left")
+    done = join_hot(join_hot(named, roots, ["root"], "k"), scores, ["grp"])
     done = stored(done.select("grp", "embedding", "m", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id", "recall"), "classes")
     linked = join_hot(rows, done, ["grp", "embedding"], "m").select("vec_id", "n_links", "component_id", "recall")
     loose = other_rows(vectors).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(None).cast("double").alias("recall"))

@@ -179,3 +179,47 @@ def test_last_level_is_exhaustive(spark, monkeypatch):
     got = {(r.grp, r.id): r.n for r in E.all_links(df).groupBy("grp", "id").sum("n").withColumnRenamed("sum(n)", "n").collect()}
     near = (x @ x.T >= E.LEAST) & (np.arange(300)[:, None] % 2 == np.arange(300) % 2) & ~np.eye(300, dtype=bool)
     assert got == {(f"{i % 2}", i): int(near[i] @ (np.arange(300) % 3 + 1)) for i in range(300)}
+
+
+def test_a_label_without_audited_links_keeps_to_the_graph(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(50 * i, rng.normal(size=16).tolist(), 0) for i in range(1, 600)]
+    rows += [(50 * i + 1, (np.array(rows[i][1]) + 0.03 * rng.normal(size=16)).tolist(), 0) for i in range(580, 590)]
+    rows = [r for r in rows if not 580 * 50 < r[0] <= 591 * 50 or r[0] % 50]  # the queries with a copy go
+    rows += [(r[0] + 1, (np.array(r[1]) + 0.03 * rng.normal(size=16)).tolist(), 0) for r in rows if r[0] % 50]
+    compared = []
+    exact = E.all_links
+    monkeypatch.setattr(E, "all_links", lambda nodes: (compared.append(nodes.count()), exact(nodes))[1])
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept, r.recall) for r in E.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert {i: x[:3] for i, x in got.items()} == brute(rows) and sum(x[0] for x in got.values()) == 20
+    assert compared == [0] and {x[3] for x in got.values()} == {1.0}
+    monkeypatch.setattr(E, "MORE", 0)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept, r.recall) for r in E.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert {i: x[:3] for i, x in got.items()} == brute(rows) and compared == [0, 0] and {x[3] for x in got.values()} == {None}
+
+
+def test_a_measured_label_that_misses_a_link_is_compared(spark, monkeypatch):
+    rows = [r for r in vectors() if r[0] < 1000 or r[0] == 2000]
+    rows = [(i, v, 0) for i, v, _ in rows]
+    seen = []
+    exact, search = E.all_links, E.links
+
+    def blind(nodes, near, *widths):
+        seen.append(widths)
+        found, whole = search(nodes, near, *widths)
+        return found.filter("false"), whole
+
+    monkeypatch.setattr(E, "links", blind)
+    monkeypatch.setattr(E, "all_links", lambda nodes: (seen.append(nodes.count()), exact(nodes))[1])
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == brute(rows) and [x[0] if isinstance(x, tuple) else x for x in seen] == [E.MARGIN, 2 * E.MARGIN, 4 * E.MARGIN, len(rows)]
+
+
+def test_nothing_stays_behind(spark):
+    import os
+
+    from batchloom.session import shared_dir
+
+    before = set(os.listdir(shared_dir(spark) + "/llm")) if os.path.isdir(shared_dir(spark) + "/llm") else set()
+    E.near_vectors(spark.createDataFrame([(i, [1.0, i / 7], 0) for i in range(60)], "vec_id long, embedding array<double>, label int")).count()
+    assert {x.rpartition("-")[0][:12] for x in set(os.listdir(shared_dir(spark) + "/llm")) - before} == {"near-vectors"}

@@ -14,7 +14,7 @@ from batchloom.plans.base import Tables, query
 from batchloom.plans.queries_reads import D_FINDINGS, D_JOBS, findings, jobs
 from batchloom.plans.queries_rules import _FOUND, _found_pages
 from batchloom.providers import semantic_findings
-from batchloom.sources import recognised
+from batchloom.sources import blocks, recognised
 
 
 @query("s4_nested_block_list", """WITH p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page, turn % 4 = 1 AS lost, turn % 4 = 2 AS tab FROM conversations)
@@ -24,7 +24,7 @@ def s4(t: Tables) -> DataFrame:
     block = F.to_json(F.struct(kind.alias("type"), F.struct(F.lit("<tr>x</tr>").alias("html")).alias("content")))
     pages = t.conversations.groupBy(F.col("conv_id").alias("job_id")).agg(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))).alias("p"))
     files = pages.select("job_id", F.concat(F.lit("["), F.array_join(F.transform("p", lambda x: F.concat(F.lit("["), x["b"], F.lit("]"))), ","), F.lit("]")).alias("json"))
-    return recognised.content_list_pages(files).select("job_id", "page", "lost", "tables", "paragraphs")
+    return blocks.content_list_pages(files).select("job_id", "page", "lost", "tables", "paragraphs")
 
 
 @query("s9_short_text_fallback", "SELECT conv_id AS job_id, turn, length(trim(text[1:(turn % 5 * 8)::INT], ' ')) < 20 AS warned FROM conversations")
@@ -74,7 +74,7 @@ def t9(t: Tables) -> DataFrame:
     block = lambda kind, body, name="text": F.to_json(F.struct(F.lit(kind).alias("type"), F.lit(0).alias("page_idx"), body.alias(name)))
     parts = [block("text", F.col("o_orderpriority")), block("text", F.lit("续。")), block("title", F.col("o_orderstatus")), block("page_number", F.lit("2/24")), block("table", F.concat(F.lit("<tr>"), F.col("o_custkey").cast("string"), F.lit("</tr>")), "table_body")]
     files = t.orders.select(F.col("o_orderkey").alias("job_id"), F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]")).alias("json"))
-    return recognised.content_list_pages(files).select("job_id", "text")
+    return blocks.content_list_pages(files).select("job_id", "text")
 
 
 @query("t17_entities", "SELECT p_partkey, '<' || p_size || '≤' || chr(160) || p_name || '&' AS s FROM part")

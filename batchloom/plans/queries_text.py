@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from batchloom.functions import batch, dates, jsonx, numbers, text
 from batchloom.plans.base import Tables, query
-from batchloom.sources import page_json, recognised
+from batchloom.sources import blocks, page_json, recognised
 
 
 @query("d1_parse_time", """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN o_orderdate WHEN 1 THEN o_orderdate + INTERVAL 14 HOUR + INTERVAL 5 MINUTE WHEN 2 THEN o_orderdate WHEN 3 THEN o_orderdate + INTERVAL 9 HOUR WHEN 4 THEN NULL WHEN 5 THEN date_trunc('year', o_orderdate) WHEN 6 THEN o_orderdate + INTERVAL 11 HOUR + INTERVAL 4 MINUTE ELSE NULL END AS moment FROM orders""")
@@ -219,7 +219,7 @@ def s1(t: Tables) -> DataFrame:
 def s5(t: Tables) -> DataFrame:
     block = F.to_json(F.struct(F.col("turn").alias("page_idx"), F.lit("text").alias("type"), "text"))
     files = t.conversations.filter("turn % 3 <> 1").groupBy(F.col("conv_id").alias("job_id")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(block), ","), F.lit("]")).alias("json"))
-    return recognised.content_list_pages(files).select("job_id", "page", F.contains("text", F.lit("（此页无文本内容）")).alias("blank"))
+    return blocks.content_list_pages(files).select("job_id", "page", F.contains("text", F.lit("（此页无文本内容）")).alias("blank"))
 
 
 @query("s6_markdown_pages", "WITH m AS (SELECT conv_id AS job_id, string_split(string_agg(text, chr(12) ORDER BY turn), chr(12)) AS p FROM conversations GROUP BY conv_id) SELECT job_id, k::INT AS page, length(p[k])::INT AS n FROM (SELECT job_id, p, unnest(range(1, len(p) + 1)) AS k FROM m)")

@@ -14,7 +14,7 @@ from batchloom.plans.base import Tables, query
 from batchloom.plans.queries_reads import D_FINDINGS, D_JOBS, findings, jobs
 from batchloom.plans.queries_rules import _FOUND, _found_pages
 from batchloom.providers import semantic_findings
-from batchloom.sources import blocks, recognised
+from batchloom.sources import archives, blocks, recognised
 
 
 @query("s4_nested_block_list", """WITH p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page, turn % 4 = 1 AS lost, turn % 4 = 2 AS tab FROM conversations)
@@ -27,6 +27,41 @@ def s4(t: Tables) -> DataFrame:
     return blocks.content_list_pages(files).select("job_id", "page", "lost", "tables", "paragraphs")
 
 
+def _packed(batches):
+    """Archives of jobs (``job_id, form, texts``): forms 0 and 1 have both kinds of block list, 2 only a document, 3 a list of
+    page numbers beside it, 4 is cut off."""
+    import io
+    import json
+    import zipfile
+
+    import pyarrow as pa
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            raw, texts = io.BytesIO(), row["texts"]
+            with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+                if row["form"] in (0, 3, 4):
+                    z.writestr("r/a_content_list_v2.json", json.dumps([[{"type": "paragraph", "content": {"paragraph_content": [{"content": x}]}} if row["form"] == 0 else {"type": "page_number", "text": "7"}] for x in texts]))
+                if row["form"] <= 1:
+                    z.writestr("r/a_content_list.json", json.dumps([{"type": "paragraph", "page_idx": k, "text": x} for k, x in enumerate(texts)]))
+                z.writestr("r/full.md", "\f".join(texts))
+            content = raw.getvalue()[: 40 if row["form"] == 4 else None]
+            yield pa.RecordBatch.from_pylist([{"job_id": str(row["job_id"]), "content": content}], schema=pa.schema([("job_id", pa.string()), ("content", pa.binary())]))
+
+
+@query("s3_result_archives", r"""WITH p AS (SELECT conv_id, row_number() OVER w AS page, count(*) OVER (PARTITION BY conv_id) AS n, coalesce(text, '') AS raw, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+m AS (SELECT *, list_aggregate(list_transform(string_split(CASE WHEN n = 1 AND conv_id % 5 > 1 THEN raw ELSE t END, chr(10)), lambda x: CASE WHEN starts_with(x, '### ') THEN x ELSE replace(x, '###', '[手写内容未识别]') END), 'string_agg', chr(10)) AS body FROM p)
+SELECT conv_id::VARCHAR AS job_id, page::INT AS page, CASE WHEN conv_id % 5 < 2 THEN 'list' ELSE 'document' END AS origin,
+  CASE WHEN conv_id % 5 < 2 THEN '## 第 ' || page || ' 页' || CASE WHEN t = '' THEN '' ELSE chr(10) || body END WHEN t = '' AND n > 1 THEN '## 第 ' || page || ' 页' || chr(10) || chr(10) || '（此页无文本内容）' ELSE body END AS said FROM m WHERE conv_id % 5 < 4
+UNION ALL SELECT DISTINCT conv_id::VARCHAR, NULL, 'error', 'not readable: BadZipFile' FROM p WHERE conv_id % 5 = 4""")
+def s3(t: Tables) -> DataFrame:
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
+    jobs = t.conversations.groupBy(F.col("conv_id").alias("job_id")).agg(texts.alias("texts")).withColumn("form", (F.col("job_id") % 5).cast("int"))
+    pages, errors = archives.archive_pages(archives.members(jobs.mapInArrow(_packed, "job_id string, content binary")))
+    none = errors.select("job_id", F.lit(None).cast("int").alias("page"), F.lit("error").alias("origin"), F.col("error").alias("said"))
+    return pages.select("job_id", "page", "origin", F.col("text").alias("said")).unionByName(none)
+
+
 @query("s9_short_text_fallback", "SELECT conv_id AS job_id, turn, length(trim(text[1:(turn % 5 * 8)::INT], ' ')) < 20 AS warned FROM conversations")
 def s9(t: Tables) -> DataFrame:
     body = F.expr("substring(text, 1, CAST(turn % 5 * 8 AS int))")

@@ -33,7 +33,7 @@ SEED = "mix-1"
 #: Marks rows without a source; the others have "s" before their name.
 NO_SOURCE = "n"
 #: Rows of a range of keys, about, and most ranges of a source; entries of a quantile summary for each range.
-RANGE_ROWS, MOST_RANGES, ENTRIES = 20_000, 2000, 10
+RANGE_ROWS, MOST_RANGES, ENTRIES = 4000, 2000, 10
 
 
 def word_count(text: Column) -> Column:

@@ -1,13 +1,15 @@
-"""Job lifecycle: legal changes of state in batch and stream, recovery, and pages that arrive out of order."""
+"""Job lifecycle in batch: legal changes of state, recovery and last states (``streaming.live`` has the streams)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from batchloom.session import ship
+
 # Which state may follow which.
 TRANSITIONS = {
     "pending": ["ocr_running", "error", "cancelling", "archived"],
@@ -29,34 +31,29 @@ def allowed(current: Column, new: Column) -> Column:
     return F.coalesce(F.array_contains(F.element_at(edges, current), new), F.lit(False))
 
 
-def replay(attempts: DataFrame, start: str = "pending") -> DataFrame:
-    """``job_id, seq, current, new, accepted`` of every attempt (``job_id, seq, new``), refused ones included: a refused
-    attempt leaves the state as it was, so a job's attempts are folded in order."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "new")))
-    state = F.struct(F.lit(start).alias("state"), F.array().cast("array<struct<seq:bigint,current:string,new:string,accepted:boolean>>").alias("log"))
-
-    def step(a: Column, x: Column) -> Column:
-        ok = allowed(a["state"], x["new"])
-        row = F.struct(x["seq"].cast("bigint").alias("seq"), a["state"].alias("current"), x["new"].alias("new"), ok.alias("accepted"))
-        return F.struct(F.when(ok, x["new"]).otherwise(a["state"]).alias("state"), F.concat(a["log"], F.array(row)).alias("log"))
-
-    return attempts.groupBy("job_id").agg(F.aggregate(ordered, state, step)["log"].alias("log")).select("job_id", F.inline("log"))
-
-
-def replay_stream(attempts: DataFrame, start: str = "pending") -> DataFrame:
-    """The same over a stream, with a job's last state kept between batches (attempts of a job arrive in order)."""
+REPLAYED = "job_id {}, seq bigint, current string, new string, accepted boolean"
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now = state.get[0] if state.exists else start
-        rows = []
-        for one in pd.concat(list(batches)).sort_values("seq").itertuples():
-            ok = one.new in TRANSITIONS.get(now, [])
-            rows.append((key[0], one.seq, now, one.new, ok))
-            now = one.new if ok else now
-        state.update((now,))
-        yield pd.DataFrame(rows, columns=["job_id", "seq", "current", "new", "accepted"])
 
-    return attempts.groupBy("job_id").applyInPandasWithState(fold, "job_id string, seq long, current string, new string, accepted boolean", "state string", "append", "NoTimeout")
+def replay(attempts: DataFrame, start: str = "pending") -> DataFrame:
+    """``job_id, seq, current, new, accepted`` of every attempt (``job_id, seq, new``), refused ones included: a refused
+    attempt leaves the state as it was, so a job's attempts are folded in order. Rows are dealt by job and sorted, and a task
+    walks them once with one state in hand, however many attempts a job has."""
+    ship(attempts.sparkSession)
+    kind = attempts.schema["job_id"].dataType.simpleString()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, now = object(), start
+        for batch in batches:
+            before, fine = [], []
+            for one, new in zip(batch.column("job_id").to_pylist(), batch.column("new").to_pylist(), strict=True):
+                job, now = one, now if one == job else start
+                before.append(now)
+                fine.append(new in TRANSITIONS.get(now, ()))
+                now = new if fine[-1] else now
+            yield pa.RecordBatch.from_arrays([batch.column("job_id"), batch.column("seq"), pa.array(before, pa.string()), batch.column("new"), pa.array(fine, pa.bool_())], ["job_id", "seq", "current", "new", "accepted"])
+
+    rows = attempts.select("job_id", F.col("seq").cast("bigint").alias("seq"), F.col("new").cast("string").alias("new"))
+    return rows.repartition("job_id").sortWithinPartitions("job_id", "seq", "new").mapInArrow(fold, REPLAYED.format(kind))
 
 
 def recovered(jobs: DataFrame, started_at: Column) -> DataFrame:
@@ -68,21 +65,3 @@ def recovered(jobs: DataFrame, started_at: Column) -> DataFrame:
 def latest(events: DataFrame) -> DataFrame:
     """The last state of each job in an event log (``job_id, seq, status``); also over a stream in complete mode."""
     return events.groupBy("job_id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))
-
-
-def append_pages(stream: DataFrame, path: str, checkpoint: str):
-    """Start a query that appends arriving pages (``job_id, page, raw_html``) to a table, each page once: slices may come
-    out of order, again, or after a restart."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        one = batch.groupBy("job_id", "page").agg(F.min("raw_html").alias("raw_html"))
-        try:
-            known = spark.read.parquet(path).select("job_id", "page")
-            one = one.join(known, ["job_id", "page"], "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        one.write.mode("append").parquet(path)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

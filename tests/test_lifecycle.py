@@ -5,7 +5,8 @@ from batchloom.operators import reads, upkeep
 from batchloom.operators.report import json_report, markdown_report
 from batchloom.providers import Offline, semantic_findings
 from batchloom.sources import blocks, page_json, recognised
-from batchloom.streaming.lifecycle import TRANSITIONS, append_pages, replay, replay_stream
+from batchloom.sources.page_table import append_pages, read_pages
+from batchloom.streaming.lifecycle import TRANSITIONS, replay
 from pyspark.sql import functions as F
 
 ATTEMPTS = [("a", 1, "ocr_running"), ("a", 2, "review"), ("a", 3, "ocr_done"), ("b", 1, "archived"), ("b", 2, "review"), ("b", 3, "review"), ("a", 4, "analyzing"), ("a", 5, "partial_review")]
@@ -13,17 +14,17 @@ WANT = [("a", 1, "pending", "ocr_running", True), ("a", 2, "ocr_running", "revie
 SCHEMA = "job_id string, seq long, new string"
 
 
-def test_transitions_in_batch_and_stream(spark, tmp_path):
+def test_transitions(spark):
     assert sum(map(len, TRANSITIONS.values())) == 25
-    assert sorted(map(tuple, replay(spark.createDataFrame(ATTEMPTS, SCHEMA)).collect())) == WANT
-    source = str(tmp_path / "in")
-    for k, part in enumerate((ATTEMPTS[:4], ATTEMPTS[4:])):
-        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").json(source)
-        stream = spark.readStream.schema(SCHEMA).json(source)
-        q = replay_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination(120)
-        assert not q.isActive, k
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("job_id", "seq", "current", "new", "accepted").collect())) == WANT
+    df = spark.createDataFrame(ATTEMPTS, SCHEMA)
+    assert sorted(map(tuple, replay(df).collect())) == WANT and replay(df.filter("false")).count() == 0
+    more = [("c", k, ("ocr_running", "error", "pending", "nonsense", None)[k % 5]) for k in range(50_000)] + [(None, 1, "error"), (None, 2, "pending")]
+    want, now = {}, "pending"
+    for _, k, new in sorted(more[:50_000]):
+        want[k] = (now, new in TRANSITIONS[now])
+        now = new if want[k][1] else now
+    got = replay(spark.createDataFrame(more, SCHEMA).repartition(7)).collect()
+    assert {r.seq: (r.current, r.accepted) for r in got if r.job_id} == want and [(r.seq, r.accepted) for r in sorted(got, key=lambda r: r.seq) if r.job_id is None] == [(1, True), (2, True)]
 
 
 def test_pages_arrive_once(spark, tmp_path):
@@ -31,7 +32,7 @@ def test_pages_arrive_once(spark, tmp_path):
     for rows in ([("j", 2, "b"), ("j", 1, "a")], [("j", 2, "b"), ("j", 3, "c")]):
         spark.createDataFrame(rows, "job_id string, page int, raw_html string").write.mode("append").json(source)
         append_pages(spark.readStream.schema("job_id string, page int, raw_html string").json(source), out, checkpoint).awaitTermination(120)
-    got = spark.read.parquet(out)
+    got = read_pages(spark, out).select("job_id", "page", "raw_html")
     assert sorted(map(tuple, got.collect())) == [("j", 1, "a"), ("j", 2, "b"), ("j", 3, "c")]
     jobs = spark.createDataFrame([("j", 5)], "job_id string, total_pages int")
     assert [r.page for r in reads.missing_pages(jobs, got).orderBy("page").collect()] == [4, 5]

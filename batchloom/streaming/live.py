@@ -170,7 +170,7 @@ class _Attempts(StatefulProcessor):
 def attempts_stream(attempts: DataFrame, start: str = "pending", wait: int = 60, late: str = "1 minute") -> DataFrame:
     """``lifecycle.replay`` over a stream ``job_id, seq, at, new`` whose attempts may come in any order and again: each with the
     audit row it makes. Attempts of a job count from 1; those behind a gap wait until it is filled, or until the events' clock
-    is ``wait`` seconds further, and an attempt that comes after that is ignored."""
+    is ``wait`` seconds further; one that comes after that, or with a time that lies ``late`` behind the clock, is ignored."""
     keep_state(attempts.sparkSession)
     ship(attempts.sparkSession)
     told = attempts.select("job_id", "seq", "at", "new").withWatermark("at", late)

@@ -56,6 +56,36 @@ def replay(attempts: DataFrame, start: str = "pending") -> DataFrame:
     return rows.repartition("job_id").sortWithinPartitions("job_id", "seq", "new").mapInArrow(fold, REPLAYED.format(kind))
 
 
+#: Jobs of a site that may be active at once.
+MOST_ACTIVE = 3
+
+
+def admitted(requests: DataFrame, most: int = MOST_ACTIVE) -> DataFrame:
+    """``site, job_id, at, ends_at, active, accepted`` of every request: a site takes a job while fewer than ``most`` of those it
+    took before are active (from ``at`` until ``ends_at``, null: without end); ``active`` is how many it met.
+
+    Whether a job counts depends on whether it was taken, so a site's requests are walked in order (ties by job) with the ends
+    of its active jobs in hand, at most ``most``.
+    """
+    ship(requests.sparkSession)
+    names = ["site", "job_id", "at", "ends_at"]
+    schema = ", ".join(f"{n} {requests.schema[n].dataType.simpleString()}" for n in names) + ", active int, accepted boolean"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        site, ends = object(), []
+        for batch in batches:
+            met, fine = [], []
+            for one, at, end in zip(*(batch.column(c).to_pylist() for c in ("site", "at", "ends_at")), strict=True):
+                site, ends = one, [x for x in ends if one == site and (x is None or x > at)]
+                met.append(len(ends))
+                fine.append(len(ends) < most)
+                if fine[-1] and (end is None or end > at):
+                    ends.append(end)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(met, pa.int32()), pa.array(fine, pa.bool_())], [*names, "active", "accepted"])
+
+    return requests.select(*names).filter("at IS NOT NULL").repartition("site").sortWithinPartitions("site", "at", "job_id").mapInArrow(fold, schema)
+
+
 def recovered(jobs: DataFrame, started_at: Column) -> DataFrame:
     """Jobs after a restart: unfinished ones from before it end in error."""
     stuck = F.col("status").isin(UNFINISHED) & (F.col("created_at") < started_at)

@@ -6,7 +6,7 @@ from batchloom.operators.report import json_report, markdown_report
 from batchloom.providers import Offline, semantic_findings
 from batchloom.sources import blocks, page_json, recognised
 from batchloom.sources.page_table import append_pages, read_pages
-from batchloom.streaming.lifecycle import TRANSITIONS, replay
+from batchloom.streaming.lifecycle import TRANSITIONS, admitted, replay
 from pyspark.sql import functions as F
 
 ATTEMPTS = [("a", 1, "ocr_running"), ("a", 2, "review"), ("a", 3, "ocr_done"), ("b", 1, "archived"), ("b", 2, "review"), ("b", 3, "review"), ("a", 4, "analyzing"), ("a", 5, "partial_review")]
@@ -27,6 +27,14 @@ def test_transitions(spark):
     assert {r.seq: (r.current, r.accepted) for r in got if r.job_id} == want and [(r.seq, r.accepted) for r in sorted(got, key=lambda r: r.seq) if r.job_id is None] == [(1, True), (2, True)]
 
 
+def test_admission_counts_only_what_was_taken(spark):
+    rows = [("s", 1, 0, 10), ("s", 2, 1, 5), ("s", 3, 2, None), ("s", 4, 3, 4), ("s", 5, 5, 9), ("s", 6, 5, 9), ("s", 7, 9, 9), ("s", 8, 9, 99), ("s", 9, 10, 11), ("s", 10, 10, 11), ("t", 11, 3, 4), (None, 12, 3, 4), ("t", 13, None, 4)]
+    df = spark.createDataFrame(rows, "site string, job_id int, at long, ends_at long")
+    got = {r.job_id: (r.active, r.accepted) for r in admitted(df.repartition(5)).collect()}
+    assert got == {1: (0, True), 2: (1, True), 3: (2, True), 4: (3, False), 5: (2, True), 6: (3, False), 7: (2, True), 8: (2, True), 9: (2, True), 10: (3, False), 11: (0, True), 12: (0, True)}
+    assert admitted(df.filter("false")).count() == 0
+
+
 def test_pages_arrive_once(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "cp"))
     for rows in ([("j", 2, "b"), ("j", 1, "a")], [("j", 2, "b"), ("j", 3, "c")]):

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed patterns: what counts as a date in a batch record.
@@ -41,45 +41,93 @@ def _group(c: Column, pattern: str, k: int) -> Column:
     return F.regexp_extract(c, "(?U)" + pattern, k).try_cast("int")
 
 
+#: Layouts in the order in which they are tried; the first two take what they lack from the fallback.
+_LAYOUTS = (CLOCK, MONTH_DAY, GARBLED, CHINESE, PLAIN, YEAR)
+
+
 def _moment(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column) -> Column:
     """The moment, or null where a part is out of range (a 60th second would roll over)."""
     zero = lambda c: F.coalesce(c, F.lit(0))
-    made = lambda s: F.call_function("try_make_timestamp_ntz", year, month, day, zero(hour), zero(minute), s.cast("decimal(8,6)"))
-    return let(zero(second), lambda s: F.when(s <= 59, made(s)))
+    made = F.call_function("try_make_timestamp_ntz", year, month, day, zero(hour), zero(minute), zero(second).cast("decimal(8,6)"))
+    return F.when(zero(second) <= 59, made)
+
+
+def _raw(text: Column) -> Column:
+    return F.translate(strip(text), _WIDE, _NARROW)
+
+
+def _layout(raw: Column, given: Column) -> Column:
+    """The number of the layout that decides, from 1 on; null for none."""
+    none = F.lit(None).cast("int")
+    fits = [raw.rlike("(?U)" + p) for p in _LAYOUTS]
+    fits[1] = given & fits[1]
+    fits[2] = fits[2] & _moment(*(_group(raw, GARBLED, k) for k in (3, 4, 5)), none, none, none).isNotNull()
+    out = F.when(raw == "", none)
+    for k, fit in enumerate(fits, 1):
+        out = out.when(fit, k)
+    return out
+
+
+def _numbers(raw: Column, layout: Column) -> Column:
+    """The numbers that the layout finds, as texts."""
+    matched = F.coalesce(*[F.when(layout == k, F.regexp_extract(raw, "(?U)" + p, 0)) for k, p in enumerate(_LAYOUTS, 1) if p != GARBLED])
+    second = F.array(*[F.regexp_extract(raw, "(?U)" + GARBLED, k) for k in (3, 4, 5)])
+    return F.when(layout == _LAYOUTS.index(GARBLED) + 1, second).otherwise(F.split(F.regexp_replace(matched, "[^0-9]+", ","), ","))
+
+
+def _read(layout: Column, numbers: Column, fallback: Column) -> Column:
+    """The moment of a layout's numbers; a year alone is its first day."""
+    n = [F.get(numbers, F.lit(k)).try_cast("int") for k in range(6)]
+    clock, short, year = layout == 1, layout == 2, layout == len(_LAYOUTS)
+    shift = lambda k: F.when(clock, n[k - 3] if k >= 3 else F.lit(None).cast("int")).when(short, n[k - 1]).otherwise(n[k])
+    parts = [F.when(clock | short, F.year(fallback)).otherwise(n[0]), F.when(clock, F.month(fallback)).when(year, 1).otherwise(shift(1)), F.when(clock, F.dayofmonth(fallback)).when(year, 1).otherwise(shift(2))]
+    return F.when(layout.isNotNull(), _moment(*parts, *(shift(k) for k in (3, 4, 5))))
+
+
+def _defaults(fallback: Column | None, given: Column | None) -> tuple[Column, Column]:
+    return F.lit(None).cast("timestamp_ntz") if fallback is None else fallback, F.lit(False) if given is None else F.coalesce(given, F.lit(False))
+
+
+def _dated(layout: Column, given: Column) -> Column:
+    """A clock time without a page date is nothing."""
+    return F.when((layout != 1) | given, layout)
 
 
 def parse_time(text: Column, fallback: Column | None = None, fallback_given: Column | None = None) -> Column:
     """The moment a text names. ``fallback``: a moment (``parse_time`` of the page's date); ``fallback_given``: whether
-    the page has a date at all, parsable or not."""
-    none, no = F.lit(None).cast("int"), F.lit(False)
-    fallback = F.lit(None).cast("timestamp_ntz") if fallback is None else fallback
-    given = no if fallback_given is None else F.coalesce(fallback_given, no)
+    the page has a date at all, parsable or not. (``with_times`` gives the same as columns, and is faster.)"""
+    fallback, given = _defaults(fallback, fallback_given)
+    found = lambda raw: let(_dated(_layout(raw, given), given), lambda k: _read(k, _numbers(raw, k), fallback))
+    return let(_raw(text), found)
 
-    def read(raw: Column) -> Column:
-        fits = lambda p: raw.rlike("(?U)" + p)
 
-        def parts(pattern: str, body: Callable[..., Column]) -> Column:
-            """``body`` of the numbers in what a pattern matched; numbers that are missing are null."""
-            found = F.split(F.regexp_replace(F.regexp_extract(raw, "(?U)" + pattern, 0), "[^0-9]+", ","), ",")
-            return let(found, lambda a: body(*[F.get(a, F.lit(k)).try_cast("int") for k in range(6)]))
+def settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with further columns that are computed once a row, however often later expressions name them: a generator
+    stands between, which no optimiser rule merges with what comes after."""
+    made = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("settled_")
+    old = [c for c in rows.columns if c not in columns]
+    return rows.select("*", made).select(*[F.col(f"`{c}`") for c in old], *[F.col(f"settled_.`{n}`").alias(n) for n in columns])
 
-        garbled = _moment(_group(raw, GARBLED, 3), _group(raw, GARBLED, 4), _group(raw, GARBLED, 5), none, none, none)
-        return (
-            F.when(raw.isNull() | (raw == ""), None)
-            .when(fits(CLOCK), F.when(given, parts(CLOCK, lambda h, m, s, *_: _moment(F.year(fallback), F.month(fallback), F.dayofmonth(fallback), h, m, s))))
-            .when(given & fits(MONTH_DAY), parts(MONTH_DAY, lambda mo, d, h, m, s, *_: _moment(F.year(fallback), mo, d, h, m, s)))
-            .when(fits(GARBLED) & garbled.isNotNull(), garbled)
-            .when(fits(CHINESE), parts(CHINESE, lambda y, mo, d, h, m, *_: _moment(y, mo, d, h, m, none)))
-            .when(fits(PLAIN), parts(PLAIN, _moment))
-            .when(fits(YEAR), _moment(_group(raw, YEAR, 1), F.lit(1), F.lit(1), none, none, none))
-        )
 
-    return let(F.translate(strip(text), _WIDE, _NARROW), read)
+def with_times(rows: DataFrame, **named: tuple[Column, Column | None, Column | None]) -> DataFrame:
+    """``rows`` with a moment for each name, from (text, fallback, whether there is a fallback) as ``parse_time`` takes them:
+    the normalised text, its layout and its numbers are found one after the other, in generated code."""
+    given = {n: _defaults(fallback, has) for n, (_, fallback, has) in named.items()}
+    out = settled(rows, **{f"{n}_raw": _raw(text) for n, (text, _, _) in named.items()}, **{f"{n}_given": has for n, (_, has) in given.items()}, **{f"{n}_base": base for n, (base, _) in given.items()})
+    c = F.col
+    out = settled(out, **{f"{n}_layout": _dated(_layout(c(f"{n}_raw"), c(f"{n}_given")), c(f"{n}_given")) for n in named})
+    out = settled(out, **{f"{n}_numbers": _numbers(c(f"{n}_raw"), c(f"{n}_layout")) for n in named})
+    out = settled(out, **{n: _read(c(f"{n}_layout"), c(f"{n}_numbers"), c(f"{n}_base")) for n in named})
+    return out.drop(*[f"{n}_{x}" for n in named for x in ("raw", "given", "base", "layout", "numbers")])
 
 
 def parse_year(text: Column) -> Column:
     """The year of the moment, else a bare year."""
-    return F.coalesce(F.year(parse_time(text)), _group(F.translate(text, _WIDE, _NARROW), YEAR, 1))
+    return year_of(text, parse_time(text))
+
+
+def year_of(text: Column, moment: Column) -> Column:
+    return F.coalesce(F.year(moment), _group(F.translate(text, _WIDE, _NARROW), YEAR, 1))
 
 
 def interval(text: Column, moment: Column) -> Column:

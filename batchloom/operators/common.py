@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.functions.dates import filled, interval, parse_time, step_key
+from batchloom.functions.dates import filled, interval, settled, step_key, with_times
 from batchloom.schema import CHECK, MEASUREMENT, PARAMETER, RULES, SIGNATURE
 
 COLUMNS = ["job_id", "page", "type", "severity", "description", "ocr_text", "operator", "source", "rule_id", "rule", "ord"]
@@ -21,10 +21,9 @@ OPTIONAL = {
 def timed(rows: DataFrame) -> DataFrame:
     """Flat steps (``job_id, page, pos, step_no`` and what they have of the other columns) with their times parsed."""
     rows = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in OPTIONAL.items() if c not in rows.columns})
-    rows = rows.withColumn("dated", filled(F.col("date"))).withColumn("fallback", parse_time(F.col("date")))
-    for name in ("start", "end"):
-        rows = rows.withColumn(f"{name}_at", parse_time(F.col(f"{name}_time"), F.col("fallback"), F.col("dated")))
-        rows = rows.withColumn(f"{name}_iv", interval(F.col(f"{name}_time"), F.col(f"{name}_at")))
+    rows = with_times(rows.withColumn("dated", filled(F.col("date"))), fallback=(F.col("date"), None, None))
+    rows = with_times(rows, **{f"{name}_at": (F.col(f"{name}_time"), F.col("fallback"), F.col("dated")) for name in ("start", "end")})
+    rows = settled(rows, **{f"{name}_iv": interval(F.col(f"{name}_time"), F.col(f"{name}_at")) for name in ("start", "end")})
     return rows.withColumn("key", step_key(F.col("step_no"))).withColumn("no", F.coalesce("step_no", F.lit("?")))
 
 
@@ -48,12 +47,24 @@ def place(*parts: Column) -> Column:
     return F.concat_ws(".", *[F.lpad(p.cast("string"), 9, "0") for p in parts])
 
 
-def findings(rows: DataFrame, rule: str, kind: Column | str, severity: Column | str, description: Column, ocr_text: Column, ord: Column, operator: Column | str = "", source: str = "rule") -> DataFrame:
+def finding(rule: str, kind: Column | str, severity: Column | str, description: Column, ocr_text: Column, ord: Column, operator: Column | str = "", source: str = "rule") -> list[Column]:
+    """The columns of a finding on a row with ``job_id`` and ``page``."""
     value = lambda c: F.lit(c) if isinstance(c, str) else c
-    return rows.select(
-        "job_id", F.col("page").cast("int").alias("page"), value(kind).alias("type"), value(severity).alias("severity"), description.alias("description"), ocr_text.alias("ocr_text"),
+    return [
+        F.col("job_id"), F.col("page").cast("int").alias("page"), value(kind).alias("type"), value(severity).alias("severity"), description.alias("description"), ocr_text.alias("ocr_text"),
         F.coalesce(value(operator), F.lit("")).alias("operator"), F.lit(source).alias("source"), F.lit(None).cast("string").alias("rule_id"), F.lit(RULES.index(rule)).alias("rule"), ord.alias("ord"),
-    )
+    ]
+
+
+def findings(rows: DataFrame, *args: Column | str, **more: Column | str) -> DataFrame:
+    """One finding a row (see ``finding``)."""
+    return rows.select(*finding(*args, **more))
+
+
+def findings_where(rows: DataFrame, *cases: tuple[Column, list[Column]]) -> DataFrame:
+    """The findings of every case whose condition holds on a row, from one pass over the rows."""
+    some = F.array_compact(F.array(*[F.when(condition, F.struct(*columns)) for condition, columns in cases]))
+    return rows.select(F.inline(some))
 
 
 def float_text(c: Column) -> Column:

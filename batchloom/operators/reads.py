@@ -26,15 +26,59 @@ def source_rank(c: Column, missing_is_rule: bool = True) -> Column:
 
 def list_findings(findings: DataFrame, page: int | None = None, status: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
     """One job's findings in review order; a page filter takes the place of a status filter."""
-    limit, offset = max(1, min(limit, 200)), max(0, offset)
+    limit, offset = clamped(limit, offset)
     rows = findings.filter(F.col("page") == page) if page else findings.filter(F.col("status") == status) if status else findings
-    order = [*([] if page else ["page"]), severity_rank(F.col("severity")), source_rank(F.col("source")), "id"]
+    order = [*([] if page else ["page"]), *_review_order()]
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
-def more_findings(findings: DataFrame, limit: int, offset: int) -> DataFrame:
-    """``total, has_more``: the total counts all findings of the job, whatever the filter."""
-    return findings.agg(F.count("*").alias("total")).withColumn("has_more", F.lit(offset + limit) < F.col("total"))
+def clamped(limit: int, offset: int) -> tuple[int, int]:
+    return max(1, min(limit, 200)), max(0, offset)
+
+
+def _review_order() -> list[Column | str]:
+    return [severity_rank(F.col("severity")), source_rank(F.col("source")), "id"]
+
+
+def listed_by_page(findings: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """``list_findings`` of every page of every job at once: the rows of each, with their place ``nth`` in review order."""
+    limit, offset = clamped(limit, offset)
+    nth = F.row_number().over(Window.partitionBy("job_id", "page").orderBy(*_review_order()))
+    return findings.withColumn("nth", nth).filter((F.col("nth") > offset) & (F.col("nth") <= offset + limit))
+
+
+def more_findings(findings: DataFrame, limit: int, offset: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``total, has_more`` (of each job, with ``keys``): the total counts all findings of the job, whatever the filter."""
+    return findings.groupBy(*keys).agg(F.count("*").alias("total")).withColumn("has_more", F.lit(offset + limit) < F.col("total"))
+
+
+def page_total(jobs: DataFrame, page_size: int = 20) -> DataFrame:
+    """``total_jobs, total_pages`` of the list that ``newest_jobs`` pages through; an empty list has one page."""
+    size = max(1, min(page_size, 100))
+    counted = jobs.filter("status <> 'archived'").agg(F.count("*").alias("total_jobs"))
+    return counted.withColumn("total_pages", F.greatest(F.lit(1), F.ceil(F.col("total_jobs") / size)).cast("int"))
+
+
+def reusable(jobs: DataFrame, pages: DataFrame) -> DataFrame:
+    """``job_id, read, reuse``: whether every page of a job (``total_pages``; unknown or 0: none can be reused) has been read, so
+    that reading can be left out when the job goes on."""
+    read = pages.filter("raw_html IS NOT NULL").groupBy("job_id").agg(F.count_distinct("page").alias("read"))
+    rows = jobs.select(F.col("id").alias("job_id"), "total_pages").join(read, "job_id", "left")
+    read = F.coalesce("read", F.lit(0))
+    return rows.select("job_id", read.alias("read"), F.coalesce((F.col("total_pages") > 0) & (read >= F.col("total_pages")), F.lit(False)).alias("reuse"))
+
+
+def told_before(audit: DataFrame, action: str, status: Column | str) -> DataFrame:
+    """``job_id`` of the jobs whose audit rows say that a notice of the state was delivered."""
+    status = F.lit(status) if isinstance(status, str) else status
+    said = F.contains(F.col("detail"), F.concat(F.lit("status="), status, F.lit(" ok=True")))
+    return audit.filter((F.col("action") == action) & said).select("job_id").distinct()
+
+
+def in_page_order(findings: DataFrame) -> DataFrame:
+    """A page's findings in the order in which they are shown: by source (one without a source comes last), then id; ``nth``
+    counts from 1 on each page."""
+    return findings.withColumn("nth", F.row_number().over(Window.partitionBy("job_id", "page").orderBy(source_rank(F.col("source"), missing_is_rule=False), "id")))
 
 
 def page_counts(findings: DataFrame, keys: tuple = ("job_id", "page")) -> DataFrame:
@@ -88,16 +132,41 @@ def fails_over(pages: Column, total: Column) -> Column:
     return (pages == 0) | (total - pages > F.greatest(F.lit(2), F.floor(total * 0.1)))
 
 
+#: Characters of a reviewer's note or correction.
+NOTE_CHARS = 2000
+
+
+def review_outcomes(findings: DataFrame, updates: DataFrame) -> DataFrame:
+    """``id, job_id, was, status, reviewer_note, corrected_text, refused`` of every update (null fields: unchanged). ``refused``
+    is null for what is done, else why not: ``status``, ``too long``, ``not found``, ``nothing``."""
+    c = F.col
+    long = F.coalesce(F.length("reviewer_note") > NOTE_CHARS, F.lit(False)) | F.coalesce(F.length("corrected_text") > NOTE_CHARS, F.lit(False))
+    rows = updates.select("id", "status", "reviewer_note", "corrected_text").join(findings.select("id", "job_id", c("status").alias("was")), "id", "left")
+    given = F.coalesce(c("status") != "", F.lit(False))
+    none = ~given & c("reviewer_note").isNull() & c("corrected_text").isNull()
+    refused = F.when(given & ~c("status").isin(FINDING_STATUSES), "status").when(long, "too long").when(c("was").isNull() & c("job_id").isNull(), "not found").when(none, "nothing")
+    return rows.withColumn("refused", refused).withColumn("status", F.when(given, c("status"))).select("id", "job_id", "was", "status", "reviewer_note", "corrected_text", "refused")
+
+
 def apply_updates(findings: DataFrame, updates: DataFrame, at: Column) -> DataFrame:
-    """Findings after updates ``id, status, reviewer_note, corrected_text`` (null: unchanged); an unknown status changes
-    nothing. ``reviewed_at`` is set, or cleared where a finding goes back to pending."""
-    new = updates.filter(F.col("status").isNull() | F.col("status").isin(FINDING_STATUSES)).select("id", F.col("status").alias("_s"), F.col("reviewer_note").alias("_n"), F.col("corrected_text").alias("_c"))
+    """Findings after updates ``id, status, reviewer_note, corrected_text`` (null: unchanged), those left out that
+    ``review_outcomes`` refuses. ``reviewed_at`` is set, or cleared where a finding goes back to pending."""
+    new = review_outcomes(findings, updates).filter("refused IS NULL").select("id", F.col("status").alias("_s"), F.col("reviewer_note").alias("_n"), F.col("corrected_text").alias("_c"))
     rows = findings.join(new, "id", "left")
     reviewed = F.when(F.col("_s") == "pending", None).when(F.col("_s").isNotNull(), at).otherwise(F.col("reviewed_at"))
-    rows = rows.withColumn("reviewed_at", reviewed).withColumn("status", F.coalesce("_s", "status")).withColumn("reviewer_note", F.coalesce(F.substring("_n", 1, 2000), F.col("reviewer_note"))).withColumn("corrected_text", F.coalesce(F.substring("_c", 1, 2000), F.col("corrected_text")))
+    rows = rows.withColumn("reviewed_at", reviewed).withColumn("status", F.coalesce("_s", "status")).withColumn("reviewer_note", F.coalesce("_n", "reviewer_note")).withColumn("corrected_text", F.coalesce("_c", "corrected_text"))
     return rows.drop("_s", "_n", "_c")
 
 
+def update_audit(outcomes: DataFrame, at: Column) -> DataFrame:
+    """``job_id, finding_id, action, detail, created_at``: an audit row of each change, and of each refused one."""
+    c = F.col
+    quoted = lambda label, name: F.when(c(name).isNotNull(), F.concat(F.lit(f"{label}: '"), F.left(name, F.lit(50)), F.lit("'")))
+    said = F.concat_ws("; ", F.when(c("status").isNotNull(), F.concat(F.lit("status: "), F.coalesce("was", F.lit("")), F.lit(" → "), "status")), quoted("note", "reviewer_note"), quoted("corrected", "corrected_text"))
+    done = c("refused").isNull()
+    return outcomes.select("job_id", c("id").alias("finding_id"), F.when(done, "finding_update").otherwise("finding_update_refused").alias("action"), F.when(done, said).otherwise(c("refused")).alias("detail"), at.alias("created_at"))
+
+
 def replace_pending(findings: DataFrame, job_ids: DataFrame, new: DataFrame) -> DataFrame:
     """Before an analysis runs again, a job's unreviewed model findings go; reviewed ones and the rules' own stay."""
     gone = findings.join(job_ids, "job_id", "left_semi").filter((F.col("status") == "pending") & F.col("source").startswith("llm"))

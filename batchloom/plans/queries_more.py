@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from batchloom.functions import numbers, text
 from batchloom.operators import reads
-from batchloom.operators.reads import source_rank
 from batchloom.operators.rules_doc import page_findings
 from batchloom.plans.audit import new_findings
 from batchloom.plans.base import Tables, query
@@ -62,13 +61,21 @@ def s3(t: Tables) -> DataFrame:
     return pages.select("job_id", "page", "origin", F.col("text").alias("said")).unionByName(none)
 
 
-@query("s9_short_text_fallback", "SELECT conv_id AS job_id, turn, length(trim(text[1:(turn % 5 * 8)::INT], ' ')) < 20 AS warned FROM conversations")
+_SHORT = "[OCR 警告: 服务端表格组装失败，以下为块级文本兜底，表格结构已丢失，各行内容可能串行]"
+
+
+@query("s9_short_text_fallback", f"""WITH w AS (SELECT conv_id, turn, k, string_split(text, ' ')[k] AS s FROM (SELECT conv_id, turn, text, unnest(range(1, 6)) AS k FROM conversations) WHERE k <= len(string_split(text, ' '))),
+p AS (SELECT conv_id, turn, k, s FROM w UNION ALL SELECT conv_id, turn, 0, text FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id AS job_id, turn, k::INT AS k, md5(CASE WHEN length(trim(s, ' ')) < 20 THEN '{_SHORT}' || chr(10) || chr(10) || 'block ' || turn ELSE s END) AS h FROM p""")
 def s9(t: Tables) -> DataFrame:
-    body = F.expr("substring(text, 1, CAST(turn % 5 * 8 AS int))")
-    page = F.struct(F.struct(body.alias("text")).alias("markdown"), F.struct(F.array(F.struct(F.lit("块文本").alias("block_content"))).alias("parsing_res_list")).alias("prunedResult"))
-    lines = t.conversations.select(F.concat("conv_id", F.lit("/"), "turn").alias("job_id"), F.lit(1).alias("line_no"), F.to_json(F.struct(F.array(page).alias("layoutParsingResults"))).alias("line"))
+    # a page of each whole text, and pages of its first words, most of which are short
+    words = F.concat(F.array("text"), F.slice(F.split("text", " "), 1, 5))
+    rows = t.conversations.filter("text IS NOT NULL").select("conv_id", "turn", F.posexplode(words).alias("k", "s"))
+    page = F.struct(F.struct(F.col("s").alias("text")).alias("markdown"), F.struct(F.array(F.struct(F.concat(F.lit("block "), "turn").alias("block_content"))).alias("parsing_res_list")).alias("prunedResult"))
+    lines = rows.select(F.concat("conv_id", F.lit("/"), "turn", F.lit("/"), "k").alias("job_id"), F.lit(1).alias("line_no"), F.to_json(F.struct(F.array(page).alias("layoutParsingResults"))).alias("line"))
     got = recognised.result_pages(lines)
-    return got.select(F.split("job_id", "/")[0].cast("bigint").alias("job_id"), F.split("job_id", "/")[1].cast("bigint").alias("turn"), F.col("text").startswith("[OCR 警告").alias("warned"))
+    part = lambda k: F.split("job_id", "/")[k].cast("bigint")
+    return got.select(part(0).alias("job_id"), part(1).alias("turn"), part(2).cast("int").alias("k"), F.md5(F.col("text").cast("binary")).alias("h"))
 
 
 @query("s12_new_findings", f"""WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id, page, type, description ORDER BY event_id) AS nth FROM ({_FOUND} events) WHERE type IS NOT NULL) WHERE nth = 1)
@@ -85,10 +92,11 @@ def s17(t: Tables) -> DataFrame:
     return reads.user_rules(rows)
 
 
-@query("s18_resume", "SELECT o_custkey AS job_id, count(*) FILTER (WHERE o_orderstatus <> 'F') >= 8 AS reuse FROM orders GROUP BY o_custkey")
+@query("s18_resume", "SELECT o_custkey AS job_id, count(DISTINCT o_orderkey) FILTER (WHERE o_orderstatus <> 'F') AS read, min(o_custkey % 12) > 0 AND count(DISTINCT o_orderkey) FILTER (WHERE o_orderstatus <> 'F') >= min(o_custkey % 12) AS reuse FROM orders GROUP BY o_custkey")
 def s18(t: Tables) -> DataFrame:
-    pages = t.orders.select(F.col("o_custkey").alias("job_id"), F.when(F.col("o_orderstatus") != "F", "x").alias("raw_html"))
-    return pages.groupBy("job_id").agg((F.count("raw_html") >= 8).alias("reuse"))
+    pages = t.orders.select(F.col("o_custkey").alias("job_id"), F.col("o_orderkey").alias("page"), F.when(F.col("o_orderstatus") != "F", "x").alias("raw_html"))
+    jobs = t.orders.select(F.col("o_custkey").alias("id"), (F.col("o_custkey") % 12).alias("total_pages")).distinct()
+    return reads.reusable(jobs, pages.union(pages))
 
 
 @query("j6_matching_names", "SELECT p_partkey, contains(p_name, 'ring') OR contains('red widget no. 5', p_name) AS hit FROM part")
@@ -135,10 +143,11 @@ def p10(t: Tables) -> DataFrame:
     return rows.join(known, rows.want == known.rule_id, "left").select("id", F.col("status").isin("confirmed", "rejected").alias("reviewed"), "rule_id")
 
 
-@query("p11_detail_probe", "SELECT o_custkey, bool_or('status=' || o_orderstatus || ' ok=True' LIKE '%status=F ok=True%') AS told FROM orders GROUP BY o_custkey")
+@query("p11_detail_probe", "SELECT DISTINCT o_custkey AS job_id FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 > 0")
 def p11(t: Tables) -> DataFrame:
-    detail = F.concat(F.lit("status="), "o_orderstatus", F.lit(" ok=True"))
-    return t.orders.groupBy("o_custkey").agg(F.bool_or(detail.like("%status=F ok=True%")).alias("told"))
+    ok = F.when(F.col("o_orderkey") % 3 > 0, "True").otherwise("False")
+    audit = t.orders.select(F.col("o_custkey").alias("job_id"), F.lit("notify").alias("action"), F.concat(F.lit("status="), "o_orderstatus", F.lit(" ok="), ok, F.lit(" code=0")).alias("detail"))
+    return reads.told_before(audit.unionByName(audit.withColumn("action", F.lit("other")).withColumn("detail", F.lit("status=F ok=True"))), "notify", "F")
 
 
 @query("o6_archived_newest", f"SELECT id, created_at FROM {D_JOBS} WHERE status = 'archived' ORDER BY created_at DESC, id LIMIT 100")
@@ -146,9 +155,9 @@ def o6(t: Tables) -> DataFrame:
     return jobs(t).filter("status = 'archived'").orderBy(F.desc("created_at"), "id").limit(100).select("id", "created_at")
 
 
-@query("o2_page_order_without_default", f"SELECT id, CASE coalesce(source, '?') WHEN 'rule' THEN 0 WHEN 'llm_fallback' THEN 1 WHEN 'llm_page' THEN 2 WHEN 'llm_cross' THEN 3 ELSE 4 END AS rank FROM {D_FINDINGS}")
+@query("o2_page_order_without_default", f"SELECT id, row_number() OVER (PARTITION BY job_id, page ORDER BY CASE coalesce(source, '?') WHEN 'rule' THEN 0 WHEN 'llm_fallback' THEN 1 WHEN 'llm_page' THEN 2 WHEN 'llm_cross' THEN 3 ELSE 4 END, id) AS nth FROM {D_FINDINGS}")
 def o2(t: Tables) -> DataFrame:
-    return findings(t).select("id", source_rank(F.col("source"), missing_is_rule=False).alias("rank"))
+    return reads.in_page_order(findings(t)).select("id", "nth")
 
 
 @query("sem_semantic_findings", """SELECT user_id::VARCHAR AS job_id, (event_id % 30)::INT AS page, event_type AS description, CASE WHEN event_id % 4 = 0 THEN 'user_rule' ELSE 'llm_cross' END AS source, CASE WHEN event_id % 4 = 0 AND user_id % 2 = 0 THEN 'u' || user_id END AS rule_id

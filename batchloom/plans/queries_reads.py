@@ -45,9 +45,9 @@ def p3(t: Tables) -> DataFrame:
     return reads.live_jobs(jobs(t), F.expr("TIMESTAMP_NTZ '1997-06-02 00:05:00'")).select("id", "status")
 
 
-@query("p4_findings_by_page", f"SELECT id, severity, source FROM {D_FINDINGS} WHERE job_id = 7 AND page = 3 ORDER BY {_SEV}, {_SRC}, id LIMIT 20")
+@query("p4_findings_by_page", f"SELECT id, job_id, page, nth FROM (SELECT *, row_number() OVER (PARTITION BY job_id, page ORDER BY {_SEV}, {_SRC}, id) AS nth FROM {D_FINDINGS}) WHERE nth > 2 AND nth <= 22")
 def p4(t: Tables) -> DataFrame:
-    return reads.list_findings(findings(t).filter("job_id = 7"), page=3, status="confirmed", limit=20).select("id", "severity", "source")
+    return reads.listed_by_page(findings(t), limit=20, offset=2).select("id", "job_id", "page", "nth")
 
 
 @query("p14_failover", "SELECT o_orderkey, n = 0 OR total - n > greatest(2, floor(total * 0.1)) AS fails FROM (SELECT o_orderkey, o_orderkey % 40 AS n, o_custkey % 60 AS total FROM orders)")
@@ -142,9 +142,28 @@ def o5(t: Tables) -> DataFrame:
     return reads.newest_jobs(jobs(t), page=3, page_size=25).select("id", "created_at")
 
 
-@query("o10_has_more", f"SELECT count(*) AS total, 60 < count(*) AS has_more FROM {D_FINDINGS} WHERE job_id = 7")
+@query("o10_has_more", f"SELECT job_id, count(*) AS total, 60 < count(*) AS has_more FROM {D_FINDINGS} GROUP BY job_id")
 def o10(t: Tables) -> DataFrame:
-    return reads.more_findings(findings(t).filter("job_id = 7"), 50, 10)
+    return reads.more_findings(findings(t), 50, 10, ("job_id",))
+
+
+@query("o5_page_total", f"SELECT count(*) AS total_jobs, greatest(1, ceil(count(*) / 30.0))::INT AS total_pages FROM {D_JOBS} WHERE status <> 'archived'")
+def o5_total(t: Tables) -> DataFrame:
+    return reads.page_total(jobs(t), 30)
+
+
+_Q = "chr(39)"
+
+
+@query("mut_review_audit", f"""SELECT job_id, id AS finding_id, CASE WHEN id % 9 IN (0, 1, 4) THEN 'finding_update' ELSE 'finding_update_refused' END AS action,
+  CASE id % 9 WHEN 0 THEN 'status: ' || status || ' → corrected; corrected: ' || {_Q} || 'c' || id || {_Q} WHEN 1 THEN 'status: ' || status || ' → pending; note: ' || {_Q} || repeat('n', 50) || {_Q}
+  WHEN 2 THEN 'status' WHEN 3 THEN 'too long' WHEN 4 THEN 'note: ' || {_Q} || 'n' || id || {_Q} ELSE 'nothing' END AS detail FROM {D_FINDINGS} WHERE id % 9 < 6
+UNION ALL SELECT NULL, -1 - event_id, 'finding_update_refused', 'not found' FROM events WHERE event_id % 50 = 0""")
+def review_audit(t: Tables) -> DataFrame:
+    change = t.sql("""SELECT event_id AS id, CASE event_id % 9 WHEN 0 THEN 'corrected' WHEN 1 THEN 'pending' WHEN 2 THEN 'nonsense' WHEN 5 THEN '' END AS status,
+      CASE event_id % 9 WHEN 1 THEN repeat('n', 2000) WHEN 3 THEN repeat('n', 2001) WHEN 4 THEN concat('n', event_id) END AS reviewer_note, CASE WHEN event_id % 9 = 0 THEN concat('c', event_id) END AS corrected_text FROM {events} WHERE event_id % 9 < 6
+      UNION ALL SELECT -1 - event_id, 'confirmed', NULL, NULL FROM {events} WHERE event_id % 50 = 0""")
+    return reads.update_audit(reads.review_outcomes(findings(t), change), F.current_timestamp()).select("job_id", "finding_id", "action", "detail")
 
 
 @query("u5_replace_pending", f"SELECT id FROM {D_FINDINGS} WHERE NOT (job_id % 2 = 0 AND status = 'pending' AND coalesce(source, '') LIKE 'llm%') UNION ALL SELECT -1 AS id")

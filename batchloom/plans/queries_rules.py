@@ -65,9 +65,9 @@ def r1c(t: Tables) -> DataFrame:
 
 
 @query("r2_year_contradiction", """WITH y AS (SELECT o_orderkey, list_sort(list(DISTINCT year(l_shipdate))) AS ys FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey)
-SELECT 'j' AS job_id, o_orderkey::INT AS page, 'year_contradiction' AS type, 'warning' AS severity, '第' || o_orderkey || '页 production 事件内年份不一致: [' || array_to_string(ys, ', ') || ']，需人工确认' AS description, '[' || array_to_string(ys, ', ') || ']' AS ocr_text FROM y WHERE len(ys) > 1""")
+SELECT (o_orderkey % 37)::VARCHAR AS job_id, o_orderkey::INT AS page, 'year_contradiction' AS type, 'warning' AS severity, '第' || o_orderkey || '页 production 事件内年份不一致: [' || array_to_string(ys, ', ') || ']，需人工确认' AS description, '[' || array_to_string(ys, ', ') || ']' AS ocr_text FROM y WHERE len(ys) > 1""")
 def r2(t: Tables) -> DataFrame:
-    pages = t.sql("SELECT 'j' AS job_id, CAST(o_orderkey AS int) AS page, map('production', collect_list(CAST(year(l_shipdate) AS string))) AS event_year_groups FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+    pages = t.sql("SELECT CAST(o_orderkey % 37 AS string) AS job_id, CAST(o_orderkey AS int) AS page, map('production', collect_list(CAST(year(l_shipdate) AS string))) AS event_year_groups FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY o_orderkey")
     return _short(rules_time.year_contradiction(pages))
 
 
@@ -165,12 +165,12 @@ def r9a(t: Tables) -> DataFrame:
   UNION ALL SELECT doc_id, lang, 'warning', 'operator' FROM d WHERE doc_id % 5 <> 0 AND quality IS NULL
   UNION ALL SELECT doc_id, lang, 'info', 'reviewer' FROM d WHERE doc_id % 5 <> 0 AND quality IS DISTINCT FROM 1
   UNION ALL SELECT doc_id, lang, 'info', 'qa' FROM d WHERE doc_id % 5 <> 0 AND toxic IS DISTINCT FROM 0)
-SELECT doc_id::INT AS page, severity, 'step_no=1 ' || f || '=空' AS ocr_text FROM g""")
+SELECT (doc_id % 29)::VARCHAR AS job_id, doc_id::INT AS page, severity, 'step_no=1 ' || f || '=空' AS ocr_text FROM g""")
 def r6(t: Tables) -> DataFrame:
-    rows = t.sql("""SELECT 'j' AS job_id, CAST(d.doc_id AS int) AS page, 0 AS pos, '1' AS step_no, lang AS operation, CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE '2024-01-01' END AS start_time,
+    rows = t.sql("""SELECT CAST(d.doc_id % 29 AS string) AS job_id, CAST(d.doc_id AS int) AS page, 0 AS pos, '1' AS step_no, lang AS operation, CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE '2024-01-01' END AS start_time,
       CASE WHEN quality IS NOT NULL THEN 'op' END AS operator, filter(array(CASE WHEN quality = 1 THEN struct('复核人' AS role, 'r' AS name, '' AS sign_time) END, CASE WHEN toxic = 0 THEN struct('QA' AS role, 'q' AS name, '' AS sign_time) END), x -> x IS NOT NULL) AS signatures
       FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""")
-    return rules_doc.completeness(timed(rows)).select("page", "severity", "ocr_text")
+    return rules_doc.completeness(timed(rows)).select("job_id", "page", "severity", "ocr_text")
 
 
 _BATCHES = """SELECT p_partkey % 40 AS job, CAST(p_partkey AS int) AS page, concat(CASE WHEN p_partkey % 3 = 0 THEN '1127' ELSE '22' END, CAST(p_partkey % 4 AS string), 'N') AS base, p_partkey % 6 AS k FROM """
@@ -198,24 +198,24 @@ def r7(t: Tables) -> DataFrame:
     return found.select("job_id", "severity", part(r"检测到 (\d+) 组").alias("n_groups"), part(r"已归并 (\d+) 个").alias("n_merged"))
 
 
-@query("r8_low_confidence", "SELECT 'j' AS job_id, doc_id::INT AS page, 'info' AS severity, 'overall_confidence=low' AS ocr_text FROM documents WHERE doc_id % 7 = 1")
+@query("r8_low_confidence", "SELECT source AS job_id, doc_id::INT AS page, 'info' AS severity, 'overall_confidence=low' AS ocr_text FROM documents WHERE doc_id % 7 = 1")
 def r8(t: Tables) -> DataFrame:
-    pages = t.sql("SELECT 'j' AS job_id, CAST(doc_id AS int) AS page, CASE doc_id % 7 WHEN 1 THEN 'Low' WHEN 2 THEN NULL ELSE 'high' END AS overall_confidence FROM {documents}")
+    pages = t.sql("SELECT source AS job_id, CAST(doc_id AS int) AS page, CASE doc_id % 7 WHEN 1 THEN 'Low' WHEN 2 THEN NULL ELSE 'high' END AS overall_confidence FROM {documents}")
     return rules_doc.low_confidence(pages).select("job_id", "page", "severity", "ocr_text")
 
 
-@query("r8b_check_consistency", """SELECT doc_id::INT AS page, CASE WHEN doc_id % 4 = 0 THEN 'warning' ELSE 'info' END AS severity, 'item=' || source || ' selected=' || CASE WHEN doc_id % 4 = 0 THEN '否' ELSE '无法识别' END AS ocr_text
+@query("r8b_check_consistency", """SELECT lang AS job_id, doc_id::INT AS page, CASE WHEN doc_id % 4 = 0 THEN 'warning' ELSE 'info' END AS severity, 'item=' || source || ' selected=' || CASE WHEN doc_id % 4 = 0 THEN '否' ELSE '无法识别' END AS ocr_text
   FROM documents WHERE doc_id % 4 IN (0, 1)""")
 def r8b(t: Tables) -> DataFrame:
-    rows = t.sql("SELECT 'j' AS job_id, CAST(doc_id AS int) AS page, 0 AS pos, '1' AS step_no, array(struct(source AS item, CASE doc_id % 4 WHEN 0 THEN ' 否' WHEN 1 THEN '无法识别' WHEN 2 THEN '是' ELSE '' END AS selected, '√' AS marker)) AS checks FROM {documents}")
-    return rules_doc.failed_checks(timed(rows)).select("page", "severity", "ocr_text")
+    rows = t.sql("SELECT lang AS job_id, CAST(doc_id AS int) AS page, 0 AS pos, '1' AS step_no, array(struct(source AS item, CASE doc_id % 4 WHEN 0 THEN ' 否' WHEN 1 THEN '无法识别' WHEN 2 THEN '是' ELSE '' END AS selected, '√' AS marker)) AS checks FROM {documents}")
+    return rules_doc.failed_checks(timed(rows)).select("job_id", "page", "severity", "ocr_text")
 
 
-@query("r9_handwritten_notes", """WITH n AS (SELECT conv_id, list(trim(text, ' ' || chr(10) || chr(9) || chr(13)) ORDER BY turn) FILTER (WHERE trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> '') AS notes FROM conversations WHERE role = 'user' GROUP BY conv_id)
-SELECT conv_id::INT AS page, '第' || conv_id || '页 工序1 含 ' || len(notes) || ' 条手写内容（如「' || notes[1][1:30] || '」' || CASE WHEN len(notes) > 1 THEN ' 等 ' || (len(notes) - 1) || ' 条' ELSE '' END || '），手写体 OCR 易误读，请对照 PDF 原页人工核对' AS description, array_to_string(notes, '；')[1:200] AS ocr_text FROM n WHERE len(notes) > 0""")
+@query("r9_handwritten_notes", """WITH n AS (SELECT conv_id, list(trim(text, ' ' || chr(10) || chr(9) || chr(13)) ORDER BY turn) FILTER (WHERE trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> '') AS notes FROM conversations GROUP BY conv_id)
+SELECT (conv_id % 11)::VARCHAR AS job_id, conv_id::INT AS page, '第' || conv_id || '页 工序1 含 ' || len(notes) || ' 条手写内容（如「' || notes[1][1:30] || '」' || CASE WHEN len(notes) > 1 THEN ' 等 ' || (len(notes) - 1) || ' 条' ELSE '' END || '），手写体 OCR 易误读，请对照 PDF 原页人工核对' AS description, array_to_string(notes, '；')[1:200] AS ocr_text FROM n WHERE len(notes) > 0""")
 def r9(t: Tables) -> DataFrame:
-    rows = t.sql("SELECT 'j' AS job_id, CAST(conv_id AS int) AS page, 0 AS pos, '1' AS step_no, transform(array_sort(collect_list(struct(turn, text))), x -> x.text) AS handwritten FROM {conversations} WHERE role = 'user' GROUP BY conv_id")
-    return rules_doc.handwritten_notes(timed(rows)).select("page", "description", "ocr_text")
+    rows = t.sql("SELECT CAST(conv_id % 11 AS string) AS job_id, CAST(conv_id AS int) AS page, 0 AS pos, '1' AS step_no, transform(array_sort(collect_list(struct(turn, text))), x -> x.text) AS handwritten FROM {conversations} GROUP BY conv_id")
+    return rules_doc.handwritten_notes(timed(rows)).select("job_id", "page", "description", "ocr_text")
 
 
 def _event_steps(t: Tables) -> DataFrame:

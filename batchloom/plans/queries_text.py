@@ -215,11 +215,15 @@ def s1(t: Tables) -> DataFrame:
     return recognised.uploads(files).select(F.col("path").alias("page_id"), F.col("md5").alias("h"), "accepted")
 
 
-@query("s5_flat_block_list", """WITH k AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE turn % 3 <> 1 GROUP BY conv_id) SELECT conv_id AS job_id, p::INT + 1 AS page, p % 3 = 1 AS blank FROM (SELECT conv_id, unnest(range(0, last + 1)) AS p FROM k)""")
+@query("s5_flat_block_list", """WITH t AS (SELECT conv_id, (turn * 3 // 2)::INT AS k, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM conversations), p AS (SELECT conv_id, unnest(range(0, max(k) + 1))::INT AS k FROM t GROUP BY conv_id)
+SELECT p.conv_id AS job_id, p.k + 1 AS page, t.k IS NULL AS blank, CASE WHEN t.s = '' THEN 0 ELSE length(t.s) END AS n FROM p LEFT JOIN t USING (conv_id, k)""")
 def s5(t: Tables) -> DataFrame:
-    block = F.to_json(F.struct(F.col("turn").alias("page_idx"), F.lit("text").alias("type"), "text"))
-    files = t.conversations.filter("turn % 3 <> 1").groupBy(F.col("conv_id").alias("job_id")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(block), ","), F.lit("]")).alias("json"))
-    return blocks.content_list_pages(files).select("job_id", "page", F.contains("text", F.lit("（此页无文本内容）")).alias("blank"))
+    # every third page has no block
+    block = F.to_json(F.struct(F.expr("turn * 3 div 2").alias("page_idx"), F.lit("paragraph").alias("type"), "text"))
+    files = t.conversations.groupBy(F.col("conv_id").alias("job_id")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(block), ","), F.lit("]")).alias("json"))
+    blank = F.contains("text", F.lit("（此页无文本内容）"))
+    said = F.length(F.regexp_replace("text", r"^## 第 \d+ 页\n?", ""))
+    return blocks.content_list_pages(files).select("job_id", "page", blank.alias("blank"), F.when(~blank, said).alias("n"))
 
 
 @query("s6_markdown_pages", "WITH m AS (SELECT conv_id AS job_id, string_split(string_agg(text, chr(12) ORDER BY turn), chr(12)) AS p FROM conversations GROUP BY conv_id) SELECT job_id, k::INT AS page, length(p[k])::INT AS n FROM (SELECT job_id, p, unnest(range(1, len(p) + 1)) AS k FROM m)")

@@ -258,16 +258,3 @@ def _found_pages(t: Tables) -> DataFrame:
 @query("u3_distinct_findings", f"""SELECT job_id, page, type, description, severity FROM (SELECT *, row_number() OVER (PARTITION BY job_id, page, type, description ORDER BY event_id) AS nth FROM ({_FOUND} events) WHERE type IS NOT NULL) WHERE nth = 1""")
 def u3(t: Tables) -> DataFrame:
     return first_of_each(rules_doc.page_findings(_found_pages(t))).select("job_id", "page", "type", "description", "severity")
-
-
-@query("orch_full_audit")
-def orch(t: Tables) -> DataFrame:
-    """The whole audit over nested pages built from orders, line items and events (no SQL: the rules above have theirs)."""
-    from batchloom.plans.audit import audit
-
-    steps = record_steps(t).select("job_id", "page", F.struct("step_no", F.lit("op").alias("operation"), "start_time", "end_time", "operator", "reviewer", "parameters", "measurements", "signatures", "checks", "handwritten", "pos").alias("s"))
-    nested = steps.groupBy("job_id", "page").agg(F.array_sort(F.collect_list(F.struct(F.col("s.pos").alias("p"), "s"))).alias("steps"))
-    pages = nested.select("job_id", "page", F.transform("steps", lambda x: x["s"].dropFields("pos")).alias("steps"))
-    kinds = {f.name: f.dataType for f in t.spark.createDataFrame([], PAGES).schema}
-    pages = pages.select(*[(F.col(c) if c in pages.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
-    return first_of_each(audit(pages, 2024)).select("job_id", "page", "type", "severity", "description", "source")

@@ -1,7 +1,8 @@
 """Operator 4: language of web pages by Bayesian fusion of text, declared markup language, address suffix and host.
 
 Text: a multinomial model of letter trigrams (hashed to ``BUCKETS``) for each language, its counts grouped aggregates over
-a bounded sample of documents with a declared language (at most ``SAMPLE`` rows, those with the smallest hash of their id).
+a bounded sample of documents with a declared language (at most ``SAMPLE`` rows, those with the smallest hash of their id). A
+language that less than one in ``MOST_LANGUAGES`` of these rows declare is not learnt, which bounds the model.
 A page's log likelihood is scaled to at most ``EVIDENCE`` trigrams' worth, since neighbouring trigrams repeat each other.
 Declared language: the markup's ``lang`` is right with probability ``TRUST``. Suffix and host: soft counts of languages,
 from text and markup, are summed for each address suffix and host by grouped aggregation; a host's prior is its counts
@@ -13,7 +14,7 @@ and null, empty or malformed addresses count as missing; a null id is kept; repe
 training language the language is null and the probability 0; an id with contradicting languages does not train; extra
 columns are ignored; an empty table gives an empty result. A host may hold any share of the pages: counts are pre-aggregated
 and come back to its pages as a hot key, and pages without a host or suffix take no part in that join. Entities stand for
-their characters.
+their characters. Documents and pages of any length are read whole.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import join_hot, map_texts, stored, table
+from batchloom.llm.common import join_hot, map_texts, scratch, stored, table
 from batchloom.llm.textkernel import NO_LETTER, buffers
 
 SAMPLE = 20_000
+#: Languages of a model at most: the counts of all of them come to the driver.
+MOST_LANGUAGES = 256
 BUCKETS = 1 << 14
 EVIDENCE = 60.0
 TRUST = 0.9
@@ -81,8 +84,9 @@ def train_text(docs: DataFrame) -> TextModel:
     known = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("lang").alias("lang"))
     single = known.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.max("lang").alias("most")).filter("lang = most").drop("most")
     sample = stored(single.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "lang-sample")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    languages = sorted(r.lang for r in sample.select("lang").distinct().collect())  # no more than the sample's rows
+    shares = sample.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = sorted(r.lang for r in shares.filter(F.col("n") * MOST_LANGUAGES >= sample.count()).select("lang").collect())  # so many at most
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample.filter(F.col("lang").isin(languages))), "doc_id")
 
     def start():
         def work(batch: pa.RecordBatch) -> dict:
@@ -161,4 +165,5 @@ def identify(pages: DataFrame, model: TextModel) -> DataFrame:
 
 
 def op4_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(table(spark, sf_dir, "pages"), train_text(table(spark, sf_dir, "documents")))
+    with scratch() as result:
+        return result(identify(table(spark, sf_dir, "pages"), train_text(table(spark, sf_dir, "documents"))), "languages")

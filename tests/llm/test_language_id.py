@@ -87,3 +87,13 @@ def test_entities_and_many_languages(spark):
     pages = spark.createDataFrame([(1, None, "<p>caf&eacute; &#233;t&#xe9;</p>"), (2, None, "<p>café été</p>")], "page_id long, url string, html string")
     a, b = identify(pages, tiny()).orderBy("page_id").collect()
     assert a.probability == b.probability
+
+
+def test_rare_languages_do_not_train(spark, monkeypatch):
+    from batchloom.llm import language_id
+
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 8)
+    rows = [(i, "the quick brown fox " * 3, ("en", "xx", "yy", "zz")[0 if i < 90 else 1 + i % 3]) for i in range(100)] + [(200 + i, "le vif renard brun " * 4000, "fr") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.train_text(docs).languages == ["en", "fr"]
+    assert language_id.train_text(docs.filter("false")).languages == []

@@ -111,15 +111,32 @@ def overview(jobs: DataFrame) -> DataFrame:
 
 
 def first_by_key(rows: DataFrame, keys: list[str], order: str = "id") -> DataFrame:
-    """The row with the smallest ``order`` for each key: duplicates of a fingerprint go."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_n = 1").drop("_n")
+    """The row with the smallest ``order`` for each key: duplicates of a fingerprint go. Rows are combined before they are
+    shuffled, so a key of many rows is one row a task."""
+    rest = [c for c in rows.columns if c not in keys]
+    kept = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("kept_"))
+    return kept.select(*[F.col(c) if c in keys else F.col(f"kept_.{c}").alias(c) for c in rows.columns])
+
+
+#: Ids of a range in which rows of one content are ordered.
+ID_RANGE = 100_000
 
 
 def same_content(files: DataFrame) -> DataFrame:
-    """For each file, the newest earlier file with the same content hash that is not archived."""
-    order = Window.partitionBy("md5").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("status") != "archived", F.col("id")), ignorenulls=True).over(order)
-    return files.withColumn("same_as", last).filter("same_as IS NOT NULL")
+    """For each file (ids are whole numbers), the newest earlier file with the same content hash that is not archived.
+
+    Hashes that one file has drop out first. Rows of a hash are ordered inside ranges of ids; what a range takes over from those
+    before it comes from a small table of ranges, so a hash of many files, like that of the empty one, is no single task.
+    """
+    several = files.groupBy("md5").agg(F.count("*").alias("n_")).filter("n_ > 1").drop("n_")
+    live = F.when(F.col("status") != "archived", F.col("id"))
+    rows = files.join(several, "md5").withColumn("range_", F.floor(F.col("id") / ID_RANGE))
+    upto = rows.groupBy("md5", "range_").agg(F.max(live).alias("live_"))
+    before = Window.partitionBy("md5").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    upto = upto.select("md5", "range_", F.max("live_").over(before).alias("before_"))
+    inside = Window.partitionBy("md5", "range_").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("own_", F.max(live).over(inside)).join(upto, ["md5", "range_"])
+    return rows.withColumn("same_as", F.coalesce("own_", "before_")).filter("same_as IS NOT NULL").select(*files.columns, "same_as")
 
 
 def missing_pages(jobs: DataFrame, received: DataFrame) -> DataFrame:

@@ -138,14 +138,30 @@ def rules_section(t: Tables) -> DataFrame:
     return upkeep.rules_section(upkeep.accepted_rules(rows)).select("owner", F.md5(F.col("section").cast("binary")).alias("section"), "hash")
 
 
-_HOSTS = ["https://api.example.com/v1", "http://localhost:8080", "http://2130706433/", "http://0x7f000001", "http://017700000001/x", "https://172.16.{k}.1", "https://172.32.{k}.1", "ftp://example.com", "http://user@10.0.0.{k}/", "https://8.8.8.8", "http://[::1]:80/", "https://100.example", "", "https://192.0.2.9"]
-_INTERNAL = [1, 2, 3, 4, 5, 7, 8, 10, 12, 13]
+# Hosts drawn from an order's numbers: dotted, decimal, hexadecimal and octal addresses, names, other schemes and logins.
+_OCTETS = "(o_orderkey * 7 + o_custkey) % 256", "(o_custkey * 3) % 256", "o_orderkey % 256", "(o_orderkey + o_custkey) % 250 + 1"
+_D_IP = " + ".join(f"({o}) * {256 ** (3 - k)}" for k, o in enumerate(_OCTETS))
+_NETS = [("10.0.0.0", 8), ("0.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.168.0.0", 16), ("192.0.0.0", 29), ("192.0.0.170", 31), ("192.0.2.0", 24), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("240.0.0.0", 4)]
 
 
-@query("p15_host_guard", f"SELECT o_orderkey, (o_orderkey % {len(_HOSTS)}) IN ({', '.join(map(str, _INTERNAL))}) AS blocked FROM orders")
+def _within(net: str, bits: int) -> str:
+    a = 0
+    for part in net.split("."):
+        a = a * 256 + int(part)
+    return f"ip // {1 << (32 - bits)} = {a >> (32 - bits)}"
+
+
+@query("p15_host_guard", f"""SELECT o_orderkey, CASE WHEN k IN (4, 5) THEN true WHEN k = 6 THEN false ELSE {" OR ".join(_within(*n) for n in _NETS)} END AS blocked
+  FROM (SELECT o_orderkey, o_orderkey % 8 AS k, CASE WHEN o_orderkey % 8 IN (1, 2) THEN o_custkey * 12345 + 16777216 ELSE ({_D_IP})::BIGINT END AS ip FROM orders)""")
 def p15(t: Tables) -> DataFrame:
-    url = F.element_at(F.array(*map(F.lit, _HOSTS)), (F.col("o_orderkey") % len(_HOSTS) + 1).cast("int"))
-    return t.orders.select("o_orderkey", upkeep.blocked_host(F.replace(url, F.lit("{k}"), (F.col("o_custkey") % 250).cast("string"))).alias("blocked"))
+    dotted = F.concat_ws(".", *[F.expr(o).cast("string") for o in _OCTETS])
+    number = F.expr("o_custkey * 12345 + 16777216")
+    k = F.col("o_orderkey") % 8
+    url = (
+        F.when(k == 1, F.concat(F.lit("HTTP://"), number.cast("string"), F.lit("/x"))).when(k == 2, F.concat(F.lit(" http://0x"), F.hex(number))).when(k == 3, F.concat(F.lit("https://user:p@"), dotted, F.lit(":8080/a?b#c")))
+        .when(k == 4, F.concat(F.lit("ftp://"), dotted)).when(k == 5, F.lit("")).when(k == 6, F.concat(F.lit("https://host"), F.col("o_custkey").cast("string"), F.lit(".example.org/v1"))).otherwise(F.concat(F.lit("https://"), dotted))
+    )
+    return t.orders.select("o_orderkey", upkeep.blocked_host(url).alias("blocked"))
 
 
 @query("o9_first_of_lists", "SELECT conv_id, (list_transform(range(0, least(count(*), 8)), lambda x: 's' || x))::VARCHAR[] AS suspects FROM conversations GROUP BY conv_id")

@@ -29,11 +29,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; without it the warehouse, and a folder of this
-    machine only where driver and executors are one process."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; without it the warehouse, if that is no folder of
+    each machine's own, and a temporary folder only where driver and executors are one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path and not spark.sparkContext.master.startswith("local"):
         path = spark.conf.get("spark.sql.warehouse.dir")
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if found.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file":
+            raise RuntimeError(f"{path} may lie on each machine's own disk: set spark.checkpoint.dir to a folder that all executors share")
     if not path:
         path = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="batchloom-")
         shared_dir.own = path

@@ -112,12 +112,17 @@ def t7(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array_join(text.unreadable_names(F.when(k == 0, label).when(k == 1, table).otherwise(F.col("p_name"))), ",").alias("names"))
 
 
-@query("t9_composed_pages", "SELECT o_orderkey AS job_id, '## 第 1 页' || chr(10) || o_orderpriority || ' 续。' || chr(10) || '## ' || o_orderstatus || chr(10) || chr(10) || '<tr>' || o_custkey || '</tr>' AS text FROM orders")
+@query("t9_composed_pages", r"""WITH b AS (SELECT conv_id, turn, CASE turn % 5 WHEN 3 THEN 'title' WHEN 4 THEN 'table' ELSE 'text' END AS kind, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS s FROM conversations),
+v AS (SELECT * FROM b WHERE s <> '' OR kind = 'table'), w AS (SELECT *, lag(kind) OVER o AS lk, lag(s) OVER o AS ls FROM v WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+g AS (SELECT *, sum(CASE WHEN kind = 'text' AND lk = 'text' AND NOT regexp_matches(ls, '[。！？.!?;；]$') THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM w),
+l AS (SELECT conv_id, p, string_agg(CASE kind WHEN 'title' THEN '## ' || s WHEN 'table' THEN chr(10) || CASE WHEN s = '' THEN '[表格内容提取失败 — OCR 结构缺失]' ELSE s END || chr(10) ELSE s END, ' ' ORDER BY turn) AS line FROM g GROUP BY conv_id, p),
+t AS (SELECT conv_id, '## 第 1 页' || coalesce(chr(10) || string_agg(line, chr(10) ORDER BY p), '') AS t FROM l GROUP BY conv_id)
+SELECT conv_id AS job_id, md5(regexp_replace(list_aggregate(list_transform(string_split(t, chr(10)), lambda x: CASE WHEN starts_with(x, '### ') THEN x ELSE replace(x, '###', '[手写内容未识别]') END), 'string_agg', chr(10)), '^\s+|\s+$', '', 'g')) AS h FROM t""")
 def t9(t: Tables) -> DataFrame:
-    block = lambda kind, body, name="text": F.to_json(F.struct(F.lit(kind).alias("type"), F.lit(0).alias("page_idx"), body.alias(name)))
-    parts = [block("text", F.col("o_orderpriority")), block("text", F.lit("续。")), block("title", F.col("o_orderstatus")), block("page_number", F.lit("2/24")), block("table", F.concat(F.lit("<tr>"), F.col("o_custkey").cast("string"), F.lit("</tr>")), "table_body")]
-    files = t.orders.select(F.col("o_orderkey").alias("job_id"), F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]")).alias("json"))
-    return blocks.content_list_pages(files).select("job_id", "text")
+    kind = F.when(F.col("turn") % 5 == 3, "title").when(F.col("turn") % 5 == 4, "table").otherwise("text")
+    body = F.when(kind == "table", F.to_json(F.struct(kind.alias("type"), F.col("text").alias("table_body")))).otherwise(F.to_json(F.struct(kind.alias("type"), "text")))
+    files = t.conversations.groupBy(F.col("conv_id").alias("job_id")).agg(F.concat(F.lit("[["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", body.alias("b")))), lambda x: x["b"]), ","), F.lit("]]")).alias("json"))
+    return blocks.content_list_pages(files).select("job_id", F.md5(F.col("text").cast("binary")).alias("h"))
 
 
 @query("t17_entities", "SELECT p_partkey, '<' || p_size || '≤' || chr(160) || p_name || '&' AS s FROM part")

@@ -20,14 +20,22 @@ def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def mapping_text(c: Column) -> Column:
+    """A map of lists as the lines show it: ``{'review': [2015, 'x']}``; whole numbers stand without quotes."""
+    item = lambda y: F.when(y.isNull(), "None").when(y.rlike(r"^-?\d+$"), y).otherwise(F.concat(F.lit("'"), y, F.lit("'")))
+    entry = lambda e: F.concat(F.lit("'"), e["key"], F.lit("': ["), F.array_join(F.transform(F.coalesce(e["value"], F.array().cast("array<string>")), item), ", "), F.lit("]"))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(c), entry), ", "), F.lit("}"))
+
+
 def summary_lines(pages: DataFrame, width: tuple[int, int, int] = FULL) -> DataFrame:
     """``job_id, ord, line`` of all pages (the columns of ``schema.PAGES``); ``ord`` orders a job's lines."""
+    # The labels of all lines below.
     op_len, n_cells, n_findings = width
     none = F.array().cast("array<string>")
     info = F.col("page_info")
     head = F.array(
         F.concat(F.lit("--- 第"), F.col("page").cast("string"), F.lit("页 ---")), F.when(info["title"] != "", F.concat(F.lit("  标题: "), info["title"])), F.when(info["production_date"] != "", F.concat(F.lit("  生产日期: "), info["production_date"])),
-        F.when(info["batch_no"] != "", F.concat(F.lit("  批号: "), info["batch_no"])), F.when(F.size("event_year_groups") > 0, F.concat(F.lit("  事件年份分组: "), F.to_json("event_year_groups"))),
+        F.when(info["batch_no"] != "", F.concat(F.lit("  批号: "), info["batch_no"])), F.when(F.size("event_year_groups") > 0, F.concat(F.lit("  事件年份分组: "), mapping_text(F.col("event_year_groups")))),
     )
 
     def parameter(p: Column) -> Column:

@@ -100,7 +100,7 @@ def _pages(t: Tables) -> DataFrame:
       'measurements', CASE WHEN l_linenumber % 4 = 1 THEN array(named_struct('time', '08:00', 'values', transform(sequence(1, 5), k -> named_struct('col', concat('c', k), 'spec', '', 'actual', CAST(k AS string), 'unit', '', 'value_source', CASE WHEN k < 3 THEN 'handwritten' END)))) END,
       'signatures', array(named_struct('role', 'qa', 'name', l_linestatus, 'sign_time', '')), 'checks', NULL, 'handwritten', NULL)"""
     lines = t.sql(f"SELECT l_orderkey, l_linenumber, {step} AS s FROM {_LINES.format("{lineitem}")}").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "s"))), lambda x: x["s"]).alias("steps"))
-    rows = t.sql("""SELECT o_orderkey, CAST(o_custkey AS string) AS job_id, CAST(o_orderkey AS int) AS page, named_struct('title', o_orderpriority, 'file_code', '', 'version', '', 'batch_no', CASE WHEN o_orderkey % 3 = 0 THEN concat('B', o_orderkey) ELSE '' END, 'production_date', CAST(NULL AS string)) AS page_info, CAST(NULL AS map<string,array<string>>) AS event_year_groups,
+    rows = t.sql("""SELECT o_orderkey, CAST(o_custkey AS string) AS job_id, CAST(o_orderkey AS int) AS page, named_struct('title', o_orderpriority, 'file_code', '', 'version', '', 'batch_no', CASE WHEN o_orderkey % 3 = 0 THEN concat('B', o_orderkey) ELSE '' END, 'production_date', CAST(NULL AS string)) AS page_info, CASE WHEN o_orderkey % 6 = 0 THEN map('production', array('2015', CAST(year(o_orderdate) AS string)), 'other', array('x')) END AS event_year_groups,
       CASE WHEN o_orderkey % 4 = 0 THEN transform(sequence(1, 7), k -> named_struct('type', 't', 'severity', 'info', 'description', concat('d', k), 'ocr_text', '', 'operator', '')) END AS findings, '' AS overall_confidence, CASE WHEN o_orderkey % 5 = 0 THEN array('a') END AS low_conf_cols FROM {orders}""")
     both = rows.join(lines, rows.o_orderkey == lines.l_orderkey, "left")
     kinds = {f.name: f.dataType for f in t.spark.createDataFrame([], PAGES).schema}
@@ -117,6 +117,7 @@ def _d_lines(op: int, cells: int, found: int) -> str:
     values = ", ".join(f"c{k}={k}" for k in range(1, cells + 1))
     return f"""SELECT o_custkey AS j, o_orderkey AS p, -3 AS a, 0 AS b, '--- 第' || o_orderkey || '页 ---' AS line FROM orders UNION ALL SELECT o_custkey, o_orderkey, -2, 0, '  标题: ' || o_orderpriority FROM orders WHERE o_orderpriority <> ''
   UNION ALL SELECT o_custkey, o_orderkey, -1, 0, '  批号: B' || o_orderkey FROM orders WHERE o_orderkey % 3 = 0
+  UNION ALL SELECT o_custkey, o_orderkey, 0, 0, '  事件年份分组: {{' || chr(39) || 'production' || chr(39) || ': [2015, ' || year(o_orderdate) || '], ' || chr(39) || 'other' || chr(39) || ': [' || chr(39) || 'x' || chr(39) || ']}}' FROM orders WHERE o_orderkey % 6 = 0
   UNION ALL SELECT o_custkey, o_orderkey, l_linenumber, 0, '  步骤' || l_linenumber || ': ' || repeat(l_returnflag || '-op ', 20)[1:{op}] || CASE WHEN l_linenumber % 2 = 0 THEN ' | 开始:' || strftime(l_shipdate, '%Y-%m-%d') ELSE '' END || ' | 操作人:' || l_returnflag || CASE WHEN l_linenumber % 3 > 0 THEN ' | q:' || floor(l_quantity)::INT || 'kg' ELSE '' END FROM orders JOIN {_D_LINES} ON l_orderkey = o_orderkey
   UNION ALL SELECT o_custkey, o_orderkey, l_linenumber, 1, '    @ 08:00 | {values} ...' FROM orders JOIN {_D_LINES} ON l_orderkey = o_orderkey WHERE l_linenumber % 4 = 1
   UNION ALL SELECT o_custkey, o_orderkey, l_linenumber, 2, '    签名: qa|' || l_linestatus || '|' FROM orders JOIN {_D_LINES} ON l_orderkey = o_orderkey

@@ -1,4 +1,4 @@
-"""Corpus operators for training-data pipelines: ten methods over documents, pages and embeddings.
+"""Corpus operators for training-data pipelines: thirteen methods over documents, pages and embeddings.
 
 Nothing outside this subpackage imports it; ``__spark_entry__.py`` adds its queries when it can be imported.
 """

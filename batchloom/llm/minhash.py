@@ -26,7 +26,8 @@ no cap. The threshold is a parameter, ``PERCENT`` unless given.
 
 Edge cases: a text with fewer than five words has one shingle, its whole word sequence; a null, empty or blank text has no
 shingles and links with nothing; rows with a null id come back with a null component; repeated rows come back repeated;
-of an id with several texts each row follows its own text; extra columns are ignored; an empty table gives an empty result.
+of an id with several texts each row follows its own text; texts of any length enter with all their shingles; extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -10,8 +10,8 @@ then computed for all documents in one pass without a shuffle.
 
 Edge cases: a null, empty or blank text has no words and fails the base rules; repeated rows give repeated results; an id
 with contradicting labels is not used, and of an id with several texts the one with the smallest statistics is; without
-labelled rows of both kinds in both halves nothing beyond the base rules is rejected; extra columns are ignored; an empty
-table gives an empty result.
+labelled rows of both kinds in both halves nothing beyond the base rules is rejected; texts of any length are counted whole;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -13,8 +13,8 @@ hot key. Slots come from counts per shard and bucket: a prefix sum over buckets
 shard is sorted in one task. Buckets are dealt by the hash of a whole row; a bucket that equal rows fill is cut further.
 
 Edge cases: a null text counts as an empty one (crc 0, 16 bytes) and shares its group; a null id gets a shard like any
-other row; repeated rows are copies of one group; a group larger than a shard's share stays whole; an empty table gives an
-empty result; extra columns are ignored.
+other row; repeated rows are copies of one group; a group larger than a shard's share stays whole; texts of any length
+enter by size, CRC and hash; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

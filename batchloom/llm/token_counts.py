@@ -15,8 +15,8 @@ Texts longer than ``CUT`` bytes are walked in parts that end before a pre-token.
 cut between characters that stand side by side in no piece, which no merge crosses. A run that cannot be cut even so goes to
 the library whole, and takes memory in proportion there.
 
-Edge cases: a null or empty text has 0 bytes and 0 tokens; texts of any length are counted whole; repeated rows give
-repeated results; an empty table gives an empty result; other columns of the input are ignored.
+Edge cases: a null or empty text has 0 bytes and 0 tokens; texts of any length are counted whole; a null id stays
+null; repeated rows give repeated results; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations

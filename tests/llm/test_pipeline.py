@@ -73,3 +73,18 @@ def test_stages_on_empty_and_odd_tables(spark, tmp_path):
             docs = stage(spark, docs, str(tmp_path))
         got = docs.collect()
         assert all(r.lossless for r in got) and (len(got) > 0) == bool(rows)
+
+
+def test_stages_keep_very_long_texts_and_do_not_depend_on_partitions(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"word{i} of a very long document" for i in range(40_000))
+    rows = [(i, f"plain text number {i} " * (1 + i % 4), "en", f"s{i % 3}", 30) for i in range(60)] + [(100, long, "en", "s0", len(long)), (101, long + " token=abcdef1234567", "en", "s1", len(long) + 21)]
+    spark.createDataFrame([(i, i % 2, int(i % 10 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    results = []
+    for parts in (1, 4, 7):
+        docs = spark.createDataFrame(rows, schema).repartition(parts)
+        for _, stage in corpus_pipeline.STAGES[1:]:
+            docs = stage(spark, docs, str(tmp_path)).repartition(parts)
+        results.append(sorted((r.doc_id, r.copy, r.n_pieces, tuple(r.ids), r.lossless) for r in docs.collect()))
+    assert results[0] == results[1] == results[2] and all(r[-1] for r in results[0])
+    assert 100 in {r[0] for r in results[0]} and 101 not in {r[0] for r in results[0]}

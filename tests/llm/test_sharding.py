@@ -67,3 +67,16 @@ def test_equal_rows_and_clashing_names(spark, monkeypatch):
     assert len(got) == 400 and (got.groupby("text_crc32")["shard"].nunique() == 1).all()
     for _, part in got.groupby("shard"):
         assert sorted(part["slot"]) == list(range(len(part)))
+
+
+def test_a_very_long_text_and_clashing_columns(spark):
+    rows = [(1, "x" * 3_000_000), (2, "y"), (3, None), (None, "y"), (2, "y")]
+    df = spark.createDataFrame([(*r, 1, "s", 2) for r in rows], "doc_id long, text string, gid int, shard string, slot int")
+    got = shard_documents(df, 2).collect()
+    assert sorted((r.size, r.text_crc32) for r in got) == sorted((len(t or "") + 16, zlib.crc32((t or "").encode())) for _, t in rows)
+    by_text = {}
+    for r in got:
+        by_text.setdefault(r.text_crc32, set()).add(r.shard)
+    assert all(len(s) == 1 for s in by_text.values())
+    for shard in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))

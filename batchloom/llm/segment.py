@@ -39,8 +39,8 @@ from batchloom.llm.token_counts import crosses_spaces, default_model
 
 ALPHA = 0.5
 SEED = 17
-#: Bytes of text in a block: larger blocks repeat more pre-tokens, and take more memory.
-BLOCK = 1 << 20
+#: Bytes of texts in a block (larger blocks repeat more pre-tokens, and take more memory), and characters of a long text's parts.
+TEXTS, BLOCK = 1 << 21, 1 << 20
 #: Characters of a pre-token that is filtered in segments, nodes of a segment, and characters of a stretch of segments.
 LONG, STEPS, STRETCH = 512, 256, 1 << 16
 _MARK = 0x2581
@@ -395,7 +395,7 @@ def segment(docs: DataFrame, model_path: str | None = None, copies: bool = False
         docs = numbered_copies(docs)
         own = F.when(F.col("copy") == 0, own).otherwise(F.xxhash64(F.col("doc_id").cast("long"), "copy"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *names[1:], own.alias("key"), "text")
-    return map_texts(rows, "".join(f"{k} bigint, " for k in names) + "n_pieces bigint, ids array<int>, lossless boolean", start, limit=BLOCK)
+    return map_texts(rows, "".join(f"{k} bigint, " for k in names) + "n_pieces bigint, ids array<int>, lossless boolean", start, limit=TEXTS)
 
 
 def decode_rows(rows: DataFrame, model_path: str | None = None) -> DataFrame:

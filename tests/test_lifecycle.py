@@ -109,3 +109,17 @@ def test_audit_rows_are_only_added(spark, tmp_path):
 def test_rule_limits(spark):
     rules = spark.createDataFrame([(1, k, "x" * n) for k, n in enumerate((1000, 1001, 6999, 900, 200))], "owner int, pos int, text string")
     assert [r.pos for r in upkeep.accepted_rules(rules).orderBy("pos").collect()] == [0, 3, 4]
+
+
+def test_a_folder_of_each_machine_is_refused_on_a_cluster(spark, tmp_path):
+    from types import SimpleNamespace
+
+    import pytest
+    from batchloom.session import shared_dir
+
+    def on_cluster(**conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k.replace(".", "_"), d)), sparkContext=SimpleNamespace(master="spark://host:7077"), _jvm=spark._jvm, _jsc=spark._jsc)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(on_cluster(spark_sql_warehouse_dir=f"file:{tmp_path}"))
+    assert shared_dir(on_cluster(spark_sql_warehouse_dir=f"file:{tmp_path}", spark_checkpoint_dir="file:/shared/")) == "file:/shared"

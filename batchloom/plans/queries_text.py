@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.functions import batch, dates, jsonx, numbers, text
@@ -19,34 +19,50 @@ def d1(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", dates.parse_time(said, dates.parse_time(day), F.lit(True)).alias("moment"))
 
 
-@query("d2_year", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE year(o_orderdate) END::INT AS year FROM orders")
+@query("d2_year", """SELECT o_orderkey, CASE WHEN o_custkey % 7 IN (4, 6) OR (o_orderkey % 5 = 4 AND o_custkey % 7 <> 2) THEN NULL ELSE year(o_orderdate) END::INT AS year FROM orders""")
 def d2(t: Tables) -> DataFrame:
-    k = F.col("o_orderkey") % 3
-    said = F.when(k == 0, F.date_format("o_orderdate", "yyyy.MM.dd")).when(k == 1, F.concat(F.date_format("o_orderdate", "yyyy"), F.lit(" 年"))).otherwise("n/a")
-    return t.orders.select("o_orderkey", dates.parse_year(said).alias("year"))
+    # a date in one of several layouts, or none, inside words; a year beside a letter or, in most layouts, a digit is no year
+    f = lambda p: F.date_format("o_orderdate", p)
+    layouts = [f("yyyy.MM.dd"), f("yyyy-M-d"), f("yyyy年M月d日"), f("yyyy/MM/dd HH:mm"), F.concat(f("yyyy年"), F.lit(" "), f("M月d日")), F.concat(f("yyyy"), F.lit(" 年")), F.lit("n/a")]
+    said = F.element_at(F.array(*layouts), (F.col("o_custkey") % 7 + 1).cast("int"))
+    around = F.when(F.col("o_orderkey") % 5 == 4, F.concat(F.lit("批9"), said)).otherwise(F.concat(F.lit("日期 "), said, F.lit(" "), F.col("o_orderpriority")))
+    return t.orders.select("o_orderkey", dates.parse_year(around).alias("year"))
 
 
-@query("n1_powers", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '<=' || ('1' || repeat('0', (p_size % 6)::INT)) || 'cfu' WHEN 1 THEN ('1' || repeat('0', (p_size % 6)::INT)) WHEN 2 THEN (p_size * 1000)::VARCHAR ELSE '2^5' END AS s FROM part")
+@query("n1_powers", """SELECT p_partkey, p_name || ' 1' || repeat('0', p_size % 12) || ' and <=1' || repeat('0', (p_partkey % 10)::INT) || 'cfu, ' || (p_size * power(10, p_partkey % 7))::BIGINT || ' or ' || ((p_partkey % 97) * power(10, p_size % 5))::BIGINT || '; 2^' || p_size AS s FROM part""")
 def n1(t: Tables) -> DataFrame:
-    k, e = F.col("p_partkey") % 4, (F.col("p_size") % 6).cast("int")
-    up = F.element_at(F.array(*map(F.lit, "⁰¹²³⁴⁵")), e + 1)
-    said = F.when(k == 0, F.concat(F.lit("<=10^"), e.cast("string"), F.lit("cfu"))).when(k == 1, F.concat(F.lit("10"), up)).when(k == 2, F.concat(F.col("p_size").cast("string"), F.lit("×10**3"))).otherwise("2^5")
+    size, key = F.col("p_size").cast("string"), lambda n: (F.col("p_partkey") % n).cast("string")
+    raised = F.translate(key(10), "0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")
+    small = F.concat(F.lit(" 10"), F.when(F.col("p_partkey") % 2 == 0, " ^ ").otherwise("**"), (F.col("p_size") % 12).cast("string"))
+    product = F.concat(size, F.when(F.col("p_partkey") % 3 == 0, " × ").otherwise("*"), F.lit("10^"), key(7))
+    said = F.concat("p_name", small, F.lit(" and <=10"), raised, F.lit("cfu, "), product, F.lit(" or "), key(97), F.when(F.col("p_partkey") % 2 == 0, "e").otherwise("E+"), (F.col("p_size") % 5).cast("string"), F.lit("; 2^"), size)
     return t.part.select("p_partkey", numbers.spread_powers(said).alias("s"))
 
 
-@query("n5_unit", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'mg/l' WHEN 1 THEN '%' WHEN 2 THEN '' ELSE 'mpa' END AS unit FROM part")
+_UNITS = sorted({u for a, to in numbers.CONVERSIONS.items() for u in (a, *to)})
+_D_UNITS = "[" + ", ".join(f"'{u}'" for u in _UNITS) + "]"
+_N = len(_UNITS)
+_D_FACTORS = ", ".join(f"('{a}', '{b}', {x!r}::DOUBLE)" for a, to in numbers.CONVERSIONS.items() for b, x in to.items())
+
+
+def _unit(of: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, _UNITS)), (F.pmod(of, F.lit(_N)) + 1).cast("int"))
+
+
+@query("n5_unit", f"SELECT p_partkey, CASE WHEN p_size % 6 = 5 THEN '' ELSE ({_D_UNITS})[p_partkey % {_N} + 1] END AS unit FROM part")
 def n5(t: Tables) -> DataFrame:
-    k = F.col("p_partkey") % 4
-    said = F.concat(F.col("p_size").cast("string"), F.when(k == 0, " mg/L").when(k == 1, "%").when(k == 2, "").otherwise(".5MPa."))
+    unit = F.when(F.col("p_size") % 2 == 0, _unit(F.col("p_partkey"))).otherwise(F.regexp_replace(F.upper(F.regexp_replace(_unit(F.col("p_partkey")), "µ", "~")), "~", "µ"))
+    number = F.concat(F.lit("≤"), F.col("p_size").cast("string"), F.when(F.col("p_size") % 3 == 0, ".25 ").otherwise(""))
+    said = F.when(F.col("p_size") % 6 == 5, number).otherwise(F.concat(number, unit, F.when(F.col("p_size") % 4 == 0, F.lit(" ，备注")).otherwise("")))
     return t.part.select("p_partkey", numbers.parse_unit(said).alias("unit"))
 
 
-@query("j2_unit_conversion", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size * 0.001::DOUBLE WHEN 1 THEN p_size * 0.0001::DOUBLE WHEN 2 THEN p_size::DOUBLE WHEN 3 THEN NULL ELSE p_size * 100.0::DOUBLE END AS value, CASE WHEN p_partkey % 5 = 3 THEN 'unit_mismatch' ELSE '' END AS note FROM part")
+@query("j2_unit_conversion", f"""WITH u AS (SELECT p_partkey, p_retailprice AS x, CASE WHEN p_size % 8 = 0 THEN '' ELSE ({_D_UNITS})[p_partkey % {_N} + 1] END AS a, ({_D_UNITS})[(p_partkey // {_N} + p_size) % {_N} + 1] AS b FROM part), f(a, b, k) AS (VALUES {_D_FACTORS})
+SELECT p_partkey, CASE WHEN u.a IN ('', u.b) THEN x ELSE x * k END AS value, CASE WHEN u.a NOT IN ('', u.b) AND k IS NULL THEN 'unit_mismatch' ELSE '' END AS note FROM u LEFT JOIN f ON u.a = f.a AND u.b = f.b""")
 def j2(t: Tables) -> DataFrame:
-    k = F.col("p_partkey") % 5
-    unit = F.when(k == 0, "mg").when(k == 1, "ppm").when(k == 2, "").when(k == 3, "bar").otherwise("bar")
-    spec = F.when(k == 0, "≤5g").when(k == 1, "≤50%").when(k == 2, "≤5g").when(k == 3, "≤5mg").otherwise("≤300kPa")
-    moved = numbers.to_spec_unit(F.col("p_size").cast("double"), unit, spec)
+    unit = F.when(F.col("p_size") % 8 == 0, "").otherwise(_unit(F.col("p_partkey")))
+    spec = F.concat(F.lit("≤"), F.col("p_size").cast("string"), F.lit(" "), _unit(F.expr(f"p_partkey div {_N} + p_size")))
+    moved = numbers.to_spec_unit(F.col("p_retailprice"), unit, spec)
     return t.part.select("p_partkey", moved["value"].alias("value"), F.when(moved["note"] == "unit_mismatch", moved["note"]).otherwise("").alias("note"))
 
 

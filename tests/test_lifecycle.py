@@ -123,3 +123,19 @@ def test_a_folder_of_each_machine_is_refused_on_a_cluster(spark, tmp_path):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(on_cluster(spark_sql_warehouse_dir=f"file:{tmp_path}"))
     assert shared_dir(on_cluster(spark_sql_warehouse_dir=f"file:{tmp_path}", spark_checkpoint_dir="file:/shared/")) == "file:/shared"
+
+
+def test_reads_prune_push_and_clamp(spark, tmp_path):
+    rows = [(k, k % 3, k % 5, ("critical", "info")[k % 2], "rule", "pending", "x" * 100) for k in range(300)]
+    spark.createDataFrame(rows, "id long, job_id long, page int, severity string, source string, status string, ocr_text string").write.parquet(str(tmp_path / "f"))
+    found = spark.read.parquet(str(tmp_path / "f"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<job_id:bigint,page:int,severity:string>" in plan(reads.page_counts(found))
+    listed = reads.list_findings(found.filter("job_id = 1").drop("ocr_text"), page=3, limit=5)
+    assert "EqualTo(job_id,1)" in plan(listed) and "EqualTo(page,3)" in plan(listed) and "ocr_text" not in plan(listed).split("ReadSchema")[1]
+    assert [reads.clamped(*x) for x in ((0, -5), (999, 7), (-3, 0), (200, 1))] == [(1, 0), (200, 7), (1, 0), (200, 1)]
+    assert reads.list_findings(found, limit=999).count() == 200 and reads.list_findings(found, limit=0, offset=-1).count() == 1
+    jobs = spark.createDataFrame([(k, "review", k) for k in range(130)], "id long, status string, created_at long")
+    assert [reads.newest_jobs(jobs, *x).count() for x in ((0, 1000), (2, 1000), (1, 0), (-4, 20))] == [100, 30, 1, 20]
+    assert [reads.page_total(jobs.limit(n), 1000).first().total_pages for n in (0, 100, 101)] == [1, 1, 2]
+    assert reads.listed_by_page(found, limit=1, offset=2).count() == 15

@@ -139,3 +139,26 @@ def test_reads_prune_push_and_clamp(spark, tmp_path):
     assert [reads.newest_jobs(jobs, *x).count() for x in ((0, 1000), (2, 1000), (1, 0), (-4, 20))] == [100, 30, 1, 20]
     assert [reads.page_total(jobs.limit(n), 1000).first().total_pages for n in (0, 100, 101)] == [1, 1, 2]
     assert reads.listed_by_page(found, limit=1, offset=2).count() == 15
+
+
+def test_a_provider_is_asked_again(spark):
+    from batchloom.providers import asked
+
+    queue = spark.createDataFrame([(k, f"v{k}") for k in range(8)], "idx int, name string")
+    rounds, waits = [], []
+    # by row: what is said in each round (None: answered, "-": left out)
+    plan = {0: [None], 1: ["timeout", None], 2: ["timeout", "-", None], 3: ["HTTP 401 key=sk-abcdefghijkl"], 4: ["-", "-", "-"], 5: ["503", "503", "503 " + "x" * 300], 6: [None], 7: ["-", "Bad Request"]}
+
+    def ask(left):
+        ids = sorted(r.idx for r in left.collect())
+        rounds.append(ids)
+        rows = [(i, plan[i][len(rounds) - 1], i % 2 == 0) for i in ids if plan[i][len(rounds) - 1] != "-"]
+        return spark.createDataFrame(rows, "idx int, error string, in_spec boolean")
+
+    answers, audit = asked(queue, ask, ["idx"], wait=waits.append)
+    assert rounds == [list(range(8)), [1, 2, 4, 5, 7], [2, 4, 5]]
+    assert sorted(tuple(r) for r in answers.collect()) == [(0, True), (1, False), (2, True), (6, True)]
+    got = {r.idx: (r.attempt, r.success, r.error) for r in audit.collect()}
+    assert got == {0: (1, True, None), 1: (2, True, None), 2: (3, True, None), 3: (1, False, "HTTP 401 key=sk-***"), 4: (3, False, "no answer"), 5: (3, False, "503 " + "x" * 196), 6: (1, True, None), 7: (2, False, "Bad Request")}
+    assert len(waits) == 2 and 1 <= waits[0] <= 3 and 2 <= waits[1] <= 6 and audit.count() == 8
+    assert asked(queue.filter("false"), ask, ["idx"], wait=waits.append)[1].count() == 0

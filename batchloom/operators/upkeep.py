@@ -147,6 +147,32 @@ def accepted_rules(rules: DataFrame, key: str = "owner") -> DataFrame:
     return rules.filter(F.length("text") <= RULE_LENGTH).withColumn("_n", F.sum(F.length("text")).over(order)).filter(F.col("_n") <= RULES_LENGTH).drop("_n")
 
 
+#: Rules that an owner may have, and characters of an audit row's detail.
+MOST_RULES, DETAIL_CHARS = 100, 500
+
+
+def saved_rules(rules: DataFrame, at: Column, key: str = "owner") -> tuple[DataFrame, DataFrame]:
+    """What stays of rule lists that owners save whole (``owner, pos, text, active``), and an audit row for each saving:
+    ``owner, action, detail, created_at``. A list with a blank or too long rule, too many rules or characters is refused whole,
+    and the row says why."""
+    c = F.col
+    rows = rules.withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")).withColumn("n_", F.row_number().over(Window.partitionBy(key).orderBy("pos")))
+    # The messages about what is wrong.
+    said = F.when(c("text") == "", "内容不能为空").when(F.length("text") > RULE_LENGTH, f"内容超过 {RULE_LENGTH} 字符上限")
+    error = F.when(said.isNotNull(), F.struct("n_", F.concat(F.lit("规则 #"), c("n_").cast("string"), F.lit(": "), said).alias("said")))
+    fine = said.isNull()
+    lists = rows.groupBy(key).agg(
+        F.transform(F.array_sort(F.collect_list(error)), lambda x: x["said"]).alias("errors"), F.count_if(fine).alias("n"), F.coalesce(F.sum(F.when(fine, F.length("text"))), F.lit(0)).alias("chars"), F.count_if(fine & c("active")).alias("active"),
+    )
+    many = F.when(c("n") > MOST_RULES, f"规则总数超过 {MOST_RULES} 条上限")
+    long = F.when(c("chars") > RULES_LENGTH, F.concat(F.lit(f"规则总字数超过 {RULES_LENGTH} 字符上限（当前 "), c("chars").cast("string"), F.lit(" 字符，全部规则会注入分析提示词，过长会超出模型上下文）")))
+    lists = lists.withColumn("errors", F.concat("errors", F.array_compact(F.array(many, long))))
+    good = F.size("errors") == 0
+    detail = F.when(good, F.concat(c("n").cast("string"), F.lit(" rules (active="), c("active").cast("string"), F.lit(")"))).otherwise(F.left(F.array_join("errors", "; "), F.lit(DETAIL_CHARS)))
+    audit = lists.select(key, F.when(good, "user_rules_update").otherwise("user_rules_update_failed").alias("action"), detail.alias("detail"), at.alias("created_at"))
+    return rows.join(lists.filter(good).select(key), key, "left_semi").drop("n_"), audit
+
+
 def blocked_host(url: Column) -> Column:
     """Whether an address is no public http(s) one: another scheme, no host, this machine, or a private, link-local or
     unspecified number (dotted, decimal, hexadecimal or octal)."""

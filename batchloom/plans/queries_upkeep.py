@@ -139,6 +139,18 @@ def rules_section(t: Tables) -> DataFrame:
     return upkeep.rules_section(upkeep.accepted_rules(rows)).select("owner", F.md5(F.col("section").cast("binary")).alias("section"), "hash")
 
 
+@query("mut_rules_save", f"""WITH r AS (SELECT p_size AS owner, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS n, CASE WHEN p_partkey % 61 = 0 THEN '' WHEN p_partkey % 53 = 0 THEN repeat('x', 1001) ELSE repeat(p_name, (p_size % 5 * 30)::INT) || 'y' END AS t, p_partkey % 3 > 0 AS active FROM part),
+l AS (SELECT owner, string_agg(CASE WHEN t = '' THEN '规则 #' || n || ': 内容不能为空' WHEN length(t) > 1000 THEN '规则 #' || n || ': 内容超过 1000 字符上限' END, '; ' ORDER BY n) AS errors, count(*) FILTER (WHERE length(t) BETWEEN 1 AND 1000) AS n,
+  coalesce(sum(length(t)) FILTER (WHERE length(t) BETWEEN 1 AND 1000), 0) AS chars, count(*) FILTER (WHERE length(t) BETWEEN 1 AND 1000 AND active) AS active FROM r GROUP BY owner),
+e AS (SELECT *, concat_ws('; ', errors, CASE WHEN n > 100 THEN '规则总数超过 100 条上限' END, CASE WHEN chars > 8000 THEN '规则总字数超过 8000 字符上限（当前 ' || chars || ' 字符，全部规则会注入分析提示词，过长会超出模型上下文）' END) AS every FROM l)
+SELECT owner, CASE WHEN every = '' THEN 'user_rules_update' ELSE 'user_rules_update_failed' END AS action, CASE WHEN every = '' THEN n || ' rules (active=' || active || ')' ELSE every[1:500] END AS detail, CASE WHEN every = '' THEN n ELSE 0 END AS kept FROM e""")
+def rules_save(t: Tables) -> DataFrame:
+    rows = t.sql("SELECT p_size AS owner, p_partkey AS pos, CASE WHEN p_partkey % 61 = 0 THEN ' ' WHEN p_partkey % 53 = 0 THEN repeat('x', 1001) ELSE concat(' ', repeat(p_name, CAST(p_size % 5 * 30 AS int)), 'y ') END AS text, p_partkey % 3 > 0 AS active FROM {part}")
+    kept, audit = upkeep.saved_rules(rows, _at())
+    counts = kept.groupBy("owner").agg(F.count("*").alias("kept"))
+    return audit.join(counts, "owner", "left").select("owner", "action", "detail", F.coalesce("kept", F.lit(0)).alias("kept"))
+
+
 # Hosts drawn from an order's numbers: dotted, decimal, hexadecimal and octal addresses, names, other schemes and logins.
 _OCTETS = "(o_orderkey * 7 + o_custkey) % 256", "(o_custkey * 3) % 256", "o_orderkey % 256", "(o_orderkey + o_custkey) % 250 + 1"
 _D_IP = " + ".join(f"({o}) * {256 ** (3 - k)}" for k, o in enumerate(_OCTETS))

@@ -368,11 +368,12 @@ def numbered_copies(docs: DataFrame) -> DataFrame:
     return few.unionByName(many).select("doc_id", "text", F.explode(F.sequence(F.col("lo"), last)).alias("copy"))
 
 
-def segment(docs: DataFrame, model_path: str | None = None, copies: bool = False) -> DataFrame:
+def segment(docs: DataFrame, model_path: str | None = None, copies: bool = False, block: int = TEXTS) -> DataFrame:
     """``doc_id, n_pieces, ids, lossless`` of every row; ``lossless``: decoding gave back the text, byte for byte.
 
     ``copies``: rows that repeat id and text, as epochs of a mix do, are sampled anew by their number, and ``copy`` (from 0)
     is a further column. Without it repeated rows get the same pieces. Either way the result follows from the rows alone.
+    ``block``: bytes of texts that a task works on at once; it changes no result.
     """
     model = _shared(docs, model_path)
     names = ["doc_id", "copy"] if copies else ["doc_id"]
@@ -395,7 +396,7 @@ def segment(docs: DataFrame, model_path: str | None = None, copies: bool = False
         docs = numbered_copies(docs)
         own = F.when(F.col("copy") == 0, own).otherwise(F.xxhash64(F.col("doc_id").cast("long"), "copy"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *names[1:], own.alias("key"), "text")
-    return map_texts(rows, "".join(f"{k} bigint, " for k in names) + "n_pieces bigint, ids array<int>, lossless boolean", start, limit=TEXTS)
+    return map_texts(rows, "".join(f"{k} bigint, " for k in names) + "n_pieces bigint, ids array<int>, lossless boolean", start, limit=block)
 
 
 def decode_rows(rows: DataFrame, model_path: str | None = None) -> DataFrame:

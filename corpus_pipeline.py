@@ -19,6 +19,8 @@ from batchloom.llm.toxicity import train, without_toxic
 
 #: Similarity from which two documents are near duplicates, in percent.
 NEAR = 80
+#: Bytes of texts in a block of the last stage, small since workers of the stages before it still hold memory.
+BLOCK = 1 << 19
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +67,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no pieces; texts of any length are encoded whole; rows that repeat id and text are its copies,
     numbered from 0 wherever they lie; an empty table gives an empty result; further columns are ignored.
     """
-    return segment(docs, copies=True)
+    return segment(docs, copies=True, block=BLOCK)
 
 
 STAGES = [

@@ -19,7 +19,7 @@ GARBLED = r"(20\d{2})[/.\-]?(\d{1,2})?[/.\-](20\d{2})[.\-/]?(\d{2})[.\-/]?(\d{2}
 CHINESE = r"((?:19|20)\d{2})年(\d{1,2})月(\d{1,2})日(?:\s*(\d{1,2})[时:](\d{2})分?)?"
 PLAIN = r"(?<!\d)((?:19|20)\d{2})[.\-/](\d{1,2})[.\-/](\d{1,2})(?:[\sT]+(\d{1,2}):(\d{2})(?::(\d{2}))?)?"
 YEAR = r"(?<![\p{L}\p{N}_])((?:19|20)\d{2})(?![\p{L}\p{N}_])"
-TIME_OF_DAY = r"\d{1,2}[:时]\d{2}"
+TIME_OF_DAY = r"[0-9０-９][:时][0-9０-９]{2}"
 _WIDE, _NARROW = "０１２３４５６７８９", "0123456789"
 
 
@@ -37,6 +37,19 @@ def filled(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
+#: Whole texts that only ``PLAIN`` or ``CHINESE`` can read (one year, plain digits, no white space around): a cast reads them.
+_SIMPLE = r"^(?:19|20)[0-9]{2}(?:[./-][0-9]{1,2}[./-][0-9]{1,2}(?:[ T][0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)?|年[0-9]{1,2}月[0-9]{1,2}日)\z"
+
+
+def _simple(text: Column) -> Column:
+    return F.coalesce(text.rlike(_SIMPLE), F.lit(False))
+
+
+def _simple_moment(text: Column) -> Column:
+    dashed = F.replace(F.replace(text, F.lit("."), F.lit("-")), F.lit("/"), F.lit("-"))
+    return F.when(F.contains(text, F.lit("年")), F.translate(text, "年月日", "--")).otherwise(dashed).try_cast("timestamp_ntz")
+
+
 def _group(c: Column, pattern: str, k: int) -> Column:
     return F.regexp_extract(c, "(?U)" + pattern, k).try_cast("int")
 
@@ -111,14 +124,16 @@ def settled(rows: DataFrame, **columns: Column) -> DataFrame:
 
 def with_times(rows: DataFrame, **named: tuple[Column, Column | None, Column | None]) -> DataFrame:
     """``rows`` with a moment for each name, from (text, fallback, whether there is a fallback) as ``parse_time`` takes them:
-    the normalised text, its layout and its numbers are found one after the other, in generated code."""
+    the normalised text, its layout and its numbers are found one after the other, in generated code. Most texts have a plain
+    layout and are read at once; the search through the layouts then sees a null."""
     given = {n: _defaults(fallback, has) for n, (_, fallback, has) in named.items()}
-    out = settled(rows, **{f"{n}_raw": _raw(text) for n, (text, _, _) in named.items()}, **{f"{n}_given": has for n, (_, has) in given.items()}, **{f"{n}_base": base for n, (base, _) in given.items()})
     c = F.col
+    out = settled(rows, **{f"{n}_text": text for n, (text, _, _) in named.items()}, **{f"{n}_simple": _simple(text) for n, (text, _, _) in named.items()}, **{f"{n}_given": has for n, (_, has) in given.items()}, **{f"{n}_base": base for n, (base, _) in given.items()})
+    out = settled(out, **{f"{n}_raw": F.when(~c(f"{n}_simple"), _raw(c(f"{n}_text"))) for n in named})
     out = settled(out, **{f"{n}_layout": _dated(_layout(c(f"{n}_raw"), c(f"{n}_given")), c(f"{n}_given")) for n in named})
     out = settled(out, **{f"{n}_numbers": _numbers(c(f"{n}_raw"), c(f"{n}_layout")) for n in named})
-    out = settled(out, **{n: _read(c(f"{n}_layout"), c(f"{n}_numbers"), c(f"{n}_base")) for n in named})
-    return out.drop(*[f"{n}_{x}" for n in named for x in ("raw", "given", "base", "layout", "numbers")])
+    out = settled(out, **{n: F.when(c(f"{n}_simple"), _simple_moment(c(f"{n}_text"))).otherwise(_read(c(f"{n}_layout"), c(f"{n}_numbers"), c(f"{n}_base"))) for n in named})
+    return out.drop(*[f"{n}_{x}" for n in named for x in ("text", "simple", "raw", "given", "base", "layout", "numbers")])
 
 
 def parse_year(text: Column) -> Column:
@@ -132,7 +147,7 @@ def year_of(text: Column, moment: Column) -> Column:
 
 def interval(text: Column, moment: Column) -> Column:
     """``start, end, precise``: a point where the text has a time of day, else the whole day; null without a moment."""
-    precise = F.translate(text, _WIDE, _NARROW).rlike(TIME_OF_DAY)
+    precise = (F.contains(text, F.lit(":")) | F.contains(text, F.lit("时"))) & text.rlike(TIME_OF_DAY)
     end = F.when(precise, moment).otherwise(moment + F.expr("INTERVAL 1 DAY"))
     return F.when(moment.isNotNull(), F.struct(moment.alias("start"), end.alias("end"), precise.alias("precise")))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,10 @@ OPTIONAL = {
 
 def timed(rows: DataFrame) -> DataFrame:
     """Flat steps (``job_id, page, pos, step_no`` and what they have of the other columns) with their times parsed."""
+    undated = "date" not in rows.columns
     rows = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in OPTIONAL.items() if c not in rows.columns})
-    rows = with_times(rows.withColumn("dated", filled(F.col("date"))), fallback=(F.col("date"), None, None))
+    rows = rows.withColumn("dated", F.lit(False) if undated else filled(F.col("date")))
+    rows = rows.withColumn("fallback", F.lit(None).cast("timestamp_ntz")) if undated else with_times(rows, fallback=(F.col("date"), None, None))
     rows = with_times(rows, **{f"{name}_at": (F.col(f"{name}_time"), F.col("fallback"), F.col("dated")) for name in ("start", "end")})
     rows = settled(rows, **{f"{name}_iv": interval(F.col(f"{name}_time"), F.col(f"{name}_at")) for name in ("start", "end")})
     return rows.withColumn("key", step_key(F.col("step_no"))).withColumn("no", F.coalesce("step_no", F.lit("?")))
@@ -63,6 +67,7 @@ def findings(rows: DataFrame, *args: Column | str, **more: Column | str) -> Data
 
 def findings_where(rows: DataFrame, *cases: tuple[Column, list[Column]]) -> DataFrame:
     """The findings of every case whose condition holds on a row, from one pass over the rows."""
+    rows = rows.filter(F.coalesce(reduce(Column.__or__, [condition for condition, _ in cases]), F.lit(False)))  # most rows have none
     some = F.array_compact(F.array(*[F.when(condition, F.struct(*columns)) for condition, columns in cases]))
     return rows.select(F.inline(some))
 

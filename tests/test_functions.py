@@ -20,6 +20,15 @@ def test_times(spark):
     assert [got[i] for i in range(len(TIMES))] == [t for _, _, t in TIMES]
 
 
+def test_plain_layouts_are_read_at_once(spark):
+    simple = ["2024-01-02 10:11", "2024-1-2T3:04:05", "2024.02.30", "2024/12/31", "2024年2月29日", "1999年13月1日", "2024-01-02 24:00", "2024-01-02 10:10:60"]
+    other = ["2024-01-02\n", " 2024-01-02", "2024-01-02 1:1", "2024-01-02x", "２０２４-01-02", "2022/4/202205.07", "2024", "07-17 14:30", "2024年1月2日 3时04分", ""]
+    df = spark.createDataFrame([(s,) for s in simple + other], "s string")
+    rows = dates.with_times(df, t=(F.col("s"), None, None)).select("s", "t", dates.parse_time(F.col("s")).alias("searched"), dates._simple(F.col("s")).alias("simple"), dates.interval(F.col("s"), F.col("t")).alias("iv")).collect()
+    assert {r.s for r in rows if r.simple} == set(simple) and all(r.t == r.searched for r in rows)
+    assert {r.s: r.iv.precise for r in rows if r.t} == {r.s: bool(re.search(r"\d[:时]\d\d", r.s)) for r in rows if r.t}
+
+
 def test_interval_order_is_one_sided(spark):
     said = ["2024-01-01", "2024-01-01 14:30", "2024-01-02", "2024-01-02 00:00", "2023-12-31 23:59"]
     one = spark.createDataFrame([(s,) for s in said], "s string").select("s", dates.interval(F.col("s"), dates.parse_time(F.col("s"))).alias("iv"))

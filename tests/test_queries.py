@@ -19,3 +19,9 @@ def test_every_job_has_a_report(spark, name):
     want = spark.read.parquet(f"{SF}/orders.parquet").selectExpr("CAST(o_orderkey AS bigint) AS job_id")
     assert got.select("job_id").exceptAll(want).isEmpty() and want.exceptAll(got.select("job_id")).isEmpty()
     assert got.filter("report IS NULL").isEmpty()
+
+
+@pytest.mark.parametrize("name", ["r1a_time_reversal_in_page", "r1b_time_reversal_cross_page"])
+def test_steps_without_a_date_column_are_not_searched_for_one(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("fallback_") == 0 and plan.count("start_at_simple") > 0

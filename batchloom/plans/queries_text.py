@@ -36,7 +36,8 @@ def n1(t: Tables) -> DataFrame:
     small = F.concat(F.lit(" 10"), F.when(F.col("p_partkey") % 2 == 0, " ^ ").otherwise("**"), (F.col("p_size") % 12).cast("string"))
     product = F.concat(size, F.when(F.col("p_partkey") % 3 == 0, " × ").otherwise("*"), F.lit("10^"), key(7))
     said = F.concat("p_name", small, F.lit(" and <=10"), raised, F.lit("cfu, "), product, F.lit(" or "), key(97), F.when(F.col("p_partkey") % 2 == 0, "e").otherwise("E+"), (F.col("p_size") % 5).cast("string"), F.lit("; 2^"), size)
-    return t.part.select("p_partkey", numbers.spread_powers(said).alias("s"))
+    # a small file is few tasks, and the work on a row is long: dealt out anew
+    return t.part.select("p_partkey", "p_name", "p_size").repartition("p_partkey").select("p_partkey", numbers.spread_powers(said).alias("s"))
 
 
 _UNITS = sorted({u for a, to in numbers.CONVERSIONS.items() for u in (a, *to)})

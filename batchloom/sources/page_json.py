@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from batchloom.functions.dates import let
 from batchloom.functions.jsonx import first_object, parsed_ok
 from batchloom.functions.text import names_match, value_source
 from batchloom.schema import EVENT_TYPES, UNREADABLE
@@ -56,17 +57,23 @@ def typed_pages(rows: DataFrame) -> DataFrame:
 
 def problems(c, page):
     """What is wrong with a page result (an empty array for a sound one)."""
+    # each part is taken from the text once; fields below it only where the part names them
+    parts = F.struct(*[F.get_json_object(c, f"$.{f}").alias(f) for f in ("page_info", "steps", "findings", "event_year_groups")])
+    return let(parts, lambda told: _problems(c, page, told))
+
+
+def _problems(c, page, told):
     get = lambda p: F.get_json_object(c, p)
+    named = lambda text, f: F.contains(text, F.lit(f'"{f}"'))
     say = lambda when, what: F.when(when, F.lit(what) if isinstance(what, str) else what)
-    top = [say(get(f"$.{f}").isNull(), f"missing field: {f}") for f in ("page_info", "steps")]
-    info = say(get("$.page_info").startswith("{") & get("$.page_info.title").isNull(), "page_info missing: title")
-    steps = get("$.steps")
+    top = [say(told[f].isNull(), f"missing field: {f}") for f in ("page_info", "steps")]
+    info = say(told["page_info"].startswith("{") & get("$.page_info.title").isNull(), "page_info missing: title")
+    steps, groups = told["steps"], told["event_year_groups"]
     broken = steps.isNotNull() & ~steps.startswith("[")
-    items = F.coalesce(F.from_json(get("$.findings"), "array<string>"), F.array().cast("array<string>"))
+    items = F.coalesce(F.from_json(told["findings"], "array<string>"), F.array().cast("array<string>"))
     drift = F.array_compact(F.transform(items, lambda x, i: F.when(x.startswith("{") & ~F.get_json_object(x, "$.page").eqNullSafe(page.cast("string")), F.concat(F.lit("findings["), i.cast("string"), F.lit("].page="), F.coalesce(F.get_json_object(x, "$.page"), F.lit("None")), F.lit(" must be "), page.cast("string"), F.lit(" (current PDF page)")))))
-    groups = get("$.event_year_groups")
-    kinds = F.array_compact(F.array(say(groups.isNotNull() & ~groups.startswith("{"), "event_year_groups must be an object"), *[say(get(f"$.event_year_groups.{k}").isNotNull() & ~get(f"$.event_year_groups.{k}").startswith("["), f"event_year_groups.{k} must be an array") for k in EVENT_TYPES], say(get("$.findings").isNotNull() & ~get("$.findings").startswith("["), "findings must be an array")))
+    kinds = F.array_compact(F.array(say(~groups.startswith("{"), "event_year_groups must be an object"), *[say(named(groups, k) & ~get(f"$.event_year_groups.{k}").startswith("["), f"event_year_groups.{k} must be an array") for k in EVENT_TYPES], say(~told["findings"].startswith("["), "findings must be an array")))
     each = F.coalesce(F.from_json(steps, "array<string>"), F.array().cast("array<string>"))
-    parts = F.flatten(F.transform(each, lambda s, i: F.array_compact(F.array(*[F.when(s.startswith("{") & F.get_json_object(s, f"$.{f}").isNotNull() & ~F.get_json_object(s, f"$.{f}").startswith("["), F.concat(F.lit("step["), i.cast("string"), F.lit(f"].{f} must be an array"))) for f in ("measurements", "signatures", "checks")]))))
+    fields = F.flatten(F.transform(each, lambda s, i: F.array_compact(F.array(*[F.when(s.startswith("{") & named(s, f) & ~F.get_json_object(s, f"$.{f}").startswith("["), F.concat(F.lit("step["), i.cast("string"), F.lit(f"].{f} must be an array"))) for f in ("measurements", "signatures", "checks")]))))
     early = F.array_compact(F.array(*top, info, say(broken, "steps is not a list")))
-    return F.when(broken, early).otherwise(F.concat(early, drift, kinds, parts))
+    return F.when(broken, early).otherwise(F.concat(early, drift, kinds, fields))

@@ -25,3 +25,25 @@ def test_every_job_has_a_report(spark, name):
 def test_steps_without_a_date_column_are_not_searched_for_one(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("fallback_") == 0 and plan.count("start_at_simple") > 0
+
+
+@pytest.mark.parametrize("name", ["t17_entities", "n1_powers"])
+def test_long_work_on_few_files_is_dealt_out(spark, name):
+    assert "RepartitionByExpression" in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_are_not_searched_one_by_one(spark):
+    import json
+
+    from batchloom.functions.entities import _tables
+
+    dealt = json.loads(_tables()[0])
+    assert sum(map(len, dealt)) > 2000 and max(map(len, dealt)) < 10
+
+
+def test_parts_of_a_page_are_taken_once(spark):
+    from batchloom.sources.page_json import problems
+    from pyspark.sql import functions as F
+
+    said = str(problems(F.col("c"), F.col("p")))
+    assert [said.count(f"$.{f})") for f in ("page_info", "steps", "findings", "event_year_groups")] == [1, 1, 1, 1]

@@ -219,13 +219,11 @@ def summary(lines: DataFrame, cap: int) -> DataFrame:
     upto = Window.partitionBy("job_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     every = Window.partitionBy("job_id")
     rows = lines.withColumn("upto", F.sum(F.length("line") + 1).over(upto)).withColumn("all", F.sum(F.length("line") + 1).over(every) - 1).withColumn("n", F.count("*").over(every))
-    kept = rows.filter((F.col("all") <= cap) | (F.col("upto") <= cap))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n")
-    kept = kept.groupBy("job_id").agg(text.alias("text"), F.count("*").alias("k"), F.first("n").alias("n"))
-    jobs = lines.groupBy("job_id").agg(F.count("*").alias("n_all"))
-    note = F.concat(F.lit("## 内容过长已截断：仅完整展示 "), F.coalesce("k", F.lit(0)).cast("string"), F.lit("/"), F.col("n_all").cast("string"), F.lit(" 行，之后页面内容未注入，跨页分析可能缺失，需人工复核"))
-    cut = F.coalesce("k", F.lit(0)) < F.col("n_all")
-    return jobs.join(kept, "job_id", "left").select("job_id", F.when(cut, F.concat_ws("\n", "text", note)).otherwise(F.col("text")).alias("text"))
+    kept = (F.col("all") <= cap) | (F.col("upto") <= cap)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(kept, F.struct("ord", "line")))), lambda x: x["line"]), "\n")
+    jobs = rows.groupBy("job_id").agg(text.alias("text"), F.count_if(kept).alias("k"), F.first("n").alias("n"))  # one pass: lines are not made again
+    note = F.concat(F.lit("## 内容过长已截断：仅完整展示 "), F.col("k").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(" 行，之后页面内容未注入，跨页分析可能缺失，需人工复核"))
+    return jobs.select("job_id", F.when(F.col("k") < F.col("n"), F.concat_ws("\n", F.when(F.col("k") > 0, F.col("text")), note)).otherwise(F.col("text")).alias("text"))
 
 
 def summary_cap(window: int) -> int:

@@ -46,4 +46,9 @@ def test_parts_of_a_page_are_taken_once(spark):
     from pyspark.sql import functions as F
 
     said = str(problems(F.col("c"), F.col("p")))
-    assert [said.count(f"$.{f})") for f in ("page_info", "steps", "findings", "event_year_groups")] == [1, 1, 1, 1]
+    assert [said.count(f"$.{f}'") for f in ("page_info", "steps", "findings", "event_year_groups")] == [1, 1, 1, 1]
+
+
+def test_pages_of_a_summary_are_read_once(spark):
+    plan = QUERIES["sum_page_summary"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2  # orders and their lines

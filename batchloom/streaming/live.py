@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -25,6 +25,7 @@ TRIGGER = "3 seconds"
 TERMINAL = ["review", "partial_review", "error", "cancelled", "archived"]
 LIVE = "job_id string, live boolean, status string, seq bigint, at timestamp"
 ATTEMPTS = "job_id string, seq bigint, current string, new string, accepted boolean, action string, detail string"
+MADE = "job_id string, seq array<bigint>, current array<string>, new array<string>, accepted array<boolean>"
 
 
 def keep_state(spark: SparkSession) -> None:
@@ -116,52 +117,49 @@ def live_stream(events: DataFrame, late: str = "1 minute") -> DataFrame:
 
 
 class _Attempts(StatefulProcessor):
-    """A job's state and the next attempt's number; attempts that came too early wait in a list."""
+    """A job's state, the next attempt's number, the attempts that came too early and when their wait ends: one value, since each
+    call for state is a round trip to the JVM. What a call makes is one row of lists, which the plan spreads."""
 
     def __init__(self, start: str, wait_ms: int):
         self.start, self.wait_ms = start, wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", "state string, due bigint")
-        self.early = handle.getListState("early", "seq bigint, new string")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        told = {int(s): n for s, n in self.early.get()}
-        latest = 0
-        for part in rows:
-            for seq, new, at in zip(part["seq"], part["new"], part["at"], strict=True):
-                told.setdefault(int(seq), new)
-                latest = max(latest, int(at.timestamp() * 1000))
-        yield from self.fold(key, told, False)
-        if self.early.exists() and not list(self.handle.listTimers()):
-            self.handle.registerTimer(max(latest, timerValues.getCurrentWatermarkInMs()) + self.wait_ms)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self.fold(key, {int(s): n for s, n in self.early.get()}, True)
-
-    def fold(self, key: tuple, told: dict[int, str], gaps: bool) -> Iterator[pd.DataFrame]:
-        """Attempts in order, up to the first gap (``gaps``: over it); the others wait. One that was told before is nothing."""
-        now, due = self.now.get() or (self.start, 1)
+        self.job = handle.getValueState("job", "state string, due bigint, seqs array<bigint>, news array<string>, timer bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        now, due, seqs, news, timer = self.job.get() or (self.start, 1, [], [], None)
+        told, latest = dict(zip(seqs, news, strict=True)), None
+        for row in rows:
+            told.setdefault(row.seq, row.new)
+            latest = row.at if latest is None or row.at > latest else latest
+        return iter(self.fold(key, now, due, told, timer, lambda: max(int(latest.timestamp() * 1000), timerValues.getCurrentWatermarkInMs()) + self.wait_ms))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now, due, seqs, news, _ = self.job.get()
+        return iter(self.fold(key, now, due, dict(zip(seqs, news, strict=True)), None))
+
+    def fold(self, key: tuple, now: str, due: int, told: dict[int, str], timer: int | None, until: Callable[[], int] | None = None) -> list[Row]:
+        """Attempts in order, up to the first gap (``until``: how long the others wait; without it, over the gaps). One that was
+        told before is nothing."""
         out, wait = [], []
         for seq in sorted(told):
             if seq < due:
                 continue
-            if seq > due and not gaps:
-                wait.append((seq, told[seq]))
+            if seq > due and until:
+                wait.append(seq)
                 continue
             new, ok = told[seq], told[seq] in TRANSITIONS.get(now, ())
-            said = f"{now} → {new}" if ok else f"{now} → {new} (allowed: {', '.join(sorted(TRANSITIONS.get(now, ())))})"
-            out.append((key[0], seq, now, new, ok, "status_transition" if ok else "status_transition_blocked", said))
+            out.append((seq, now, new, ok))
             now, due = new if ok else now, seq + 1
-        self.now.update((now, due))
-        if wait:
-            self.early.put(wait)
-        else:
-            self.early.clear()
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-        yield pd.DataFrame(out, columns=["job_id", "seq", "current", "new", "accepted", "action", "detail"])
+        if wait and timer is None:
+            timer = until()
+            self.handle.registerTimer(timer)
+        elif not wait and timer is not None:
+            self.handle.deleteTimer(timer)
+            timer = None
+        self.job.update((now, due, wait, [told[seq] for seq in wait], timer))
+        return [Row(job_id=key[0], **dict(zip(("seq", "current", "new", "accepted"), map(list, zip(*out, strict=True)), strict=True)))] if out else []
 
     def close(self) -> None:
         pass
@@ -174,4 +172,10 @@ def attempts_stream(attempts: DataFrame, start: str = "pending", wait: int = 60,
     keep_state(attempts.sparkSession)
     ship(attempts.sparkSession)
     told = attempts.select("job_id", "seq", "at", "new").withWatermark("at", late)
-    return told.groupBy("job_id").transformWithStateInPandas(_Attempts(start, wait * 1000), ATTEMPTS, "Append", "EventTime")
+    made = told.groupBy("job_id").transformWithState(_Attempts(start, wait * 1000), MADE, "Append", "EventTime")
+    rows = made.select("job_id", F.inline(F.arrays_zip("seq", "current", "new", "accepted")))
+    legal = F.create_map(*[F.lit(x) for state, to in TRANSITIONS.items() for x in (state, ", ".join(sorted(to)))])
+    said = F.concat("current", F.lit(" → "), F.coalesce("new", F.lit("None")))
+    blocked = F.concat(said, F.lit(" (allowed: "), F.coalesce(F.element_at(legal, F.col("current")), F.lit("")), F.lit(")"))
+    action = F.when(F.col("accepted"), "status_transition").otherwise("status_transition_blocked")
+    return rows.withColumn("action", action).withColumn("detail", F.when(F.col("accepted"), said).otherwise(blocked))

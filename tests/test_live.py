@@ -115,3 +115,33 @@ def test_a_gap_holds_attempts_for_a_while(spark, tmp_path):
     assert sizes == [1, 1, 3, 4]
     assert got == [(1, "pending", "ocr_running", True), (3, "ocr_running", "analyzing", False), (4, "ocr_running", "error", True), (5, "error", "pending", True)]
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_attempts_of_a_job_take_few_calls_for_state():
+    from types import SimpleNamespace
+
+    calls, held = [], {}
+
+    class State:
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name == "update":
+                    held["value"] = args[0]
+                return held.get("value") if name == "get" else iter(())
+
+            return call
+
+    p, clock = live._Attempts("pending", 60_000), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    state = State()
+    p.init(SimpleNamespace(getValueState=lambda *a: state, getListState=lambda *a: state, registerTimer=state.registerTimer, deleteTimer=state.deleteTimer, listTimers=state.listTimers))
+    from pyspark.sql import Row
+
+    row = lambda seq, new: Row(seq=seq, at=at(0), new=new)
+    assert list(p.handleInputRows(("a",), iter([row(2, "ocr_done"), row(4, "error")]), clock)) == []
+    assert calls == ["get", "registerTimer", "update"]
+    (made,) = p.handleInputRows(("a",), iter([row(1, "ocr_running")]), clock)
+    assert made == Row(job_id="a", seq=[1, 2], current=["pending", "ocr_running"], new=["ocr_running", "ocr_done"], accepted=[True, True])
+    (made,) = p.handleInputRows(("a",), iter([row(3, "review"), row(2, "error")]), clock)
+    assert made == Row(job_id="a", seq=[3, 4], current=["ocr_done", "ocr_done"], new=["review", "error"], accepted=[False, True])
+    assert calls[3:] == ["get", "update", "get", "deleteTimer", "update"]
